@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import analytics  # noqa: F401
+from . import analytics, roundtrips  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
