@@ -17,7 +17,7 @@ def unix_lines(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Whitespace-separated fields, edge blanks ignored."""
-    return F.split(F.regexp_replace(_col(text), r"^\s+|\s+$", ""), r"\s+")
+    return F.split(F.trim(F.translate(_col(text), "\t\r\n", "   ")), " +")
 
 
 def after_equals(tokens: Column) -> Column:
@@ -30,20 +30,26 @@ def before_equals(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.regexp_replace(x, r"=.*$", ""))
 
 
+def entries_to_map(entries: Column) -> Column:
+    """Map of (k, v) entries in which a repeated key keeps its last value.
+
+    Repeats are rare, so the plain conversion serves every row without one. Give
+    ``entries`` as a column of its own where it is costly: the other branch looks
+    it up once per key.
+    """
+    keys = F.transform(entries, lambda e: e["k"])
+    unique = F.array_distinct(keys)
+    last = F.transform(unique, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
+    return F.when(F.size(unique) == F.size(keys), F.map_from_entries(entries)).otherwise(F.map_from_arrays(unique, last))
+
+
 def pairs(text: Column | str, sep: str = ",", kv: str = "=") -> Column:
     """``k=v`` text to a map; a repeated key keeps its last value, empty pieces are ignored."""
     pieces = F.filter(F.split(_col(text), sep), lambda x: F.length(F.trim(x)) > 0)
-    entries = F.transform(
-        pieces,
-        lambda x: F.struct(
-            F.trim(F.split(x, kv, 2)[0]).alias("k"), F.try_element_at(F.split(x, kv, 2), F.lit(2)).alias("v")
-        ),
-    )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(keys, lambda k: F.try_element_at(F.filter(entries, lambda e: e["k"] == k), F.lit(-1))["v"]),
-    )
+    return entries_to_map(F.transform(pieces, lambda x: F.struct(
+        F.trim(F.substring_index(x, kv, 1)).alias("k"),
+        F.when(F.contains(x, F.lit(kv)), F.substring(x, F.instr(x, kv) + len(kv), F.length(x))).alias("v"),
+    )))
 
 
 def get(m: Column, key: str, default=None) -> Column:

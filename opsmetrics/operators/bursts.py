@@ -3,35 +3,35 @@
 Both rules walk a key's rows in order with a small state. A slice is first
 reduced to "state in -> state out", the slices of a key are chained over those
 small records, and then every slice is worked on its own with its known state.
-No task ever sees more than one slice of one key.
+A window clusters and sorts each slice; the walk itself streams over Arrow
+batches, so a task holds one batch at a time and never one key's history.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .ordered import SLICE, time_slice, with_slice
 
+Batches = Iterator[pd.DataFrame]
 
-def _group_sizes(t: np.ndarray, rows: int, max_gap: int, max_group: int) -> np.ndarray:
-    """How many rows a group would hold if it started at each row."""
-    within = np.searchsorted(t, t[:rows] + max_gap, side="right") - np.arange(rows)
-    return np.minimum(within, max_group)
 
+def _fields(df: DataFrame, names: list[str], **more: T.DataType) -> T.StructType:
+    return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in more.items()])
 
-def _group_starts(sizes: np.ndarray, entry: int) -> np.ndarray:
-    """Starts of the groups when the first ``entry`` rows belong to an earlier slice's group."""
-    starts, at, n = [], entry, len(sizes)
-    while at < n:
-        starts.append(at)
-        at += int(sizes[at])
-    return np.asarray(starts, dtype=np.int64)
+
+def _by_slice(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Slice summaries in order per key, the first of each key flagged."""
+    w = Window.partitionBy(*keys).orderBy(SLICE)
+    return df.withColumn("__new", F.row_number().over(w) == 1)
 
 
 def burst_numbers(
@@ -41,10 +41,11 @@ def burst_numbers(
     """Number rows 1.. within groups of up to ``max_group`` rows lying within
     ``max_gap`` seconds of the group's first row.
 
-    Rows are taken per key in (``epoch``, ``ties``) order. Rows early in a slice
-    are also shown to the slice before, which needs them to size its last group.
-    Between slices travels the open group: how many rows it still takes (fewer
-    than ``max_group``) and how many it has.
+    Rows are taken per key in (``epoch``, ``ties``) order. How many rows a group
+    would hold if it began at a row shows in the next ``max_group`` - 1 rows, so
+    rows early in a slice are also shown to the slice before. Between slices
+    travels the open group: how many rows it still takes (fewer than
+    ``max_group``) and how many it has.
     """
     if slice_seconds <= max_gap:
         raise ValueError("slice_seconds must exceed max_gap")
@@ -57,63 +58,88 @@ def burst_numbers(
     copy = F.struct((F.col(SLICE) - 1).alias("s"), F.lit(True).alias("ahead"))
     shown = (
         base.withColumn("__at", F.explode(F.when(near, F.array(own, copy)).otherwise(F.array(own))))
-        .withColumn(SLICE, F.col("__at.s"))
-        .withColumn("__ahead", F.col("__at.ahead"))
-        .drop("__at")
+        .withColumn(SLICE, F.col("__at.s")).withColumn("__ahead", F.col("__at.ahead")).drop("__at")
     )
-
-    def exits(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = int((~pdf["__ahead"]).sum())
-        sizes = _group_sizes(pdf[epoch].to_numpy(), rows, max_gap, max_group)
-        left, taken = [], []
-        for entry in range(max_group):
-            starts = _group_starts(sizes, entry)
-            at = int(starts[-1]) if len(starts) else 0
-            left.append(at + int(sizes[at]) - rows if len(starts) else entry - rows)
-            taken.append(rows - at)
-        return pd.DataFrame([[*key, rows, left, taken]], columns=[*keys, SLICE, "n", "left", "taken"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE)
-        left, taken, states = 0, 0, []
-        for n, lefts, takens in zip(pdf["n"], pdf["left"], pdf["taken"]):
-            states.append((left, taken))
-            taken = takens[left] + (taken if left >= n else 0)
-            left = lefts[left]
-        entry = pd.DataFrame(states, columns=["__left", "__taken"], index=pdf.index)
-        return pdf[[*keys, SLICE]].join(entry)
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        rows = int((~pdf["__ahead"]).sum())
-        pdf, t = pdf.iloc[:rows], pdf[epoch].to_numpy()
-        if rows == 0:
-            return pdf.drop(columns=["__ahead", "__left", "__taken"]).assign(**{out: 0})
-        left, taken = int(pdf["__left"].iloc[0]), int(pdf["__taken"].iloc[0])
-        began = np.full(rows, -taken, dtype=np.int64)
-        starts = _group_starts(_group_sizes(t, rows, max_gap, max_group), left)
-        began[starts] = starts
-        numbers = np.arange(rows) - np.maximum.accumulate(began) + 1
-        return pdf.drop(columns=["__ahead", "__left", "__taken"]).assign(**{out: numbers})
-
-    key_fields = [base.schema[k] for k in keys] + [T.StructField(SLICE, T.LongType())]
-    longs = T.ArrayType(T.LongType())
-    reduced = (
-        shown.select(*keys, SLICE, "__ahead", *order).groupBy(*keys, SLICE)
-        .applyInPandas(exits, T.StructType([
-            *key_fields, T.StructField("n", T.LongType()),
-            T.StructField("left", longs), T.StructField("taken", longs),
-        ]))
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    size = F.lit(max_group)
+    for i in range(max_group - 1, 0, -1):
+        later = F.lead(epoch, i).over(w)
+        size = F.when(later.isNull() | (later - F.col(epoch) > max_gap), F.lit(i)).otherwise(size)
+    sized = (
+        shown.withColumn("__size", size)
+        .withColumn("__new", F.row_number().over(w) == 1)
+        .withColumn("__end", F.coalesce(F.lead("__ahead").over(w), F.lit(True)))
+        .filter(~F.col("__ahead")).drop("__ahead")
     )
-    states = reduced.groupBy(*keys).applyInPandas(chain, T.StructType([
-        *key_fields, T.StructField("__left", T.LongType()), T.StructField("__taken", T.LongType()),
-    ]))
-    fed = shown.join(states, [*keys, SLICE], "left").fillna(0, ["__left", "__taken"])
-    result = T.StructType([*base.schema.fields, T.StructField(out, T.LongType())])
-    return fed.select(*base.columns, "__ahead", "__left", "__taken").groupBy(*keys, SLICE).applyInPandas(
-        number, result
-    ).drop(SLICE)
+
+    def exits(batches: Batches) -> Batches:
+        """Per slice and entry (rows the open group still takes): the same at the slice's end."""
+        walks, rows = [], 0
+        for pdf in batches:
+            ends = []
+            for new, end, n in zip(pdf["__new"].tolist(), pdf["__end"].tolist(), pdf["__size"].tolist()):
+                if new:
+                    walks, rows = [[e, 0, [e]] for e in range(max_group)], 0
+                rows += 1
+                for walk in walks:
+                    if walk[0] == 0:
+                        walk[0], walk[1] = n, 0
+                    walk[0] -= 1
+                    walk[1] += 1
+                if len(walks) > 1:
+                    # Walks that agree once agree for good.
+                    merged: dict[tuple[int, int], list] = {}
+                    for walk in walks:
+                        twin = merged.setdefault((walk[0], walk[1]), walk)
+                        if twin is not walk:
+                            twin[2].extend(walk[2])
+                    walks = list(merged.values())
+                if end:
+                    left, taken, whole = [0] * max_group, [0] * max_group, [False] * max_group
+                    for still, has, entries in walks:
+                        for e in entries:
+                            left[e], taken[e], whole[e] = still, has, e >= rows
+                    ends.append((left, taken, whole))
+            last = pdf.loc[pdf["__end"], [*keys, SLICE]]
+            yield last.assign(left=[x[0] for x in ends], taken=[x[1] for x in ends], whole=[x[2] for x in ends])
+
+    def chain(batches: Batches) -> Batches:
+        left = taken = 0
+        for pdf in batches:
+            states = []
+            for new, lefts, takens, wholes in zip(pdf["__new"].tolist(), pdf["left"], pdf["taken"], pdf["whole"]):
+                if new:
+                    left = taken = 0
+                states.append((left, taken))
+                taken = int(takens[left]) + (taken if wholes[left] else 0)
+                left = int(lefts[left])
+            yield pdf[[*keys, SLICE]].assign(__left=[s[0] for s in states], __taken=[s[1] for s in states])
+
+    def number(batches: Batches) -> Batches:
+        left = taken = 0
+        for pdf in batches:
+            numbers = []
+            for new, n, had_left, had_taken in zip(
+                pdf["__new"].tolist(), pdf["__size"].tolist(), pdf["__left"].tolist(), pdf["__taken"].tolist()
+            ):
+                if new:
+                    left, taken = had_left, had_taken
+                if left == 0:
+                    left, taken = n, 0
+                left -= 1
+                taken += 1
+                numbers.append(taken)
+            yield pdf[base_columns].assign(**{out: np.asarray(numbers, dtype=np.int64)})
+
+    base_columns = base.columns
+    longs, long = T.ArrayType(T.LongType()), T.LongType()
+    reduced = sized.select(*keys, SLICE, "__new", "__end", "__size").mapInPandas(
+        exits, _fields(sized, [*keys, SLICE], left=longs, taken=longs, whole=T.ArrayType(T.BooleanType())))
+    states = _by_slice(reduced, keys).mapInPandas(
+        chain, _fields(sized, [*keys, SLICE], __left=long, __taken=long))
+    fed = sized.join(states, [*keys, SLICE], "left").fillna(0, ["__left", "__taken"])
+    ready = fed.select(*base_columns, "__new", "__size", "__left", "__taken").sortWithinPartitions(*keys, SLICE, *order)
+    return ready.mapInPandas(number, _fields(base, base_columns, **{out: long})).drop(SLICE)
 
 
 def spaced_picks(
@@ -130,48 +156,68 @@ def spaced_picks(
     """
     order = [epoch, *ties]
     base = with_slice(df, keys, time_slice(F.col(epoch), slice_seconds))
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    flagged = (
+        base.withColumn("__t", F.col(epoch).cast("bigint"))
+        .withColumn("__new", F.row_number().over(w) == 1)
+        .withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
+    )
 
-    def heads(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf[epoch].to_numpy())
+    def outcomes(seconds: list[int]) -> tuple[list[int], list[int]]:
+        t = np.asarray(seconds, dtype=np.int64)
         following = np.searchsorted(t, t + min_gap, side="right")
         last = t.copy()
         for i in range(len(t) - 1, -1, -1):
             if following[i] < len(t):
                 last[i] = last[following[i]]
         keep = int(np.searchsorted(t, t[0] - t[0] % slice_seconds + min_gap, side="left")) + 1
-        return pd.DataFrame(
-            [[*key, t[:keep].tolist(), last[:keep].tolist()]], columns=[*keys, SLICE, "first", "last"]
-        )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SLICE)
-        held, entries = None, []
-        for first, last in zip(pdf["first"], pdf["last"]):
-            entries.append(held)
-            at = 0 if held is None else bisect_right(list(first), held + min_gap)
-            if at < len(first):
-                held = int(last[at])
-        return pdf[[*keys, SLICE]].assign(__held=pd.array(entries, dtype="Int64"))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        t, held = pdf["__t"].to_numpy(), pdf["__held"].iloc[0]
-        picked, at = np.zeros(len(t), dtype=bool), 0
-        if not pd.isna(held):
-            at = int(np.searchsorted(t, int(held) + min_gap, side="right"))
-        while at < len(t):
-            picked[at] = True
-            at = int(np.searchsorted(t, t[at] + min_gap, side="right"))
-        return pdf.drop(columns=["__held", "__t"]).assign(**{out: picked})
-
-    key_fields = [base.schema[k] for k in keys] + [T.StructField(SLICE, T.LongType())]
+        return t[:keep].tolist(), last[:keep].tolist()
+
+    def heads(batches: Batches) -> Batches:
+        seconds: list[int] = []
+        for pdf in batches:
+            found = []
+            for new, end, t in zip(pdf["__new"].tolist(), pdf["__end"].tolist(), pdf["__t"].tolist()):
+                if new:
+                    seconds = []
+                if not seconds or t != seconds[-1]:
+                    seconds.append(t)
+                if end:
+                    found.append(outcomes(seconds))
+            yield pdf.loc[pdf["__end"], [*keys, SLICE]].assign(first=[x[0] for x in found], last=[x[1] for x in found])
+
+    def chain(batches: Batches) -> Batches:
+        held = None
+        for pdf in batches:
+            entries = []
+            for new, first, last in zip(pdf["__new"].tolist(), pdf["first"], pdf["last"]):
+                if new:
+                    held = None
+                entries.append(held)
+                at = 0 if held is None else bisect_right(first, held + min_gap)
+                if at < len(first):
+                    held = int(last[at])
+            yield pdf[[*keys, SLICE]].assign(__held=pd.array(entries, dtype="Int64"))
+
+    def pick(batches: Batches) -> Batches:
+        free_from = None
+        for pdf in batches:
+            picked = []
+            held = pdf["__held"].astype("Int64").tolist()
+            for new, t, before in zip(pdf["__new"].tolist(), pdf["__t"].tolist(), held):
+                if new:
+                    free_from = None if before is pd.NA else before + min_gap
+                take = free_from is None or t > free_from
+                if take:
+                    free_from = t + min_gap
+                picked.append(take)
+            yield pdf[base_columns].assign(**{out: picked})
+
+    base_columns = base.columns
     longs = T.ArrayType(T.LongType())
-    reduced = base.select(*keys, SLICE, epoch).groupBy(*keys, SLICE).applyInPandas(
-        heads, T.StructType([*key_fields, T.StructField("first", longs), T.StructField("last", longs)])
-    )
-    states = reduced.groupBy(*keys).applyInPandas(
-        chain, T.StructType([*key_fields, T.StructField("__held", T.LongType())])
-    )
-    fed = base.withColumn("__t", F.col(epoch)).join(states, [*keys, SLICE], "left")
-    result = T.StructType([*base.schema.fields, T.StructField(out, T.BooleanType())])
-    return fed.select(*base.columns, "__t", "__held").groupBy(*keys, SLICE).applyInPandas(pick, result).drop(SLICE)
+    reduced = flagged.select(*keys, SLICE, "__new", "__end", "__t").mapInPandas(
+        heads, _fields(flagged, [*keys, SLICE], first=longs, last=longs))
+    states = _by_slice(reduced, keys).mapInPandas(chain, _fields(flagged, [*keys, SLICE], __held=T.LongType()))
+    fed = flagged.join(states, [*keys, SLICE], "left")
+    ready = fed.select(*base_columns, "__t", "__new", "__held").sortWithinPartitions(*keys, SLICE, *order)
+    return ready.mapInPandas(pick, _fields(base, base_columns, **{out: T.BooleanType()})).drop(SLICE)

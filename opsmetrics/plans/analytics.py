@@ -108,12 +108,12 @@ def metrics_per_minute(spark, sf) -> DataFrame:
     return saturation.metrics_per_minute(events(spark, sf))
 
 
-@query("rate_minutes_ago", E + """, n AS (SELECT max(ts_min) AS now_min FROM e)
-SELECT event_type, e.ts_min, count(*) AS rate FROM e, n WHERE e.ts_min = n.now_min - 8 GROUP BY 1, 2""")
+@query("rate_minutes_ago", """WITH n AS (SELECT max(epoch_us(l_shipdate) // 60000000) AS now_min FROM lineitem)
+SELECT l_returnflag, now_min - 43200 AS ts_min, count(*) AS rate FROM lineitem, n WHERE epoch_us(l_shipdate) // 60000000 = now_min - 43200 GROUP BY 1, 2""")
 def rate_minutes_ago(spark, sf) -> DataFrame:
-    rates = _rates(spark, sf)
-    newest = events(spark, sf).agg(F.max("ts_min")).scalar()
-    return saturation.rate_at(rates, newest, 8)
+    fact = table(spark, sf, "lineitem").withColumn("ts_min", ts_min_of(epoch_of("l_shipdate")))
+    newest = fact.agg(F.max("ts_min")).scalar()
+    return saturation.rate_at(saturation.metrics_per_minute(fact, ["l_returnflag"]), newest, 43200)
 
 
 @query("saturated_nongrowing", E + RATES + """, p AS (
@@ -446,6 +446,16 @@ DIFF = """WITH s AS (SELECT DISTINCT o_orderpriority AS "table", 'PART' || strft
 """
 
 
+def _tight_bounds(spark, sf, status: str) -> DataFrame:
+    """Bounds whose limits are the day after the newest order of each month."""
+    text = F.col("o_orderdate").cast("string")
+    catalog = table(spark, sf, "orders").filter(F.col("o_orderstatus") == status).groupBy(
+        F.col("o_orderpriority").alias("table"),
+        F.concat(F.lit("PART"), F.substring(text, 1, 4), F.substring(text, 6, 2)).alias("part"),
+    ).agg((ts_min_of(epoch_of(F.max("o_orderdate"))) + 1440).alias("limit"))
+    return relayout.partition_bounds(catalog)
+
+
 def _month_catalog(spark, sf, status: str) -> DataFrame:
     month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
     following = F.add_months(month.cast("date"), 1).cast("timestamp_ntz")
@@ -463,14 +473,16 @@ def partition_diff(spark, sf) -> DataFrame:
     return relayout.partition_diff(_month_catalog(spark, sf, "F"), _month_catalog(spark, sf, "P"), ["table"])
 
 
-@query("bound_mismatches", DIFF + """, x AS (SELECT "table", part, coalesce(lag(hi) OVER (PARTITION BY "table" ORDER BY hi), 0) AS lo, hi FROM a)
-, y AS (SELECT "table", part, coalesce(lag(hi) OVER (PARTITION BY "table" ORDER BY hi), 0) AS dest_lo, hi AS dest_hi FROM b)
-SELECT x."table", x.part, lo, hi, dest_lo, dest_hi FROM x JOIN y ON x."table" = y."table" AND x.part = y.part
-WHERE lo <> dest_lo OR hi <> dest_hi""")
+TIGHT = """SELECT "table", part, coalesce(lag(hi) OVER (PARTITION BY "table" ORDER BY hi), 0) AS lo, hi FROM (
+  SELECT o_orderpriority AS "table", 'PART' || strftime(o_orderdate, '%Y%m') AS part, max(epoch_us(o_orderdate)) // 60000000 + 1440 AS hi
+  FROM orders WHERE o_orderstatus = '{s}' GROUP BY 1, 2)"""
+
+
+@query("bound_mismatches", f"""WITH x AS ({TIGHT.format(s='F')}), y AS ({TIGHT.format(s='P')})
+SELECT x."table", x.part, x.lo, x.hi, y.lo AS dest_lo, y.hi AS dest_hi FROM x JOIN y ON x."table" = y."table" AND x.part = y.part
+WHERE x.lo <> y.lo OR x.hi <> y.hi""")
 def bound_mismatches(spark, sf) -> DataFrame:
-    def bounds(status):
-        return relayout.partition_bounds(_month_catalog(spark, sf, status))
-    return relayout.bound_mismatches(bounds("F"), bounds("P"), ["table"])
+    return relayout.bound_mismatches(_tight_bounds(spark, sf, "F"), _tight_bounds(spark, sf, "P"), ["table"])
 
 
 @query("key_columns_listagg", """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
@@ -527,7 +539,7 @@ BUFFERS = recursive(E) + ", r AS (SELECT host AS k, fast AS t, event_id, cents F
 
 def _buffers(spark, sf):
     return burst_numbers(
-        events(spark, sf).select("host", "fast", "event_id", "cents"), ["host"], "fast", ["event_id"], slice_seconds=3600)
+        events(spark, sf).select("host", "fast", "event_id", "cents"), ["host"], "fast", ["event_id"], slice_seconds=300)
 
 
 @query("buffer_numbers", BUFFERS + "SELECT k AS host, t AS epoch, event_id, buffer FROM b")

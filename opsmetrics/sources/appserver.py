@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import kb_to_mb, unix_lines, whole, words
+from ..functions.text import entries_to_map, kb_to_mb, unix_lines, whole, words
 from ..functions.time import epoch_of
 from ..operators.health import service_wait
 from ..operators.rules import first_match
@@ -72,12 +72,10 @@ POOL_METRICS = [
 
 
 def _counters(text: Column) -> Column:
-    """``path = n`` lines to a map, a repeated path keeps its last value."""
-    lines = F.filter(F.split(unix_lines(text), "\n"), lambda x: x.rlike(r"^\S+ = \S+"))
-    entries = F.transform(lines, lambda x: F.struct(words(x)[0].alias("k"), words(x)[2].alias("v")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+    """``path = n`` lines as (path, value) entries."""
+    lines = F.filter(F.split(unix_lines(text), "\n"), lambda x: x.contains(" = "))
+    return F.transform(lines, lambda x: F.struct(
+        F.substring_index(x, " ", 1).alias("k"), F.substring_index(x, " ", -1).alias("v")))
 
 
 def parse_appserver_dump(df: DataFrame, by: list[str] = ("host",), slice_seconds: int = 86400) -> dict[str, DataFrame]:
@@ -88,7 +86,8 @@ def parse_appserver_dump(df: DataFrame, by: list[str] = ("host",), slice_seconds
     queue and thread counters; a negative queue limit means none and reads 9999.
     """
     by = list(by)
-    snaps = df.select(*by, "timestamp", _counters(F.col("value")).alias("__m"))
+    snaps = df.select(*by, "timestamp", _counters(F.col("value")).alias("__e")).select(
+        *by, "timestamp", entries_to_map(F.col("__e")).alias("__m"))
     m = F.col("__m")
     def read(path: Column | str) -> Column:
         key = F.lit(path) if isinstance(path, str) else path
@@ -140,7 +139,8 @@ def appserver_metrics(df: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("MySQL Connection Pool|"), F.nullif(first_match(rules(POOL_METRICS), ""), F.lit(""))))
     )
     return (
-        lines.select(*keep, words("__l")[0].alias("path"), whole(words("__l")[2]).alias("value"))
+        lines.select(
+            *keep, F.substring_index("__l", " ", 1).alias("path"), whole(F.substring_index("__l", " ", -1)).alias("value"))
         .select(*keep, label.alias("name"), F.greatest("value", F.lit(0)).alias("value"))
         .filter(F.col("name").isNotNull())
     )

@@ -129,7 +129,7 @@ def read_multi_header_csv(df: DataFrame) -> DataFrame:
     lines = F.split("__text", "\n")
     header = F.transform(F.split(lines[0], ","), metric_header)
     keep = carried(df)
-    cells = F.transform(F.split("__line", ","), F.trim)
+    cells = F.transform(F.split("__line", ","), lambda x: F.trim(x))
     padded = F.slice(F.concat(cells, F.transform("__header", lambda _: F.lit(None).cast("string"))), F.lit(1), F.size("__header"))
     return (
         df.select(*keep, F.posexplode(blocks).alias("block", "__text"))
