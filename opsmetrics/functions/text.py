@@ -92,15 +92,39 @@ def metric_header(name: Column | str) -> Column:
     return F.translate(F.trim(once), "()", "_")
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """``x * 10**digits`` rounded to a whole number as C's printf rounds: on the exact
+    binary value, ties to even. ``digits`` is at most 3.
+
+    Spark's own rounding works on the shortest decimal text of a double, which
+    lies on a tie more often than the double itself. Here the fraction is split
+    off exactly and scaled in integers.
+    """
+    size = F.abs(x)
+    units = F.floor(size).cast("bigint")
+    bits = (size - units) * F.lit(float(2 ** 52))
+    fraction = F.floor(bits).cast("bigint")
+    wide = fraction * F.lit(10 ** digits).cast("bigint")
+    low = F.shiftright(wide, 52)
+    rest = wide.bitwiseAND(F.lit(2 ** 52 - 1).cast("bigint"))
+    half = F.lit(2 ** 51).cast("bigint")
+    up = (rest > half) | ((rest == half) & ((bits > fraction) | (low % 2 == 1)))
+    whole_part = units * F.lit(10 ** digits).cast("bigint") + low + up.cast("bigint")
+    return F.when(x < 0, -whole_part).otherwise(whole_part)
+
+
 def human_bytes(n: Column | str) -> Column:
     """Divide by 1000 while above 1000; three decimals and a unit letter (blank for none)."""
-    x = _col(n).cast("double")
-    out = F.format_string("%.3f ", x)
+    left = _col(n).cast("double")
+    milli, letter = scaled_round(left, 3), F.lit(" ")
     # Unit letters of rising powers of 1000.
-    for power, unit in enumerate("KMGT", start=1):
-        limit = 1000.0 ** power
-        out = F.when(x > limit, F.format_string(f"%.3f{unit}", x / limit)).otherwise(out)
-    return out
+    for unit in "KMGT":
+        more = left > 1000
+        left = left / F.lit(1000.0)
+        milli = F.when(more, scaled_round(left, 3)).otherwise(milli)
+        letter = F.when(more, F.lit(unit)).otherwise(letter)
+    thousandths = F.lpad((milli % 1000).cast("string"), 3, "0")
+    return F.concat(F.floor(milli / 1000).cast("string"), F.lit("."), thousandths, letter)
 
 
 def kb_to_mb(kb: Column | str) -> Column:
@@ -115,7 +139,7 @@ def ceil_div(x: Column | str, d: int) -> Column:
 
 def percent(part: Column, base: Column) -> Column:
     """``100 * part / base`` to one decimal, null on a zero base."""
-    return F.bround(F.try_divide(part * F.lit(100.0), base), 1)
+    return scaled_round(F.try_divide(part * F.lit(100.0), base), 1) / F.lit(10.0)
 
 
 def json_metric_sum(text: Column | str) -> Column:

@@ -406,9 +406,9 @@ SIZES = """CASE r_regionkey WHEN 0 THEN 'innodb_log_buffer_size' WHEN 1 THEN 'in
 SIZE_VALUES = "CASE r_regionkey WHEN 0 THEN '8388608' WHEN 1 THEN '50331648' WHEN 2 THEN '2' ELSE '0' END"
 
 
-@query("roundtrip_db_status", _oracle(DBS).replace(" FROM e ", """, round_even(100.0::DOUBLE * event_id / 8388608, 1) AS Log_unflushed_pct_buf,
-  round_even(100.0::DOUBLE * (cents * 100 + event_id) / (50331648 * 2), 1) AS checkpoint_age_pct_log,
-  round_even(100.0::DOUBLE * event_id / (event_id + 1000), 1) AS free_pct_bufpages FROM e """, 1))
+@query("roundtrip_db_status", _oracle(DBS).replace(" FROM e ", """, CAST(printf('%.1f', 100.0::DOUBLE * event_id / 8388608) AS DOUBLE) AS Log_unflushed_pct_buf,
+  CAST(printf('%.1f', 100.0::DOUBLE * (cents * 100 + event_id) / (50331648 * 2)) AS DOUBLE) AS checkpoint_age_pct_log,
+  CAST(printf('%.1f', 100.0::DOUBLE * event_id / (event_id + 1000)) AS DOUBLE) AS free_pct_bufpages FROM e """, 1))
 def roundtrip_db_status(spark, sf) -> DataFrame:
     variables = dbstatus.log_settings(table(spark, sf, "region").select(
         F.expr(SIZES).alias("name"), F.expr(SIZE_VALUES).alias("value")))

@@ -54,8 +54,8 @@ def version_from_padded(spark, sf) -> DataFrame:
 
 
 @query("human_bytes", """WITH b AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 97 WHEN 2 THEN 100003 ELSE 1000000007 END // CASE WHEN o_orderkey % 8 = 0 THEN 100000 ELSE 1 END AS n FROM orders)
-SELECT o_orderkey, CASE WHEN n > 1e12 THEN printf('%.3fT', n / 1e12) WHEN n > 1e9 THEN printf('%.3fG', n / 1e9) WHEN n > 1e6 THEN printf('%.3fM', n / 1e6)
-  WHEN n > 1e3 THEN printf('%.3fK', n / 1e3) ELSE printf('%.3f ', CAST(n AS DOUBLE)) END AS size FROM b""")
+SELECT o_orderkey, CASE WHEN n > 1e12 THEN printf('%.3fT', n / 1000.0::DOUBLE / 1000 / 1000 / 1000) WHEN n > 1e9 THEN printf('%.3fG', n / 1000.0::DOUBLE / 1000 / 1000)
+  WHEN n > 1e6 THEN printf('%.3fM', n / 1000.0::DOUBLE / 1000) WHEN n > 1e3 THEN printf('%.3fK', n / 1000.0::DOUBLE) ELSE printf('%.3f ', CAST(n AS DOUBLE)) END AS size FROM b""")
 def human_bytes(spark, sf) -> DataFrame:
     factor = F.when(F.col("o_orderkey") % 4 == 0, 1).when(F.col("o_orderkey") % 4 == 1, 97).when(F.col("o_orderkey") % 4 == 2, 100003).otherwise(1000000007)
     n = F.floor(F.round(F.col("o_totalprice") * 100).cast("bigint") * factor / F.when(F.col("o_orderkey") % 8 == 0, 100000).otherwise(1))
