@@ -66,6 +66,15 @@ def number(text: Column | str) -> Column:
     return _col(text).try_cast("double")
 
 
+def line_after(text: Column | str, start: str) -> Column:
+    """Rest of the first line that begins with ``start``, empty without one; ``text`` must begin with a newline.
+
+    A pattern that opens with literal text is searched skipping ahead, which is
+    several times cheaper than an anchored multi-line pattern or a map of all lines.
+    """
+    return F.trim(F.regexp_extract(_col(text), "\n\\Q" + start + "\\E([^\n]*)", 1))
+
+
 def no_commas(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), ",", "")
 

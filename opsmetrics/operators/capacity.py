@@ -46,11 +46,11 @@ def partition_files(listing: DataFrame) -> DataFrame:
     Names look like ``metricdata_min#P#PART123#SP#PART123sp0.ibd``; files of the
     catch-all PARTMAX partition have no digit there and fall out.
     """
-    pieces = F.split("name", "#")
+    third = F.substring_index(F.substring_index("name", "#", 3), "#", -1)
     return (
-        listing.filter(F.col("name").rlike("PART[0-9]") & F.col("name").endswith(".ibd"))
-        .withColumn("table", pieces[0])
-        .withColumn("part", F.substring_index(F.try_element_at(pieces, F.lit(3)), ".", 1))
+        listing.filter(F.col("name").endswith(".ibd") & F.col("name").contains("PART") & F.col("name").rlike("PART[0-9]"))
+        .withColumn("table", F.substring_index("name", "#", 1))
+        .withColumn("part", F.substring_index(third, ".", 1))
     )
 
 

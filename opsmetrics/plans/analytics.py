@@ -153,8 +153,7 @@ LISTING = f"""f AS (SELECT {TABLE_OF} AS "table", strftime(l_shipdate, '%Y%m') A
 
 def _listing(spark, sf):
     """Line items as a listing of partition files."""
-    ym = F.concat(F.substring(F.col("l_shipdate").cast("string"), 1, 4), F.substring(F.col("l_shipdate").cast("string"), 6, 2))
-    part = F.concat(F.lit("PART"), ym)
+    part = F.concat(F.lit("PART"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("string"))
     return table(spark, sf, "lineitem").select(
         F.concat(F.expr(TABLE_OF), F.lit("#P#"), part, F.lit("#SP#"), part, F.lit("sp"),
                  (F.col("l_linenumber") % 4).cast("string"), F.lit(".ibd")).alias("name"),
@@ -448,10 +447,9 @@ DIFF = """WITH s AS (SELECT DISTINCT o_orderpriority AS "table", 'PART' || strft
 
 def _tight_bounds(spark, sf, status: str) -> DataFrame:
     """Bounds whose limits are the day after the newest order of each month."""
-    text = F.col("o_orderdate").cast("string")
     catalog = table(spark, sf, "orders").filter(F.col("o_orderstatus") == status).groupBy(
         F.col("o_orderpriority").alias("table"),
-        F.concat(F.lit("PART"), F.substring(text, 1, 4), F.substring(text, 6, 2)).alias("part"),
+        F.concat(F.lit("PART"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("string")).alias("part"),
     ).agg((ts_min_of(epoch_of(F.max("o_orderdate"))) + 1440).alias("limit"))
     return relayout.partition_bounds(catalog)
 
@@ -459,10 +457,9 @@ def _tight_bounds(spark, sf, status: str) -> DataFrame:
 def _month_catalog(spark, sf, status: str) -> DataFrame:
     month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
     following = F.add_months(month.cast("date"), 1).cast("timestamp_ntz")
-    text = F.col("o_orderdate").cast("string")
     return table(spark, sf, "orders").filter(F.col("o_orderstatus") == status).select(
         F.col("o_orderpriority").alias("table"),
-        F.concat(F.lit("PART"), F.substring(text, 1, 4), F.substring(text, 6, 2)).alias("part"),
+        F.concat(F.lit("PART"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("string")).alias("part"),
         ts_min_of(epoch_of(following)).alias("limit")).distinct()
 
 

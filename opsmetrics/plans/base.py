@@ -39,6 +39,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_helpers(table(spark, sf_dir, "events"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table that arrives in fewer pieces than there are cores; a larger one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events for queries that render and parse text, where the work per row is large."""
+    return with_helpers(spread(table(spark, sf_dir, "events")))
+
+
 def with_helpers(df: DataFrame) -> DataFrame:
     epoch = epoch_of("ts")
     return (

@@ -9,7 +9,7 @@ from ..functions.time import iso
 from ..operators.points import map_to_points, to_import_lines, to_points, to_put_lines
 from ..sources import appserver, catalog, dbstatus, iostat, monitors, slowlog
 from ..sources.files import check_columns, column_counts, read_multi_header_csv, split_rows
-from .base import BURSTS, E, FAST_ISO, PACE, START, events, fast_iso, query, recursive, table
+from .base import BURSTS, E, FAST_ISO, captures, fast_iso, query, recursive, table
 
 TAB = "\t"
 
@@ -50,7 +50,7 @@ def _vmstat_lines(ev: DataFrame) -> DataFrame:
 
 @query("roundtrip_vmstat", _oracle(VMSTAT))
 def roundtrip_vmstat(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_vmstat(_vmstat_lines(events(spark, sf))).rows)
+    return _stamped(monitors.parse_vmstat(_vmstat_lines(captures(spark, sf))).rows)
 
 
 @query("roundtrip_fdcount", _oracle({
@@ -58,7 +58,7 @@ def roundtrip_vmstat(spark, sf) -> DataFrame:
 def roundtrip_fdcount(spark, sf) -> DataFrame:
     mysql = F.when(F.col("event_type") == "error", "NO_MYSQL_RUNNING").otherwise(_n("event_id"))
     line = _cat("gf_fdcount=", _n("cents"), TAB, "mysql_fdcount=", mysql, TAB, F.col("iso"))
-    return _stamped(monitors.parse_fdcount(_captured(events(spark, sf), line)).rows)
+    return _stamped(monitors.parse_fdcount(_captured(captures(spark, sf), line)).rows)
 
 
 def _memsize_lines(ev: DataFrame) -> DataFrame:
@@ -78,14 +78,14 @@ def _memsize_lines(ev: DataFrame) -> DataFrame:
     "mysql_rss_m": "event_id", "mysql_prss_m": "event_id + 7", "mysql_swap_m": "CASE WHEN event_id % 3 = 1 THEN 9 END"},
     "WHERE event_id % 3 = 0 OR (event_id % 3 = 1 AND event_type <> 'error')"))
 def roundtrip_memsize_v1(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_memsize(_memsize_lines(events(spark, sf)))["v1"].rows)
+    return _stamped(monitors.parse_memsize(_memsize_lines(captures(spark, sf)))["v1"].rows)
 
 
 @query("roundtrip_memsize_v2", E + """SELECT host, iso AS timestamp, 'mysql' AS node, cents + 9 AS peak_m, cents AS rss_m,
   CAST(0 AS BIGINT) AS swap_m, event_id AS threads FROM e WHERE event_id % 3 = 2
 UNION ALL SELECT host, iso, 'gf', 8, event_id, 1, cents FROM e WHERE event_id % 3 = 2 AND event_type <> 'error'""")
 def roundtrip_memsize_v2(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_memsize(_memsize_lines(events(spark, sf)))["v2"].rows)
+    return _stamped(monitors.parse_memsize(_memsize_lines(captures(spark, sf)))["v2"].rows)
 
 
 PROCIO = {k: f"cents * {i} + event_id" for i, k in enumerate(monitors.PROCIO_KEYS)}
@@ -95,7 +95,7 @@ PROCIO = {k: f"cents * {i} + event_id" for i, k in enumerate(monitors.PROCIO_KEY
 def roundtrip_procio(spark, sf) -> DataFrame:
     body = F.concat_ws(" ", F.lit("gf"), *[_cat(f"{k}=", _n(x)) for k, x in PROCIO.items()])
     line = _cat(F.col("iso"), " ", F.when(F.col("event_type") == "view", "UNABLE_TO_READ_/proc/1/io [x]").otherwise(body), "\r")
-    return _stamped(monitors.parse_procio(_captured(events(spark, sf), line)).rows)
+    return _stamped(monitors.parse_procio(_captured(captures(spark, sf), line)).rows)
 
 
 CONX = {s: f"CASE WHEN event_id % {i + 2} = 0 THEN cents % {i + 40} ELSE 0 END" for i, s in enumerate(monitors.TCP_STATES)}
@@ -112,7 +112,7 @@ def _conx_lines(ev: DataFrame) -> DataFrame:
 @query("roundtrip_conxcount", _oracle(CONX_ORACLE).replace(
     " FROM e ", ", CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS ignored_states FROM e ", 1))
 def roundtrip_conxcount(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_conxcount(_conx_lines(events(spark, sf))).rows)
+    return _stamped(monitors.parse_conxcount(_conx_lines(captures(spark, sf))).rows)
 
 
 DBV1 = {k: f"cents + {i} * event_id" for i, k in enumerate(monitors.DBVARS_V1)}
@@ -131,13 +131,13 @@ def _dbvars_lines(ev: DataFrame) -> DataFrame:
 
 @query("roundtrip_dbvars_v1", _oracle(DBV1, "WHERE event_id % 31 <> 0 AND event_id % 2 = 0"))
 def roundtrip_dbvars_v1(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_dbvars(_dbvars_lines(events(spark, sf)))["v1"].rows)
+    return _stamped(monitors.parse_dbvars(_dbvars_lines(captures(spark, sf)))["v1"].rows)
 
 
 @query("roundtrip_dbvars_v2", _oracle(DBV2, "WHERE event_id % 31 <> 0 AND event_id % 2 = 1").replace(
     " FROM e ", "".join(f", CAST(cents % 1000 AS DOUBLE) / 10 AS {k}" for k in monitors.DBVARS_PERCENT) + " FROM e ", 1))
 def roundtrip_dbvars_v2(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_dbvars(_dbvars_lines(events(spark, sf)))["v2"].rows)
+    return _stamped(monitors.parse_dbvars(_dbvars_lines(captures(spark, sf)))["v2"].rows)
 
 
 def _slow_lines(ev: DataFrame) -> DataFrame:
@@ -159,12 +159,12 @@ SELECT u.host, {FAST_ISO.replace('fast', 'u.fast')} AS timestamp, CAST(buffer AS
 
 @query("roundtrip_slowlog", SLOW)
 def roundtrip_slowlog(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_slowlog(_slow_lines(events(spark, sf))).rows)
+    return _stamped(monitors.parse_slowlog(_slow_lines(captures(spark, sf))).rows)
 
 
 @query("slowlog_rejects", E + "SELECT host, 'wrong shape' AS reason, count(*) AS lines FROM e, range(2) x(i) WHERE event_id % 97 = 0 AND (event_id % 5 = 0 OR i = 0) GROUP BY 1")
 def slowlog_rejects(spark, sf) -> DataFrame:
-    bad = monitors.parse_slowlog(_slow_lines(events(spark, sf)), number_missing=False).rejects
+    bad = monitors.parse_slowlog(_slow_lines(captures(spark, sf)), number_missing=False).rejects
     return bad.groupBy("host", "reason").agg(F.count("*").alias("lines"))
 
 
@@ -192,17 +192,17 @@ def _pool_records(ev: DataFrame) -> DataFrame:
 
 @query("roundtrip_gfpools", _oracle(HTTP))
 def roundtrip_gfpools(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_gfpools(_pool_records(events(spark, sf)))["http-service"].rows)
+    return _stamped(monitors.parse_gfpools(_pool_records(captures(spark, sf)))["http-service"].rows)
 
 
 @query("roundtrip_gfpools_threads", _oracle(THREADS, ", (VALUES ('http-listener-1'), ('admin')) v(l)", "host, iso AS timestamp, l AS listener"))
 def roundtrip_gfpools_threads(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_gfpools(_pool_records(events(spark, sf)))["thread-pool"].rows)
+    return _stamped(monitors.parse_gfpools(_pool_records(captures(spark, sf)))["thread-pool"].rows)
 
 
 @query("roundtrip_gfpools_connections", _oracle(CONP, "", "host, iso AS timestamp, 'main_pool' AS pool"))
 def roundtrip_gfpools_connections(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_gfpools(_pool_records(events(spark, sf)))["connection-pool"].rows)
+    return _stamped(monitors.parse_gfpools(_pool_records(captures(spark, sf)))["connection-pool"].rows)
 
 
 ORDERS = {f"order{i}": f"cents % {i + 5} + z * 3 + n" for i in range(11)}
@@ -223,12 +223,12 @@ def _numa_records(ev: DataFrame) -> DataFrame:
 @query("roundtrip_buddyinfo", _oracle(ORDERS, ", (VALUES (0, 0, 'DMA'), (0, 1, 'Normal'), (1, 1, 'Normal')) v(n, z, zn)",
                                       "host, iso AS timestamp, CAST(n AS VARCHAR) AS node, zn AS zone"))
 def roundtrip_buddyinfo(spark, sf) -> DataFrame:
-    return _stamped(monitors.parse_numabuddyrefs(_numa_records(events(spark, sf)))["buddyinfo"].rows)
+    return _stamped(monitors.parse_numabuddyrefs(_numa_records(captures(spark, sf)))["buddyinfo"].rows)
 
 
 @query("roundtrip_procvmstat", _oracle({"numa_hit": "cents", "numa_miss": "event_id"}))
 def roundtrip_procvmstat(spark, sf) -> DataFrame:
-    parsed = monitors.parse_numabuddyrefs(_numa_records(events(spark, sf)), vmstat_keys=["numa_hit", "numa_miss"])
+    parsed = monitors.parse_numabuddyrefs(_numa_records(captures(spark, sf)), vmstat_keys=["numa_hit", "numa_miss"])
     return _stamped(parsed["procvmstat"].rows)
 
 
@@ -236,7 +236,7 @@ def roundtrip_procvmstat(spark, sf) -> DataFrame:
   CAST(CASE n WHEN 0 THEN cents ELSE event_id END + 1 AS DOUBLE) AS active_anon_mb, CAST(CASE n WHEN 0 THEN cents ELSE event_id END + 2 AS DOUBLE) AS numa_hit
 FROM e, (VALUES (0), (1)) v(n)""")
 def roundtrip_numastat(spark, sf) -> DataFrame:
-    rows = monitors.parse_numabuddyrefs(_numa_records(events(spark, sf)))["numastat"].rows
+    rows = monitors.parse_numabuddyrefs(_numa_records(captures(spark, sf)))["numastat"].rows
     def pick(k):
         return F.try_element_at("measures", F.lit(k))
     return _stamped(rows).select(
@@ -299,7 +299,7 @@ def _devices(rows: DataFrame, minutes: bool = False) -> DataFrame:
 
 @query("roundtrip_iostat", E + DEVICES.format(stamp="iso"))
 def roundtrip_iostat(spark, sf) -> DataFrame:
-    return _devices(iostat.parse_iostat(_dated_reports(events(spark, sf))).rows)
+    return _devices(iostat.parse_iostat(_dated_reports(captures(spark, sf))).rows)
 
 
 @query("roundtrip_iostat_clock", E + DEVICES.format(stamp="left(iso, 16)"))
@@ -307,7 +307,7 @@ def roundtrip_iostat_clock(spark, sf) -> DataFrame:
     t = F.col("ts").cast("string")
     banner = _cat("Linux 2.6.32-431.el6 (host) ", F.substring(t, 6, 2), "/", F.substring(t, 9, 2), "/", F.substring(t, 3, 2))
     stamp = _cat("Time: ", F.substring_index(_us_stamp(), " ", -2))
-    return _devices(iostat.parse_iostat_clock(_report_files(events(spark, sf), banner, stamp)).rows, minutes=True)
+    return _devices(iostat.parse_iostat_clock(_report_files(captures(spark, sf), banner, stamp)).rows, minutes=True)
 
 
 @query("disk_slow_join", E + """, d AS (SELECT host, left(iso, 13) AS h, sum(cents) AS s, count(*) AS n FROM e WHERE event_type IN ('click', 'view') GROUP BY 1, 2)
@@ -315,7 +315,7 @@ def roundtrip_iostat_clock(spark, sf) -> DataFrame:
 SELECT d.host, d.h || ':00' AS minute, round(CAST(d.s AS DOUBLE) / d.n, 6) AS util, round(CAST(s.s AS DOUBLE) / s.n, 6) AS query_tm
 FROM d JOIN s ON s.host = d.host AND s.h = d.h""")
 def disk_slow_join(spark, sf) -> DataFrame:
-    ev = events(spark, sf).withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    ev = captures(spark, sf).withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     disk = ev.filter(F.col("event_type").isin("click", "view")).select("host", "timestamp", F.col("cents").alias("util"))
     slow = ev.filter(F.col("event_type").isin("error", "signup")).select("host", "timestamp", F.col("cents").alias("query_tm"))
     return iostat.disk_with_slow_inserts(disk, slow).select(
@@ -336,7 +336,7 @@ def _two_header_files(ev: DataFrame) -> DataFrame:
   CASE WHEN event_id % 2 = 1 THEN 'Normal' END AS zone, CASE WHEN event_id % 2 = 0 THEN cents END AS mem_kb,
   CASE WHEN event_id % 2 = 1 THEN event_id END AS b, CASE WHEN event_id % 2 = 1 THEN cents + 1 END AS c_first FROM e""")
 def multi_header_csv(spark, sf) -> DataFrame:
-    rows = read_multi_header_csv(_two_header_files(events(spark, sf)))
+    rows = read_multi_header_csv(_two_header_files(captures(spark, sf)))
     def cell(k):
         return F.try_element_at("cells", F.lit(k))
     return rows.select(
@@ -365,14 +365,14 @@ IN_SLOW = "event_type IN ('click', 'view')"
 @query("roundtrip_slow_query_log", E + f"""SELECT host, fast AS epoch, CAST(cents AS DOUBLE) / 100 AS query_tm, CAST(event_id AS DOUBLE) / 1000000 AS lock_tm,
   event_id AS rows FROM e WHERE {IN_SLOW}""")
 def roundtrip_slow_query_log(spark, sf) -> DataFrame:
-    return slowlog.parse_mysql_slow_log(_slow_records(events(spark, sf)))
+    return slowlog.parse_mysql_slow_log(_slow_records(captures(spark, sf)))
 
 
 @query("mined_slow_log", recursive(E) + f", r AS (SELECT host AS k, fast AS t, event_id, cents FROM e WHERE {IN_SLOW})" + BURSTS.format(order="t, cents, event_id") + """
 SELECT k AS host, strftime(make_timestamp((t - 28800) * 1000000), '%Y-%m-%dT%H:%M:%S') AS timestamp, buffer,
   CAST(cents AS DOUBLE) / 100 AS query_tm, event_id AS rows FROM b WHERE cents > 1000""")
 def mined_slow_log(spark, sf) -> DataFrame:
-    mined = slowlog.mine_slow_log(_slow_records(events(spark, sf)), "America/Los_Angeles", 10)
+    mined = slowlog.mine_slow_log(_slow_records(captures(spark, sf)), "America/Los_Angeles", 10)
     return _stamped(mined).select("host", "timestamp", "buffer", "query_tm", "rows")
 
 
@@ -412,12 +412,12 @@ SIZE_VALUES = "CASE r_regionkey WHEN 0 THEN '8388608' WHEN 1 THEN '50331648' WHE
 def roundtrip_db_status(spark, sf) -> DataFrame:
     variables = dbstatus.log_settings(table(spark, sf, "region").select(
         F.expr(SIZES).alias("name"), F.expr(SIZE_VALUES).alias("value")))
-    return _stamped(dbstatus.parse_db_status(_status_snapshots(events(spark, sf)), variables))
+    return _stamped(dbstatus.parse_db_status(_status_snapshots(captures(spark, sf)), variables))
 
 
 @query("query_sessions", E + "SELECT host, max(cents) AS hiwat, count(*) AS xcount FROM e WHERE event_type = 'click' GROUP BY 1")
 def query_sessions(spark, sf) -> DataFrame:
-    processes = events(spark, sf).select(
+    processes = captures(spark, sf).select(
         "host", F.when(F.col("event_type") == "click", "Query").otherwise("Sleep").alias("command"), F.col("cents").alias("time"))
     return dbstatus.query_sessions(processes, ["host"])
 
@@ -441,7 +441,7 @@ DUMP_POOL = {k: f"event_id + {i} * 2" for i, k in enumerate(appserver.POOL_FIELD
 
 @query("roundtrip_appserver", _oracle(DUMP_HTTP))
 def roundtrip_appserver(spark, sf) -> DataFrame:
-    return _stamped(appserver.parse_appserver_dump(_dumps(events(spark, sf)))["http-service"])
+    return _stamped(appserver.parse_appserver_dump(_dumps(captures(spark, sf)))["http-service"])
 
 
 @query("roundtrip_appserver_listeners", E + """, p AS (SELECT *, lag(epoch) OVER w AS e0, lag(event_id) OVER w AS i0 FROM e WINDOW w AS (PARTITION BY host ORDER BY epoch))
@@ -451,12 +451,12 @@ SELECT host, iso AS timestamp, l AS listener, """ + ", ".join(
   CASE WHEN rate > 0 THEN CAST(round_even((cents + 1) / rate, 0) AS BIGINT) ELSE 0 END AS thrp_est_wait
 FROM q, (VALUES ('http-listener-1'), ('admin')) v(l)""")
 def roundtrip_appserver_listeners(spark, sf) -> DataFrame:
-    return _stamped(appserver.parse_appserver_dump(_dumps(events(spark, sf)))["thread-pool"])
+    return _stamped(appserver.parse_appserver_dump(_dumps(captures(spark, sf)))["thread-pool"])
 
 
 @query("roundtrip_appserver_pool", _oracle(DUMP_POOL, "", "host, iso AS timestamp, 'controller_mysql_pool' AS pool"))
 def roundtrip_appserver_pool(spark, sf) -> DataFrame:
-    return _stamped(appserver.parse_appserver_dump(_dumps(events(spark, sf)))["connection-pool"])
+    return _stamped(appserver.parse_appserver_dump(_dumps(captures(spark, sf)))["connection-pool"])
 
 
 METRIC_LABELS = [
@@ -475,7 +475,7 @@ CUSTOM = E + ", m AS (" + " UNION ALL ".join(
 
 @query("appserver_metrics", CUSTOM + "SELECT event_id, name, CAST(value AS BIGINT) AS value FROM m")
 def appserver_metrics(spark, sf) -> DataFrame:
-    return appserver.appserver_metrics(_dumps(events(spark, sf)).select("event_id", "value"))
+    return appserver.appserver_metrics(_dumps(captures(spark, sf)).select("event_id", "value"))
 
 
 @query("custom_metric_lines", CUSTOM + "SELECT 'name=Custom Metrics|' || name || ',aggregator=OBSERVATION,value=' || value AS value FROM m")
@@ -489,7 +489,7 @@ def connection_counts(spark, sf) -> DataFrame:
     states = F.array(*[F.lit(s) for s in monitors.TCP_STATES])
     line = _cat("tcp        0      0 10.0.0.1:", _n("8090 + event_id % 4"), "       10.0.0.9:55555        ",
                 F.get(states, (F.col("cents") % 12).cast("int")), "  ")
-    lines = events(spark, sf).select("host", F.substring("iso", 1, 13).alias("hour"), line.alias("value"))
+    lines = captures(spark, sf).select("host", F.substring("iso", 1, 13).alias("hour"), line.alias("value"))
     return appserver.connection_counts(lines, ["host", "hour"], [8090, 8091, 8092])
 
 
@@ -498,7 +498,7 @@ def connection_counts(spark, sf) -> DataFrame:
 def process_memory(spark, sf) -> DataFrame:
     text = _cat("Name:\tmysqld\nVmPeak:\t 99 kB\nVmHWM:\t  ", _n("cents + 2048"), " kB\nVmRSS:\t  ", _n("cents"), " kB\nVmSwap:\t   ", _n("event_id * 512"),
                 " kB\nThreads:\t", _n("event_id % 50"), "\n")
-    return appserver.process_memory(_captured(events(spark, sf), text))
+    return appserver.process_memory(_captured(captures(spark, sf), text))
 
 
 @query("xml_ports", E + "SELECT event_id, 8000 + cents % 900 AS port FROM e UNION ALL SELECT event_id, 9000 + event_id FROM e WHERE event_type <> 'error'")
@@ -507,7 +507,7 @@ def xml_ports(spark, sf) -> DataFrame:
     text = _cat('<domain><configs><config name="server-config"><network-config><network-listeners><network-listener port="', _n("8000 + cents % 900"),
                 '"/><network-listener port="', _n("9000 + event_id"), '" enabled="', on, '"/><network-listener port="${ADMIN_PORT}"/></network-listeners></network-config></config>',
                 '<config name="other"><network-config><network-listeners><network-listener port="1"/></network-listeners></network-config></config></configs></domain>')
-    return appserver.xml_ports(_captured(events(spark, sf), text).drop("host"))
+    return appserver.xml_ports(_captured(captures(spark, sf), text).drop("host"))
 
 
 @query("ddl_partitions", E + """SELECT 't' || event_id AS "table", 'ts_min' AS key, 'PART' || (event_id + i) AS part, CASE i WHEN 0 THEN 0 ELSE cents + i - 1 END AS lo, cents + i AS hi FROM e, range(3) x(i)
@@ -516,13 +516,13 @@ def ddl_partitions(spark, sf) -> DataFrame:
     parts = [x for i in range(3) for x in ("PARTITION PART", _n(f"event_id + {i}"), " VALUES LESS THAN (", _n(f"cents + {i}"), ") ENGINE = InnoDB,\n ")]
     text = _cat("CREATE TABLE `t", _n("event_id"), "` (\n  `ts_min` int NOT NULL\n) ENGINE=InnoDB\n/*!50100 PARTITION BY RANGE (ts_min)\n(", *parts,
                 "PARTITION PARTMAX VALUES LESS THAN MAXVALUE ENGINE = InnoDB) */")
-    return catalog.ddl_partitions(_captured(events(spark, sf), text).select("value"))
+    return catalog.ddl_partitions(_captured(captures(spark, sf), text).select("value"))
 
 
 @query("properties", E + "SELECT event_id, 'port' AS name, CAST(cents AS VARCHAR) AS value FROM e UNION ALL SELECT event_id, 'options', 'a=' || user_id FROM e")
 def properties(spark, sf) -> DataFrame:
     text = _cat("[mysqld]\nport = ", _n("cents"), "\noptions=a=", _n("user_id"), "\r\n")
-    return catalog.parse_properties(_captured(events(spark, sf), text).drop("host"))
+    return catalog.parse_properties(_captured(captures(spark, sf), text).drop("host"))
 
 
 @query("json_metric_sum", """SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * (event_id % 2) AS dropped FROM events""")
@@ -536,7 +536,7 @@ def json_metric_sum(spark, sf) -> DataFrame:
 @query("json_lookup", "SELECT event_id, user_id * 10 AS id FROM events WHERE event_type = 'click'")
 def json_lookup(spark, sf) -> DataFrame:
     text = _cat('[{"id": 1, "name": "clicks"}, {"id": ', _n("user_id * 10"), ', "name": "', F.col("event_type"), '"}]')
-    return catalog.json_lookup(_captured(events(spark, sf), text).drop("host"), "click")
+    return catalog.json_lookup(_captured(captures(spark, sf), text).drop("host"), "click")
 
 
 # --------------------------------------------------------------------------- quality
@@ -546,7 +546,7 @@ DAMAGED = "event_id % 97 = 0"
 
 def _damaged(spark, sf) -> DataFrame:
     line = F.concat_ws(" ", "iso", "host", _n("cents"))
-    return events(spark, sf).select(
+    return captures(spark, sf).select(
         "host", (F.col("event_id") % 2).alias("data_version"),
         F.when(F.expr(DAMAGED), _cat(line, " extra")).when(F.col("event_id") % 2 == 0, _cat(line, " v0")).otherwise(line).alias("value"))
 
@@ -571,7 +571,7 @@ def column_count_rejects(spark, sf) -> DataFrame:
 @query("numeric_check", E + "SELECT event_type <> 'error' AS good, count(*) AS lines FROM e GROUP BY 1")
 def numeric_check(spark, sf) -> DataFrame:
     text = F.when(F.col("event_type") == "error", "n/a").otherwise(_n("cents"))
-    res = split_rows(events(spark, sf).select(text.alias("value")), F.col("value").try_cast("bigint").isNotNull(), "not a number")
+    res = split_rows(captures(spark, sf).select(text.alias("value")), F.col("value").try_cast("bigint").isNotNull(), "not a number")
     good = res.rows.select(F.lit(True).alias("good"))
     return good.unionByName(res.rejects.select(F.lit(False).alias("good"))).groupBy("good").agg(F.count("*").alias("lines"))
 
@@ -580,7 +580,7 @@ def numeric_check(spark, sf) -> DataFrame:
 
 
 def _point_rows(spark, sf) -> DataFrame:
-    return events(spark, sf).select(
+    return captures(spark, sf).select(
         F.col("ts").alias("timestamp"), F.col("event_type").alias("device"), (F.col("event_id") % 4 + 1).alias("buffer"),
         F.when(F.col("event_id") % 7 != 0, F.col("cents")).alias("w/s"), F.col("event_id").alias("%util(avg)"), "host")
 
@@ -618,7 +618,7 @@ def import_lines(spark, sf) -> DataFrame:
   UNION ALL SELECT *, 'b', CAST(event_id AS VARCHAR), NULL, 'Normal' FROM e WHERE event_id % 2 = 1
   UNION ALL SELECT *, 'cpctd%', CAST(cents + 1 AS VARCHAR), NULL, 'Normal' FROM e WHERE event_id % 2 = 1)""")
 def section_points(spark, sf) -> DataFrame:
-    rows = read_multi_header_csv(_two_header_files(events(spark, sf)))
+    rows = read_multi_header_csv(_two_header_files(captures(spark, sf)))
     def tag(k):
         return F.try_element_at("tags", F.lit(k)).alias(k)
     return map_to_points(rows, "numa", host="host").select("metric", "epoch", "host", "col", "raw", tag("node"), tag("zone"))
@@ -627,5 +627,5 @@ def section_points(spark, sf) -> DataFrame:
 @query("pivot_states_zero_fill", E + "SELECT host, left(iso, 10) AS day, " + ", ".join(
     f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in ("click", "purchase", "error", "signup", "view", "logout")) + ', count(*) AS "TOTAL" FROM e GROUP BY 1, 2')
 def pivot_states_zero_fill(spark, sf) -> DataFrame:
-    rows = events(spark, sf).select("host", F.substring("iso", 1, 10).alias("day"), "event_type")
+    rows = captures(spark, sf).select("host", F.substring("iso", 1, 10).alias("day"), "event_type")
     return appserver.zero_filled(rows, ["host", "day"], "event_type", ["click", "purchase", "error", "signup", "view", "logout"])

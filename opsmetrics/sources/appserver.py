@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import entries_to_map, kb_to_mb, unix_lines, whole, words
+from ..functions.text import kb_to_mb, line_after, unix_lines, whole, words
 from ..functions.time import epoch_of
 from ..operators.health import service_wait
 from ..operators.rules import first_match
@@ -71,42 +71,33 @@ POOL_METRICS = [
 ]
 
 
-def _counters(text: Column) -> Column:
-    """``path = n`` lines as (path, value) entries."""
-    lines = F.filter(F.split(unix_lines(text), "\n"), lambda x: x.contains(" = "))
-    return F.transform(lines, lambda x: F.struct(
-        F.substring_index(x, " ", 1).alias("k"), F.substring_index(x, " ", -1).alias("v")))
-
-
 def parse_appserver_dump(df: DataFrame, by: list[str] = ("host",), slice_seconds: int = 86400) -> dict[str, DataFrame]:
     """Counter dumps (``value``, ``timestamp``, ``by``) to the three pool tables.
 
-    A dump is one row, so requests, listeners and pools are looked up in its map;
+    A dump is one row, so requests, listeners and pools are found in its text;
     only the request rate looks at the sample before. Listeners come from both
     queue and thread counters; a negative queue limit means none and reads 9999.
     """
     by = list(by)
-    snaps = df.select(*by, "timestamp", _counters(F.col("value")).alias("__e")).select(
-        *by, "timestamp", entries_to_map(F.col("__e")).alias("__m"))
-    m = F.col("__m")
-    def read(path: Column | str) -> Column:
-        key = F.lit(path) if isinstance(path, str) else path
-        return whole(F.try_element_at(m, key))
+    snaps = df.select(*by, "timestamp", F.concat(F.lit("\n"), unix_lines("value")).alias("__t"))
+    def read(path: str, text: str = "__t") -> Column:
+        return whole(line_after(text, path + " = "))
     request = "server.http-service.server.request."
     http = snaps.select(*by, "timestamp", *[read(request + c).alias(n) for n, c in HTTP_FIELDS.items()])
 
-    listener = r"^server\.network\.([^.]+)\.(?:connection-queue|thread-pool)\..+-count$"
-    found = F.array_distinct(F.transform(
-        F.filter(F.map_keys(m), lambda k: k.rlike(listener)), lambda k: F.regexp_extract(k, listener, 1)))
-    def at(kind: str, counter: str) -> Column:
-        return read(F.concat(F.lit("server.network."), F.col("listener"), F.lit(f".{kind}.{counter}")))
+    listener = r"\nserver\.network\.([^.\n]+)\.(?:connection-queue|thread-pool)\.\S+-count ="
+    found = F.array_distinct(F.regexp_extract_all("__t", F.lit(listener), 1))
+    # The row's own listener is marked, so that the same fixed patterns find its counters.
+    own = F.replace("__t", F.concat(F.lit("\nserver.network."), F.col("listener"), F.lit(".")), F.lit("\n@"))
     threads = (
-        snaps.withColumn("http_requests", read(request + HTTP_FIELDS["http_requests"]))
-        .select(*by, "timestamp", "http_requests", "__m", F.explode(found).alias("listener"))
+        snaps.select(
+            *by, "timestamp", "__t", read(request + HTTP_FIELDS["http_requests"]).alias("http_requests"),
+            F.explode(found).alias("listener"))
+        .select(*by, "timestamp", "http_requests", "listener", own.alias("__own"))
         .select(
             *by, "timestamp", "http_requests", "listener",
-            *[at("connection-queue", c).alias(n) for n, c in QUEUE_FIELDS.items()],
-            *[at("thread-pool", c).alias(n) for n, c in THREAD_FIELDS.items()],
+            *[read(f"@connection-queue.{c}", "__own").alias(n) for n, c in QUEUE_FIELDS.items()],
+            *[read(f"@thread-pool.{c}", "__own").alias(n) for n, c in THREAD_FIELDS.items()],
         )
         .withColumn("conq_maxq", F.when(F.col("conq_maxq") < 0, 9999).otherwise(F.col("conq_maxq")))
         .withColumn("epoch", epoch_of("timestamp"))

@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import no_commas, percent, unix_lines, whole
+from ..functions.text import line_after, no_commas, percent, unix_lines, whole
 from .monitors import DBVARS_V2
 
 # Headings inside the engine-status section.
 HEADINGS = ("FILE I/O", "LOG", "BUFFER POOL AND MEMORY", "INDIVIDUAL BUFFER POOL INFO", "ROW OPERATIONS")
-# Measure, heading it stands under, and the line that holds it.
+# Measure, heading it stands under, start of its line, and where in the rest of the line it is.
 ENGINE_FIELDS = [
-    ("OS_file_reads", "FILE I/O", r"^(\d+) OS file reads"),
-    ("OS_file_writes", "FILE I/O", r", (\d+) OS file writes"),
-    ("OS_fsyncs", "FILE I/O", r", (\d+) OS fsyncs$"),
-    ("Log_sequence_number", "LOG", r"^Log sequence number\s+(\d+)"),
-    ("Log_flushed_up_to", "LOG", r"^Log flushed up to\s+(\d+)"),
-    ("Last_checkpoint_at", "LOG", r"^Last checkpoint at\s+(\d+)"),
-    ("pending_log_flushes", "LOG", r"^(\d+) pending log flushes"),
-    ("pending_chkp_writes", "LOG", r", (\d+) pending chkp writes$"),
-    ("log_ios_done", "LOG", r"^(\d+) log i/o"),
-    ("buffer_pool_size", "BUFFER POOL AND MEMORY", r"^Buffer pool size\s+(\d+)"),
-    ("free_buffers", "BUFFER POOL AND MEMORY", r"^Free buffers\s+(\d+)"),
-    ("Database_pages", "BUFFER POOL AND MEMORY", r"^Database pages\s+(\d+)"),
-    ("Old_database_pages", "BUFFER POOL AND MEMORY", r"^Old database pages\s+(\d+)"),
-    ("Modified_db_pages", "BUFFER POOL AND MEMORY", r"^Modified db pages\s+(\d+)"),
-    ("Pending_writes_LRU", "BUFFER POOL AND MEMORY", r"^Pending writes: LRU ([\d,]*\d)"),
-    ("Pending_writes_flush", "BUFFER POOL AND MEMORY", r"flush list ([\d,]*\d)"),
-    ("Pending_writes_single", "BUFFER POOL AND MEMORY", r"single page (\d+)$"),
-    ("rows_inserted", "ROW OPERATIONS", r"^Number of rows inserted ([\d,]*\d)"),
-    ("rows_updated", "ROW OPERATIONS", r" updated ([\d,]*\d)"),
-    ("rows_deleted", "ROW OPERATIONS", r" deleted ([\d,]*\d)"),
-    ("rows_read", "ROW OPERATIONS", r" read (\d+)$"),
+    ("OS_file_reads", "FILE I/O", "", r"^(\d+) OS file reads"),
+    ("OS_file_writes", "FILE I/O", "", r"(\d+) OS file writes"),
+    ("OS_fsyncs", "FILE I/O", "", r"(\d+) OS fsyncs$"),
+    ("Log_sequence_number", "LOG", "Log sequence number", None),
+    ("Log_flushed_up_to", "LOG", "Log flushed up to", None),
+    ("Last_checkpoint_at", "LOG", "Last checkpoint at", None),
+    ("pending_log_flushes", "LOG", "", r"^(\d+) pending log flushes"),
+    ("pending_chkp_writes", "LOG", "", r"(\d+) pending chkp writes$"),
+    ("log_ios_done", "LOG", "", r"^(\d+) log i/o"),
+    ("buffer_pool_size", "BUFFER POOL AND MEMORY", "Buffer pool size", None),
+    ("free_buffers", "BUFFER POOL AND MEMORY", "Free buffers", None),
+    ("Database_pages", "BUFFER POOL AND MEMORY", "Database pages", None),
+    ("Old_database_pages", "BUFFER POOL AND MEMORY", "Old database pages", None),
+    ("Modified_db_pages", "BUFFER POOL AND MEMORY", "Modified db pages", None),
+    ("Pending_writes_LRU", "BUFFER POOL AND MEMORY", "Pending writes: LRU", r"^([\d,]*\d)"),
+    ("Pending_writes_flush", "BUFFER POOL AND MEMORY", "Pending writes: LRU", r"flush list ([\d,]*\d)"),
+    ("Pending_writes_single", "BUFFER POOL AND MEMORY", "Pending writes: LRU", r"single page (\d+)$"),
+    ("rows_inserted", "ROW OPERATIONS", "Number of rows inserted", r"^([\d,]*\d)"),
+    ("rows_updated", "ROW OPERATIONS", "Number of rows inserted", r" updated ([\d,]*\d)"),
+    ("rows_deleted", "ROW OPERATIONS", "Number of rows inserted", r" deleted ([\d,]*\d)"),
+    ("rows_read", "ROW OPERATIONS", "Number of rows inserted", r" read (\d+)$"),
 ]
 # Counters of the global-status section.
 STATUS_FIELDS = (
@@ -45,12 +45,24 @@ GLOBALS = ("innodb_log_buffer_size", "innodb_log_file_size", "innodb_log_files_i
 
 
 def _section(n: int) -> Column:
-    return F.regexp_extract("value", rf"(?s)START SECTION {n}(.*?)(?:START SECTION|\z)", 1)
+    """Text of a numbered section, beginning with a newline."""
+    after = F.split_part("value", F.lit(f"START SECTION {n}"), F.lit(2))
+    return F.concat(F.lit("\n"), F.split_part(after, F.lit("START SECTION"), F.lit(1)))
 
 
 def _under(heading: str) -> Column:
-    stop = "|".join(h for h in HEADINGS if h != heading)
-    return F.regexp_extract("__s1", rf"(?ms)^{heading}\b(.*?)(?:^(?:{stop})\b|\z)", 1)
+    """Text below a heading of the engine section; empty when it is missing."""
+    block = F.try_element_at(F.filter("__blocks", lambda b: b.startswith(heading)), F.lit(-1))
+    return F.concat(F.lit("\n"), F.coalesce(block, F.lit("")))
+
+
+def _engine_field(heading: str, start: str, pattern: str | None) -> Column:
+    under = F.col(f"__h{HEADINGS.index(heading)}")
+    if pattern is None:
+        return whole(line_after(under, start))
+    if start:
+        return whole(no_commas(F.regexp_extract(line_after(under, start), pattern, 1)))
+    return whole(no_commas(F.regexp_extract(under, "(?m)" + pattern, 1)))
 
 
 def log_settings(variables: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -68,15 +80,12 @@ def parse_db_status(df: DataFrame, variables: DataFrame) -> DataFrame:
     heading; the three percentages are computed.
     """
     keep = [c for c in df.columns if c != "value"]
-    text = df.withColumn("value", unix_lines("value"))
-    cut = text.select(*keep, _section(1).alias("__s1"), _section(2).alias("__s2"), _section(3).alias("__s3"))
-    for i, h in enumerate(HEADINGS):
-        cut = cut.withColumn(f"__h{i}", _under(h))
-    engine = [
-        whole(no_commas(F.regexp_extract(f"__h{HEADINGS.index(h)}", "(?m)" + pattern, 1))).alias(name)
-        for name, h, pattern in ENGINE_FIELDS
-    ]
-    status = [whole(F.regexp_extract("__s2", rf"(?m)^{n}\s+(\d+)\s*$", 1)).alias(n) for n in STATUS_FIELDS]
+    text = df.withColumn("value", F.replace(unix_lines("value"), F.lit("\t"), F.lit(" ")))
+    cut = text.select(*keep, *[_section(i).alias(f"__s{i}") for i in (1, 2, 3)])
+    cut = cut.withColumn("__blocks", F.split("__s1", r"\n(?=(?:" + "|".join(HEADINGS) + r")\b)"))
+    cut = cut.withColumns({f"__h{i}": _under(h) for i, h in enumerate(HEADINGS)})
+    engine = [_engine_field(h, start, pattern).alias(name) for name, h, start, pattern in ENGINE_FIELDS]
+    status = [whole(line_after("__s2", n + " ")).alias(n) for n in STATUS_FIELDS]
     sessions = [
         whole(F.regexp_extract("__s3", r"hiwat:?\s+(\d+)", 1)).alias("current_query_maxtime"),
         whole(F.regexp_extract("__s3", r"xcount:?\s+(\d+)", 1)).alias("current_query_count"),
