@@ -17,7 +17,7 @@ def unix_lines(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Whitespace-separated fields, edge blanks ignored."""
-    return F.split(F.trim(F.translate(_col(text), "\t\r\n", "   ")), " +")
+    return F.split(F.btrim(_col(text), F.lit(" \t\r\n")), r"\s+")
 
 
 def after_equals(tokens: Column) -> Column:
@@ -103,21 +103,22 @@ def metric_header(name: Column | str) -> Column:
 
 def scaled_round(x: Column, digits: int) -> Column:
     """``x * 10**digits`` rounded to a whole number as C's printf rounds: on the exact
-    binary value, ties to even. ``digits`` is at most 3.
+    binary value, ties to even. ``digits`` is at most 3; with 3, ``x`` is whole or above 1.
 
     Spark's own rounding works on the shortest decimal text of a double, which
     lies on a tie more often than the double itself. Here the fraction is split
     off exactly and scaled in integers.
     """
+    shift = (60, 59, 56, 53)[digits]  # as many binary places as fit a bigint after scaling
     size = F.abs(x)
     units = F.floor(size).cast("bigint")
-    bits = (size - units) * F.lit(float(2 ** 52))
+    bits = (size - units) * F.lit(float(2 ** shift))
     fraction = F.floor(bits).cast("bigint")
     wide = fraction * F.lit(10 ** digits).cast("bigint")
-    low = F.shiftright(wide, 52)
-    rest = wide.bitwiseAND(F.lit(2 ** 52 - 1).cast("bigint"))
-    half = F.lit(2 ** 51).cast("bigint")
-    up = (rest > half) | ((rest == half) & ((bits > fraction) | (low % 2 == 1)))
+    low = F.shiftright(wide, shift)
+    rest = wide.bitwiseAND(F.lit(2 ** shift - 1).cast("bigint"))
+    half = F.lit(2 ** (shift - 1)).cast("bigint")
+    up = (rest > half) | ((rest == half) & ((bits > fraction) | ((units * F.lit(10 ** digits).cast("bigint") + low) % 2 == 1)))
     whole_part = units * F.lit(10 ** digits).cast("bigint") + low + up.cast("bigint")
     return F.when(x < 0, -whole_part).otherwise(whole_part)
 

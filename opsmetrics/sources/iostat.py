@@ -42,19 +42,19 @@ def _reports(df: DataFrame) -> DataFrame:
     runs = F.split(unix_lines("value"), r"(?m)^(?=Linux )")
     return (
         df.select(*keep, F.posexplode(runs).alias("run", "value")).filter(F.col("value").startswith("Linux"))
-        .withColumn("banner", F.split("value", "\n", 2)[0])
+        .withColumn("banner", F.substring_index("value", "\n", 1))
         .withColumn("style", banner_style(F.col("banner")))
     )
 
 
 def _device_rows(samples: DataFrame, keep: list[str], prefixes: tuple[str, ...], on_bad: str) -> ParseResult:
     """Samples (``timestamp``, ``__text``) to one row per device with a map of all measures."""
-    cpu_names = words(F.regexp_extract("__text", r"avg-cpu:\s+(%user.*?idle)", 1))
-    cpu_values = words(F.regexp_extract("__text", r"(?m)^\s+(\d+\.\d+.*?)\s*$", 1))
-    head = words(F.regexp_extract("__text", r"(?m)^(Device.*?util)\s*$", 1))
+    cpu = r"avg-cpu:\s+(%user[^\n]*idle)\s*\n\s+(\d[^\n]*)"
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"^(?:{'|'.join(prefixes)})"))
     devices = samples.select(
-        *keep, "timestamp", head.alias("__head"), cpu_names.alias("__cn"), cpu_values.alias("__cv"),
+        *keep, "timestamp",
+        words(F.regexp_extract("__text", r"\n(Device[^\n]*util)", 1)).alias("__head"),
+        words(F.regexp_extract("__text", cpu, 1)).alias("__cn"), words(F.regexp_extract("__text", cpu, 2)).alias("__cv"),
         F.explode(lines).alias("value"),
     ).withColumn("__f", words("value"))
     ok = (
@@ -79,7 +79,7 @@ def parse_iostat(
     the long form. Measures form a map, since columns differ between versions.
     """
     keep = carried(df)
-    line = F.split("__text", "\n", 2)[0]
+    line = F.col("__line")
     stamp = (
         F.when(F.col("style") == "us", parse_us(line))
         .when(F.col("style") == "iso", parse_iso(line))
@@ -89,7 +89,9 @@ def parse_iostat(
     known = split_rows(dated, F.col("style").isNotNull(), "unknown banner", on_bad)
     samples = (
         known.rows.select(*keep, "style", F.posexplode(F.split("value", TIME_LINE)).alias("__n", "__text"))
-        .filter(F.col("__n") > 0).withColumn("timestamp", stamp)
+        .filter(F.col("__n") > 0)
+        .select(*keep, "style", "__text", F.substring_index("__text", "\n", 1).alias("__line"))
+        .withColumn("timestamp", stamp)
     )
     out = _device_rows(samples, keep, prefixes, on_bad)
     return ParseResult(out.rows, known.rejects.unionByName(out.rejects))
