@@ -126,13 +126,14 @@ def scaled_round(x: Column, digits: int) -> Column:
 def human_bytes(n: Column | str) -> Column:
     """Divide by 1000 while above 1000; three decimals and a unit letter (blank for none)."""
     left = _col(n).cast("double")
-    milli, letter = scaled_round(left, 3), F.lit(" ")
+    amount, letter = left, F.lit(" ")
     # Unit letters of rising powers of 1000.
     for unit in "KMGT":
         more = left > 1000
         left = left / F.lit(1000.0)
-        milli = F.when(more, scaled_round(left, 3)).otherwise(milli)
+        amount = F.when(more, left).otherwise(amount)
         letter = F.when(more, F.lit(unit)).otherwise(letter)
+    milli = scaled_round(amount, 3)
     thousandths = F.lpad((milli % 1000).cast("string"), 3, "0")
     return F.concat(F.floor(milli / 1000).cast("string"), F.lit("."), thousandths, letter)
 

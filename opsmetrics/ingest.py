@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators.points import map_to_points, to_points
 from .registry import MONITORS, available_monitors
+from .session import materialize
 from .sinks.store import load_points, load_report
 from .sources.files import dedupe_files, list_captures, read_monitor
 
@@ -18,8 +19,9 @@ def monitor_points(spark: SparkSession, monitor: str, dirs: list[str], zone: str
     """Points of one monitor over all its hosts, copies of a file read once."""
     spec = MONITORS[monitor]
     lines = read_monitor(spark, monitor, dirs, spec.whole, spec.record_sep)
-    unique = dedupe_files(list_captures(spark, monitor, dirs)).select(
-        F.regexp_replace("file_path", "^file:/+", "/").alias("__f"))
+    # A stored list of files has a known size, so the lines are not shuffled to meet it.
+    unique = materialize(dedupe_files(list_captures(spark, monitor, dirs)).select(
+        F.regexp_replace("file_path", "^file:/+", "/").alias("__f")), "files")
     lines = lines.withColumn("__f", F.regexp_replace("file_path", "^file:/+", "/")).join(unique, "__f", "left_semi").drop("__f")
     parts = []
     for result in spec.parse(lines).values():

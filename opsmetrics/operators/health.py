@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .bursts import spaced_picks
 from .ordered import previous, run_lengths, running, time_slice, top_k
 
@@ -47,7 +48,8 @@ def failure_fires(
     length alone and suppression works on them afterwards.
     """
     runs = failure_runs(pings, key, epoch, ties, failed, slice_seconds)
-    firings = runs.filter((F.col("losecount") > 0) & (F.col("losecount") % n == 0))
+    # At most one ping in ``n``; stored once, because the suppression reads them twice.
+    firings = materialize(runs.filter((F.col("losecount") > 0) & (F.col("losecount") % n == 0)), "firings")
     return spaced_picks(firings, [key], epoch, ties, "acted", suppress_secs, slice_seconds)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 OPEN_PART = "PARTMAX"  # fixed value: name of the open-ended last partition
 
 
@@ -52,16 +54,16 @@ def assign_partition(
     highest start on, so an open range needs one bin only. Pass ``bounds`` as a
     stored table: Catalyst then knows its size and decides on broadcasting.
     """
-    edge = bounds.agg(F.struct(F.min("hi").alias("first"), F.max("lo").alias("top"))).scalar()
+    def bin_of(c: Column) -> Column:
+        return F.floor(c / F.lit(bin_width)).cast("bigint")
+    low, top = bin_of(F.coalesce(F.min("hi"), F.max("lo"))), bin_of(F.max("lo"))
+    edge = bounds.agg(F.struct(low.alias("low"), F.greatest(low, top).alias("top"))).scalar()
     def clamp(b: Column) -> Column:
-        low = F.floor(F.coalesce(edge["first"], edge["top"]) / F.lit(bin_width))
-        return F.least(F.greatest(b, low), F.greatest(F.floor(edge["top"] / F.lit(bin_width)), low))
-    low_bin = clamp(F.floor(F.col("lo") / F.lit(bin_width)))
-    high_bin = clamp(F.floor((F.coalesce("hi", F.greatest(edge["top"], F.col("lo")) + 1) - 1) / F.lit(bin_width)))
-    ranges = bounds.select(
-        *on, "part", "lo", "hi", F.explode(F.sequence(low_bin, F.greatest(high_bin, low_bin))).alias("__bin")
-    )
-    keyed = df.withColumn("__bin", clamp(F.floor(F.col(key) / F.lit(bin_width))))
+        return F.least(F.greatest(b, edge["low"]), edge["top"])
+    last_bin = F.when(F.col("hi").isNull(), edge["top"]).otherwise(clamp(bin_of(F.col("hi") - 1)))
+    ranges = bounds.select(*on, "part", "lo", "hi", clamp(bin_of(F.col("lo"))).alias("__from"), last_bin.alias("__to")).select(
+        *on, "part", "lo", "hi", F.explode(F.sequence("__from", F.greatest("__to", "__from"))).alias("__bin"))
+    keyed = df.withColumn("__bin", clamp(bin_of(F.col(key))))
     inside = (F.col(key) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(key) < F.col("hi")))
     return keyed.join(ranges, [*on, "__bin"]).filter(inside).drop("__bin", "lo", "hi")
 
@@ -122,7 +124,8 @@ def copy_new_rows(
     if fill_holes:
         wanted = placed.filter(F.col("part") != OPEN_PART)
     else:
-        ahead = parts_to_copy(copy_report(src, dest, bounds, key, on)).select(*on, "part")
+        # Stored, so that its size is known and the source need not be shuffled to meet a short list.
+        ahead = materialize(parts_to_copy(copy_report(src, dest, bounds, key, on)).select(*on, "part"), "ahead")
         wanted = placed.join(ahead, [*on, "part"], "left_semi")
     rows = wanted.select(*src.columns)
     rows = rows if unique_source else first_per_key(rows, pk)

@@ -76,7 +76,8 @@ def parse_db_status(df: DataFrame, variables: DataFrame) -> DataFrame:
     """Snapshots (``value``, ``timestamp``, maybe ``host``) to one row with all measures.
 
     ``variables`` has one row of log-size settings, per ``host`` where it has that
-    column (see ``log_settings``). Every field is read from its own section and
+    column (see ``log_settings``; give those of many hosts as a stored table, whose
+    size Catalyst knows, or the snapshots are shuffled by host). Every field is read from its own section and
     heading; the three percentages are computed.
     """
     keep = [c for c in df.columns if c != "value"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import host_from_path, metric_header, unix_lines
+from ..session import materialize
 
 CARRIED = ("host", "file_path", "pos")
 
@@ -108,10 +109,10 @@ def column_counts(df: DataFrame, by: list[str], n: Column) -> DataFrame:
 def check_columns(df: DataFrame, by: list[str], n: Column, on_bad: str = "quarantine") -> ParseResult:
     """Hold every line of a group to the group's most frequent field count (the larger one on a tie)."""
     counted = df.withColumn("__n", n)
-    usual = (
+    # One row per group; stored, so that its size is known and the lines need not be shuffled by a hot group.
+    usual = materialize(
         counted.groupBy(*by, "__n").agg(F.count("*").alias("c"))
-        .groupBy(*by).agg(F.max_by("__n", F.struct("c", "__n")).alias("__usual"))
-    )
+        .groupBy(*by).agg(F.max_by("__n", F.struct("c", "__n")).alias("__usual")), "usual")
     joined = counted.join(usual, by)
     out = split_rows(joined, F.col("__n") == F.col("__usual"), "inconsistent column count", on_bad)
     return ParseResult(out.rows.drop("__n", "__usual"), out.rejects)
