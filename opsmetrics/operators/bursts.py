@@ -100,6 +100,8 @@ def burst_numbers(
                         for e in entries:
                             left[e], taken[e], whole[e] = still, has, e >= rows
                     ends.append((left, taken, whole))
+            if not ends:  # the batch lies within one slice
+                continue
             last = pdf.loc[pdf["__end"], [*keys, SLICE]]
             yield last.assign(left=[x[0] for x in ends], taken=[x[1] for x in ends], whole=[x[2] for x in ends])
 
@@ -184,6 +186,8 @@ def spaced_picks(
                     seconds.append(t)
                 if end:
                     found.append(outcomes(seconds))
+            if not found:
+                continue
             yield pdf.loc[pdf["__end"], [*keys, SLICE]].assign(first=[x[0] for x in found], last=[x[1] for x in found])
 
     def chain(batches: Batches) -> Batches:

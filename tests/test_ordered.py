@@ -54,6 +54,23 @@ def test_bursts_without_keys_and_sparse_slices(spark):
     assert got == fold_bursts(rows)
 
 
+def test_state_crosses_batches(spark):
+    """Slices longer than an Arrow batch, and batches without the end of any slice."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    rows = skewed(9, 700, 1200)
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint")
+    try:
+        spark.conf.set(size, 7)
+        for width in (50, 100000):
+            got = {r["i"]: r["buffer"] for r in burst_numbers(df, ["k"], "t", ["i"], slice_seconds=width).collect()}
+            assert got == fold_bursts(rows)
+            got = {r["i"]: r["picked"] for r in spaced_picks(df, ["k"], "t", ["i"], min_gap=40, slice_seconds=width).collect()}
+            assert got == fold_picks(rows, 40)
+    finally:
+        spark.conf.set(size, before)
+
+
 @pytest.mark.parametrize("width", [7, 60, 100000])
 @pytest.mark.parametrize("gap", [5, 60])
 def test_spaced_picks_equal_the_greedy_fold(spark, width, gap):
