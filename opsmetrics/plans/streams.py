@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.time import ntz_of
 from ..operators.points import to_points
 from ..registry import MONITORS, registry_frame, select_monitor_rows
 from ..session import scratch_path
@@ -143,7 +144,7 @@ def partition_export_import(spark, sf) -> DataFrame:
     rows = _metric_rows(spark, sf).select("table", "o_orderkey", "ts_min", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("price"))
     path = scratch_path(spark, "export")
     relayout.export_by_partition(rows, _bounds(spark, sf), "ts_min", ["o_orderkey"], path, on=["table"])
-    doubled = rows.filter(F.year(F.timestamp_seconds(F.col("ts_min") * 60)) == 1997).withColumn("part", F.lit("PART1997")).withColumn("price", F.col("price") * 2)
+    doubled = rows.filter(F.year(ntz_of(F.col("ts_min") * 60)) == 1997).withColumn("part", F.lit("PART1997")).withColumn("price", F.col("price") * 2)
     for _ in range(2):
         relayout.import_partitions(doubled, path)
     return spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"), F.sum("price").alias("price"))

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsmetrics import ingest, registry
-from opsmetrics.functions.time import epoch_of
 from opsmetrics.operators import capacity, fleet, relayout, saturation
 from opsmetrics.operators.points import to_points, to_put_lines, to_wide
 from opsmetrics.session import materialize, scratch_path, shared_dir
