@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import secrets  # noqa: F401
+from . import licences, secrets  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
