@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import jaccard, licences, secrets  # noqa: F401
+from . import jaccard, licences, secrets, toxicity  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
