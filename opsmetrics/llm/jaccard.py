@@ -20,8 +20,9 @@ copies makes n - 1 pairs. Each is verified on the whole sets. A similar pair x,
 similar to their common pivot p still has to be found: with ``Rx`` the elements in which x and p differ,
 ``|x - y| = |Rx| + |Ry| - 2 |Rx and Ry|``, so Rx and Ry overlap in at least ``(|Rx| + |Ry| - H) / 2`` elements. These
 small difference sets are joined by prefix: elements ordered by frequency around the pivot, rare ones first, pairs
-only where both positions still allow the overlap. Pairs that may share no element (both very close to p) are joined
-on the pivot by size of difference. Everything found is verified on the whole sets before it links.
+only where both positions still allow the overlap, and the overlap of the whole difference sets decides, which is
+exact. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
+pairs that are not connected yet are kept, so a large group of near copies yields no square of links.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set's size and two sums of element hashes), so
 exact copies cost one row per task. Elements are 64-bit hashes of word runs; two different runs share one with a
@@ -254,27 +255,14 @@ def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, diff array<bigint>, in_p bigint")
 
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose whole sets are similar."""
-    def run(batches):
-        for batch in _small(batches):
-            good = []
-            for p, x in _pair_arrays(batch):
-                common = len(np.intersect1d(p, x, assume_unique=True))
-                good.append(100 * common >= percent * (len(p) + len(x) - common))
-            keep = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
-
-
-def _around_pivots(stars: DataFrame, percent: int) -> DataFrame:
-    """(p, x): candidate pairs of sets around a common pivot of which at least one is not similar to it."""
+def _around_pivots(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): similar pairs of sets around a common pivot that the links to pivots do not connect yet."""
     top, sum_ = 100 - percent, 100 + percent
     h = lambda a, b: F.floor((a + b) * top / sum_).cast("bigint")
     alone = stars.groupBy("p").agg(F.count("*").alias("members"), F.sum(F.when(F.col("linked"), 0).otherwise(1)).alias("apart"))
     rows = (
         stars.join(alone.where("members > 1 AND apart > 0"), "p")
+        .join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
         .withColumn("d", F.size("diff").cast("bigint"))
         .withColumn("h", h(F.col("n_x"), F.floor(F.col("n_x") * 100 / percent)))
         .withColumn("least", h(F.ceil(F.col("n_x") * percent / 100), F.col("n_p")) + 1))
@@ -288,24 +276,25 @@ def _around_pivots(stars: DataFrame, percent: int) -> DataFrame:
     far = rows.where("d > 3 * h").withColumn("part", F.lit(1))
     # at most one of the pair is similar to the pivot, so the overlap has a lower bound that depends on one side only
     bound = F.when(F.col("linked"), F.ceil((F.col("d") + F.col("least") - F.col("h")) / 2)).otherwise(F.col("d") - F.col("h"))
-    cols = ["p", "x", "n_x", "linked", "d", "h", "part", "diff"]
+    cols = ["p", "x", "n_x", "root", "linked", "d", "h", "least", "part", "diff"]
+    rows_by_part = stored(near.select(cols).unionByName(far.select(cols)), "jaccard")
     prefix = (
-        near.select(*cols, "least").unionByName(far.select(*cols, "least"))
-        .withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1)
-        .select("p", "x", "n_x", "linked", "d", "part", F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
+        rows_by_part.withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1)
+        .select("p", "x", "part", "linked", F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
     prefix = stored(prefix, "jaccard")
-    a = prefix.select("p", "part", "e", *(F.col(c).alias(f"{c}_a") for c in ("x", "n_x", "linked", "d", "pos")))
-    b = prefix.select("p", "part", "e", *(F.col(c).alias(f"{c}_b") for c in ("x", "n_x", "linked", "d", "pos")))
+    met_at = prefix.groupBy("p", "part", "e").agg(F.count("*").alias("f"), F.min("linked").alias("all_linked")).where("f > 1 AND NOT all_linked")
+    prefix = prefix.join(met_at, ["p", "part", "e"], "left_semi").drop("linked").join(rows_by_part, ["p", "x", "part"])
+    side = lambda n: prefix.select("p", "part", "e", *(F.col(c).alias(f"{c}_{n}") for c in ("x", "n_x", "root", "linked", "d", "pos", "diff")))
     need = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - h(F.col("n_x_a"), F.col("n_x_b"))) / 2))
-    sizes = "(n_x_a * {0} >= n_x_b * {1} AND n_x_b * {0} >= n_x_a * {1})".format(100, percent)
-    met = a.join(b, ["p", "part", "e"]).where("x_a < x_b AND NOT (linked_a AND linked_b)").where(sizes).where(
-        (F.col("pos_a") + need <= F.col("d_a")) & (F.col("pos_b") + need <= F.col("d_b")))
-    # pairs whose difference sets may be disjoint: both so close to the pivot that the sum of the differences is allowed
-    close = rows.where("NOT linked AND d <= h").select("p", *(F.col(c).alias(f"{c}_a") for c in ("x", "n_x", "d")))
-    closer = rows.where("d + least <= h").select("p", *(F.col(c).alias(f"{c}_b") for c in ("x", "n_x", "d")))
-    touch = close.join(closer, "p").where("x_a <> x_b").where(F.col("d_a") + F.col("d_b") <= h(F.col("n_x_a"), F.col("n_x_b")))
-    pair = lambda df: df.select(F.least("x_a", "x_b").alias("p"), F.greatest("x_a", "x_b").alias("x"))
-    return pair(met).union(pair(touch)).distinct()
+    met = side("a").join(side("b"), ["p", "part", "e"]).where(
+        F.expr("x_a < x_b AND NOT (linked_a AND linked_b) AND root_a <> root_b")
+        & (F.col("pos_a") + need <= F.col("d_a")) & (F.col("pos_b") + need <= F.col("d_b"))
+        & (F.size(F.array_intersect("diff_a", "diff_b")) >= need))
+    # pairs whose difference sets may be disjoint: the sum of the differences alone is small enough
+    close = rows.where("NOT linked AND d <= h").select("p", *(F.col(c).alias(f"{c}_a") for c in ("x", "n_x", "root", "d")))
+    closer = rows.where("d + least <= h").select("p", *(F.col(c).alias(f"{c}_b") for c in ("x", "n_x", "root", "d")))
+    touch = close.join(closer, "p").where(F.expr("root_a <> root_b") & (F.col("d_a") + F.col("d_b") <= h(F.col("n_x_a"), F.col("n_x_b"))))
+    return met.select("x_a", "x_b").union(touch.select("x_a", "x_b")).toDF("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -319,9 +308,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     wanted = stored(pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct(), "jaccard")
     sets = stored(_wanted_sets(docs, rows, wanted, width), "jaccard")
     stars = stored(_against_pivot(_both_sets(pairs, sets), percent), "jaccard")
-    rest = stored(_around_pivots(stars, percent), "jaccard")
-    links = stars.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b")).union(_verified(_both_sets(rest, sets), percent))
+    links = stars.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     roots = components(links)
+    roots = components(links.union(_around_pivots(stars, roots, percent)))
     named = (
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node")))

@@ -5,8 +5,9 @@ that are at least ``ODDS`` times as frequent among toxic as among other training
 time the one that is in most toxic documents not yet explained (copies of a text count once), until a word explains
 fewer than ``SUPPORT`` of them. Their occurrences in toxic documents are the positive tokens.
 
-**Field.** Two states, an emission weight per hashed word, a bias, and transitions; fitted by gradient ascent of the
-regularised likelihood, with exact forward-backward marginals, on at most ``PER_CLASS`` documents of each class.
+**Field.** Two states, an emission weight per word of the training texts, a bias, and transitions; fitted by adaptive
+gradient ascent of the regularised likelihood, with exact forward-backward marginals, on at most ``PER_CLASS`` documents
+of each class.
 
 **Scores.** The marginals of each whole text: its score is the largest marginal of the toxic state, its offending
 offsets are the words with a marginal of 0.5 or more. Forward and backward messages of all texts of a slice run as one
@@ -31,22 +32,30 @@ from .common import ALNUM, Words, slices, table
 from .registry import query
 from .sampling import remainder, training_rows
 
-PER_CLASS = 3000
-BITS = 18
+PER_CLASS = 2000
 ODDS, SUPPORT = 20.0, 3
-EPOCHS, RATE, DECAY = 30, 0.5, 1e-4
+UPDATES, BATCH, RATE, DECAY, LEAST = 480, 50, 0.6, 1e-3, 0.05
 BLOCK = 128
 
 
 @dataclass
 class Field:
-    """``weight`` per hashed word, ``bias`` of the toxic state, ``step`` (log potentials of state pairs), ``first`` (of a text's first state)."""
+    """``known`` word hashes (sorted) with a ``weight`` each and one 0 more for all others, ``bias`` of the toxic state, ``step``
+    (log potentials of state pairs), ``first`` (of a text's first state)."""
 
+    known: np.ndarray
     weight: np.ndarray
     bias: float
     step: np.ndarray
     first: np.ndarray
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The weight's place of each word."""
+        if len(self.known) == 0:
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at, len(self.known))
+
     def matrices(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A 2 x 2 matrix per word: transition times emission; rank one where a text starts."""
         toxic = np.exp(np.clip(self.bias + self.weight[buckets], -30, 30))
@@ -129,7 +138,6 @@ def toxic_words(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def fit(hashes: list[np.ndarray], y: np.ndarray) -> Field:
     """Fit the field to documents given as word hashes, with a label each."""
-    field = Field(np.zeros(1 << BITS), -4.0, np.zeros((2, 2)), np.zeros(2))
     seen: dict[bytes, int] = {}
     for k, h in enumerate(hashes):
         if len(h):
@@ -137,35 +145,41 @@ def fit(hashes: list[np.ndarray], y: np.ndarray) -> Field:
     kept = sorted(seen.values())
     hashes, y = [hashes[k] for k in kept], y[kept]
     if not ((y == 0).any() and (y == 1).any()):
-        field.bias = -30.0
-        return field
+        return Field(np.zeros(0, np.uint64), np.zeros(1), -30.0, np.zeros((2, 2)), np.zeros(2))
+    known = np.unique(np.concatenate(hashes))
     lexicon = toxic_words(hashes, y)
-    flat = np.concatenate(hashes)
-    sizes = np.array([len(h) for h in hashes])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    label = (np.isin(flat, lexicon) & np.repeat(y == 1, sizes)).astype(np.int64)
-    buckets = (flat & np.uint64((1 << BITS) - 1)).astype(np.int64)
-    inner = np.ones(len(flat), bool)
-    inner[starts] = False
-    inner = np.flatnonzero(inner)
-    seen_pairs = np.bincount(label[inner - 1] * 2 + label[inner], minlength=4).reshape(2, 2)
-    positive = max(1, int(label.sum()))
-    sums = [np.full(1 << BITS, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
-    for _ in range(EPOCHS):
-        m = field.matrices(buckets, starts)
-        forward, backward = messages(m)
-        both = forward * backward
-        p = both[:, 1] / both.sum(axis=1)
-        pair = forward[inner - 1][:, :, None] * m[inner] * backward[inner][:, None, :]
-        pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        gap = label - p
-        grads = [np.bincount(buckets, gap, minlength=1 << BITS) - DECAY * field.weight, gap.sum(), (seen_pairs - pair)]
-        grads = [g / positive for g in grads]
-        sums = [s + g * g for s, g in zip(sums, grads)]
-        steps = [RATE * g / np.sqrt(s) for s, g in zip(sums, grads)]
-        field = Field(field.weight + steps[0], float(field.bias + steps[1]), field.step + steps[2] * 0.2, field.first)
-    field.weight[np.abs(field.weight) < 1e-3] = 0.0
-    return field
+    field = Field(known, np.zeros(len(known) + 1), -4.0, np.zeros((2, 2)), np.zeros(2))
+    sums = [np.full(len(known) + 1, 1e-6), 1e-6, np.full((2, 2), 1e-6)]
+    rng = np.random.default_rng(11)
+    for _ in range(-(-UPDATES * BATCH // len(hashes))):
+        order = rng.permutation(len(hashes))
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            sizes = np.array([len(hashes[k]) for k in some])
+            flat = np.concatenate([hashes[k] for k in some])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            label = (np.isin(flat, lexicon) & np.repeat(y[some] == 1, sizes)).astype(np.int64)
+            own = field.places(flat)
+            m = field.matrices(own, starts)
+            forward, backward = messages(m)
+            both = forward * backward
+            gap = label - both[:, 1] / both.sum(axis=1)
+            inner = np.ones(len(flat), bool)
+            inner[starts] = False
+            inner = np.flatnonzero(inner)
+            pair = forward[inner - 1][:, :, None] * m[inner] * backward[inner][:, None, :]
+            pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            seen_pairs = np.bincount(label[inner - 1] * 2 + label[inner], minlength=4).reshape(2, 2)
+            each, back = np.unique(own, return_inverse=True)
+            grad = np.bincount(back, gap, minlength=len(each)) - DECAY * field.weight[each]
+            sums[0][each] += grad * grad
+            sums[1] += gap.sum() ** 2
+            sums[2] += (seen_pairs - pair) ** 2
+            field.weight[each] += RATE * grad / np.sqrt(sums[0][each])
+            field.bias += RATE * gap.sum() / np.sqrt(sums[1])
+            field.step += 0.2 * RATE * (seen_pairs - pair) / np.sqrt(sums[2])
+    keep = np.abs(field.weight[:-1]) >= LEAST
+    return Field(known[keep], np.append(field.weight[:-1][keep], 0.0), float(field.bias), field.step, field.first)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, per_class: int = PER_CLASS) -> Field:
@@ -193,15 +207,14 @@ RESULT = T.StructType([
 
 def tag(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``spans`` (start, end in code points, p) of the offending words."""
-    model = docs.sparkSession.sparkContext.broadcast(field)  # (1 << BITS) weights
+    model = docs.sparkSession.sparkContext.broadcast(field)  # a weight per word of the bounded sample
 
     def run(batches):
         own = model.value
         for part, texts in slices(batches, text):
             words = Words(texts, ALNUM)
             filled = np.flatnonzero(words.counts() > 0)
-            buckets = (words.hash & np.uint64((1 << BITS) - 1)).astype(np.int64)
-            p = marginals(own.matrices(buckets, words.lo[filled]))
+            p = marginals(own.matrices(own.places(words.hash), words.lo[filled]))
             score, spans = np.zeros(len(texts)), [[] for _ in range(len(texts))]
             if len(filled):
                 score[filled] = np.maximum.reduceat(p, words.lo[filled])

@@ -10,7 +10,7 @@ LABELS = "doc_id bigint, quality int, toxic int"
 
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
-    field = toxicity.Field(rng.normal(size=16), -0.3, rng.normal(size=(2, 2)), rng.normal(size=2))
+    field = toxicity.Field(np.zeros(0, np.uint64), rng.normal(size=16), -0.3, rng.normal(size=(2, 2)), rng.normal(size=2))
     sizes = [3, 1, 5, 7]
     buckets = rng.integers(0, 16, sum(sizes))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -27,7 +27,7 @@ def test_marginals_equal_enumeration():
 
 def test_long_chain_equals_plain_recursion():
     rng = np.random.default_rng(1)
-    field = toxicity.Field(rng.normal(size=64), -1.0, rng.normal(size=(2, 2)), np.zeros(2))
+    field = toxicity.Field(np.zeros(0, np.uint64), rng.normal(size=64), -1.0, rng.normal(size=(2, 2)), np.zeros(2))
     buckets = rng.integers(0, 64, 1000)
     m = field.matrices(buckets, np.array([0, 400]))
     f, want = np.array([0.5, 0.5]), []
