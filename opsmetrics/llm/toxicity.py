@@ -1,9 +1,9 @@
 """Operator 8, toxicity: a linear-chain conditional random field over words.
 
-**Labelled tokens.** Documents carry one label each. A word is taken as toxic where it explains toxic documents: words
-that are at least ``ODDS`` times as frequent among toxic as among other training documents are picked one by one, each
-time the one that is in most toxic documents not yet explained (copies of a text count once), until a word explains
-fewer than ``SUPPORT`` of them. Their occurrences in toxic documents are the positive tokens.
+**Labelled tokens.** Documents carry one label each. A word is a candidate if it is at least ``ODDS`` times as frequent
+among toxic as among other training documents and in at least ``SUPPORT`` of them. Each toxic document gives its
+candidates equal shares of one vote, so that many rare words of a text that was copied count little; words with enough
+votes are taken as toxic, and their occurrences in toxic documents are the positive tokens.
 
 **Field.** Two states, an emission weight per word of the training texts, a bias, and transitions; fitted by adaptive
 gradient ascent of the regularised likelihood, with exact forward-backward marginals, on at most ``PER_CLASS`` documents
@@ -33,7 +33,7 @@ from .registry import query
 from .sampling import remainder, training_rows
 
 PER_CLASS = 2000
-ODDS, SUPPORT = 20.0, 3
+ODDS, SUPPORT, LEAST_SHARE, SHARE = 20.0, 3, 0.75, 0.015
 UPDATES, BATCH, RATE, DECAY, LEAST = 480, 50, 0.6, 1e-3, 0.05
 BLOCK = 128
 
@@ -124,16 +124,8 @@ def toxic_words(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     strong = (odds >= ODDS) & (pos >= SUPPORT)
     keep = toxic & strong[at]
     at, doc = at[keep], doc[keep]
-    picked = []
-    while len(at):
-        counts = np.bincount(at, minlength=len(words))
-        best = int(counts.argmax())
-        if counts[best] < SUPPORT:
-            break
-        picked.append(words[best])
-        rest = ~np.isin(doc, doc[at == best])
-        at, doc = at[rest], doc[rest]
-    return np.array(picked, dtype=np.uint64)
+    share = np.bincount(at, 1 / np.bincount(doc, minlength=len(distinct))[doc], minlength=len(words))
+    return words[share >= max(LEAST_SHARE, SHARE * (y == 1).sum())]
 
 
 def fit(hashes: list[np.ndarray], y: np.ndarray) -> Field:
