@@ -137,6 +137,13 @@ class Words:
             total = np.zeros(len(data) + 1, dtype=np.uint64)
             np.cumsum(_BYTE[data] * powers[:-1], out=total[1:])
             self.hash = mix((total[end] - total[start]) * inverse[start])
+            self.total, self.inverse = total, inverse
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each longer word, 0 for others."""
+        end = np.minimum(self.end, self.start + size)
+        own = mix(((self.total[end] - self.total[self.start]) * self.inverse[self.start]) ^ np.uint64(size << 56))
+        return np.where(self.end - self.start > size, own, np.uint64(0))
 
     def counts(self) -> np.ndarray:
         return self.hi - self.lo

@@ -14,7 +14,7 @@ def test_marginals_equal_enumeration():
     sizes = [3, 1, 5, 7]
     buckets = rng.integers(0, 16, sum(sizes))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    got = toxicity.marginals(field.matrices(buckets, starts))
+    got = toxicity.marginals(field.matrices(buckets[:, None], starts))
     for a, n in zip(starts, sizes):
         weight = {}
         for states in itertools.product((0, 1), repeat=n):
@@ -29,7 +29,7 @@ def test_long_chain_equals_plain_recursion():
     rng = np.random.default_rng(1)
     field = toxicity.Field(np.zeros(0, np.uint64), rng.normal(size=64), -1.0, rng.normal(size=(2, 2)), np.zeros(2))
     buckets = rng.integers(0, 64, 1000)
-    m = field.matrices(buckets, np.array([0, 400]))
+    m = field.matrices(buckets[:, None], np.array([0, 400]))
     f, want = np.array([0.5, 0.5]), []
     for x in m:
         f = f @ x
