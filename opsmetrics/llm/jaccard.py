@@ -20,8 +20,8 @@ copies makes n - 1 pairs. Each is verified on the whole sets. A similar pair x,
 similar to their common pivot p still has to be found: with ``Rx`` the elements in which x and p differ,
 ``|x - y| = |Rx| + |Ry| - 2 |Rx and Ry|``, so Rx and Ry overlap in at least ``(|Rx| + |Ry| - H) / 2`` elements. These
 small difference sets are joined by prefix: elements ordered by frequency around the pivot, rare ones first, pairs
-only where both positions still allow the overlap, and the overlap of the whole difference sets decides, which is
-exact. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
+only where both positions still allow the overlap and so do bit maps of both sets (a bit that only one has stands for
+an element outside the overlap); the whole sets decide. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
 pairs that are not connected yet are kept, so a large group of near copies yields no square of links.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set's size and two sums of element hashes), so
@@ -50,6 +50,9 @@ from .registry import query
 BROADCAST_ROWS = 2_000_000
 #: Sets already indexed by a task are remembered up to this many.
 SEEN = 500_000
+#: Words of 64 bits in the bit map of a difference set.
+MAP_BITS = 2
+MAP_WORDS = 1 << MAP_BITS
 
 
 def difference(a, b, percent: int):
@@ -236,10 +239,10 @@ def _small(batches, rows: int = 256):
 
 
 def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
-    """(p, x, n_p, n_x, linked, diff, in_p): the elements in which x and p differ, and whether each belongs to p."""
+    """(p, x, n_p, n_x, linked, diff, m0 ..): the elements in which x and p differ, and a bit map of their hashes."""
     def run(batches):
         for batch in _small(batches):
-            rows = {k: [] for k in ("n_p", "n_x", "linked", "diff", "in_p")}
+            rows = {k: [] for k in ("n_p", "n_x", "linked", "diff", *(f"m{k}" for k in range(MAP_WORDS)))}
             for p, x in _pair_arrays(batch):
                 d = np.setxor1d(p, x, assume_unique=True)
                 common = (len(p) + len(x) - len(d)) // 2
@@ -247,15 +250,33 @@ def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
                 rows["n_x"].append(len(x))
                 rows["linked"].append(100 * common >= percent * (common + len(d)))
                 rows["diff"].append(d.view(np.int64))
-                rows["in_p"].append(len(d) - (len(x) - common))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64())
+                bits = mix(d ^ _SALT) >> np.uint64(64 - 6 - MAP_BITS)
+                held = np.zeros(MAP_WORDS, np.uint64)
+                np.bitwise_or.at(held, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+                for k, m in enumerate(held.view(np.int64).tolist()):
+                    rows[f"m{k}"].append(m)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * MAP_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["p", "x", *rows])
 
-    return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, diff array<bigint>, in_p bigint")
+    return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, diff array<bigint>, " + ", ".join(f"m{k} bigint" for k in range(MAP_WORDS)))
 
 
-def _around_pivots(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose whole sets are similar."""
+    def run(batches):
+        for batch in _small(batches):
+            good = []
+            for p, x in _pair_arrays(batch):
+                common = len(np.intersect1d(p, x, assume_unique=True))
+                good.append(100 * common >= percent * (len(p) + len(x) - common))
+            keep = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): similar pairs of sets around a common pivot that the links to pivots do not connect yet."""
     top, sum_ = 100 - percent, 100 + percent
     h = lambda a, b: F.floor((a + b) * top / sum_).cast("bigint")
@@ -276,25 +297,28 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, percent: int) -> DataFram
     far = rows.where("d > 3 * h").withColumn("part", F.lit(1))
     # at most one of the pair is similar to the pivot, so the overlap has a lower bound that depends on one side only
     bound = F.when(F.col("linked"), F.ceil((F.col("d") + F.col("least") - F.col("h")) / 2)).otherwise(F.col("d") - F.col("h"))
-    cols = ["p", "x", "n_x", "root", "linked", "d", "h", "least", "part", "diff"]
-    rows_by_part = stored(near.select(cols).unionByName(far.select(cols)), "jaccard")
+    maps = [f"m{k}" for k in range(MAP_WORDS)]
+    cols = ["p", "x", "n_x", "root", "linked", "d", "part", *maps]
     prefix = (
-        rows_by_part.withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1)
-        .select("p", "x", "part", "linked", F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
+        near.select(*cols, "h", "least", "diff").unionByName(far.select(*cols, "h", "least", "diff"))
+        .withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1)
+        .select(*cols, F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
     prefix = stored(prefix, "jaccard")
     met_at = prefix.groupBy("p", "part", "e").agg(F.count("*").alias("f"), F.min("linked").alias("all_linked")).where("f > 1 AND NOT all_linked")
-    prefix = prefix.join(met_at, ["p", "part", "e"], "left_semi").drop("linked").join(rows_by_part, ["p", "x", "part"])
-    side = lambda n: prefix.select("p", "part", "e", *(F.col(c).alias(f"{c}_{n}") for c in ("x", "n_x", "root", "linked", "d", "pos", "diff")))
+    prefix = stored(prefix.join(met_at, ["p", "part", "e"], "left_semi"), "jaccard")
+    side = lambda n: prefix.select("p", "part", "e", *(F.col(c).alias(f"{c}_{n}") for c in (*cols, "pos") if c not in ("p", "part")))
     need = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - h(F.col("n_x_a"), F.col("n_x_b"))) / 2))
+    only = lambda a, b: sum((F.bit_count(F.col(f"{m}_{a}").bitwiseAND(F.bitwise_not(f"{m}_{b}"))) for m in maps), F.lit(0))
     met = side("a").join(side("b"), ["p", "part", "e"]).where(
         F.expr("x_a < x_b AND NOT (linked_a AND linked_b) AND root_a <> root_b")
         & (F.col("pos_a") + need <= F.col("d_a")) & (F.col("pos_b") + need <= F.col("d_b"))
-        & (F.size(F.array_intersect("diff_a", "diff_b")) >= need))
+        & (only("a", "b") + need <= F.col("d_a")) & (only("b", "a") + need <= F.col("d_b")))
+    met = stored(met.select(F.col("x_a").alias("p"), F.col("x_b").alias("x")).distinct(), "jaccard")
     # pairs whose difference sets may be disjoint: the sum of the differences alone is small enough
     close = rows.where("NOT linked AND d <= h").select("p", *(F.col(c).alias(f"{c}_a") for c in ("x", "n_x", "root", "d")))
     closer = rows.where("d + least <= h").select("p", *(F.col(c).alias(f"{c}_b") for c in ("x", "n_x", "root", "d")))
     touch = close.join(closer, "p").where(F.expr("root_a <> root_b") & (F.col("d_a") + F.col("d_b") <= h(F.col("n_x_a"), F.col("n_x_b"))))
-    return met.select("x_a", "x_b").union(touch.select("x_a", "x_b")).toDF("a", "b").distinct()
+    return _verified(_both_sets(met, sets), percent).union(touch.select("x_a", "x_b").toDF("a", "b"))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -310,7 +334,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     stars = stored(_against_pivot(_both_sets(pairs, sets), percent), "jaccard")
     links = stars.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     roots = components(links)
-    roots = components(links.union(_around_pivots(stars, roots, percent)))
+    roots = components(links.union(_around_pivots(stars, roots, sets, percent)))
     named = (
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node")))
