@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import decontaminate, jaccard, licences, neardup, preference, quality, secrets, tokenfiles, toxicity  # noqa: F401
+from . import decontaminate, jaccard, licences, neardup, pieces, preference, quality, secrets, tokenfiles, toxicity  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

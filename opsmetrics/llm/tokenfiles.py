@@ -3,7 +3,7 @@
 **Payload.** Documents are put in ascending order of their key by range partitions; each task encodes its texts with a
 tokenizers file and appends to one shard file: ids only, little-endian, two bytes each if the vocabulary fits, else
 four. A text is encoded by its pieces between single spaces, which this kind of vocabulary never joins; each distinct
-piece goes through the tokenizer once per task (up to a bounded number), the rest through it as well. Texts in which
+piece goes through the tokenizer, many at a time, and is remembered up to a bounded number. Texts in which
 pieces could interact (white space next to a space, special tokens) are encoded whole. Every attempt of a task writes
 a file of its own name; only the rows of the attempt that Spark commits name it, so lost executors leave at most
 unused files.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import binascii
 import posixpath
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from .common import mix, slices, table, work_dir
 from .registry import query
 
 BUCKET_KEYS, GROUP_KEYS = 20_000, 4
-PIECES = 200_000  # distinct pieces that a task remembers
+PIECES = 80_000  # distinct pieces that a worker remembers, and as many older ones
 END_ID = 2
 
 
@@ -55,6 +56,23 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def pack_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space at their ends, many in one text: a line break always stands alone between them."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2048):
+            some = pieces[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.flatnonzero(ids == self.break_id[0]) if len(self.break_id) == 1 else []
+            if len(cuts) != len(some) - 1:  # a piece holds a line break, or the vocabulary has none
+                out += self.pack(some)
+                continue
+            packed, w = ids.tobytes(), self.width
+            edges = [-1, *cuts.tolist(), len(ids)]
+            out += [packed[(a + 1) * w : b * w] for a, b in zip(edges, edges[1:])]
+        return out
 
     def pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,9 +83,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        if len(self.first) + len(self.later) > PIECES:
+        if len(self.later) > PIECES:
+            self.older, self.later = self.later, {}
+        if len(self.first) > PIECES // 4:
             self.first.clear()
-            self.later.clear()
         split = [t.split(" ") for t in texts]
         new, lead = set(), set()
         for pieces in split:
@@ -75,8 +94,12 @@ class Encoder:
             new.update(pieces[1:])
         new = [p for p in new if p not in self.later and self.plain(p)]
         lead = [p for p in lead if p not in self.first and self.plain(p)]
-        self.later.update(zip(new, self.pack([" " + p for p in new])))
-        self.first.update(zip(lead, self.pack(lead)))
+        for p in new:
+            if p in self.older:
+                self.later[p] = self.older[p]
+        new = [p for p in new if p not in self.later]
+        self.later.update(zip(new, self.pack_pieces([" " + p for p in new])))
+        self.first.update(zip(lead, self.pack_pieces(lead)))
         out, whole = [], []
         for k, pieces in enumerate(split):
             try:
@@ -91,6 +114,12 @@ class Encoder:
         return [ids + self.end for ids in out]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end: int | None) -> Encoder:
+    """One encoder per worker process, so that its pieces outlive a task."""
+    return Encoder(path, end)
+
+
 CATALOGUE = "doc_id bigint, shard string, width int, offset bigint, n_tokens bigint"
 
 
@@ -101,7 +130,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = END_ID)
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encoder, files, folder = Encoder(tokenizer, end), *pafs.FileSystem.from_uri(f"{path}/shards" if "://" in path else f"file://{path}/shards")
+        encoder, files, folder = encoder_of(tokenizer, end), *pafs.FileSystem.from_uri(f"{path}/shards" if "://" in path else f"file://{path}/shards")
         files.create_dir(folder, recursive=True)
         name, at, out = f"{uuid.uuid4().hex}.ids", 0, None
         for part, texts in slices(batches):
