@@ -15,7 +15,7 @@ same ids. A word's fold copies its positions per step, so the time of a single w
 square of its length.
 
 Scores are those of the file; a maximum of their sum is what the library computes from a unigram model with the same
-pieces (the tests compare with it), but in double precision: beside a run of spaces, which scores -1e9, the library's
+pieces (the tests compare with it), but in double precision: beside a run of spaces or an unknown character, which score -1e9, the library's
 32-bit sums round other scores away. Null and empty texts have no ids. Repeated rows are encoded like others; a null id
 stays null; extra columns are ignored; an empty table gives no rows.
 """
