@@ -239,27 +239,32 @@ def _small(batches, rows: int = 256):
 
 
 def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
-    """(p, x, n_p, n_x, linked, diff, m0 ..): the elements in which x and p differ, and a bit map of their hashes."""
+    """(p, x, n_p, n_x, linked, d, diff, far, m0 ..): the number of elements in which x and p differ, these if they are few,
+    as many of them as a prefix takes if they are many (those of p last), and a bit map of their hashes."""
     def run(batches):
         for batch in _small(batches):
-            rows = {k: [] for k in ("n_p", "n_x", "linked", "diff", *(f"m{k}" for k in range(MAP_WORDS)))}
+            rows = {k: [] for k in ("n_p", "n_x", "linked", "d", "diff", "far", *(f"m{k}" for k in range(MAP_WORDS)))}
             for p, x in _pair_arrays(batch):
                 d = np.setxor1d(p, x, assume_unique=True)
                 common = (len(p) + len(x) - len(d)) // 2
                 rows["n_p"].append(len(p))
                 rows["n_x"].append(len(x))
                 rows["linked"].append(100 * common >= percent * (common + len(d)))
-                rows["diff"].append(d.view(np.int64))
+                h = difference(len(x), len(x) * 100 // percent, percent)
+                rows["d"].append(len(d))
+                rows["diff"].append((d if len(d) <= 4 * h else d[:0]).view(np.int64))
+                own = np.isin(d, p, assume_unique=True)
+                rows["far"].append((np.concatenate([d[~own], d[own]])[: h + 1] if len(d) > 3 * h else d[:0]).view(np.int64))
                 bits = mix(d ^ _SALT) >> np.uint64(64 - 6 - MAP_BITS)
                 held = np.zeros(MAP_WORDS, np.uint64)
                 np.bitwise_or.at(held, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
                 for k, m in enumerate(held.view(np.int64).tolist()):
                     rows[f"m{k}"].append(m)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), *[pa.int64()] * MAP_WORDS)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * MAP_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["p", "x", *rows])
 
-    return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, diff array<bigint>, " + ", ".join(f"m{k} bigint" for k in range(MAP_WORDS)))
+    return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, d bigint, diff array<bigint>, far array<bigint>, " + ", ".join(f"m{k} bigint" for k in range(MAP_WORDS)))
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +289,6 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     rows = (
         stars.join(alone.where("members > 1 AND apart > 0"), "p")
         .join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-        .withColumn("d", F.size("diff").cast("bigint"))
         .withColumn("h", h(F.col("n_x"), F.floor(F.col("n_x") * 100 / percent)))
         .withColumn("least", h(F.ceil(F.col("n_x") * percent / 100), F.col("n_p")) + 1))
     # sets close to the pivot: elements by frequency around it, rare ones first; far ones: by hash, those of the pivot last
@@ -294,7 +298,7 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     ordered = (
         element.join(often, ["p", "e"]).groupBy("p", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda s: s["e"]).alias("diff")))
     near = near.drop("diff").join(ordered, ["p", "x"]).withColumn("part", F.lit(0))
-    far = rows.where("d > 3 * h").withColumn("part", F.lit(1))
+    far = rows.where("d > 3 * h").drop("diff").withColumnRenamed("far", "diff").withColumn("part", F.lit(1))
     # at most one of the pair is similar to the pivot, so the overlap has a lower bound that depends on one side only
     bound = F.when(F.col("linked"), F.ceil((F.col("d") + F.col("least") - F.col("h")) / 2)).otherwise(F.col("d") - F.col("h"))
     maps = [f"m{k}" for k in range(MAP_WORDS)]
