@@ -125,16 +125,26 @@ def _round(edges: DataFrame, nodes: DataFrame, lists: DataFrame, threshold: floa
     met = ranked.union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(
         nodes.select(F.col("node").alias("b"), "vector"), "b")
 
-    def run(key, rows):
-        import pandas as pd
-
-        if len(rows) < 2:
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.DataFrame(dict(zip(("a", "b", "sim"), _pairs(rows["b"].to_numpy(), x, NEIGHBOURS, threshold))))
+    def run(batches):
+        """Groups in order of ``a``, many to a batch; the last one of a batch may go on in the next."""
+        at, ids, x = None, np.zeros(0, np.int64), None
+        for batch in batches:
+            a, b, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
+            out = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if a[lo] == at:
+                    ids, x = np.concatenate([ids, b[lo:hi]]), np.concatenate([x, own[lo:hi]])
+                    continue
+                if len(ids) > 1:
+                    out.append(_pairs(ids, x, NEIGHBOURS, threshold))
+                at, ids, x = a[lo], b[lo:hi], own[lo:hi]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "sim"])
+        if len(ids) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _pairs(ids, x, NEIGHBOURS, threshold)], names=["a", "b", "sim"])
 
-    return met.groupBy("a").applyInPandas(run, EDGES)
+    return met.select("a", "b", "vector").repartition("a").sortWithinPartitions("a").mapInArrow(_by_width(run), EDGES)
 
 
 def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -161,14 +171,12 @@ def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """(node, others): vectors linked with each node within its component, block against block."""
-    place = W.partitionBy("root").orderBy("node")
     sizes = members.groupBy("root").agg(F.count("*").alias("k"))
     blocked = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("bigint")).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     one = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     left = one.select("root", "node", "copies", "vector", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
     right = one.select("root", "node", "copies", "vector", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
-    del place
 
     def run(key, rows):
         import pandas as pd
