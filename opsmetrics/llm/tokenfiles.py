@@ -2,9 +2,9 @@
 
 **Payload.** Documents are put in ascending order of their key by range partitions; each task encodes its texts with a
 tokenizers file and appends to one shard file: ids only, little-endian, two bytes each if the vocabulary fits, else
-four. A text is encoded by its pieces between single spaces, which this kind of vocabulary never joins; each distinct
-piece goes through the tokenizer, many at a time, and is remembered up to a bounded number. Texts in which
-pieces could interact (white space next to a space, special tokens) are encoded whole. Every attempt of a task writes
+four. A text of well-known characters is cut where the tokenizer cuts it before it merges bytes; its distinct parts go
+through the tokenizer, many at a time, and are remembered up to a bounded number. Other texts (special tokens, letters
+whose kind depends on the version of Unicode, other kinds of tokenizer) are encoded whole. Every attempt of a task writes
 a file of its own name; only the rows of the attempt that Spark commits name it, so lost executors leave at most
 unused files.
 
@@ -24,6 +24,7 @@ columns are ignored; an empty table gives an empty catalogue and index.
 from __future__ import annotations
 
 import binascii
+import json
 import posixpath
 import uuid
 from functools import lru_cache
@@ -31,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,9 +41,14 @@ from .common import mix, slices, table, work_dir
 from .registry import query
 
 BUCKET_KEYS, GROUP_KEYS = 20_000, 4
-PIECES = 80_000  # distinct pieces that a worker remembers, and as many older ones
+PIECES = 200_000  # distinct parts of texts that a worker remembers; beyond, it starts anew
 END_ID = 2
 
+# Fixed value: where byte-level vocabularies cut a text before they merge bytes.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+#: Characters whose kind (letter, number, space) is the same in every version of Unicode.
+SAFE = regex.compile("[\n\r\t\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
+
 
 class Encoder:
     """Encodes texts to packed ids with one tokenizers file."""
@@ -54,64 +61,53 @@ class Encoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.end = b"" if end is None else np.array([end], self.kind).tobytes()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        cutter = kind["pre_tokenizer"] or {}
+        self.cuts = kind["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
         self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def pack_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space at their ends, many in one text: a line break always stands alone between them."""
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 2048):
-            some = pieces[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
+    def pack_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, many in one text: a line break always stands alone between them."""
+        out: list[bytes] = [b""] * len(parts)
+        plain = [k for k, p in enumerate(parts) if not p.isspace()]
+        space = [k for k, p in enumerate(parts) if p.isspace()]
+        for at in range(0, len(plain), 2048):
+            some = plain[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(parts[k] for k in some)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(ids == self.break_id[0]) if len(self.break_id) == 1 else []
-            if len(cuts) != len(some) - 1:  # a piece holds a line break, or the vocabulary has none
-                out += self.pack(some)
+            if len(cuts) != len(some) - 1:  # the vocabulary has no line break of its own
+                space += some
                 continue
             packed, w = ids.tobytes(), self.width
             edges = [-1, *cuts.tolist(), len(ids)]
-            out += [packed[(a + 1) * w : b * w] for a, b in zip(edges, edges[1:])]
+            for k, x, y in zip(some, edges, edges[1:]):
+                out[k] = packed[(x + 1) * w : y * w]
+        for k, ids in zip(space, self.pack([parts[k] for k in space])):
+            out[k] = ids
         return out
 
     def pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def plain(piece: str) -> bool:
-        return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        if len(self.later) > PIECES:
-            self.older, self.later = self.later, {}
-        if len(self.first) > PIECES // 4:
-            self.first.clear()
-        split = [t.split(" ") for t in texts]
-        new, lead = set(), set()
-        for pieces in split:
-            lead.add(pieces[0])
-            new.update(pieces[1:])
-        new = [p for p in new if p not in self.later and self.plain(p)]
-        lead = [p for p in lead if p not in self.first and self.plain(p)]
-        for p in new:
-            if p in self.older:
-                self.later[p] = self.older[p]
-        new = [p for p in new if p not in self.later]
-        self.later.update(zip(new, self.pack_pieces([" " + p for p in new])))
-        self.first.update(zip(lead, self.pack_pieces(lead)))
-        out, whole = [], []
-        for k, pieces in enumerate(split):
-            try:
-                if any(s in texts[k] for s in self.special):
-                    raise KeyError
-                out.append(self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])))
-            except KeyError:
-                out.append(b"")
+        cut, whole = {}, []
+        for k, text in enumerate(texts):
+            if self.cuts and SAFE(text) and not any(s in text for s in self.special):
+                cut[k] = PARTS(text)
+            else:
                 whole.append(k)
+        if len(self.parts) > PIECES:
+            self.parts.clear()
+        new = list(set().union(*cut.values()) - self.parts.keys())
+        self.parts.update(zip(new, self.pack_parts(new)))
+        out = [self.end] * len(texts)
+        for k, parts in cut.items():
+            out[k] = b"".join(map(self.parts.__getitem__, parts)) + self.end
         for k, ids in zip(whole, self.pack([texts[k] for k in whole])):
-            out[k] = ids
-        return [ids + self.end for ids in out]
+            out[k] = ids + self.end
+        return out
 
 
 @lru_cache(maxsize=1)
