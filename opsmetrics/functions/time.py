@@ -57,7 +57,8 @@ def parse_iso(text: Column | str) -> Column:
 
 
 def is_iso(text: Column | str) -> Column:
-    return _col(text).rlike(ISO_PREFIX)
+    """An ISO time stamp that exists; 30 February is none."""
+    return _col(text).rlike(ISO_PREFIX) & parse_iso(text).isNotNull()
 
 
 def _full_year(y: Column) -> Column:

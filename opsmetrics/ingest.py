@@ -11,20 +11,32 @@ from pyspark.sql import functions as F
 from .operators.points import map_to_points, to_points
 from .registry import MONITORS, available_monitors
 from .session import materialize
-from .sinks.store import load_points, load_report
-from .sources.files import dedupe_files, list_captures, read_monitor
+from .sinks.store import load_points, load_report, next_load_id, read_log, store_rejects, undo_load
+from .sources.files import ParseResult, dedupe_files, list_captures, read_monitor
 
 
-def monitor_points(spark: SparkSession, monitor: str, dirs: list[str], zone: str = "America/Los_Angeles") -> DataFrame:
-    """Points of one monitor over all its hosts, copies of a file read once."""
+def monitor_results(spark: SparkSession, monitor: str, dirs: list[str]) -> list[ParseResult]:
+    """Parsed rows and rejects of one monitor over all its hosts, copies of a file read once."""
     spec = MONITORS[monitor]
     lines = read_monitor(spark, monitor, dirs, spec.whole, spec.record_sep)
     # A stored list of files has a known size, so the lines are not shuffled to meet it.
     unique = materialize(dedupe_files(list_captures(spark, monitor, dirs)).select(
         F.regexp_replace("file_path", "^file:/+", "/").alias("__f")), "files")
     lines = lines.withColumn("__f", F.regexp_replace("file_path", "^file:/+", "/")).join(unique, "__f", "left_semi").drop("__f")
+    return list(spec.parse(lines).values())
+
+
+def rejected_lines(results: list[ParseResult]) -> DataFrame:
+    """The lines of all tables of a monitor that did not parse, with file and reason."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.rejects for r in results])
+
+
+def monitor_points(
+    spark: SparkSession, monitor: str, dirs: list[str], zone: str = "America/Los_Angeles", results: list[ParseResult] | None = None,
+) -> DataFrame:
+    """Points of one monitor over all its hosts; ``results`` saves parsing the captures again."""
     parts = []
-    for result in spec.parse(lines).values():
+    for result in results or monitor_results(spark, monitor, dirs):
         rows = result.rows
         maps = [f.name for f in rows.schema.fields if f.dataType.typeName() == "map"]
         if maps:
@@ -44,21 +56,31 @@ def monitor_points(spark: SparkSession, monitor: str, dirs: list[str], zone: str
 
 def load_all(
     spark: SparkSession, dirs: list[str], store_path: str, log_path: str, names: list[str] | None = None,
-    zone: str = "America/Los_Angeles", first_load: int = 0,
+    zone: str = "America/Los_Angeles", rejects_path: str | None = None,
 ) -> DataFrame:
-    """Load every chosen monitor that has captures; one monitor's failure does not stop the others."""
-    outcomes, seq = [], first_load
+    """Load every chosen monitor that has captures; one monitor's failure does not stop the others.
+
+    Load numbers follow the log. Lines that do not parse are kept below ``rejects_path`` (beside the store unless named)
+    and counted in the log; ``rejects`` of the report is their number per outcome.
+    """
+    rejects_path = rejects_path or f"{store_path.rstrip('/')}-rejects"
+    outcomes = []
     monitors = available_monitors(names)
     for m in monitors:
         if list_captures(spark, m, dirs, with_content_key=False).isEmpty():
-            outcomes.append((m, "empty"))
+            outcomes.append((m, "empty", None))
             continue
+        seq = next_load_id(read_log(spark, log_path)).first()["load_seq"]
         try:
-            load_points(monitor_points(spark, m, dirs, zone), store_path, log_path, seq)
-            outcomes.append((m, "loaded"))
+            results = monitor_results(spark, m, dirs)
+            load_points(monitor_points(spark, m, dirs, zone, results), store_path, log_path, seq)
+            store_rejects(rejected_lines(results), m, rejects_path, log_path, seq)
+            outcomes.append((m, "loaded", seq))
         except Exception as reason:
             warnings.warn(f"load of {m} failed: {reason}", stacklevel=2)
-            outcomes.append((m, "failed"))
-        seq += 1
-    status = spark.createDataFrame(outcomes, "monitor string, status string")
-    return load_report(status, spark.createDataFrame([(m,) for m in monitors], "monitor string"))
+            undo_load(spark, log_path, seq)
+            outcomes.append((m, "failed", seq))
+    status = spark.createDataFrame(outcomes, "monitor string, status string, load_seq bigint")
+    counted = read_log(spark, log_path).filter("status = 'rejected'").groupBy("load_seq").agg(F.sum("points").alias("rejects"))
+    per = status.join(counted, "load_seq", "left").groupBy("status").agg(F.coalesce(F.sum("rejects"), F.lit(0)).alias("rejects"))
+    return load_report(status, spark.createDataFrame([(m,) for m in monitors], "monitor string")).join(per, "status")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,7 +56,11 @@ def select_monitors(
 
 
 def available_monitors(names: list[str] | None = None) -> list[str]:
-    return [m for m in (names or MONITORS) if MONITORS[m].parse is not None]
+    """Monitors that can be loaded; unknown names are warned about and left out."""
+    for m in names or ():
+        if m not in MONITORS:
+            warnings.warn(f"unknown monitor {m}", stacklevel=2)
+    return [m for m in (names or MONITORS) if m in MONITORS and MONITORS[m].parse is not None]
 
 
 def registry_frame(spark: SparkSession) -> DataFrame:

@@ -1,4 +1,8 @@
-"""A point store partitioned by metric, host and load, with a log that decides what readers see."""
+"""A point store partitioned by metric and load, with a log that decides what readers see.
+
+Log statuses: ``started`` reserves a number before anything is written, ``loaded`` makes a host's points visible,
+``rejected`` counts a host's lines that did not parse, ``undone`` withdraws. Numbers are never used twice.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "load_seq bigint, metric string, host string, status string, points bigint"
+POINT_SCHEMA = (
+    "metric string, epoch bigint, col string, raw string, value double, tags map<string,string>, host string, load_id string, load_seq bigint")
 
 
 def _rebalanced(df: DataFrame, *cols: str) -> DataFrame:
@@ -45,18 +51,38 @@ def load_points(points: DataFrame, store_path: str, log_path: str, load_seq: int
     """Append one load and log it per (metric, host).
 
     Rows become visible only through the log, which is written after the data
-    job has committed; a load that dies half way leaves no visible row.
+    job has committed. The number is reserved first, so a load that dies half way
+    leaves no visible row, also not through a later load; a used number is refused.
     """
     spark = points.sparkSession
+    if not read_log(spark, log_path).filter(F.col("load_seq") == load_seq).isEmpty():
+        raise ValueError(f"load number {load_seq} is used already")
+    spark.createDataFrame([(load_seq, None, None, "started", 0)], LOG_SCHEMA).write.mode("append").parquet(log_path)
     tagged = points.withColumn("load_id", F.lit(f"L{load_seq}")).withColumn("load_seq", F.lit(load_seq).cast("bigint"))
-    _rebalanced(tagged, "metric", "host").write.partitionBy("metric", "host", "load_id").mode("append").parquet(store_path)
-    written = spark.read.parquet(store_path).filter(F.col("load_id") == f"L{load_seq}")
+    _rebalanced(tagged, "metric").write.partitionBy("metric", "load_id").mode("append").parquet(store_path)
+    written = _stored_points(spark, store_path).filter(F.col("load_id") == f"L{load_seq}")
     entry = written.groupBy("load_seq", "metric", "host").agg(
         F.lit("loaded").alias("status"), F.count("*").alias("points"))
     entry.write.mode("append").parquet(log_path)
     return entry
 
 
+def _stored_points(spark: SparkSession, store_path: str) -> DataFrame:
+    """All points written; the schema is given, so names that look like numbers stay names."""
+    return spark.read.schema(POINT_SCHEMA).parquet(store_path)
+
+
+def store_rejects(rejects: DataFrame, metric: str, path: str, log_path: str, load_seq: int) -> None:
+    """Append a load's lines that did not parse, and count them per host in the log."""
+    spark = rejects.sparkSession
+    for c in ("host", "file_path"):
+        rejects = rejects if c in rejects.columns else rejects.withColumn(c, F.lit(None).cast("string"))
+    kept = rejects.select(F.lit(load_seq).cast("bigint").alias("load_seq"), F.lit(metric).alias("metric"), "host", "file_path", "value", "reason")
+    kept.write.mode("append").parquet(path)
+    spark.read.schema(kept.schema).parquet(path).filter((F.col("load_seq") == load_seq) & (F.col("metric") == metric)).groupBy(
+        "load_seq", "metric", "host").agg(F.lit("rejected").alias("status"), F.count("*").alias("points")).write.mode("append").parquet(log_path)
+
+
 def undo_load(spark: SparkSession, log_path: str, load_seq: int, metric: str | None = None) -> None:
     """Withdraw a load, or one metric of it; its rows are no longer read. Safe to repeat."""
     log = read_log(spark, log_path)
@@ -77,14 +103,13 @@ def visible_loads(log: DataFrame) -> DataFrame:
 def read_points(spark: SparkSession, store_path: str, log_path: str) -> DataFrame:
     """Points of all loads that were completed and not undone."""
     log = read_log(spark, log_path)
-    return spark.read.parquet(store_path).join(visible_loads(log), ["load_seq", "metric", "host"], "left_semi")
+    return _stored_points(spark, store_path).join(visible_loads(log), ["load_seq", "metric", "host"], "left_semi")
 
 
 def empty_store(spark: SparkSession, store_path: str, log_path: str) -> None:
     """Remove all points and restart load numbers at 0."""
-    schema = spark.read.parquet(store_path).schema
     spark.createDataFrame([], LOG_SCHEMA).write.mode("overwrite").parquet(log_path)
-    spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store_path)
+    spark.createDataFrame([], POINT_SCHEMA).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store_path)
 
 
 def load_report(outcomes: DataFrame, available: DataFrame) -> DataFrame:

@@ -74,11 +74,17 @@ def _lines(df: DataFrame) -> DataFrame:
     )
 
 
+def _fits(cell: Column, convert=whole) -> Column:
+    """An empty cell, or one that converts: text in place of a number must not turn into a null without a reject."""
+    return (F.length(F.trim(cell)) == 0) | convert(F.trim(cell)).isNotNull()
+
+
 def parse_vmstat(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
     """17 numbers and a time stamp; header lines start with ``p`` or ``r``."""
     f = words("value")
     lines = _lines(df).withColumn("__f", f).filter(~F.col("__f")[0].rlike("^[pr]"))
-    res = split_rows(lines, (F.size("__f") == 18) & is_iso(F.try_element_at("__f", F.lit(18))), "not a vmstat row", on_bad)
+    ok = (F.size("__f") == 18) & is_iso(F.try_element_at("__f", F.lit(18))) & F.forall(F.slice("__f", 1, 17), lambda x: _fits(x))
+    res = split_rows(lines, ok, "not a vmstat row", on_bad)
     fields = [whole(F.col("__f")[i - 1]).alias(c) for c, i in VMSTAT_FIELDS.items()]
     rows = res.rows.select(*carried(df), parse_iso(F.col("__f")[17]).alias("timestamp"), *fields)
     return ParseResult(rows, res.rejects)
@@ -92,7 +98,8 @@ def parse_fdcount(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
     def count(i):
         return F.when(part(i).startswith("NO"), F.lit(0).cast("bigint")).otherwise(whole(part(i)))
     lines = _lines(df)
-    res = split_rows(lines, (F.size(words("value")) == 3) & is_iso(part(3)), "not an fdcount row", on_bad)
+    ok = (F.size(words("value")) == 3) & is_iso(part(3)) & count(1).isNotNull() & count(2).isNotNull()
+    res = split_rows(lines, ok, "not an fdcount row", on_bad)
     rows = res.rows.select(
         *carried(df), parse_iso(part(3)).alias("timestamp"), count(1).alias("gf_fdcount"), count(2).alias("mysql_fdcount")
     )
@@ -128,7 +135,8 @@ def parse_memsize(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseR
 def _per_process(lines: DataFrame, df: DataFrame, keys: tuple[str, ...], on_bad: str) -> ParseResult:
     """``ISO process k=v k=v ..``"""
     split = lines.withColumn("__f", words("value"))
-    ok = is_iso(F.col("__f")[0]) & (F.size("__f") == len(keys) + 2)
+    values = F.slice("__f", F.lit(3), F.greatest(F.lit(0), F.size("__f") - 2))
+    ok = is_iso(F.col("__f")[0]) & (F.size("__f") == len(keys) + 2) & F.forall(values, lambda x: _fits(F.substring_index(x, "=", -1)))
     res = split_rows(split, ok, "wrong number of fields", on_bad)
     m = pairs(F.array_join(F.slice("__f", F.lit(3), F.size("__f")), " "), " ")
     rows = res.rows.withColumn("__m", m).select(
@@ -148,7 +156,9 @@ def parse_conxcount(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
     """Connections per socket state and port; absent states are 0, unknown ones are counted in ``ignored_states``."""
     lines = _lines(df).withColumn("__svals", F.regexp_extract("value", r"^([^\t]+)\t(\S+)$", 1)).withColumn(
         "__ts", F.regexp_extract("value", r"^([^\t]+)\t(\S+)$", 2))
-    res = split_rows(lines, is_iso("__ts"), "no time stamp", on_bad)
+    counts = F.filter(F.split("__svals", ","), lambda x: F.length(F.trim(x)) > 0)
+    ok = is_iso("__ts") & F.forall(counts, lambda x: _fits(F.substring_index(x, "=", -1)))
+    res = split_rows(lines, ok, "no time stamp or a bad count", on_bad)
     rows = res.rows.withColumn("__m", pairs("__svals"))
     m = F.col("__m")
     known = F.array(*[F.lit(k) for k in ("port", *TCP_STATES, "TOTAL")])
@@ -174,7 +184,10 @@ def parse_dbvars(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseRe
     )
     cells = F.split("value", ",")
     body = lines.filter(~is_v1).withColumn("__c", cells).filter(F.trim(F.col("__c")[0]) != "timestamp")
-    v2 = split_rows(body, (F.size("__c") == len(DBVARS_V2) + 1) & is_iso(F.col("__c")[0]), "wrong number of columns", on_bad)
+    v2_ok = (F.size("__c") == len(DBVARS_V2) + 1) & is_iso(F.col("__c")[0])
+    for i, n in enumerate(DBVARS_V2, start=1):
+        v2_ok = v2_ok & _fits(F.get("__c", i), number if n in DBVARS_PERCENT else whole)
+    v2 = split_rows(body, v2_ok, "wrong number of columns", on_bad)
     v2_rows = v2.rows.select(
         *carried(df), parse_iso(F.col("__c")[0]).alias("timestamp"),
         *[(number if n in DBVARS_PERCENT else whole)(F.trim(F.col("__c")[i])).alias(n)
@@ -238,6 +251,8 @@ def parse_gfpools(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseR
     out = {}
     for section, names in POOL_SECTIONS.items():
         ok = (F.size("__c") == len(names) + 1) & is_iso(F.col("__c")[0])
+        for i, n in enumerate(names, start=1):
+            ok = ok if n in ("listener", "pool") else ok & _fits(F.get("__c", i))
         res = split_rows(lines.filter(F.col("__section") == section), ok, "wrong number of columns", on_bad)
         fields = [
             (F.col("__c")[i] if n in ("listener", "pool") else whole(F.col("__c")[i])).alias(n)

@@ -147,6 +147,25 @@ def test_ingest_load_undo_and_empty(spark, tmp_path):
     assert store.read_points(spark, path, log).isEmpty()
 
 
+def test_ingest_keeps_rejects_and_numbers_loads(spark, tmp_path):
+    d = tmp_path / "captures"
+    d.mkdir()
+    good = " 1 9 500 20 8 900 0 0 5 6 100 200 3 1 96 0 0 2020-09-13T05:26:40\n"
+    bad = good.replace("2020-09-13", "2020-02-30") + good.replace(" 9 ", " x500 ") + "garbage\n"
+    (d / "1_vmstat_007_100.txt").write_text(good + bad)
+    path, log = scratch_path(spark, "store"), scratch_path(spark, "log")
+    with pytest.warns(UserWarning, match="unknown monitor nonsense"):
+        report = ingest.load_all(spark, [str(d)], path, log, ["vmstat", "nonsense"]).first()
+    assert (report["status"], report["rejects"]) == ("loaded", 3)
+    assert spark.read.parquet(f"{path}-rejects").filter("host = '007' AND file_path IS NOT NULL AND reason IS NOT NULL").count() == 3
+    assert store.read_points(spark, path, log).filter("host = '007' AND load_seq = 0").count() == 13
+    store.undo_load(spark, log, 0)
+    ingest.load_all(spark, [str(d)], path, log, ["vmstat"])
+    assert {(r["load_seq"], r["count"]) for r in store.read_points(spark, path, log).groupBy("load_seq").count().collect()} == {(1, 13)}
+    with pytest.raises(ValueError, match="used already"):
+        store.load_points(store.read_points(spark, path, log).drop("load_seq"), path, log, 1)
+
+
 def test_registry_choice():
     assert registry.select_monitors(["vmstat", "nonsense"], None) == (["vmstat"], ["nonsense"])
     assert registry.select_monitors(["nonsense"], None)[0] == list(registry.MONITORS)
