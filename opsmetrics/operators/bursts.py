@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .ordered import SLICE, time_slice, with_slice
+from .ordered import KEY, SLICE, key_of, time_slice, with_slice
 
 Batches = Iterator[pd.DataFrame]
 
@@ -28,9 +28,14 @@ def _fields(df: DataFrame, names: list[str], **more: T.DataType) -> T.StructType
     return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in more.items()])
 
 
+def _at_end(keys: list[str]) -> list:
+    """The key on the last row of each slice, null elsewhere: the walks carry it no further."""
+    return [F.when(F.col("__end"), F.col(k)).alias(k) for k in key_of(keys)]
+
+
 def _by_slice(df: DataFrame, keys: list[str]) -> DataFrame:
     """Slice summaries in order per key, the first of each key flagged."""
-    w = Window.partitionBy(*keys).orderBy(SLICE)
+    w = Window.partitionBy(*key_of(keys)).orderBy(SLICE)
     return df.withColumn("__new", F.row_number().over(w) == 1)
 
 
@@ -49,18 +54,16 @@ def burst_numbers(
     """
     if slice_seconds <= max_gap:
         raise ValueError("slice_seconds must exceed max_gap")
-    order = [epoch, *ties]
+    order, key = [epoch, *ties], key_of(keys)
     base = with_slice(df, keys, time_slice(F.col(epoch), slice_seconds))
     near = F.col(epoch) - F.col(SLICE) * slice_seconds <= max_gap
-    for k in keys:
-        near = near & F.col(k).isNotNull()  # rows with a null key share one slice
     own = F.struct(F.col(SLICE).alias("s"), F.lit(False).alias("ahead"))
     copy = F.struct((F.col(SLICE) - 1).alias("s"), F.lit(True).alias("ahead"))
     shown = (
         base.withColumn("__at", F.explode(F.when(near, F.array(own, copy)).otherwise(F.array(own))))
         .withColumn(SLICE, F.col("__at.s")).withColumn("__ahead", F.col("__at.ahead")).drop("__at")
     )
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    w = Window.partitionBy(*key_of(keys), SLICE).orderBy(*order)
     size = F.lit(max_group)
     for i in range(max_group - 1, 0, -1):
         later = F.lead(epoch, i).over(w)
@@ -102,7 +105,7 @@ def burst_numbers(
                     ends.append((left, taken, whole))
             if not ends:  # the batch lies within one slice
                 continue
-            last = pdf.loc[pdf["__end"], [*keys, SLICE]]
+            last = pdf.loc[pdf["__end"], [*key, SLICE]]
             yield last.assign(left=[x[0] for x in ends], taken=[x[1] for x in ends], whole=[x[2] for x in ends])
 
     def chain(batches: Batches) -> Batches:
@@ -115,7 +118,7 @@ def burst_numbers(
                 states.append((left, taken))
                 taken = int(takens[left]) + (taken if wholes[left] else 0)
                 left = int(lefts[left])
-            yield pdf[[*keys, SLICE]].assign(__left=[s[0] for s in states], __taken=[s[1] for s in states])
+            yield pdf[[*key, SLICE]].assign(__left=[s[0] for s in states], __taken=[s[1] for s in states])
 
     def number(batches: Batches) -> Batches:
         left = taken = 0
@@ -133,14 +136,14 @@ def burst_numbers(
                 numbers.append(taken)
             yield pdf[base_columns].assign(**{out: np.asarray(numbers, dtype=np.int64)})
 
-    base_columns = base.columns
+    base_columns = [c for c in base.columns if c != KEY]
     longs, long = T.ArrayType(T.LongType()), T.LongType()
-    reduced = sized.select(*keys, SLICE, "__new", "__end", "__size").mapInPandas(
-        exits, _fields(sized, [*keys, SLICE], left=longs, taken=longs, whole=T.ArrayType(T.BooleanType())))
+    reduced = sized.select(*_at_end(keys), SLICE, "__new", "__end", "__size").mapInPandas(
+        exits, _fields(sized, [*key, SLICE], left=longs, taken=longs, whole=T.ArrayType(T.BooleanType())))
     states = _by_slice(reduced, keys).mapInPandas(
-        chain, _fields(sized, [*keys, SLICE], __left=long, __taken=long))
-    fed = sized.join(states, [*keys, SLICE], "left").fillna(0, ["__left", "__taken"])
-    ready = fed.select(*base_columns, "__new", "__size", "__left", "__taken").sortWithinPartitions(*keys, SLICE, *order)
+        chain, _fields(sized, [*key, SLICE], __left=long, __taken=long))
+    fed = sized.join(states, [*key, SLICE], "left").fillna(0, ["__left", "__taken"])
+    ready = fed.select(*key, *base_columns, "__new", "__size", "__left", "__taken").sortWithinPartitions(*key, SLICE, *order).drop(KEY)
     return ready.mapInPandas(number, _fields(base, base_columns, **{out: long})).drop(SLICE)
 
 
@@ -156,9 +159,9 @@ def spaced_picks(
     summary is its distinct seconds up to there, each with the slice's last pick
     if the picking began at that second.
     """
-    order = [epoch, *ties]
+    order, key = [epoch, *ties], key_of(keys)
     base = with_slice(df, keys, time_slice(F.col(epoch), slice_seconds))
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    w = Window.partitionBy(*key_of(keys), SLICE).orderBy(*order)
     flagged = (
         base.withColumn("__t", F.col(epoch).cast("bigint"))
         .withColumn("__new", F.row_number().over(w) == 1)
@@ -188,7 +191,7 @@ def spaced_picks(
                     found.append(outcomes(seconds))
             if not found:
                 continue
-            yield pdf.loc[pdf["__end"], [*keys, SLICE]].assign(first=[x[0] for x in found], last=[x[1] for x in found])
+            yield pdf.loc[pdf["__end"], [*key, SLICE]].assign(first=[x[0] for x in found], last=[x[1] for x in found])
 
     def chain(batches: Batches) -> Batches:
         held = None
@@ -201,7 +204,7 @@ def spaced_picks(
                 at = 0 if held is None else bisect_right(first, held + min_gap)
                 if at < len(first):
                     held = int(last[at])
-            yield pdf[[*keys, SLICE]].assign(__held=pd.array(entries, dtype="Int64"))
+            yield pdf[[*key, SLICE]].assign(__held=pd.array(entries, dtype="Int64"))
 
     def pick(batches: Batches) -> Batches:
         free_from = None
@@ -217,11 +220,11 @@ def spaced_picks(
                 picked.append(take)
             yield pdf[base_columns].assign(**{out: picked})
 
-    base_columns = base.columns
+    base_columns = [c for c in base.columns if c != KEY]
     longs = T.ArrayType(T.LongType())
-    reduced = flagged.select(*keys, SLICE, "__new", "__end", "__t").mapInPandas(
-        heads, _fields(flagged, [*keys, SLICE], first=longs, last=longs))
-    states = _by_slice(reduced, keys).mapInPandas(chain, _fields(flagged, [*keys, SLICE], __held=T.LongType()))
-    fed = flagged.join(states, [*keys, SLICE], "left")
-    ready = fed.select(*base_columns, "__t", "__new", "__held").sortWithinPartitions(*keys, SLICE, *order)
+    reduced = flagged.select(*_at_end(keys), SLICE, "__new", "__end", "__t").mapInPandas(
+        heads, _fields(flagged, [*key, SLICE], first=longs, last=longs))
+    states = _by_slice(reduced, keys).mapInPandas(chain, _fields(flagged, [*key, SLICE], __held=T.LongType()))
+    fed = flagged.join(states, [*key, SLICE], "left")
+    ready = fed.select(*key, *base_columns, "__t", "__new", "__held").sortWithinPartitions(*key, SLICE, *order).drop(KEY)
     return ready.mapInPandas(pick, _fields(base, base_columns, **{out: T.BooleanType()})).drop(SLICE)

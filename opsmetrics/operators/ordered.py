@@ -11,13 +11,12 @@ rows; the result is the same for every width.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLICE = "__slice"
+KEY = "__key"
 
 
 def time_slice(epoch: Column, seconds: int) -> Column:
@@ -25,19 +24,22 @@ def time_slice(epoch: Column, seconds: int) -> Column:
 
 
 def with_slice(df: DataFrame, keys: list[str], slice_expr: Column) -> DataFrame:
-    """Add the slice; rows with a null key share slice 0, so equality joins stay exact for them."""
-    if not keys:
-        return df.withColumn(SLICE, slice_expr)
-    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return df.withColumn(SLICE, F.when(null_key, F.lit(0).cast("bigint")).otherwise(slice_expr))
+    """Add the slice and the key as a struct: structs with equal nulls are equal, so null keys are sliced and joined like others."""
+    sliced = df.withColumn(SLICE, slice_expr)
+    return sliced.withColumn(KEY, F.struct(*keys)) if keys else sliced
+
+
+def key_of(keys: list[str]) -> list[str]:
+    """The column that stands for the keys after ``with_slice``."""
+    return [KEY] if keys else []
 
 
 def _attach(detail: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    return detail.join(carry, [*keys, SLICE], "left")
+    return detail.join(carry, [*key_of(keys), SLICE], "left")
 
 
 def _before(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*key_of(keys)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(
@@ -52,7 +54,7 @@ def running(
     sliced = with_slice(df, keys, slice_expr)
     for name, (_, value) in specs.items():
         sliced = sliced.withColumn(f"__v_{name}", value)
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(
+    w = Window.partitionBy(*key_of(keys), SLICE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1 if before_current else 0
     )
     plain = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -66,7 +68,7 @@ def running(
         else:
             detail = detail.withColumn(name, plain[kind](v).over(w))
             totals.append(plain[kind](v).alias(f"__c_{name}"))
-    carry = sliced.groupBy(*keys, SLICE).agg(*totals)
+    carry = sliced.groupBy(*key_of(keys), SLICE).agg(*totals)
     for name, (kind, _) in specs.items():
         c = F.col(f"__c_{name}")
         prior = F.last(c, ignorenulls=True) if kind == "last" else plain[kind](c)
@@ -81,7 +83,7 @@ def running(
             "last": F.coalesce(here, prior),
         }[kind]
         joined = joined.withColumn(name, both)
-    return joined.drop(SLICE, *[f"__{x}_{n}" for n in specs for x in "vc"])
+    return joined.drop(SLICE, KEY, *[f"__{x}_{n}" for n in specs for x in "vc"])
 
 
 def row_numbers(df: DataFrame, keys: list[str], slice_expr: Column, order: list[str], out: str = "rn") -> DataFrame:
@@ -94,7 +96,7 @@ def previous(
 ) -> DataFrame:
     """The 1st, 2nd, .. previous value per key, one output column each; null before the first row."""
     n = len(outs)
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    w = Window.partitionBy(*key_of(keys), SLICE).orderBy(*order)
     # Values are boxed in structs: an absent row is null, a null value is not.
     boxed = with_slice(df, keys, slice_expr).withColumn("__v", F.struct(value.alias("x")))
     detail = boxed.withColumn("__rn", F.row_number().over(w)).withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
@@ -102,12 +104,12 @@ def previous(
         detail = detail.withColumn(f"__l{i}", F.lag("__v", i).over(w))
     last = [F.col("__v")] + [F.col(f"__l{i}") for i in range(1, n)]
     tails = detail.filter("__end").select(
-        *keys, SLICE, F.filter(F.array(*last), lambda x: x.isNotNull()).alias("__tail")
+        *key_of(keys), SLICE, F.filter(F.array(*last), lambda x: x.isNotNull()).alias("__tail")
     )
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    by_slice = Window.partitionBy(*key_of(keys)).orderBy(SLICE)
     empty = F.slice("__tail", 1, 0)
     carry = tails.select(
-        *keys, SLICE,
+        *key_of(keys), SLICE,
         F.slice(F.concat(*[F.coalesce(F.lag("__tail", i).over(by_slice), empty) for i in range(1, n + 1)]), 1, n)
         .alias("__carry"),
     )
@@ -116,14 +118,14 @@ def previous(
         at = F.lit(i) - F.col("__rn") + 1
         old = F.when(at > 0, F.try_element_at("__carry", F.greatest(at, F.lit(1))))
         out = out.withColumn(name, F.coalesce(F.col(f"__l{i}"), old)["x"])
-    return out.drop(SLICE, "__v", "__rn", "__carry", *[f"__l{i}" for i in range(1, n + 1)])
+    return out.drop(SLICE, KEY, "__v", "__rn", "__carry", *[f"__l{i}" for i in range(1, n + 1)])
 
 
 def run_lengths(
     df: DataFrame, keys: list[str], slice_expr: Column, order: list[str], flag: Column, out: str = "run",
 ) -> DataFrame:
     """Length so far of the unbroken run of true flags ending at each row; 0 where the flag is false."""
-    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    w = Window.partitionBy(*key_of(keys), SLICE).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     detail = (
         with_slice(df, keys, slice_expr)
@@ -133,20 +135,20 @@ def run_lengths(
         .withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
     )
     tails = detail.filter("__end").select(
-        *keys, SLICE,
+        *key_of(keys), SLICE,
         (F.col("__n") - F.coalesce("__reset", F.lit(0))).alias("__trail"),
         F.col("__reset").isNotNull().cast("int").alias("__broken"),
     )
-    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    by_slice = Window.partitionBy(*key_of(keys)).orderBy(SLICE)
     carry = (
         tails.withColumn("__grp", F.sum("__broken").over(by_slice.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn(
             "__open",
             F.sum("__trail").over(
-                Window.partitionBy(*keys, "__grp").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
+                Window.partitionBy(*key_of(keys), "__grp").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)
             ),
         )
-        .select(*keys, SLICE, F.lag("__open").over(by_slice).alias("__carry"))
+        .select(*key_of(keys), SLICE, F.lag("__open").over(by_slice).alias("__carry"))
     )
     length = F.when(F.col("__reset").isNotNull(), F.col("__n") - F.col("__reset")).otherwise(
         F.col("__n") + F.coalesce("__carry", F.lit(0))
@@ -154,7 +156,7 @@ def run_lengths(
     return (
         _attach(detail.drop("__end"), carry, keys)
         .withColumn(out, length)
-        .drop(SLICE, "__f", "__n", "__reset", "__carry")
+        .drop(SLICE, KEY, "__f", "__n", "__reset", "__carry")
     )
 
 

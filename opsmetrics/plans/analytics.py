@@ -439,25 +439,27 @@ def copy_status(spark, sf) -> DataFrame:
 
 
 # Source and destination catalogs over the same orders: the destination misses later years and knows older ones.
+# Finished orders as one side, all others as the other.
+FINISHED, OPEN = "o_orderstatus = 'F'", "o_orderstatus <> 'F'"
 DIFF = """WITH s AS (SELECT DISTINCT o_orderpriority AS "table", 'PART' || strftime(o_orderdate, '%Y%m') AS part,
     epoch_us(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH) // 60000000 AS hi, o_orderstatus FROM orders)
-, a AS (SELECT DISTINCT "table", part, hi FROM s WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT "table", part, hi FROM s WHERE o_orderstatus = 'P')
+, a AS (SELECT DISTINCT "table", part, hi FROM s WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT "table", part, hi FROM s WHERE o_orderstatus <> 'F')
 """
 
 
-def _tight_bounds(spark, sf, status: str) -> DataFrame:
+def _tight_bounds(spark, sf, which: str) -> DataFrame:
     """Bounds whose limits are the day after the newest order of each month."""
-    catalog = table(spark, sf, "orders").filter(F.col("o_orderstatus") == status).groupBy(
+    catalog = table(spark, sf, "orders").filter(which).groupBy(
         F.col("o_orderpriority").alias("table"),
         F.concat(F.lit("PART"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("string")).alias("part"),
     ).agg((ts_min_of(epoch_of(F.max("o_orderdate"))) + 1440).alias("limit"))
     return relayout.partition_bounds(catalog)
 
 
-def _month_catalog(spark, sf, status: str) -> DataFrame:
+def _month_catalog(spark, sf, which: str) -> DataFrame:
     month = F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")
     following = F.add_months(month.cast("date"), 1).cast("timestamp_ntz")
-    return table(spark, sf, "orders").filter(F.col("o_orderstatus") == status).select(
+    return table(spark, sf, "orders").filter(which).select(
         F.col("o_orderpriority").alias("table"),
         F.concat(F.lit("PART"), (F.year("o_orderdate") * 100 + F.month("o_orderdate")).cast("string")).alias("part"),
         ts_min_of(epoch_of(following)).alias("limit")).distinct()
@@ -467,19 +469,19 @@ def _month_catalog(spark, sf, status: str) -> DataFrame:
   WHERE ("table", part) NOT IN (SELECT ("table", part) FROM a)
 UNION ALL SELECT "table", part, 'add', hi FROM a WHERE ("table", part) NOT IN (SELECT ("table", part) FROM b)""")
 def partition_diff(spark, sf) -> DataFrame:
-    return relayout.partition_diff(_month_catalog(spark, sf, "F"), _month_catalog(spark, sf, "P"), ["table"])
+    return relayout.partition_diff(_month_catalog(spark, sf, FINISHED), _month_catalog(spark, sf, OPEN), ["table"])
 
 
 TIGHT = """SELECT "table", part, coalesce(lag(hi) OVER (PARTITION BY "table" ORDER BY hi), 0) AS lo, hi FROM (
   SELECT o_orderpriority AS "table", 'PART' || strftime(o_orderdate, '%Y%m') AS part, max(epoch_us(o_orderdate)) // 60000000 + 1440 AS hi
-  FROM orders WHERE o_orderstatus = '{s}' GROUP BY 1, 2)"""
+  FROM orders WHERE {s} GROUP BY 1, 2)"""
 
 
-@query("bound_mismatches", f"""WITH x AS ({TIGHT.format(s='F')}), y AS ({TIGHT.format(s='P')})
+@query("bound_mismatches", f"""WITH x AS ({TIGHT.format(s=FINISHED)}), y AS ({TIGHT.format(s=OPEN)})
 SELECT x."table", x.part, x.lo, x.hi, y.lo AS dest_lo, y.hi AS dest_hi FROM x JOIN y ON x."table" = y."table" AND x.part = y.part
 WHERE x.lo <> y.lo OR x.hi <> y.hi""")
 def bound_mismatches(spark, sf) -> DataFrame:
-    return relayout.bound_mismatches(_tight_bounds(spark, sf, "F"), _tight_bounds(spark, sf, "P"), ["table"])
+    return relayout.bound_mismatches(_tight_bounds(spark, sf, FINISHED), _tight_bounds(spark, sf, OPEN), ["table"])
 
 
 @query("key_columns_listagg", """WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)

@@ -310,13 +310,13 @@ def roundtrip_iostat_clock(spark, sf) -> DataFrame:
     return _devices(iostat.parse_iostat_clock(_report_files(captures(spark, sf), banner, stamp)).rows, minutes=True)
 
 
-@query("disk_slow_join", E + """, d AS (SELECT host, left(iso, 13) AS h, sum(cents) AS s, count(*) AS n FROM e WHERE event_type IN ('click', 'view') GROUP BY 1, 2)
+@query("disk_slow_join", E + """, d AS (SELECT host, left(iso, 13) AS h, sum(cents) AS s, count(*) AS n FROM e WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2)
 , s AS (SELECT host, left(iso, 13) AS h, sum(cents) AS s, count(*) AS n FROM e WHERE event_type IN ('error', 'signup') GROUP BY 1, 2)
 SELECT d.host, d.h || ':00' AS minute, round(CAST(d.s AS DOUBLE) / d.n, 6) AS util, round(CAST(s.s AS DOUBLE) / s.n, 6) AS query_tm
 FROM d JOIN s ON s.host = d.host AND s.h = d.h""")
 def disk_slow_join(spark, sf) -> DataFrame:
     ev = captures(spark, sf).withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    disk = ev.filter(F.col("event_type").isin("click", "view")).select("host", "timestamp", F.col("cents").alias("util"))
+    disk = ev.filter(F.col("event_type").isin("click", "view", "purchase")).select("host", "timestamp", F.col("cents").alias("util"))
     slow = ev.filter(F.col("event_type").isin("error", "signup")).select("host", "timestamp", F.col("cents").alias("query_tm"))
     return iostat.disk_with_slow_inserts(disk, slow).select(
         "host", F.translate("minute", " ", "T").alias("minute"), F.round("util", 6).alias("util"), F.round("query_tm", 6).alias("query_tm"))

@@ -1,6 +1,6 @@
 """Streaming queries: landed files are run to the end and must equal their batch counterparts.
 
-Streams are keyed by host and day, so that no key's state sees an unbounded history.
+Streams are keyed by host alone, like their batch twins; a host's state is a few numbers whatever its history.
 """
 
 from __future__ import annotations
@@ -17,58 +17,57 @@ from ..sources import appserver
 from ..sources.files import monitor_availability, monitor_hosts
 from ..streaming import jobs
 from .base import BURSTS, E, events, query, recursive, table, with_helpers
-from .roundtrips import _dumps
+from .roundtrips import CUSTOM, _dumps
 
 
 def _stream(spark, sf) -> DataFrame:
     schema = table(spark, sf, "events").schema
-    return with_helpers(jobs.read_landed(spark, sf, schema, glob="events.parquet", max_files=64)).withColumn(
-        "day", F.substring("iso", 1, 10))
+    return with_helpers(jobs.read_landed(spark, sf, schema, glob="events.parquet", max_files=64))
 
 
-@query("stream_buffer_numbers", recursive(E) + ", r AS (SELECT host || left(iso, 10) AS k, fast AS t, event_id FROM e)" + BURSTS.format(order="t, event_id")
+@query("stream_buffer_numbers", recursive(E) + ", r AS (SELECT host AS k, fast AS t, event_id FROM e)" + BURSTS.format(order="t, event_id")
        + "SELECT event_id, buffer FROM b")
 def stream_buffer_numbers(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select("host", "day", "fast", "event_id")
-    return jobs.run_available(jobs.burst_numbers_stream(s, ["host", "day"], "fast", ["event_id"]), "buffers").select("event_id", "buffer")
+    s = _stream(spark, sf).select("host", "fast", "event_id")
+    return jobs.run_available(jobs.burst_numbers_stream(s, ["host"], "fast", ["event_id"]), "buffers").select("event_id", "buffer")
 
 
-FIRES = "WITH RECURSIVE" + E[4:] + """, p AS (SELECT user_id % 10 AS host_id, left(iso, 10) AS day, epoch, event_id, event_type <> 'purchase' AS failed,
-    row_number() OVER (PARTITION BY user_id % 10, left(iso, 10) ORDER BY epoch, event_id) AS rn FROM e)
-, s AS (SELECT host_id, day, epoch, event_id, rn, CASE WHEN failed THEN 1 ELSE 0 END AS losecount, -1::BIGINT AS last, false AS acted FROM p WHERE rn = 1
-  UNION ALL SELECT p.host_id, p.day, p.epoch, p.event_id, p.rn,
+FIRES = "WITH RECURSIVE" + E[4:] + """, p AS (SELECT user_id % 10 AS host_id, epoch, event_id, event_type <> 'purchase' AS failed,
+    row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch, event_id) AS rn FROM e)
+, s AS (SELECT host_id, epoch, event_id, rn, CASE WHEN failed THEN 1 ELSE 0 END AS losecount, -1::BIGINT AS last, false AS acted FROM p WHERE rn = 1
+  UNION ALL SELECT p.host_id, p.epoch, p.event_id, p.rn,
     CASE WHEN NOT p.failed THEN 0 WHEN s.losecount = 5 THEN 1 ELSE s.losecount + 1 END,
     CASE WHEN p.failed AND s.losecount = 4 AND (s.last < 0 OR p.epoch > s.last + 1800) THEN p.epoch ELSE s.last END,
     p.failed AND s.losecount = 4 AND (s.last < 0 OR p.epoch > s.last + 1800)
-  FROM s JOIN p ON p.host_id = s.host_id AND p.day = s.day AND p.rn = s.rn + 1)
+  FROM s JOIN p ON p.host_id = s.host_id AND p.rn = s.rn + 1)
 """
 
 
 @query("stream_failure_fires", FIRES + "SELECT event_id, CAST(losecount AS BIGINT) AS losecount, losecount = 5 AS fired, acted FROM s")
 def stream_failure_fires(spark, sf) -> DataFrame:
     s = _stream(spark, sf).select(
-        (F.col("user_id") % 10).alias("host_id"), "day", "epoch", "event_id", (F.col("event_type") != "purchase").alias("failed"))
+        (F.col("user_id") % 10).alias("host_id"), "epoch", "event_id", (F.col("event_type") != "purchase").alias("failed"))
     return jobs.run_available(
-        jobs.failure_fires_stream(s, ["host_id", "day"], "epoch", ["event_id"], "failed"), "fires"
+        jobs.failure_fires_stream(s, ["host_id"], "epoch", ["event_id"], "failed"), "fires"
     ).select("event_id", "losecount", "fired", "acted")
 
 
-@query("stream_rates", E + """, p AS (SELECT event_id, epoch, lag(epoch) OVER w AS e0, lag(event_id) OVER w AS i0 FROM e WINDOW w AS (PARTITION BY host, left(iso, 10) ORDER BY epoch, event_id))
+@query("stream_rates", E + """, p AS (SELECT event_id, epoch, lag(epoch) OVER w AS e0, lag(event_id) OVER w AS i0 FROM e WINDOW w AS (PARTITION BY host ORDER BY epoch, event_id))
 SELECT event_id, round(CASE WHEN epoch > e0 THEN CAST((event_id - i0) * 3 AS DOUBLE) / (epoch - e0) END, 9) AS rate FROM p""")
 def stream_rates(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select("host", "day", "epoch", "event_id", (F.col("event_id") * 3).alias("requests"))
+    s = _stream(spark, sf).select("host", "epoch", "event_id", (F.col("event_id") * 3).alias("requests"))
     return jobs.run_available(
-        jobs.rates_stream(s, ["host", "day"], "epoch", ["event_id"], "requests"), "rates"
+        jobs.rates_stream(s, ["host"], "epoch", ["event_id"], "requests"), "rates"
     ).select("event_id", F.round("rate", 9).alias("rate"))
 
 
 @query("stream_saturation", E + """, p AS (SELECT event_id, cents, coalesce(lag(cents) OVER w, 0) AS p1, coalesce(lag(cents, 2) OVER w, 0) AS p2 FROM e
-  WINDOW w AS (PARTITION BY host, left(iso, 10) ORDER BY event_id))
+  WINDOW w AS (PARTITION BY host ORDER BY event_id))
 SELECT event_id, p2 >= p1 AND p2 >= cents AS saturated FROM p""")
 def stream_saturation(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select("host", "day", "event_id", F.col("cents").alias("rate"))
+    s = _stream(spark, sf).select("host", "event_id", F.col("cents").alias("rate"))
     return jobs.run_available(
-        jobs.saturation_stream(s, ["host", "day"], "event_id", "rate"), "saturation").select("event_id", "saturated")
+        jobs.saturation_stream(s, ["host"], "event_id", "rate"), "saturation").select("event_id", "saturated")
 
 
 @query("stream_sampled_periods", """SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%dT%H:%M:%S') AS period_start, event_type,
@@ -96,9 +95,9 @@ def stream_distinct_lines(spark, sf) -> DataFrame:
     return jobs.run_available(once.select("host", "iso", "cents"), "distinct")
 
 
-@query("stream_custom_metrics", """SELECT event_id, 'name=Custom Metrics|Thread Pool|http-listener-1|Keep-Alive|Max,aggregator=OBSERVATION,value=' || greatest(event_id - 500, 0) AS value FROM events""")
+@query("stream_custom_metrics", CUSTOM + "SELECT event_id, 'name=Custom Metrics|' || name || ',aggregator=OBSERVATION,value=' || value AS value FROM m")
 def stream_custom_metrics(spark, sf) -> DataFrame:
-    named = appserver.appserver_metrics(_dumps(_stream(spark, sf)).select("event_id", "value")).filter(F.col("name").contains("Keep-Alive"))
+    named = appserver.appserver_metrics(_dumps(_stream(spark, sf)).select("event_id", "value"))
     line = F.format_string("name=Custom Metrics|%s,aggregator=OBSERVATION,value=%d", "name", "value").alias("value")
     return jobs.run_available(named.select("event_id", line), "custom")
 
@@ -119,12 +118,12 @@ def stream_catch_up_copy(spark, sf) -> DataFrame:
 
 
 @query("store_after_undo", E + """SELECT metric, host, 'L' || seq AS load_id, count(*) AS points, CAST(sum(cents) AS BIGINT) AS total FROM (
-  SELECT 'busy' AS metric, 'h' || (user_id % 10) AS host, 0 AS seq, cents FROM e WHERE event_type = 'click'
-  UNION ALL SELECT 'busy', 'h' || (user_id % 10), 2, cents FROM e WHERE event_type = 'error') GROUP BY 1, 2, 3""")
+  SELECT 'busy' AS metric, 'h' || (user_id % 10) AS host, 
+  CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS seq, cents FROM e WHERE event_type <> 'view') GROUP BY 1, 2, 3""")
 def store_after_undo(spark, sf) -> DataFrame:
-    """Three loads, the second withdrawn."""
+    """Five loads, one for each type of event, the second withdrawn."""
     path, log = scratch_path(spark, "points"), scratch_path(spark, "load-log")
-    for kind in ("click", "view", "error"):
+    for kind in ("click", "view", "error", "purchase", "signup"):
         rows = events(spark, sf).filter(F.col("event_type") == kind).select(
             F.col("ts").alias("timestamp"), F.concat(F.lit("h"), (F.col("user_id") % 10).cast("string")).alias("host"), "cents")
         seq = store.next_load_id(store.read_log(spark, log)).first()["load_seq"]

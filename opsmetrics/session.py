@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,14 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of its own; a cluster without
     the setting is an error, because a machine-local folder would lose data with
-    its executor.
+    its executor. The local folder goes with the process.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), "opsmetrics-checkpoints")
+    return _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    """The folder of a local run, removed when its process ends."""
+    path = tempfile.mkdtemp(prefix="opsmetrics-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -139,3 +139,17 @@ def read_multi_header_csv(df: DataFrame) -> DataFrame:
         .filter((F.col("line") > 0) & (F.length(F.trim("__line")) > 0))
         .select(*keep, "block", "line", F.map_from_arrays("__header", padded).alias("cells"))
     )
+
+
+def without_overlap(df: DataFrame) -> DataFrame:
+    """Rows of overlapping captures once; a row as often as the capture that holds it most often.
+
+    Equal rows of one file are genuine repeats, equal rows of several files are the same ones. Without ``file_path``
+    the rows cannot be told apart and equal ones count once.
+    """
+    facts = [c for c in df.columns if c != "file_path"]
+    if len(facts) == len(df.columns):
+        return df.distinct()
+    per_file = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    most = per_file.groupBy(*facts).agg(F.max("__n").alias("__n"))
+    return most.select(*facts, F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")).alias("__n")).drop("__n")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import after_equals, get, number, pairs, unix_lines, whole, words
 from ..functions.time import is_iso, parse_iso
-from .files import ParseResult, carried, split_rows
+from .files import ParseResult, carried, split_rows, without_overlap
 
 # Position (from 1) of each kept field in a stamped virtual-memory line.
 VMSTAT_FIELDS = {
@@ -203,7 +203,7 @@ def parse_slowlog(
     """Slow-insert lines with or without a ``buffer`` field.
 
     Lines without one are numbered per host (see ``burst_numbers``). Lines
-    repeated by overlapping captures are removed first.
+    repeated by overlapping captures are removed first; the file they came from is then no longer known.
     """
     lines = _lines(df).withColumn("__f", words("value"))
     equals = F.length("value") - F.length(F.translate("value", "=", ""))
@@ -219,7 +219,7 @@ def parse_slowlog(
         number(F.element_at("__v", -3)).alias("query_tm"), number(F.element_at("__v", -2)).alias("lock_tm"),
         whole(F.element_at("__v", -1)).alias("rows"),
     )
-    rows = rows.dropDuplicates([c for c in rows.columns if c != "file_path"])
+    rows = without_overlap(rows)
     if not number_missing:
         return ParseResult(rows, res.rejects)
     from ..functions.time import epoch_of

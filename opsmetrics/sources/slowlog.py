@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import number, unix_lines, whole
 from ..functions.time import ntz_in_zone
 from ..operators.bursts import burst_numbers
-from .files import carried
+from .files import carried, without_overlap
 
 RECORD_SEP = "# User@Host: "  # fixed value: begins every record
 # Statement forms of a metric insert, across versions.
@@ -45,12 +45,13 @@ def mine_slow_log(
 ) -> DataFrame:
     """Metric inserts with burst numbers and local time, those slower than ``min_secs``.
 
-    Overlapping captures repeat statements, so equal rows of a host count once.
+    Overlapping captures repeat statements, so equal rows of a host count as often as in the capture with most of them.
     Numbers are given before the threshold drops rows.
     """
     found = parse_mysql_slow_log(df, patterns)
     by = [k for k in keys if k in found.columns]
-    facts = found.select(*by, "epoch", "query_tm", "lock_tm", "rows").distinct()
+    file = [c for c in found.columns if c == "file_path"]
+    facts = without_overlap(found.select(*by, *file, "epoch", "query_tm", "lock_tm", "rows"))
     numbered = burst_numbers(
         facts, by, "epoch", ["query_tm", "lock_tm", "rows"], "buffer", max_gap, max_group, slice_seconds
     )

@@ -41,7 +41,8 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", timeout:
     """Process what has landed, stop, and return the result as a stored table.
 
     Result and checkpoint live in the shared folder. Append results go through the
-    exactly-once file sink; complete results replace the table batch by batch.
+    exactly-once file sink; complete results replace the table batch by batch. A run that
+    does not end within ``timeout`` seconds is stopped and raises; no part of a result is returned.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, label)
@@ -52,7 +53,9 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", timeout:
         def replace(batch: DataFrame, _: int) -> None:
             batch.write.mode("overwrite").parquet(f"{base}/rows")
         query = writer.outputMode(mode).foreachBatch(replace).start()
-    query.awaitTermination(timeout)
+    if query.awaitTermination(timeout) is False:
+        query.stop()
+        raise TimeoutError(f"{label}: not everything that has landed was read within {timeout} seconds")
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from opsmetrics.operators import health, ordered
 from opsmetrics.operators.bursts import burst_numbers, spaced_picks
-from opsmetrics.operators.ordered import time_slice
+from opsmetrics.operators.ordered import KEY, SLICE, previous, row_numbers, time_slice, with_slice
 
 
 def fold_bursts(rows, max_gap=15, max_group=4):
@@ -131,3 +131,18 @@ def test_service_wait(spark):
     df = spark.createDataFrame([("h", 0, 100, 9), ("h", 10, 120, 5), ("h", 20, 120, 5), ("h", 20, 90, 5)], "host string, epoch bigint, requests bigint, queued bigint")
     waits = [r["est_wait"] for r in health.service_wait(df, ties=["requests"]).orderBy("epoch", "requests").collect()]
     assert waits == [0, 2, 0, 0]  # first sample, 5 / 2 rounded to even, falling counter, no time passed
+
+
+def test_null_keys_are_sliced_like_others(spark):
+    """A third of the keys is null; every (key, slice) stays within its width, and null rows follow each other like others."""
+    rows = [(None if i % 3 == 0 else "a", i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t bigint, i bigint")
+    sliced = with_slice(df, ["k"], time_slice(F.col("t"), 100))
+    assert max(r["count"] for r in sliced.groupBy(KEY, SLICE).count().collect()) <= 100
+    got = {r["i"]: (r["rn"], r["before"]) for r in previous(
+        row_numbers(df, ["k"], time_slice(F.col("t"), 100), ["t"]), ["k"], time_slice(F.col("t"), 100), ["t"], F.col("i"), ["before"]).collect()}
+    seen: dict = {}
+    for k, _, i in rows:
+        n, last = seen.get(k, (0, None))
+        assert got[i] == (n + 1, last)
+        seen[k] = (n + 1, i)

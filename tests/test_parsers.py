@@ -271,3 +271,12 @@ def test_column_checks(spark):
     with pytest.raises(Exception, match="inconsistent column count"):
         check_columns(df, ["run"], n, "fail").rows.collect()
     assert split_rows(df, F.lit(None).cast("boolean"), "x").rejects.count() == 4
+
+
+def test_repeats_of_one_capture_stay_and_overlaps_go(spark):
+    from opsmetrics.sources.files import without_overlap
+
+    rows = [("h", "f1", 5), ("h", "f1", 5), ("h", "f2", 5), ("h", "f2", 7), (None, "f1", 5), ("h", None, 9)]
+    got = without_overlap(spark.createDataFrame(rows, "host string, file_path string, x int")).collect()
+    assert sorted((r["host"] or "", r["x"]) for r in got) == [("", 5), ("h", 5), ("h", 5), ("h", 7), ("h", 9)]
+    assert without_overlap(spark.createDataFrame(rows, "host string, file_path string, x int").drop("file_path")).count() == 4
