@@ -183,43 +183,57 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     spark, model = docs.sparkSession, load(path)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = stored(_frequent(given, path, frequent).select("word"), "pieces")
+    # dealt by word before the lattice, so that edges need no shuffle
+    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     known = stored(lattice(words, ["word"], model), "pieces").toArrow()  # at most ``frequent`` words
+    kind = "<u2" if len(model.pieces) < (1 << 16) - 1 else "<u4"
+    mark = np.iinfo(kind).max  # stands before the place of a word that is not frequent, in two halves of 16 bits
     names = known["word"].to_pylist()
-    flat = known["ids"].combine_chunks() if known.num_rows else None
-    ids = [v.values.to_numpy().astype("<u2" if len(model.pieces) < 1 << 16 else "<u4").tobytes() for v in flat] if known.num_rows else []
-    sent = spark.sparkContext.broadcast((names, ids))
-    kind = "<u2" if len(model.pieces) < 1 << 16 else "<u4"
+    flat = known["ids"].combine_chunks() if known.num_rows else []
+    sent = spark.sparkContext.broadcast((names, [v.values.to_numpy().astype(kind).tobytes() for v in flat]))
 
     def split(batches):
-        own, order = load(path), {w: k for k, w in enumerate(sent.value[0])}
-        n = len(order)
+        own, order = load(path), dict(zip(*sent.value))
         for part, texts in slices(batches):
-            codes, rare, crcs = [], [], []
+            packed, rare, crcs = [], [], []
             for text in texts.to_pylist():
                 more: dict[str, int] = {}
-                row = [order[w] if w in order else n + more.setdefault(w, len(more)) for w in own.words(text)]
-                codes.append(np.array(row, "<u4").tobytes())
+                row = []
+                for w in own.words(text):
+                    ids = order.get(w)
+                    if ids is None:
+                        k = more.setdefault(w, len(more))
+                        ids = np.array([mark, k >> 16, k & 0xFFFF], kind).tobytes()
+                    row.append(ids)
+                packed.append(b"".join(row))
                 rare.append(list(more))
                 crcs.append(binascii.crc32(text.encode()))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(crcs, pa.int64())],
-                names=["doc_id", "key", "codes", "rare", "text_crc32"])
+                [part.column(0), part.column(2), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(crcs, pa.int64())],
+                names=["doc_id", "key", "packed", "rare", "text_crc32"])
 
     def join(batches):
-        n = len(sent.value[0])
         for batch in batches:
             rows = []
-            for codes, rare in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rare = [np.array(r["ids"], kind).tobytes() for r in rare or ()]
-                packed = b"".join([sent.value[1][c] if c < n else rare[c - n] for c in np.frombuffer(codes, "<u4").tolist()])
-                rows.append(np.frombuffer(packed, kind).astype(np.int32))
+            for packed, rare in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids = np.frombuffer(packed, kind)
+                if rare:
+                    solved = [np.array(r["ids"], kind) for r in rare]
+                    parts, at = [], 0
+                    for m in np.flatnonzero(ids == mark).tolist():
+                        if m < at:  # half of a place
+                            continue
+                        parts += [ids[at:m], solved[(int(ids[m + 1]) << 16) + int(ids[m + 2])]]
+                        at = m + 3
+                    ids = np.concatenate([*parts, ids[at:]])
+                rows.append(ids.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), batch.column(3)], names=["doc_id", "ids", "text_crc32"])
 
     dealt = given.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(
-        split, "doc_id bigint, key bigint, codes binary, rare array<string>, text_crc32 bigint").repartition("key")
+        split, "doc_id bigint, key bigint, packed binary, rare array<string>, text_crc32 bigint").repartition("key")
     rare = dealt.where("size(rare) > 0").select("key", F.posexplode("rare").alias("k", "word"))
     solved = lattice(rare, ["key", "k"], model).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("solved"))
-    return dealt.join(solved, "key", "left").select("doc_id", "codes", "solved", "text_crc32").mapInArrow(join, "doc_id bigint, ids array<int>, text_crc32 bigint")
+    return dealt.join(solved, "key", "left").select("doc_id", "packed", "solved", "text_crc32").mapInArrow(join, "doc_id bigint, ids array<int>, text_crc32 bigint")
 
 
 def decode(rows: DataFrame, path: str, out: str = "text") -> DataFrame:
