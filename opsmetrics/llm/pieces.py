@@ -4,18 +4,21 @@ A text is normalised as the model file says (spaces become the space mark, one i
 space mark that follows another character; no piece of the vocabulary crosses such a cut (checked when the file is
 read), so words can be encoded on their own. **Lattice:** each word's substrings of up to the longest piece's length are
 rows, an equi-join with the piece table keeps the edges (a single character without a piece is an edge of its bytes),
-edges are grouped by word, and ``aggregate`` folds them in order of their ends: the best score of each position and the
-edge that gives it; ties go to the edge that starts earlier. A second fold walks back. The piece table has a fixed size
-(the vocabulary) and is broadcast.
+and edges are grouped by word. The piece table has a fixed size (the vocabulary) and is broadcast. **Fold:** by the kind
+that the model file states. In a file of merges (BPE), a word starts as its characters, and the adjacent pair whose
+piece has the best score is merged, the leftmost of equals, until no pair has a piece. In a unigram file, ``aggregate``
+folds the edges in order of their ends: the best score of each position and the edge that gives it; ties go to the edge
+that starts earlier; a second fold walks back. ``encode`` can be asked for either fold; the query and the pipeline take
+the file's own.
 
 The ``FREQUENT`` most frequent words of all texts are encoded once and sent to the tasks as a table of bounded size.
 Other words are encoded in place, by the same lattice, per document: documents are dealt by a hash of id and text once,
 and words, edges and results stay within that partitioning. No word or document is left out, and both ways give the
-same ids. A word's fold copies its positions per step, so the time of a single word without spaces grows with the
-square of its length.
+same ids. The best-path fold copies a word's positions per step, so the time of a single word without spaces grows with the
+square of its length; merging takes n log n.
 
-Scores are those of the file; a maximum of their sum is what the library computes from a unigram model with the same
-pieces (the tests compare with it), but in double precision: beside a run of spaces or an unknown character, which score -1e9, the library's
+Scores are those of the file. Merges give the library's ids (the tests compare with it, unpatched). A maximum of their
+sum is what the library computes from a unigram model with the same pieces, but in double precision: beside a run of spaces or an unknown character, which score -1e9, the library's
 32-bit sums round other scores away. Null and empty texts have no ids. Repeated rows are encoded like others; a null id
 stays null; extra columns are ignored; an empty table gives no rows.
 """
@@ -23,6 +26,7 @@ stays null; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import binascii
+import heapq
 import struct
 from collections import Counter
 from functools import lru_cache
@@ -39,7 +43,8 @@ MARK = "▁"
 FREQUENT = 200_000
 LOCAL = 200_000  # distinct words a task counts before it passes them on
 UNKNOWN_PENALTY = 10.0
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
+UNIGRAM, BPE = 1, 2
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -72,16 +77,23 @@ class Model:
         with open(path, "rb") as f:
             data = f.read()
         self.pieces: list[tuple[str, float, int]] = []
-        self.prefix = True
+        self.prefix, kind = True, UNIGRAM
         for field, value in _fields(data):
             if field == 1:
                 own = dict(_fields(value))
                 self.pieces.append((own[1].decode(), struct.unpack("<f", own[2])[0] if 2 in own else 0.0, own.get(3, NORMAL)))
+            elif field == 2:
+                kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 own = dict(_fields(value))
                 if own.get(2) or own.get(4, 1):
                     raise ValueError("only models without a character map that keep white space are read")
                 self.prefix = bool(own.get(3, 1))
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("only unigram and BPE models are read")
+        self.merges = kind == BPE
+        if self.merges and any(k in (USER_DEFINED, UNUSED) for _, _, k in self.pieces):
+            raise ValueError("user-defined and unused pieces are merged by rules of their own, which are not built")
         self.table = [(p, k, s) for k, (p, s, kind) in enumerate(self.pieces) if kind == NORMAL]
         self.longest = max(len(p) for p, _, _ in self.table)
         self.unknown = min(s for _, _, s in self.table) - UNKNOWN_PENALTY
@@ -141,8 +153,39 @@ def _best(edges: Column) -> Column:
     return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1), F.lit(-1)), start, back, lambda held: held["ids"])
 
 
-def lattice(words: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    """(keys, ids) for rows (keys, word): substrings, equi-join with the piece table, grouping by word, fold."""
+def merged(edges) -> list[int]:
+    """Ids of a word by merge order over its edges (end, start, score, ids): the best adjacent pair first, the leftmost of equals."""
+    held = {(start, end): (score, ids) for end, start, score, ids in edges}
+    n = max(end for _, end in held)
+    after, before = list(range(1, n + 1)), list(range(-1, n))  # the symbol at a place ends there; the symbol that ends at a place starts there
+    pairs = [(-held[s, s + 2][0], s, s + 1, s + 2) for s in range(n - 1) if (s, s + 2) in held]
+    heapq.heapify(pairs)
+    while pairs:
+        _, s, middle, e = heapq.heappop(pairs)
+        if after[s] != middle or after[middle] != e:
+            continue
+        after[s], after[middle], before[e] = e, -1, s
+        if s > 0 and (before[s], e) in held:
+            heapq.heappush(pairs, (-held[before[s], e][0], before[s], s, e))
+        if e < n and (s, after[e]) in held:
+            heapq.heappush(pairs, (-held[s, after[e]][0], s, e, after[e]))
+    out, at = [], 0
+    while at < n:
+        out += held[at, after[at]][1]
+        at = after[at]
+    return out
+
+
+def _merged_column(column: pa.Array) -> pa.Array:
+    """``merged`` of each row of a column of edge lists."""
+    offs = column.offsets.to_numpy() - column.offsets[0].as_py()
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(k).to_pylist() for k in range(4))))
+    return pa.array([merged(rows[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.list_(pa.int32()))
+
+
+def lattice(words: DataFrame, keys: list[str], model: Model, merges: bool = False) -> DataFrame:
+    """(keys, ids) for rows (keys, word): substrings, equi-join with the piece table, grouping by word, fold; with ``merges`` (keys, edges), not folded."""
     table_ = words.sparkSession.createDataFrame(model.table, "piece string, id int, score double")
     places = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     parts = places.select(
@@ -153,6 +196,8 @@ def lattice(words: DataFrame, keys: list[str], model: Model) -> DataFrame:
     edges = parts.join(F.broadcast(table_), "piece", "left").where("id IS NOT NULL OR n = 0").select(*keys, F.struct(
         (F.col("start") + F.col("n") + 1).alias("end"), "start", F.coalesce("score", F.lit(model.unknown)).alias("score"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled).alias("ids")).alias("edge"))
+    if merges:
+        return edges.groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
     grouped = edges.groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     return grouped.select(*keys, _best(F.col("edges")).alias("ids"))
 
@@ -178,14 +223,22 @@ def _frequent(docs: DataFrame, path: str, most: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
-def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, ids, text_crc32) of each row of ``docs (doc_id, text)``."""
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, merges: bool = False) -> DataFrame:
+    """(doc_id, ids, text_crc32) of each row of ``docs (doc_id, text)``: by the best path, or by merge order."""
     spark, model = docs.sparkSession, load(path)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def fold(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _merged_column(batch.column(1))], names=["word", "ids"])
+
     words = stored(_frequent(given, path, frequent).select("word"), "pieces")
     # dealt by word before the lattice, so that edges need no shuffle
     words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
-    known = stored(lattice(words, ["word"], model), "pieces").toArrow()  # at most ``frequent`` words
+    solved = lattice(words, ["word"], model, merges)
+    if merges:
+        solved = solved.mapInArrow(fold, "word string, ids array<int>")
+    known = stored(solved, "pieces").toArrow()  # at most ``frequent`` words
     kind = "<u2" if len(model.pieces) < (1 << 16) - 1 else "<u4"
     mark = np.iinfo(kind).max  # stands before the place of a word that is not frequent, in two halves of 16 bits
     names = known["word"].to_pylist()
@@ -218,7 +271,7 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
             for packed, rare in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids = np.frombuffer(packed, kind)
                 if rare:
-                    solved = [np.array(r["ids"], kind) for r in rare]
+                    solved = [np.array(merged([tuple(e.values()) for e in r["edges"]]) if merges else r["ids"], kind) for r in rare]
                     parts, at = [], 0
                     for m in np.flatnonzero(ids == mark).tolist():
                         if m < at:  # half of a place
@@ -232,7 +285,9 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     dealt = given.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(
         split, "doc_id bigint, key bigint, packed binary, rare array<string>, text_crc32 bigint").repartition("key")
     rare = dealt.where("size(rare) > 0").select("key", F.posexplode("rare").alias("k", "word"))
-    solved = lattice(rare, ["key", "k"], model).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("solved"))
+    # merging is done behind the join, where the rows are already dealt
+    solved = lattice(rare, ["key", "k"], model, merges).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("k", "edges" if merges else "ids"))).alias("solved"))
     return dealt.join(solved, "key", "left").select("doc_id", "packed", "solved", "text_crc32").mapInArrow(join, "doc_id bigint, ids array<int>, text_crc32 bigint")
 
 
@@ -256,7 +311,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
-    back = decode(encode(docs, path), path, "decoded")
+    back = decode(encode(docs, path, merges=load(path).merges), path, "decoded")
     return back.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_crc32"),
         (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))

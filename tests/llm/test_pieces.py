@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import public_tokenizers
 import sentencepiece
@@ -65,3 +66,19 @@ def test_query(spark, docs, folder):
     rows = [(1, "hello  world\n"), (1, "hello  world\n"), (None, "a b"), (2, None)]
     got = pieces.op1_sentencepiece(spark, folder(documents=docs(rows))).collect()
     assert len(got) == 4 and all(r.round_trip for r in got) and sorted(r.n_tokens for r in got)[0] == 0
+
+
+def test_merges_equal_the_unpatched_library(spark, docs, folder):
+    rng = random.Random(3)
+    bits = ["the", "international information", "Été", "日本語", "\n", "  ", "   ", "xqzzy", "🙂", "123", "a.b,c!", "ñandú", "\t", "▁", "thorreou", "<s>", "unbelievably"]
+    texts = {k: "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for k in range(120)}
+    texts |= {500: None, 501: "", 502: " ", 503: "word " * 3000, 504: "x" * 600, 505: " " * 77 + "a", 506: "international information"}
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    want = {k: library.encode(t or "") for k, t in texts.items()}
+    for frequent in (30, 10_000):
+        got = {r.doc_id: r.ids for r in pieces.encode(docs(texts), PATH, frequent, merges=True).collect()}
+        assert got == want
+    assert [library.id_to_piece(i) for i in want[506]] == ["▁international", "▁information"]
+    rows = {r.doc_id: r for r in pieces.op1_sentencepiece(spark, folder(documents=docs(texts))).collect()}
+    for k, ids in want.items():
+        assert rows[k].n_tokens == len(ids) and rows[k].ids_crc32 == zlib.crc32(",".join(map(str, ids)).encode()), k
