@@ -21,7 +21,9 @@ similar to their common pivot p still has to be found: with ``Rx`` the elements
 ``|x - y| = |Rx| + |Ry| - 2 |Rx and Ry|``, so Rx and Ry overlap in at least ``(|Rx| + |Ry| - H) / 2`` elements. These
 small difference sets are joined by prefix: elements ordered by frequency around the pivot, rare ones first, pairs
 only where both positions still allow the overlap and so do bit maps of both sets (a bit that only one has stands for
-an element outside the overlap); the whole sets decide. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
+an element outside the overlap); the whole sets decide. Sets near p (d of at most four times h, the most in which a set
+and a partner differ) meet with all of their differences, sets far from it with a prefix. If one of a pair is not near,
+both count as far: the limit for far is four times the h of the smallest partner, less the set's own h. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
 pairs that are not connected yet are kept, so a large group of near copies yields no square of links.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set's size and two sums of element hashes), so
@@ -253,8 +255,10 @@ def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
                 h = difference(len(x), len(x) * 100 // percent, percent)
                 rows["d"].append(len(d))
                 rows["diff"].append((d if len(d) <= 4 * h else d[:0]).view(np.int64))
+                least = -(-len(x) * percent // 100)
+                limit = 4 * difference(least, least * 100 // percent, percent) - h
                 own = np.isin(d, p, assume_unique=True)
-                rows["far"].append((np.concatenate([d[~own], d[own]])[: h + 1] if len(d) > 3 * h else d[:0]).view(np.int64))
+                rows["far"].append((np.concatenate([d[~own], d[own]])[: h + 1] if len(d) > limit else d[:0]).view(np.int64))
                 bits = mix(d ^ _SALT) >> np.uint64(64 - 6 - MAP_BITS)
                 held = np.zeros(MAP_WORDS, np.uint64)
                 np.bitwise_or.at(held, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
@@ -298,7 +302,7 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     ordered = (
         element.join(often, ["p", "e"]).groupBy("p", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda s: s["e"]).alias("diff")))
     near = near.drop("diff").join(ordered, ["p", "x"]).withColumn("part", F.lit(0))
-    far = rows.where("d > 3 * h").drop("diff").withColumnRenamed("far", "diff").withColumn("part", F.lit(1))
+    far = rows.where("size(far) > 0").drop("diff").withColumnRenamed("far", "diff").withColumn("part", F.lit(1))
     # at most one of the pair is similar to the pivot, so the overlap has a lower bound that depends on one side only
     bound = F.when(F.col("linked"), F.ceil((F.col("d") + F.col("least") - F.col("h")) / 2)).otherwise(F.col("d") - F.col("h"))
     maps = [f"m{k}" for k in range(MAP_WORDS)]

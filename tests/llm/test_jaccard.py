@@ -95,3 +95,31 @@ def test_bands_cover_partners():
         for n in list(range(1, 3000)) + [50_000, 77_777]:
             at = np.searchsorted(edges, [n, n * 100 // percent], "right")
             assert at[1] - at[0] <= 1
+
+
+@pytest.mark.parametrize("percent,n_x,n_y,common,pivot_x,pivot_common", [(90, 100, 95, 93, 7, 60), (80, 100, 90, 87, 13, 12), (50, 40, 22, 21, 19, 0), (90, 95, 100, 93, 2, 60)])
+def test_pairs_of_unequal_sizes_meet_around_a_pivot(spark, percent, n_x, n_y, common, pivot_x, pivot_common):
+    pool = np.random.default_rng(4).integers(0, 1 << 64, 400, dtype=np.uint64).tolist()
+    both, of_x, of_y = pool[:common], pool[100 : 100 + n_x - common], pool[200 : 200 + n_y - common]
+    given = {1: of_x[:pivot_x] + both[:pivot_common], 2: both + of_x, 3: both + of_y}
+    assert 100 * common >= percent * (n_x + n_y - common)
+    frame = lambda sets: spark.createDataFrame(
+        [(k, np.sort(np.array(v, np.uint64)).view(np.int64).tolist()) for k, v in sets.items()], "node bigint, elements array<bigint>")
+    sets = frame(given)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "p bigint, x bigint")
+    stars = jaccard._against_pivot(jaccard._both_sets(pairs, sets), percent)
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    assert [tuple(r) for r in jaccard._around_pivots(stars, roots, sets, percent).collect()] == [(2, 3)]
+
+
+def test_each_pair_shares_a_part():
+    """Whatever the sizes and distances of a similar pair, both are near the pivot or both are far from it."""
+    for percent in (50, 67, 80, 90, 99):
+        h = lambda n: jaccard.difference(n, n * 100 // percent, percent)
+        limit = lambda n: 4 * h(-(-n * percent // 100)) - h(n)
+        for n in range(1, 300):
+            for other in range(-(-n * percent // 100), n + 1):
+                most = jaccard.difference(n, other, percent)
+                for a, b in ((n, other), (other, n)):
+                    d = 4 * h(a) + 1  # the least distance that is not near; the partner's is smaller by ``most`` or less
+                    assert d > limit(a) and d - most > limit(b)
