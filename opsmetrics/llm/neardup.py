@@ -1,15 +1,12 @@
-"""Operator 4, embedding near-dedup by NN-descent: vectors of one label with a cosine of at least a threshold are linked.
-
-Equal vectors of a label are one node. **Start:** in each of ``TABLES`` tables, nodes are sorted by label and by the
-sign bits of random projections (range partitions, so no bucket can grow large) and compared within leaves of ``LEAF``
-neighbours in that order. **Descent:** every node keeps its best neighbours; each round joins, at every node, its
-neighbours with each other (neighbours of neighbours) and keeps the better ones; edges at or above the threshold are
-kept for good. A node whose whole list is at or above the threshold is saturated and gets a list twice as long in the
-next round. **Audit:** after each round the links of a bounded set of nodes (those with the smallest hashes) are found
-by brute force against all nodes of their label; the descent ends when the share of them that it has connected reaches
-``RECALL`` and no new links come, or after ``ROUNDS``. **Links:** the lists of saturated nodes are then enlarged to
-all nodes they are connected with, block against block, and counted there; pairs are not emitted. So every link inside
-a component counts, and a link can only be missing where the descent did not connect its two components at all.
+"""Operator 4, exact embedding near-dedup: vectors of one label with a cosine of at least a threshold are linked.
+
+Equal vectors of a label are one node. **Blocks:** the nodes of a label are dealt by hash into blocks of about
+``BLOCK``, and each pair of blocks, and each block with itself, is one group of rows in which all cosines are computed.
+So every link is found; nothing is sampled or capped. The work grows with the square of a label's size: a node is sent
+once for each block of its label, and ``BLOCK`` vectors of double precision are multiplied with as many at a time.
+**Links:** a group of rows gives, for each node that has links in it, their number (copies counted) and the node's root
+among the links of the group; pairs are not emitted. These stars, at most one edge per node and group, connect what the
+links connect, and the components of all stars are the components of all links.
 
 Cosines are computed in double precision. Vectors that are null or zero, or hold null or non-finite components, and
 vectors without a label link with nothing; vectors of different lengths are never compared. Repeated rows are vectors
@@ -19,181 +16,89 @@ of their own and link with each other; rows with a null id are nodes like others
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table
 from .components import components
 from .registry import query
 
-TABLES, LEAF, PLANES = 10, 48, 30
-NEIGHBOURS, ROUNDS = 6, 3
-AUDIT, RECALL = 400, 0.95
-BLOCK = 512
-
-EDGES = "a bigint, b bigint, sim double"
+BLOCK, STRIP = 4096, 512
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _unit(vectors) -> np.ndarray:
     """Unit rows in double precision."""
-    width = len(column[0]) if len(column) else 0
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    x = np.stack(vectors).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pairs(ids: np.ndarray, x: np.ndarray, keep: int, threshold: float):
-    """Best neighbours of each row among the rows, and all pairs at or above the threshold."""
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2.0)
-    k = min(keep, len(ids) - 1)
-    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    mask = np.zeros(sims.shape, bool)
-    np.put_along_axis(mask, best, True, axis=1)
-    # of the pairs above the threshold a chain is enough: each to the first of them; the rest are among the best
-    mask |= (sims >= threshold) & (np.cumsum(sims >= threshold, axis=1) == 1)
-    i, j = np.nonzero(mask)
-    return ids[i], ids[j], sims[i, j]
-
-
-def _start(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Edges found within leaves of neighbours in the order of projected signs."""
-    def code(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _matrix(batch.column(2))
-            for t in range(TABLES):
-                planes = np.random.default_rng([t, x.shape[1]]).normal(size=(x.shape[1], PLANES))
-                bits = ((x @ planes > 0) @ (1 << np.arange(PLANES, dtype=np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(len(x), t, np.int32)), pa.array(bits)],
-                    names=["node", "label", "vector", "t", "code"])
-
-    def leaves(batches):
-        held: list = []
-
-        def flush():
-            ids = np.array([h[0] for h in held])
-            x = np.stack([h[1] for h in held])
-            return _pairs(ids, x, NEIGHBOURS, threshold)
-
-        at = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            column = {n: batch.column(batch.schema.get_field_index(n)) for n in ("node", "label", "t", "vector")}
-            x = _matrix(column["vector"])
-            out = []
-            for node, label, t, row in zip(column["node"].to_pylist(), column["label"].to_pylist(), column["t"].to_pylist(), x):
-                if held and ((t, label) != at or len(held) >= LEAF):
-                    if len(held) > 1:
-                        out.append(flush())
-                    held = [] if (t, label) != at else held[-LEAF // 3 :]
-                at = (t, label)
-                held.append((node, row))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "sim"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in flush()], names=["a", "b", "sim"])
-
-    coded = nodes.select("node", "group", "vector").toDF("node", "label", "vector").mapInArrow(
-        _by_width(code), "node bigint, label string, vector array<double>, t int, code bigint")
-    placed = coded.repartitionByRange("t", "label", "code", "node").sortWithinPartitions("t", "label", "code", "node")
-    return placed.mapInArrow(_by_width(leaves), EDGES)
-
-
-def _by_width(fn):
-    """Run ``fn`` on batches in which all vectors have the same length; order is kept."""
-    def cut(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            sizes = np.diff(batch.column(batch.schema.get_field_index("vector")).offsets.to_numpy())
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(sizes)) + 1, [len(sizes)]])
-            for a, b in zip(edges[:-1], edges[1:]):
-                yield batch.slice(a, b - a)
-
-    return lambda batches: fn(cut(batches))
-
-
-def _round(edges: DataFrame, nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """Edges among the neighbours of each node: lists of at most ``size`` out and as many in, joined with their vectors."""
-    both = edges.select("a", "b", "sim").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).distinct()
-    ranked = both.join(lists, "a").withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where("r <= 2 * size").select("a", "b")
-    met = ranked.union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).join(
-        nodes.select(F.col("node").alias("b"), "vector"), "b")
-
-    def run(batches):
-        """Groups in order of ``a``, many to a batch; the last one of a batch may go on in the next."""
-        at, ids, x = None, np.zeros(0, np.int64), None
-        for batch in batches:
-            a, b, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
-            out = []
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if a[lo] == at:
-                    ids, x = np.concatenate([ids, b[lo:hi]]), np.concatenate([x, own[lo:hi]])
-                    continue
-                if len(ids) > 1:
-                    out.append(_pairs(ids, x, NEIGHBOURS, threshold))
-                at, ids, x = a[lo], b[lo:hi], own[lo:hi]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["a", "b", "sim"])
-        if len(ids) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _pairs(ids, x, NEIGHBOURS, threshold)], names=["a", "b", "sim"])
-
-    return met.select("a", "b", "vector").repartition("a").sortWithinPartitions("a").mapInArrow(_by_width(run), EDGES)
-
-
-def _audit(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all true links of a bounded set of nodes, by brute force against every node of their label."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "group", "vector").collect()
-    by: dict = {}
-    for r in asked:
-        by.setdefault(r["group"], []).append((r["node"], np.array(r["vector"]) / np.linalg.norm(r["vector"])))
-    sent = nodes.sparkSession.sparkContext.broadcast({g: (np.array([i for i, _ in v]), np.stack([x for _, x in v])) for g, v in by.items()})  # AUDIT vectors
-
-    def run(batches):
-        for batch in batches:
-            groups, ids, x = np.array(batch.column(1).to_pylist()), batch.column(0).to_numpy(), _matrix(batch.column(2))
-            for g in np.unique(groups):
-                if g in sent.value:
-                    own = groups == g
-                    i, j = np.nonzero(sent.value[g][1] @ x[own].T >= threshold)
-                    a, b = sent.value[g][0][i], ids[own][j]
-                    keep = a != b
-                    yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    return nodes.select("node", F.col("group").alias("label"), "vector").mapInArrow(_by_width(run), "a bigint, b bigint")
-
-
-def _counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, others): vectors linked with each node within its component, block against block."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("k"))
-    blocked = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("bigint")).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    one = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    left = one.select("root", "node", "copies", "vector", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
-    right = one.select("root", "node", "copies", "vector", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+def _linked(x: np.ndarray, y: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which rows of ``x`` are linked with which rows of ``y``, or with which other rows of ``x`` if there is no ``y``."""
+    other = x if y is None else y
+    out = np.zeros((len(x), len(other)), bool)
+    for at in range(0, len(x), STRIP):
+        out[at : at + STRIP] = x[at : at + STRIP] @ other.T >= threshold
+    if y is None:
+        out = np.triu(out, 1)
+        out |= out.T
+    return out
+
+
+def _sums(linked: np.ndarray, of_rows: np.ndarray, of_columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Copies that each row and each column is linked with."""
+    rows, columns = np.zeros(len(of_rows)), np.zeros(len(of_columns))
+    for at in range(0, len(linked), STRIP):
+        part = linked[at : at + STRIP].astype(np.float64)
+        rows[at : at + STRIP] = part @ of_columns
+        columns += of_rows[at : at + STRIP] @ part
+    return rows.astype(np.int64), columns.astype(np.int64)
+
+
+def _roots(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column, a row of its component; ``same``: rows and columns are the same nodes. Every row has a link."""
+    rows, columns = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    if same:
+        columns = rows
+    for k in range(len(rows)):
+        if rows[k] >= 0:
+            continue
+        rows[k], wave = k, np.array([k])
+        while len(wave):
+            new = np.flatnonzero(linked[wave].any(axis=0) & (columns < 0))
+            columns[new] = k
+            if not same:
+                new = np.flatnonzero(linked[:, new].any(axis=1) & (rows < 0))
+                rows[new] = k
+            wave = new
+    return rows, columns
+
+
+def _links(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, others, root) per node and pair of blocks in which it has links."""
+    sizes = stored(nodes.groupBy("group").agg(F.ceil(F.count("*") / block).cast("bigint").alias("blocks")), "neardup")
+    placed = nodes.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = placed.select(
+        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right"), "node", "copies", "vector")
 
     def run(key, rows):
         import pandas as pd
 
-        x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        first = (rows["side"] == 0).to_numpy()
-        if first.all() or not first.any():
-            return pd.DataFrame({"node": [], "others": []})
-        ids = rows["node"].to_numpy()
-        linked = (x[first] @ x[~first].T >= threshold) & (ids[first][:, None] != ids[~first][None, :])
-        return pd.DataFrame({"node": ids[first], "others": linked @ rows["copies"].to_numpy()[~first]})
+        same, right = key[1] == key[2], rows["right"].to_numpy()
+        x, ids, copies = _unit(rows["vector"].to_numpy()), rows["node"].to_numpy(), rows["copies"].to_numpy()
+        a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~right), np.flatnonzero(right))
+        linked = _linked(x[a], None if same else x[b], threshold)
+        r, c = linked.any(axis=1), linked.any(axis=0)
+        linked, a, b = linked[r][:, c], a[r], b[c]
+        (of_a, of_b), (root_a, root_b) = _sums(linked, copies[a], copies[b]), _roots(linked, same)
+        out = pd.DataFrame({"node": ids[a], "others": of_a, "root": ids[a][root_a]})
+        return out if same else pd.concat([out, pd.DataFrame({"node": ids[b], "others": of_b, "root": ids[a][root_b]})])
 
-    return left.union(right).groupBy("root", "i", "j").applyInPandas(run, "node bigint, others bigint").groupBy("node").agg(F.sum("others").alias("others"))
+    return dealt.groupBy("group", "i", "j").applyInPandas(run, "node bigint, others bigint, root bigint")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors (vec_id, embedding, label)``: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("label"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -205,26 +110,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     nodes = stored(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("vec_id").alias("least")),
         "neardup")
-    edges = stored(_start(nodes, threshold).distinct(), "neardup")
-    lists = nodes.select(F.col("node").alias("a"), F.lit(NEIGHBOURS).alias("size"))
-    truth = stored(_audit(nodes, threshold), "neardup")
-    total = truth.count()
-    before = -1
-    for _ in range(ROUNDS):
-        links = edges.where(F.col("sim") >= threshold)
-        roots = components(links.select("a", "b"))
-        found = truth.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra = rb").count()
-        if found == before and found >= RECALL * total:
-            break
-        before = found
-        saturated = edges.groupBy("a").agg((F.count("*") >= NEIGHBOURS) & (F.min("sim") >= threshold)).toDF("a", "full")
-        lists = stored(lists.join(saturated, "a", "left").select("a", F.when(F.col("full"), F.least(F.col("size") * 2, F.lit(4 * NEIGHBOURS))).otherwise(F.col("size")).alias("size")), "neardup")
-        more = _round(edges, nodes, lists, threshold)
-        best = edges.union(more).distinct().withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b")))
-        edges = stored(best.join(lists, "a").where((F.col("r") <= F.col("size")) | (F.col("sim") >= threshold)).select("a", "b", "sim"), "neardup")
-    roots = stored(components(edges.where(F.col("sim") >= threshold).select("a", "b")), "neardup")
-    members = nodes.join(roots, "node")
-    others = _counts(members.select("root", "node", "copies", "vector"), threshold)
+    # vectors of floats are sent as such; cosines are computed in double precision all the same
+    narrow = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    links = stored(_links(nodes.withColumn("vector", F.col("vector").cast("array<float>")) if narrow else nodes, threshold, block), "neardup")
+    roots = stored(components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))), "neardup")
+    others = links.groupBy("node").agg(F.sum("others").alias("others"))
     named = nodes.select("node", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(others, "node", "left")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select(
         "node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("links"), "component")

@@ -57,3 +57,33 @@ def test_links_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def found(spark, rows, **more):
+    frame = spark.createDataFrame(rows, VECTORS).repartition(5)
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(frame, **more).collect()}
+
+
+def test_one_bridge_between_dense_clusters_is_kept(spark):
+    """Per label two clusters of 100 and one link between them, by two vectors whose nearest lie in their own cluster."""
+    rng, rows = np.random.default_rng(3), []
+    for label in range(6):
+        plane = np.linalg.qr(rng.normal(size=(24, 2)))[0]
+        for angle in [0] * 100 + [8, 8 + 11.19] + [16 + 11.19] * 100:
+            v = plane @ [np.cos(np.radians(angle)), np.sin(np.radians(angle))]
+            rows.append((len(rows), (v + rng.normal(size=24) * (0.012 if angle in (0, 16 + 11.19) else 0)).astype(np.float32).tolist(), label))
+    got = found(spark, rows)
+    assert got == brute(rows) and len({c for _, c, _ in got.values()}) == 6
+
+
+def test_links_across_blocks_equal_brute_force(spark):
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(60):
+        centre = rng.normal(size=16)
+        for _ in range(int(rng.choice([1, 2, 3, 9]))):
+            centre = centre + rng.normal(size=16) * 0.1
+            rows.append((len(rows), centre.astype(np.float32).tolist(), len(rows) % 2))
+    rows += [(len(rows) + k, rows[3][1], rows[3][2]) for k in range(4)]
+    want = brute(rows)
+    assert sum(v[0] for v in want.values()) > 50
+    assert found(spark, rows, block=7) == found(spark, rows) == want
