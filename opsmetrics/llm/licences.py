@@ -3,15 +3,20 @@
 The automaton is built from the token sequences of all templates and phrases (a fixed, small set). Each text's words
 stream through it; a position's matching statistic is the length of the longest run of template tokens that ends
 there. Statistics above one need neighbouring words that are neighbours in a template, so only such stretches are
-streamed; the rest is known to be 0 or 1. Matches that cannot be extended and have at least ``MIN_MATCH`` tokens are
-chained per template, in order in text and template, over gaps of at most ``MAX_GAP`` words; a chain that covers at
-least ``MIN_COVER`` of its template gives a span and the template's label. The base phrases are found in the same stream.
+streamed; the rest is known to be 0 or 1. Where the statistic reaches ``MIN_MATCH``, each template's own matches of at
+least that many tokens are collected: those that this template cannot extend, whether or not another one goes on. They
+are chained per template, in order in text and template, over gaps of at most ``MAX_GAP`` words; a chain that covers at
+least ``MIN_COVER`` of its template gives a span and the template's label. Spans of one template do not overlap. A span
+that leaves tokens of its template out gives way to a template of another label that matches all of its words and more
+(versions of a licence differ in few words). The base phrases are found in the same stream.
 
 Null and empty texts have no words and no labels; repeated rows, null ids and extra columns are kept as they are.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +102,13 @@ class Automaton:
         self.order = np.argsort(hashes)
         self.known = hashes[self.order]
         self.pairs = np.zeros((len(words) + 1, len(words) + 1), dtype=bool)
+        self.places_of: dict[int, list[int]] = {}  # of each token, over all templates in a row, one place between them
+        self.origin: list[tuple[int, int]] = []  # per such place: template, tokens up to and with it
+        for k, (seq, _) in enumerate(self.templates):
+            for at, w in enumerate(seq):
+                self.places_of.setdefault(self.ids[w], []).append(len(self.origin))
+                self.origin.append((k, at + 1))
+            self.origin.append((k, 0))
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
         self.ends: list[set[tuple[int, int]]] = [set()]
@@ -160,9 +172,12 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.order[at], len(self.known))
 
-    def stream(self, codes: list[int], base: int, places: list, matches: list) -> None:
-        """Feed one stretch that starts at word ``base``; collect phrase places and matches that end in it."""
-        state = length = 0
+    def stream(self, codes: list[int], base: int, places: list, matches: list) -> int:
+        """Feed one stretch that starts at word ``base``; collect phrase places and the matches that no sequence extends.
+
+        Returns the largest matching statistic.
+        """
+        state = length = most = 0
         for at, c in enumerate([*codes, -1]):
             was, had = state, length
             while state and c not in self.next[state]:
@@ -172,6 +187,7 @@ class Automaton:
                 state, length = self.next[state][c], length + 1
             else:
                 state = length = 0
+            most = max(most, length)
             if length <= had and had >= MIN_MATCH:
                 for k, end in self.ends[was]:
                     if k < len(self.templates):
@@ -179,31 +195,82 @@ class Automaton:
             for p, size in self.phrase_at[state]:
                 if length >= size:
                     places.append((base + at + 1 - size, p))
+        return most
+
+    def runs(self, codes: list[int], base: int, matches: list) -> None:
+        """Collect from one stretch, for each template, the matches that this template does not extend."""
+        live: dict[int, int] = {}  # by the place that would go on: tokens so far
+        for at, c in enumerate([*codes, -1]):
+            following = {g + 1: live.get(g, 0) + 1 for g in self.places_of.get(c, ())}
+            for g, n in live.items():
+                if n >= MIN_MATCH and g + 1 not in following:
+                    k, end = self.origin[g - 1]
+                    matches.append((k, base + at - n, end - n, n))
+            live = following
 
     def chains(self, matches: list) -> list[tuple[int, int, str, float]]:
         """(first word, word after the last, label, covered share) of each covered template span."""
-        out, by = [], {}
+        by: dict[int, list[tuple[int, int, int]]] = {}
         for k, start, at, size in sorted(set(matches)):
             by.setdefault(k, []).append((start, at, size))
+        best = {k: self._best(found, len(self.templates[k][0])) for k, found in by.items()}
+
+        def words(k: int, i: int) -> set[int]:
+            """Words matched by the chain that ends with match ``i``."""
+            held: set[int] = set()
+            while i >= 0:
+                start, _, size = by[k][i]
+                held.update(range(start, start + size))
+                i = best[k][i][2]
+            return held
+
+        def explained(k: int, i: int) -> bool:
+            """Whether a template of another label matches all words of this chain and more."""
+            own = words(k, i)
+            last = max(own)
+            for other, found in by.items():
+                if self.templates[other][1] == self.templates[k][1]:
+                    continue
+                total = len(self.templates[other][0])
+                for j in range(bisect_right(found, last, key=lambda m: m[0]) - 1, -1, -1):
+                    start, _, size = found[j]
+                    if start + total <= last:
+                        break
+                    if start + size > last and own < words(other, j):
+                        return True
+            return False
+
+        out = []
         for k, found in by.items():
             total = len(self.templates[k][0])
-            best: list[tuple[int, int]] = []  # covered tokens, first word of the chain that ends with each match
-            for i, (start, at, size) in enumerate(found):
-                value = (size, -start)
-                for j in range(i - 1, max(-1, i - 40), -1):
-                    s, a, n = found[j]
-                    over = max(0, s + n - start, a + n - at)
-                    if start > s and at > a and over < size and start - (s + n) <= MAX_GAP and at - (a + n) <= MAX_GAP:
-                        value = max(value, (best[j][0] + size - over, best[j][1]))
-                best.append(value)
-            taken = -1
-            for i in sorted(range(len(found)), key=lambda i: (-best[i][0], found[i])):
-                covered, first = best[i][0], -best[i][1]
-                if covered >= MIN_COVER * total and first > taken:
-                    out.append((first, found[i][0] + found[i][2], self.templates[k][1], min(1.0, covered / total)))
-                    taken = found[i][0] + found[i][2] - 1
+            taken: list[tuple[int, int]] = []
+            for i in sorted(range(len(found)), key=lambda i: (-best[k][i][0], found[i])):
+                covered, first, end = best[k][i][0], -best[k][i][1], found[i][0] + found[i][2]
+                if covered < MIN_COVER * total:
+                    break
+                at = bisect_right(taken, (first, end))
+                if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end) or (covered < total and explained(k, i)):
+                    continue
+                insort(taken, (first, end))
+                out.append((first, end, self.templates[k][1], min(1.0, covered / total)))
         return sorted(out)
 
+    @staticmethod
+    def _best(found: list[tuple[int, int, int]], total: int) -> list[tuple[int, int, int]]:
+        """Per match of a template: covered tokens and negative first word of the best chain that ends with it, and the match before it or -1."""
+        best: list[tuple[int, int, int]] = []
+        for i, (start, at, size) in enumerate(found):
+            value = (size, -start, -1)
+            for j in range(i - 1, -1, -1):
+                s, a, n = found[j]
+                if s + total + MAX_GAP < start:
+                    break
+                over = max(0, s + n - start, a + n - at)
+                if start > s and at > a and over < size and start - (s + n) <= MAX_GAP and at - (a + n) <= MAX_GAP:
+                    value = max(value, (best[j][0] + size - over, best[j][1], j))
+            best.append(value)
+        return best
+
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -230,7 +297,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             edge = np.diff(np.concatenate([[0], joined.view(np.int8), [0]]))
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                 r = int(np.searchsorted(words.lo, a, "right")) - 1
-                found.stream(codes[a : b + 1].tolist(), a - int(words.lo[r]), places.setdefault(r, []), matches.setdefault(r, []))
+                stretch, base = codes[a : b + 1].tolist(), a - int(words.lo[r])
+                if found.stream(stretch, base, places.setdefault(r, []), []) >= MIN_MATCH:
+                    found.runs(stretch, base, matches.setdefault(r, []))
             rows = range(len(texts))
             places = [[{"word": w, "label": found.phrases[p][1]} for w, p in sorted(places.get(r, ()))] for r in rows]
             covered = [[dict(zip(("first", "end", "label", "share"), c)) for c in found.chains(matches[r])] if matches.get(r) else [] for r in rows]
