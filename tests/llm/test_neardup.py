@@ -68,10 +68,11 @@ def test_one_bridge_between_dense_clusters_is_kept(spark):
     """Per label two clusters of 100 and one link between them, by two vectors whose nearest lie in their own cluster."""
     rng, rows = np.random.default_rng(3), []
     for label in range(6):
-        plane = np.linalg.qr(rng.normal(size=(24, 2)))[0]
-        for angle in [0] * 100 + [8, 8 + 11.19] + [16 + 11.19] * 100:
-            v = plane @ [np.cos(np.radians(angle)), np.sin(np.radians(angle))]
-            rows.append((len(rows), (v + rng.normal(size=24) * (0.012 if angle in (0, 16 + 11.19) else 0)).astype(np.float32).tolist(), label))
+        plane, rest = np.split(np.linalg.qr(rng.normal(size=(24, 24)))[0], [2], axis=1)
+        for angle, away in [(0, 7)] * 100 + [(0, 0), (11.19, 0)] + [(11.19, 7)] * 100:
+            aside = rest @ rng.normal(size=22)
+            v = plane @ [np.cos(np.radians(angle)), np.sin(np.radians(angle))] + np.tan(np.radians(away)) * aside / np.linalg.norm(aside)
+            rows.append((len(rows), v.astype(np.float32).tolist(), label))
     got = found(spark, rows)
     assert got == brute(rows) and len({c for _, c, _ in got.values()}) == 6
 
