@@ -7,7 +7,7 @@ of them, if shorter) over all positions of the text, then compared whole; around
 item is checked with Myers' bit-parallel edit distance, one bit per word of the item.
 
 Words are letters and digits, lower-cased (ASCII), so case, punctuation and line breaks make no difference. Items with
-fewer than ``SHORTEST`` words are too common to be evidence and are left out (the query's benchmark has none).
+fewer than ``SHORTEST`` words are found where they stand unchanged: they have no budget and are one piece.
 
 The test items are the stated query set: they are taken in blocks of at most ``BLOCK_ITEMS`` rows, and each block goes
 through all texts; a block, not the benchmark, is what is sent to the tasks. Null and empty texts or items match
@@ -64,9 +64,9 @@ class Items:
         heads: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
         for i, a, b in zip(ids, words.lo, words.hi):
             h, n = words.hash[a:b], int(b - a)
-            if n < SHORTEST:
+            if n == 0:
                 continue
-            at, k = len(self.ids), n * percent // 100
+            at, k = len(self.ids), n * percent // 100 if n >= SHORTEST else 0
             bits: dict[int, int] = {}
             for j, w in enumerate(h.tolist()):
                 bits[w] = bits.get(w, 0) | 1 << j
@@ -98,10 +98,13 @@ class Items:
             for p in at.tolist():
                 for item, start, end in pieces[int(runs[p])]:
                     own, k = self.words[item], self.budget[item]
-                    if (item, p - start) in tried or not np.array_equal(own[start:end], h[p : p + end - start]):
+                    if (k == 0 and item in found) or (item, p - start) in tried or not np.array_equal(own[start:end], h[p : p + end - start]):
                         continue
                     tried.add((item, p - start))
                     n = len(own)
+                    if k == 0:  # the piece is the item; positions ascend
+                        found.setdefault(item, (0, p + n, p))
+                        continue
                     lo, hi = max(0, p - start - k), min(len(h), p - start + n + k)
                     edits, stop = myers(self.bits[item], n, h[lo:hi].tolist())
                     if edits <= k and (item not in found or (edits, lo + stop) < (found[item][0], found[item][1])):

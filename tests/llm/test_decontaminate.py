@@ -60,3 +60,10 @@ def test_blocks_give_the_same(spark, docs, folder, monkeypatch):
     got = decontaminate.op6_benchmark_decontamination(spark, folder(documents=given, benchmark=bench)).collect()
     assert sorted(got) == sorted(want) and {r.doc_id: r.item_ids for r in got} == {1: "3", 2: ""}
     assert len(hash_words(["a", "b"])) == 2
+
+
+def test_short_items_are_found_unchanged_only(spark, docs):
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "one"), (3, "a b c d e f g"), (4, " ?!"), (5, None), (6, "b c d")], ITEMS)
+    texts = {1: "He asked: who WROTE it, one day", 2: "who wrote that", 3: "x a b c d e f g b c d", 4: "a b c e f g", 5: "ones", 6: None}
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in decontaminate.contaminated(docs(texts), bench).collect()}
+    assert got == {1: [(1, 2, 5, 0), (2, 5, 6, 0)], 2: [], 3: [(3, 1, 8, 0), (6, 2, 5, 0)], 4: [], 5: [], 6: []}
