@@ -283,13 +283,17 @@ def read(ranges: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode, write, index; then look every key up in the index and read its ids. Rows the index does not hold (repeats, null ids) are read by catalogue."""
+    """Encode, write, index; then look every key up in the index and read its ids where the index says. Rows the index does not hold (repeats, null ids) are read by catalogue; a key that it should hold and does not is an error."""
     import public_tokenizers
 
     path = work_dir(spark, "token-files")
     ranges = write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     buckets = build_index(ranges, path)
-    found = lookup(ranges.select("doc_id"), path, buckets).withColumn("keyed", F.lit(True))
-    place = ["shard", "offset"]
-    every = ranges.join(found.select(*place, "keyed"), place, "left")
-    return read(every, path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", F.coalesce("keyed", F.lit(False)).alias("keyed"))
+    found = lookup(ranges.select("doc_id"), path, buckets)
+    first = ranges.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("start").alias("start"))
+    lost = F.raise_error(F.concat(F.lit("the index does not hold key "), F.col("doc_id").cast("string")))
+    keyed = first.join(found, "doc_id", "left").select(
+        "doc_id", "start", F.when(F.col("shard").isNull(), lost.cast("string")).otherwise(F.col("shard")).alias("shard"), "width", "offset", "n_tokens", F.lit(True).alias("keyed"))
+    # each row has at least the end id, so no two rows start at the same place
+    rest = ranges.join(first.select("start"), "start", "left_anti").select("doc_id", "start", "shard", "width", "offset", "n_tokens", F.lit(False).alias("keyed"))
+    return read(keyed.union(rest), path, ids=False).select("doc_id", "start", "n_tokens", "ids_crc32", "keyed")

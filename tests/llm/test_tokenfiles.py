@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from opsmetrics.llm import tokenfiles
@@ -53,3 +54,15 @@ def test_hash_is_minimal_and_perfect(n):
 
 def test_empty_table(spark, docs, folder):
     assert tokenfiles.op3_token_files(spark, folder(documents=docs([]))).count() == 0
+
+
+def test_query_reads_where_the_index_says(spark, docs, folder, monkeypatch):
+    sf = folder(documents=docs([(1, "one text"), (1, "two texts"), (2, "another"), (3, "a third one"), (None, "null id"), (None, "x")]))
+    keyed = lambda: {(r.doc_id, r.keyed): r.ids_crc32 for r in tokenfiles.op3_token_files(spark, sf).collect() if r.keyed}
+    whole, look = keyed(), tokenfiles.lookup
+    assert set(whole) == {(1, True), (2, True), (3, True)} and tokenfiles.op3_token_files(spark, sf).count() == 6
+    monkeypatch.setattr(tokenfiles, "lookup", lambda *a: look(*a).withColumn("n_tokens", F.lit(1).cast("bigint")))
+    assert all(keyed()[k] != whole[k] for k in whole)
+    monkeypatch.setattr(tokenfiles, "lookup", lambda *a: look(*a).where("doc_id <> 2"))
+    with pytest.raises(Exception, match="does not hold key 2"):
+        keyed()
