@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import NOT_SPACE, Words, mix, signed, slices, stored, table, windows
 from .components import components
@@ -179,6 +180,15 @@ def _numbered(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, node bigint, n bigint")
 
 
+def with_node(docs: DataFrame, width: int, out: str) -> DataFrame:
+    """``docs`` with the key of each text's set; null for an empty set."""
+    def run(batches):
+        for part, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=[*part.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
+
+
 def _indexed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, node) of every set, once per set and task."""
     def run(batches):
@@ -330,7 +340,7 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id, and node, a key shared by equal sets."""
+    """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id, node, a key shared by equal sets, and root, the node that names the group."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     rows = stored(_numbered(docs, width), "jaccard")
     group = W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -346,9 +356,9 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     named = (
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node")))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "root")
     return rows.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "root")
 
 
 @query("op5_ngram_jaccard_join")
