@@ -99,28 +99,38 @@ class Parts:
         return cut
 
     def _distinct(self, text: str) -> None:
-        cp, start, end = self.cp, self.start, self.end
-        if len(start) == 0:
-            self.distinct, self.of = [], np.zeros(0, np.int64)
-            return
-        # sums of characters times powers of an odd number: equal parts at different places differ by a power only
-        powers = _powers(len(cp))
-        total = np.zeros(len(cp) + 1, dtype=np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * powers[0][: len(cp)], out=total[1:])
-        hashes = (total[end] - total[start]) * powers[1][start]
-        coded = pa.array(hashes).dictionary_encode()
-        of = coded.indices.to_numpy().astype(np.int64)
-        first = np.zeros(len(coded.dictionary), dtype=np.int64)
-        first[of[::-1]] = np.arange(len(of))[::-1]
-        size, like = end - start, first[of]
-        same = (size == size[like]).all() and (cp[np.arange(len(cp)) + np.repeat(start[like] - start, size)] == cp).all()
-        if same:
-            self.distinct = [text[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())]
-            self.of = of
-        else:
-            places: dict[str, int] = {}
-            self.of = np.array([places.setdefault(text[x:y], len(places)) for x, y in zip(start.tolist(), end.tolist())], dtype=np.int64)
-            self.distinct = list(places)
+        first, self.of = distinct_spans(self.cp, self.start, self.end)
+        self.distinct = [text[x:y] for x, y in zip(self.start[first].tolist(), self.end[first].tolist())]
+
+
+def distinct_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first span of each different content, the place among these of each span).
+
+    Contents are told apart by hash; every span is then compared with the first one of its hash, value by value, and if
+    two ever differ, contents themselves are used as keys.
+    """
+    if len(start) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # sums of values times powers of an odd number: equal contents at different places differ by a power only
+    powers = _powers(len(values))
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * powers[0][: len(values)], out=total[1:])
+    hashes = (total[end] - total[start]) * powers[1][start]
+    coded = pa.array(hashes).dictionary_encode()
+    of = coded.indices.to_numpy().astype(np.int64)
+    first = _firsts(of, len(coded.dictionary))
+    size, like = end - start, first[of]
+    if not ((size == size[like]).all() and (gathered(values, start, size) == gathered(values, start[like], size)).all()):
+        places: dict[bytes, int] = {}
+        of = np.array([places.setdefault(values[x:y].tobytes(), len(places)) for x, y in zip(start.tolist(), end.tolist())], dtype=np.int64)
+        first = _firsts(of, len(places))
+    return first, of
+
+
+def _firsts(of: np.ndarray, n: int) -> np.ndarray:
+    first = np.zeros(n, dtype=np.int64)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    return first
 
 
 _BASE = 0x5851F42D4C957F2D

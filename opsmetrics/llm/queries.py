@@ -1,6 +1,6 @@
 """All registered queries of the subpackage."""
 
-from . import bytebpe, decontaminate, jaccard, licences, neardup, pieces, preference, quality, secrets, tokenfiles, toxicity  # noqa: F401
+from . import bytebpe, decontaminate, jaccard, licences, neardup, pieces, preference, prefixtrie, quality, secrets, tokenfiles, toxicity, variants  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
