@@ -6,7 +6,8 @@ the place of a hit. Long runs of hexadecimal digits have no keyword; they are fo
 * ``assign``, ``access``, ``hex``: the base kinds, as fixed below;
 * ``github``, ``npm``: prefix and 36 base-62 characters, the last six being the CRC-32 of those before them;
 * ``jwt``: three base64url parts of which the first decodes to a JSON object with ``alg``;
-* ``slack``, ``stripe``: vendor prefixes with their alphabets; ``pem``: a private-key block's first line to its last.
+* ``slack``, ``stripe``: vendor prefixes with their alphabets; ``pem``: a private-key block's first line to its last
+  (the first line alone, if no last line of its label follows).
 
 Null and empty texts have no spans. Rows are independent of each other: repeated rows, null ids and extra columns are
 kept as they are, an empty table gives an empty result. Offsets count code points, the end is exclusive.
@@ -18,6 +19,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,10 @@ MORE = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "slack": re.compile(r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     "stripe": re.compile(r"[rs]k_live_[0-9A-Za-z]{16,}"),
-    "pem": re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:.*?-----END \1PRIVATE KEY-----)?", re.S),
+    "pem": re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----"),
 }
+PEM_END = re.compile(r"-----END ([A-Z ]*)PRIVATE KEY(?=-----)")
+BASE64URL = re.compile(r"[A-Za-z0-9_-]*")
 KINDS = (*BASE, *MORE)
 KEYWORDS = {
     **dict.fromkeys(("password", "passwd", "secret", "token", "apikey", "api_key"), "assign"),
@@ -79,7 +83,7 @@ def valid(kind: str, m: re.Match) -> bool:
     if kind == "jwt":
         try:
             head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-        except ValueError:
+        except (ValueError, RecursionError):  # brackets nested too deeply are no header
             return False
         return isinstance(head, dict) and "alg" in head
     return True
@@ -96,18 +100,36 @@ def automaton():
 
 
 def keyword_spans(found, lowered: str, text: str) -> list[tuple[int, int, int, str]]:
-    """Spans of all kinds with keywords; per kind leftmost and without overlap, failing matches dropped afterwards."""
+    """Spans of all kinds with keywords; per kind leftmost and without overlap, failing matches dropped afterwards.
+
+    No part of the text is read again and again: where a token's first part is not followed by the others, no hit within
+    that part is; the ends of key blocks are found once.
+    """
     hits = sorted((end + 1 - size, kind) for end, (size, kind) in found.iter(lowered))
     free = dict.fromkeys(KINDS, 0)
+    ends: dict[str, list[int]] | None = None
     out = []
     for start, kind in hits:
         if start < free[kind]:
             continue
         m = (ASSIGN if kind == "assign" else ACCESS if kind == "access" else MORE[kind]).match(text, start)
-        if m:
-            free[kind] = m.end()
-            if valid(kind, m):
-                out.append((start, KINDS.index(kind), m.end(), kind))
+        if m is None:
+            if kind == "jwt" and text.startswith("eyJ", start):
+                free[kind] = BASE64URL.match(text, start).end()
+            continue
+        end = m.end()
+        if kind == "pem":
+            if ends is None:
+                ends = {}
+                for e in PEM_END.finditer(text):
+                    ends.setdefault(e[1], []).append(e.start())
+            closing = ends.get(m[1], [])
+            k = bisect_left(closing, end)
+            if k < len(closing):
+                end = closing[k] + len(m[1]) + len("-----END PRIVATE KEY-----")
+        free[kind] = end
+        if valid(kind, m):
+            out.append((start, KINDS.index(kind), end, kind))
     return out
 
 

@@ -1,6 +1,11 @@
+import base64
 import hashlib
 import random
 import re
+import time
+
+import pyarrow as pa
+import pytest
 
 from opsmetrics.llm import secrets
 
@@ -52,3 +57,36 @@ def test_redaction_keeps_clean_texts_and_columns(docs):
     assert secrets.scan(docs([])).count() == 0
     twice = secrets.scan(docs([(1, texts[1]), (1, texts[1]), (None, texts[1])])).collect()
     assert len(twice) == 3 and len({str(r.spans) for r in twice}) == 1
+
+
+def spans_of(text):
+    return secrets.slice_spans(secrets.automaton(), pa.array([text], pa.large_string()))[0]
+
+
+def test_nested_header_is_no_token():
+    head = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 100_000).decode().rstrip("=")
+    assert head.startswith("eyJ")
+    assert [s for s in spans_of(f"{head}.abc.def password=abcdefghijkl") if s[3] != "hex"] == [(len(head) + 9, 0, len(head) + 9 + 21, "assign")]
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 340_000, "eyJab." * 170_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "-----BEGIN A PRIVATE KEY-----\n-----END B PRIVATE KEY-----" * 20_000])
+def test_long_repeated_beginnings_take_linear_time(text):
+    began = time.process_time()
+    spans_of(text)
+    assert time.process_time() - began < 8
+
+
+def test_key_blocks_and_tokens_against_whole_expressions():
+    whole = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:.*?-----END \1PRIVATE KEY-----)?", re.S)
+    token = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    rnd = random.Random(3)
+    good = base64.urlsafe_b64encode(b'{"alg":1}').decode().rstrip("=")
+    bits = ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "END PRIVATE KEY-----",
+            "-----", "x", " ", "eyJ", good, ".", "a.b", "PRIVATE KEY", "\n"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
+        wanted = [(m.start(), m.end(), "pem") for m in whole.finditer(text)]
+        for m in token.finditer(text):
+            if secrets.valid("jwt", m):
+                wanted.append((m.start(), m.end(), "jwt"))
+        assert sorted((a, b, k) for a, _, b, k in spans_of(text) if k in ("pem", "jwt")) == sorted(wanted), text
