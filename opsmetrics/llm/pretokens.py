@@ -59,6 +59,7 @@ class Parts:
             begun = np.zeros(len(data) + 1, dtype=np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=begun[1:])
             edges = begun[offs]
+        self.edges = edges
         self.start = np.flatnonzero(self._cuts(edges))
         self.end = np.append(self.start[1:], len(self.cp))
         bound = np.searchsorted(self.start, edges)
@@ -98,6 +99,12 @@ class Parts:
                 cut[ends[ends < n]] = True
         return cut
 
+    def holds(self, marked: np.ndarray) -> np.ndarray:
+        """Whether each text has a character that is true in ``marked``, a table over code points."""
+        upto = np.zeros(len(self.cp) + 1, dtype=np.int64)
+        np.cumsum(marked[self.cp], out=upto[1:])
+        return np.diff(upto[self.edges]) > 0
+
     def _distinct(self, text: str) -> None:
         first, self.of = distinct_spans(self.cp, self.start, self.end)
         self.distinct = [text[x:y] for x, y in zip(self.start[first].tolist(), self.end[first].tolist())]

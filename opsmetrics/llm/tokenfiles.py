@@ -2,8 +2,8 @@
 
 **Payload.** Documents are put in ascending order of their key by range partitions; each task encodes its texts with a
 tokenizers file and appends to one shard file: ids only, little-endian, two bytes each if the vocabulary fits, else
-four. A text of well-known characters is cut where the tokenizer cuts it before it merges bytes; its distinct parts go
-through the tokenizer, many at a time, and are remembered up to a bounded number. Other texts (special tokens, letters
+four. A text of well-known characters is cut where the tokenizer cuts it before it merges bytes (``pretokens``); the
+distinct parts of a slice go through the tokenizer, many at a time, and are remembered up to a bounded number. Other texts (special tokens, letters
 whose kind depends on the version of Unicode, other kinds of tokenizer) are encoded whole. Every attempt of a task writes
 a file of its own name; only the rows of the attempt that Spark commits name it, so lost executors leave at most
 unused files.
@@ -32,22 +32,27 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix, slices, table, work_dir
+from .pretokens import Parts, gathered
 from .registry import query
 
 BUCKET_KEYS, GROUP_KEYS = 20_000, 4
-PIECES = 200_000  # distinct parts of texts that a worker remembers; beyond, it starts anew
+PIECES = 400_000  # distinct parts of texts that a worker remembers; beyond, it starts anew
 END_ID = 2
 
-# Fixed value: where byte-level vocabularies cut a text before they merge bytes.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-#: Characters whose kind (letter, number, space) is the same in every version of Unicode.
-SAFE = regex.compile("[\n\r\t\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
+
+
+@lru_cache(maxsize=1)
+def unsafe() -> np.ndarray:
+    """True for code points whose kind (letter, number, space) may depend on the version of Unicode."""
+    out = np.ones(0x110000, dtype=bool)
+    for lo, hi in ((9, 10), (13, 13), (0x20, 0x7E), (0xA1, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC)):
+        out[lo : hi + 1] = False
+    return out
 
 
 class Encoder:
@@ -90,23 +95,32 @@ class Encoder:
     def pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        cut, whole = {}, []
-        for k, text in enumerate(texts):
-            if self.cuts and SAFE(text) and not any(s in text for s in self.special):
-                cut[k] = PARTS(text)
-            else:
-                whole.append(k)
+        if not self.cuts:
+            return [ids + self.end for ids in self.pack(texts.to_pylist())]
+        parts = Parts(texts)
+        whole = parts.holds(unsafe())
+        for special in self.special:
+            whole |= np.asarray(pa.compute.match_substring(texts, special))
+        wanted = np.unique(parts.of[np.repeat(~whole, parts.hi - parts.lo)])
+        names = [parts.distinct[k] for k in wanted.tolist()]
         if len(self.parts) > PIECES:
             self.parts.clear()
-        new = list(set().union(*cut.values()) - self.parts.keys())
+        new = [n for n in names if n not in self.parts]
         self.parts.update(zip(new, self.pack_parts(new)))
-        out = [self.end] * len(texts)
-        for k, parts in cut.items():
-            out[k] = b"".join(map(self.parts.__getitem__, parts)) + self.end
-        for k, ids in zip(whole, self.pack([texts[k] for k in whole])):
-            out[k] = ids + self.end
+        packed = list(map(self.parts.__getitem__, names))
+        size = np.zeros(len(parts.distinct), dtype=np.int64)
+        size[wanted] = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        held, start = np.frombuffer(b"".join(packed), self.kind), np.zeros(len(size), dtype=np.int64)
+        start[wanted] = np.cumsum(size[wanted]) - size[wanted]
+        ids = gathered(held, start[parts.of], size[parts.of]).tobytes()
+        upto = np.zeros(len(parts.of) + 1, dtype=np.int64)
+        np.cumsum(size[parts.of] * self.width, out=upto[1:])
+        out = [ids[x:y] + self.end for x, y in zip(upto[parts.lo].tolist(), upto[parts.hi].tolist())]
+        rest = np.flatnonzero(whole).tolist()
+        for k, own in zip(rest, self.pack([texts[k].as_py() for k in rest])):
+            out[k] = own + self.end
         return out
 
 
@@ -132,7 +146,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = END_ID)
         for part, texts in slices(batches):
             if out is None:
                 out = files.open_output_stream(posixpath.join(folder, name))
-            payload = encoder.encode(texts.to_pylist())
+            payload = encoder.encode(texts)
             sizes = np.array([len(p) // encoder.width for p in payload], dtype=np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
