@@ -44,9 +44,9 @@ def in_partition(key: Column | str, lo: int, hi: int | None) -> Column:
 
 
 def assign_partition(
-    df: DataFrame, bounds: DataFrame, key: str, on: list[str] = (), bin_width: int = 1440,
+    df: DataFrame, bounds: DataFrame, key: str, on: list[str] = (), bin_width: int = 1440, outside: bool = False,
 ) -> DataFrame:
-    """Give each row the partition whose range holds its key.
+    """Give each row the partition whose range holds its key; with ``outside``, rows in no range stay, with a null part.
 
     Both sides are cut into bins of ``bin_width`` and joined on (``on``, bin), a
     hash join; the range test then settles rows in bins two partitions share.
@@ -61,16 +61,24 @@ def assign_partition(
     def clamp(b: Column) -> Column:
         return F.least(F.greatest(b, edge["low"]), edge["top"])
     last_bin = F.when(F.col("hi").isNull(), edge["top"]).otherwise(clamp(bin_of(F.col("hi") - 1)))
-    ranges = bounds.select(*on, "part", "lo", "hi", clamp(bin_of(F.col("lo"))).alias("__from"), last_bin.alias("__to")).select(
-        *on, "part", "lo", "hi", F.explode(F.sequence("__from", F.greatest("__to", "__from"))).alias("__bin"))
-    keyed = df.withColumn("__bin", clamp(bin_of(F.col(key))))
-    inside = (F.col(key) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(key) < F.col("hi")))
-    return keyed.join(ranges, [*on, "__bin"]).filter(inside).drop("__bin", "lo", "hi")
+    mine = {c: f"__on_{c}" for c in on}
+    ranges = bounds.select(
+        *(F.col(c).alias(n) for c, n in mine.items()), "part", "lo", "hi", clamp(bin_of(F.col("lo"))).alias("__from"), last_bin.alias("__to")).select(
+        *mine.values(), "part", "lo", "hi", F.explode(F.sequence("__from", F.greatest("__to", "__from"))).alias("__its"))
+    keyed = df.withColumn("__bin", F.when(F.col(key).isNotNull(), clamp(bin_of(F.col(key)))))
+    inside = (F.col("__bin") == F.col("__its")) & (F.col(key) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(key) < F.col("hi")))
+    for c, n in mine.items():
+        inside = inside & (F.col(c) == F.col(n))
+    return keyed.join(ranges, inside, "left" if outside else "inner").drop("__bin", "__its", "lo", "hi", *mine.values())
 
 
 def high_water(df: DataFrame, bounds: DataFrame, key: str = "ts_min", on: list[str] = ()) -> DataFrame:
-    """Largest key per partition, 0 for a partition without rows."""
-    top = assign_partition(df, bounds, key, on).groupBy(*on, "part").agg(F.max(key).alias("max_ts"))
+    """Largest key per partition, 0 for a partition without rows.
+
+    Rows are first reduced to the different keys of each task and then of all; only these meet the ranges.
+    """
+    keys = df.select(*on, key).distinct()
+    top = assign_partition(keys, bounds, key, on).groupBy(*on, "part").agg(F.max(key).alias("max_ts"))
     return bounds.select(*on, "part").join(top, [*on, "part"], "left").fillna(0, ["max_ts"])
 
 
@@ -110,26 +118,55 @@ def first_per_key(df: DataFrame, pk: list[str]) -> DataFrame:
     )
 
 
+RANGES = 100  # literal ranges a scan is asked for; more of them are asked for as one, from the lowest to the highest
+
+
+def literal_ranges(parts: DataFrame, bounds: DataFrame, key: str, on: list[str] = ()) -> Column:
+    """A predicate of literals that holds for the rows of ``parts``, for scans to prune by; false if there are no parts.
+
+    Neighbouring ranges are joined. Tables of ``on`` share the ranges: the predicate only has to let all wanted rows pass.
+    """
+    wanted = bounds.join(parts.select(*on, "part"), [*on, "part"]).select("lo", "hi").distinct()
+    joined: list[list] = []
+    for lo, hi in sorted(((r["lo"], r["hi"]) for r in wanted.collect()), key=lambda r: r[0]):  # at most one row per partition
+        if joined and (joined[-1][1] is None or lo <= joined[-1][1]):
+            joined[-1][1] = None if hi is None or joined[-1][1] is None else max(hi, joined[-1][1])
+        else:
+            joined.append([lo, hi])
+    if len(joined) > RANGES:
+        joined = [[joined[0][0], None if any(hi is None for _, hi in joined) else max(hi for _, hi in joined)]]
+    out = F.lit(False)
+    for k, (lo, hi) in enumerate(joined):
+        out = in_partition(key, lo, hi) if k == 0 else out | in_partition(key, lo, hi)
+    return out
+
+
 def copy_new_rows(
     src: DataFrame, dest: DataFrame, bounds: DataFrame, pk: list[str], key: str = "ts_min",
-    on: list[str] = (), fill_holes: bool = False, unique_source: bool = False,
+    on: list[str] = (), fill_holes: bool = False, unique_source: bool = False, pk_fixes_range: bool | None = None,
 ) -> DataFrame:
     """Source rows whose primary key the destination lacks.
 
     By default only partitions whose source high-water mark is ahead are looked
     at, so holes below the mark stay; ``fill_holes`` checks every closed
     partition. ``unique_source`` skips removing duplicate keys of the source.
+
+    The ranges of the partitions looked at are literals of the source's scan, and of the destination's too where equal
+    primary keys have equal range keys (``pk_fixes_range``; it is so if the range key is part of the primary key). The
+    marks decide on a partition as a whole, since rows below a mark may be missing there as well.
     """
-    placed = assign_partition(src, bounds, key, on)
+    if pk_fixes_range is None:
+        pk_fixes_range = key in pk
     if fill_holes:
-        wanted = placed.filter(F.col("part") != OPEN_PART)
+        parts = bounds.filter(F.col("part") != OPEN_PART).select(*on, "part")
     else:
         # Stored, so that its size is known and the source need not be shuffled to meet a short list.
-        ahead = materialize(parts_to_copy(copy_report(src, dest, bounds, key, on)).select(*on, "part"), "ahead")
-        wanted = placed.join(ahead, [*on, "part"], "left_semi")
+        parts = materialize(parts_to_copy(copy_report(src, dest, bounds, key, on)).select(*on, "part"), "ahead")
+    near = literal_ranges(parts, bounds, key, on)
+    wanted = assign_partition(src.filter(near), bounds, key, on).join(parts, [*on, "part"], "left_semi")
     rows = wanted.select(*src.columns)
     rows = rows if unique_source else first_per_key(rows, pk)
-    return rows.join(dest.select(*pk), pk, "left_anti")
+    return rows.join((dest.filter(near) if pk_fixes_range else dest).select(*pk), pk, "left_anti")
 
 
 def in_key_order(df: DataFrame, pk: list[str], partitions: int | None = None) -> DataFrame:
@@ -209,15 +246,25 @@ def metadata_tables(tables: DataFrame, partitioned: DataFrame, ignore: DataFrame
 
 
 def export_by_partition(df: DataFrame, bounds: DataFrame, key: str, pk: list[str], path: str, on: list[str] = ()) -> None:
-    """Write each partition as its own folder, sorted by primary key.
+    """Write each partition as its own folder, sorted by primary key; rows in no range are kept apart, see ``outside_ranges``.
 
     The rebalance hint lets AQE split a partition that outgrew the others into
     several files and merge small ones.
     """
-    placed = assign_partition(df, bounds, key, on).hint("rebalance", "part")
+    placed = assign_partition(df, bounds, key, on, outside=True).hint("rebalance", "part")
     placed.sortWithinPartitions("part", *pk).write.partitionBy("part").mode("overwrite").parquet(path)
 
 
+def exported(spark: SparkSession, path: str) -> DataFrame:
+    """The exported rows that lie in a partition."""
+    return spark.read.parquet(path).filter(F.col("part").isNotNull())
+
+
+def outside_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The exported rows whose key is null or lies in no partition's range: rejects of the export."""
+    return spark.read.parquet(path).filter(F.col("part").isNull()).drop("part")
+
+
 def import_partitions(df: DataFrame, path: str) -> None:
     """Replace exactly the partitions present in ``df`` (column ``part``); others stay. Safe to rerun."""
     df.hint("rebalance", "part").write.partitionBy("part").mode("overwrite").option(

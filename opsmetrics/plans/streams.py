@@ -1,6 +1,7 @@
 """Streaming queries: landed files are run to the end and must equal their batch counterparts.
 
-Streams are keyed by host alone, like their batch twins; a host's state is a few numbers whatever its history.
+The events land as several files, in an order of arrival that is not the order of their times. Streams are keyed by host
+alone, like their batch twins; a host's state is a few numbers and the rows the watermark has not passed.
 """
 
 from __future__ import annotations
@@ -15,21 +16,45 @@ from ..session import scratch_path
 from ..sinks import store
 from ..sources import appserver
 from ..sources.files import monitor_availability, monitor_hosts
-from ..streaming import jobs
-from .base import BURSTS, E, events, query, recursive, table, with_helpers
+from ..streaming import eventtime, jobs
+from .base import BURSTS, START, E, events, query, recursive, table, with_helpers
 from .roundtrips import CUSTOM, _dumps
 
 
 def _stream(spark, sf) -> DataFrame:
+    """The events as they lie, in one pass; for streams without any order."""
     schema = table(spark, sf, "events").schema
     return with_helpers(jobs.read_landed(spark, sf, schema, glob="events.parquet", max_files=64))
 
 
+PIECES, DISORDER = 4, 600
+
+
+def landed(rows: DataFrame, clock: str, name: str) -> tuple[DataFrame, str]:
+    """(``rows`` as a stream, how late a row may be) after landing in ``PIECES`` steps of arrival, up to ``DISORDER`` seconds off their times.
+
+    ``clock`` are seconds; the stream has them as the timestamp ``at``. A file that only moves the clock lands last.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("at", F.timestamp_seconds(clock))
+    arrival = F.col(clock) + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER))
+    span = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
+    path = scratch_path(spark, name)
+    if span["lo"] is not None:
+        width = (span["hi"] - span["lo"]) // PIECES + 1
+        for k in range(PIECES):
+            rows.filter(F.floor((arrival - span["lo"]) / width) == k).write.mode("append").parquet(path)
+    else:
+        width = 1
+    jobs.close(spark, path, rows.schema, "at")
+    return jobs.read_landed(spark, path, rows.schema, max_files=1), f"{2 * width + DISORDER} seconds"
+
+
 @query("stream_buffer_numbers", recursive(E) + ", r AS (SELECT host AS k, fast AS t, event_id FROM e)" + BURSTS.format(order="t, event_id")
        + "SELECT event_id, buffer FROM b")
 def stream_buffer_numbers(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select("host", "fast", "event_id")
-    return jobs.run_available(jobs.burst_numbers_stream(s, ["host"], "fast", ["event_id"]), "buffers").select("event_id", "buffer")
+    s, lateness = landed(events(spark, sf).select("host", "fast", "event_id"), "fast", "landed-bursts")
+    return jobs.run_available(eventtime.burst_numbers(s, ["host"], "at", "fast", ["event_id"], lateness=lateness), "buffers").select("event_id", "buffer")
 
 
 FIRES = "WITH RECURSIVE" + E[4:] + """, p AS (SELECT user_id % 10 AS host_id, epoch, event_id, event_type <> 'purchase' AS failed,
@@ -45,39 +70,42 @@ FIRES = "WITH RECURSIVE" + E[4:] + """, p AS (SELECT user_id % 10 AS host_id, ep
 
 @query("stream_failure_fires", FIRES + "SELECT event_id, CAST(losecount AS BIGINT) AS losecount, losecount = 5 AS fired, acted FROM s")
 def stream_failure_fires(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select(
-        (F.col("user_id") % 10).alias("host_id"), "epoch", "event_id", (F.col("event_type") != "purchase").alias("failed"))
+    s, lateness = landed(events(spark, sf).select(
+        (F.col("user_id") % 10).alias("host_id"), "epoch", "event_id", (F.col("event_type") != "purchase").alias("failed")), "epoch", "landed-pings")
     return jobs.run_available(
-        jobs.failure_fires_stream(s, ["host_id"], "epoch", ["event_id"], "failed"), "fires"
+        eventtime.failure_fires(s, ["host_id"], "at", "epoch", ["event_id"], "failed", lateness=lateness), "fires"
     ).select("event_id", "losecount", "fired", "acted")
 
 
 @query("stream_rates", E + """, p AS (SELECT event_id, epoch, lag(epoch) OVER w AS e0, lag(event_id) OVER w AS i0 FROM e WINDOW w AS (PARTITION BY host ORDER BY epoch, event_id))
 SELECT event_id, round(CASE WHEN epoch > e0 THEN CAST((event_id - i0) * 3 AS DOUBLE) / (epoch - e0) END, 9) AS rate FROM p""")
 def stream_rates(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select("host", "epoch", "event_id", (F.col("event_id") * 3).alias("requests"))
+    s, lateness = landed(events(spark, sf).select("host", "epoch", "event_id", (F.col("event_id") * 3).alias("requests")), "epoch", "landed-counters")
     return jobs.run_available(
-        jobs.rates_stream(s, ["host"], "epoch", ["event_id"], "requests"), "rates"
+        eventtime.rates(s, ["host"], "at", "epoch", ["event_id"], "requests", lateness=lateness), "rates"
     ).select("event_id", F.round("rate", 9).alias("rate"))
 
 
-@query("stream_saturation", E + """, p AS (SELECT event_id, cents, coalesce(lag(cents) OVER w, 0) AS p1, coalesce(lag(cents, 2) OVER w, 0) AS p2 FROM e
-  WINDOW w AS (PARTITION BY host ORDER BY event_id))
-SELECT event_id, p2 >= p1 AND p2 >= cents AS saturated FROM p""")
+# Event time runs 60 times faster, so that minutes hold rows to count; two sources of rows.
+@query("stream_saturation", E + f""", c AS (SELECT user_id % 2 AS side, ((epoch - {START}) // 60 + {START}) // 60 AS ts_min, count(*) AS rate FROM e GROUP BY ALL)
+, s AS (SELECT * FROM c WHERE (ts_min + 8) % 12 = 0)
+SELECT a.side, a.ts_min, a.rate, coalesce(p2.rate, 0) >= coalesce(p1.rate, 0) AND coalesce(p2.rate, 0) >= a.rate AS saturated
+FROM s a LEFT JOIN s p1 ON p1.side = a.side AND p1.ts_min = a.ts_min - 12 LEFT JOIN s p2 ON p2.side = a.side AND p2.ts_min = a.ts_min - 24""")
 def stream_saturation(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select("host", "event_id", F.col("cents").alias("rate"))
-    return jobs.run_available(
-        jobs.saturation_stream(s, ["host"], "event_id", "rate"), "saturation").select("event_id", "saturated")
+    """Rows counted per minute in event time; every 12 minutes the minute 8 minutes back is held against the two samples before."""
+    s, lateness = landed(events(spark, sf).select(
+        (F.col("user_id") % 2).alias("side"), "event_id", (F.floor((F.col("epoch") - START) / 60).cast("bigint") + START).alias("paced")), "paced", "landed-ingest")
+    samples = jobs.staged(eventtime.sampled_minutes(eventtime.minute_counts(s, ["side"], "at", lateness)), "minutes", "at")
+    return jobs.run_available(eventtime.saturation(samples, ["side"], "at", lateness=lateness), "saturation").select("side", "ts_min", "rate", "saturated")
 
 
 @query("stream_sampled_periods", """SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%dT%H:%M:%S') AS period_start, event_type,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_sampled_periods(spark, sf) -> DataFrame:
-    s = _stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "cents")
-    sampled = jobs.sampled_stream(s, "ts", "30 minutes", ["event_type"], [F.sum("cents").alias("total"), F.count("*").alias("n")])
-    done = jobs.run_available(sampled, "sampled", mode="complete")
+    s, lateness = landed(events(spark, sf).select("event_id", "epoch", "event_type", "cents"), "epoch", "landed-samples")
+    sampled = jobs.sampled_stream(s, "at", "30 minutes", ["event_type"], [F.sum("cents").alias("total"), F.count("*").alias("n")], lateness)
     text = F.date_format("period_start", "yyyy-MM-dd'T'HH:mm:ss")
-    return done.select(text.alias("period_start"), "event_type", "total", "n")
+    return jobs.run_available(sampled, "sampled").select(text.alias("period_start"), "event_type", "total", "n")
 
 
 @query("stream_until_deadline", E + "SELECT event_id, iso FROM e WHERE ts < TIMESTAMP '2024-01-11 00:00:00'")
@@ -88,11 +116,14 @@ def stream_until_deadline(spark, sf) -> DataFrame:
 
 @query("stream_distinct_lines", E + "SELECT DISTINCT host, iso, cents FROM e")
 def stream_distinct_lines(spark, sf) -> DataFrame:
-    """Every line arrives twice, as from overlapping log chunks."""
-    s = _stream(spark, sf).select(
-        F.col("ts").cast("timestamp").alias("ts"), "host", "iso", "cents", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    once = jobs.distinct_lines_stream(s, ["host", "iso", "cents"], "ts")
-    return jobs.run_available(once.select("host", "iso", "cents"), "distinct")
+    """Every line arrives twice, as from overlapping log chunks: some at once, others two days after."""
+    rows = events(spark, sf).select("event_id", "epoch", "host", "iso", "cents")
+    again = rows.withColumn("arrived", F.col("epoch") + F.when(F.col("event_id") % 2 == 0, 172_800).otherwise(0))
+    s, _ = landed(rows.withColumn("arrived", F.col("epoch")).union(again), "arrived", "landed-lines")
+    path = scratch_path(spark, "lines")
+    lines = s.filter("host IS NOT NULL").select("host", "iso", "cents", F.timestamp_seconds("epoch").alias("ts"))
+    jobs.distinct_lines(lines, ["host", "iso", "cents"], "ts", path, scratch_path(spark, "lines-progress")).awaitTermination()
+    return spark.read.parquet(f"{path}/lines").select("host", "iso", "cents")
 
 
 @query("stream_custom_metrics", CUSTOM + "SELECT event_id, 'name=Custom Metrics|' || name || ',aggregator=OBSERVATION,value=' || value AS value FROM m")
@@ -146,7 +177,7 @@ def partition_export_import(spark, sf) -> DataFrame:
     doubled = rows.filter(F.year(ntz_of(F.col("ts_min") * 60)) == 1997).withColumn("part", F.lit("PART1997")).withColumn("price", F.col("price") * 2)
     for _ in range(2):
         relayout.import_partitions(doubled, path)
-    return spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+    return relayout.exported(spark, path).groupBy("part").agg(F.count("*").alias("n"), F.sum("price").alias("price"))
 
 
 @query("csv_round_trip", E + "SELECT host, iso AS timestamp, cents FROM e")

@@ -12,9 +12,7 @@ from opsmetrics.session import materialize, scratch_path, shared_dir
 from opsmetrics.sinks import store
 from opsmetrics.sources import files
 from opsmetrics.sources.monitors import parse_vmstat
-from opsmetrics.streaming import jobs
 
-from .test_ordered import fold_bursts, skewed
 
 
 def test_shared_dir_comes_from_the_session(spark):
@@ -172,19 +170,6 @@ def test_registry_choice():
     assert "dbtest" not in registry.available_monitors()
 
 
-def test_stream_state_carries_over_batches(spark, tmp_path):
-    rows = skewed(11, 300, 900)
-    rows = [(k or "none", t, i) for k, t, i in rows]
-    schema = "k string, t bigint, i bigint"
-    landing = str(tmp_path / "landing")
-    for lo, hi in ((0, 300), (300, 600), (600, 900)):  # chunks land in time order
-        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], schema).coalesce(1).write.mode("append").json(landing)
-    src = spark.createDataFrame([], schema).schema
-    landed = jobs.read_landed(spark, landing, src, fmt="json", max_files=1)
-    got = jobs.run_available(jobs.burst_numbers_stream(landed, ["k"], "t", ["i"]), "bursts")
-    assert {r["i"]: r["buffer"] for r in got.collect()} == fold_bursts(rows)
-
-
 def test_no_query_pins_a_machine_local_path(spark):
     import pathlib
 
