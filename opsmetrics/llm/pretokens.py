@@ -127,7 +127,8 @@ def distinct_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tu
     of = coded.indices.to_numpy().astype(np.int64)
     first = _firsts(of, len(coded.dictionary))
     size, like = end - start, first[of]
-    if not ((size == size[like]).all() and (gathered(values, start, size) == gathered(values, start[like], size)).all()):
+    own = values if start[0] == 0 and end[-1] == len(values) and (start[1:] == end[:-1]).all() else gathered(values, start, size)
+    if not ((size == size[like]).all() and (own == gathered(values, start[like], size)).all()):
         places: dict[bytes, int] = {}
         of = np.array([places.setdefault(values[x:y].tobytes(), len(places)) for x, y in zip(start.tolist(), end.tolist())], dtype=np.int64)
         first = _firsts(of, len(places))

@@ -103,13 +103,19 @@ class Encoder:
         whole = parts.holds(unsafe())
         for special in self.special:
             whole |= np.asarray(pa.compute.match_substring(texts, special))
-        wanted = np.unique(parts.of[np.repeat(~whole, parts.hi - parts.lo)])
-        names = [parts.distinct[k] for k in wanted.tolist()]
+        asked = np.ones(len(parts.distinct), dtype=bool)
+        if whole.any():
+            asked[:] = False
+            asked[parts.of[np.repeat(~whole, parts.hi - parts.lo)]] = True
+        wanted = np.flatnonzero(asked)
+        names = parts.distinct if len(wanted) == len(parts.distinct) else [parts.distinct[k] for k in wanted.tolist()]
         if len(self.parts) > PIECES:
             self.parts.clear()
-        new = [n for n in names if n not in self.parts]
-        self.parts.update(zip(new, self.pack_parts(new)))
-        packed = list(map(self.parts.__getitem__, names))
+        packed = list(map(self.parts.get, names))
+        new = [k for k, ids in enumerate(packed) if ids is None]
+        fresh = [names[k] for k in new]
+        for k, name, ids in zip(new, fresh, self.pack_parts(fresh)):
+            packed[k] = self.parts[name] = ids
         size = np.zeros(len(parts.distinct), dtype=np.int64)
         size[wanted] = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
         held, start = np.frombuffer(b"".join(packed), self.kind), np.zeros(len(size), dtype=np.int64)
