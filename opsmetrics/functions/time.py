@@ -19,8 +19,6 @@ DURATION_UNITS = {"M": 60, "h": 3600, "d": 86400, "w": 604800, "m": 2592000}
 SCHEDULES = {"min": (30, 2), "ten_min": (120, 13), "hour": (1440, 43)}
 
 ISO_PREFIX = r"^\d{4}-\d\d-\d\dT"
-US_STAMP = r"(\d+)/(\d+)/(\d+)\s+(\d+):(\d+):(\d+)(?:\s+([AaPp][Mm]))?"
-LONG_STAMP = r"^\S+\s+(\d+)\s+(\S+)\s+(\d+)\s+(\d+):(\d+):(\d+)"
 
 
 def _col(c: Column | str) -> Column:
@@ -74,37 +72,56 @@ def _hour24(hour: Column, marker: Column) -> Column:
     )
 
 
+def _fields(text: Column | str) -> Column:
+    """The words of a text."""
+    return F.split(F.btrim(_col(text), F.lit(" \t\r\n")), r"[ \t]+")
+
+
+def _whole_parts(word: Column, mark: str) -> list[Column]:
+    """Three whole numbers between marks; all null if there are not three pieces."""
+    pieces = F.split(word, mark)
+    return [F.when(F.size(pieces) == 3, F.get(pieces, i)).try_cast("int") for i in range(3)]
+
+
+def _first_of_three(words: Column, mark: str) -> Column:
+    """The first word that marks cut into three."""
+    return F.get(F.filter(words, lambda w: F.size(F.split(w, mark)) == 3), 0)
+
+
+def _marker(word: Column) -> Column:
+    """AM or PM, any other word counts as none."""
+    lower = F.lower(word)
+    return F.when(lower.isin("am", "pm"), lower)
+
+
 def parse_us(text: Column | str) -> Column:
     """``MM/DD/YY[YY] hh:mm:ss [AM|PM]``; two-digit years below 50 are 20xx."""
-    def part(i):
-        return F.regexp_extract(_col(text), US_STAMP, i).try_cast("int")
-    hour = _hour24(part(4), F.regexp_extract(_col(text), US_STAMP, 7))
-    return F.try_make_timestamp_ntz(_full_year(part(3)), part(1), part(2), hour, part(5), part(6))
+    w = _fields(text)
+    month, day, year = _whole_parts(F.get(w, 0), "/")
+    hour, minute, second = _whole_parts(F.get(w, 1), ":")
+    return F.try_make_timestamp_ntz(_full_year(year), month, day, _hour24(hour, _marker(F.get(w, 2))), minute, second)
 
 
 def parse_long(text: Column | str) -> Column:
     """``Tuesday 06 April 2021 12:17:01 IST``; the zone name is dropped."""
-    def part(i):
-        return F.regexp_extract(_col(text), LONG_STAMP, i)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(2)).cast("int")
+    w = _fields(text)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get(w, 2)).cast("int")
+    hour, minute, second = _whole_parts(F.get(w, 4), ":")
     return F.try_make_timestamp_ntz(
-        _full_year(part(3).try_cast("int")), F.when(month > 0, month), part(1).try_cast("int"),
-        part(4).try_cast("int"), part(5).try_cast("int"), part(6).try_cast("int"),
-    )
+        _full_year(F.get(w, 3).try_cast("int")), F.when(month > 0, month), F.get(w, 1).try_cast("int"), hour, minute, second)
 
 
 def parse_us_date(text: Column | str) -> Column:
-    """Midnight of ``MM/DD/YY[YY]``."""
-    return parse_us(F.concat(F.regexp_extract(_col(text), r"(\d\d/\d\d/\d+)", 1), F.lit(" 00:00:00")))
+    """Midnight of the first word like ``MM/DD/YY[YY]``."""
+    return parse_us(F.concat(_first_of_three(_fields(text), "/"), F.lit(" 00:00:00")))
 
 
 def clock_seconds(text: Column | str) -> Column:
-    """Seconds into the day of ``hh:mm:ss AM|PM``."""
-    pattern = r"(\d\d):(\d\d):(\d\d)\s+([AaPp][Mm])"
-    def part(i):
-        return F.regexp_extract(_col(text), pattern, i)
-    hour = _hour24(part(1).try_cast("int"), part(4))
-    return hour * 3600 + part(2).try_cast("int") * 60 + part(3).try_cast("int")
+    """Seconds into the day of the first word like ``hh:mm:ss``, the last word being AM or PM."""
+    w = _fields(text)
+    hour, minute, second = _whole_parts(_first_of_three(w, ":"), ":")
+    marker = _marker(F.element_at(w, -1))
+    return F.when(marker.isNotNull(), _hour24(hour, marker) * 3600 + minute * 60 + second)
 
 
 def at_clock(midnight: Column, day_offset: Column, seconds: Column) -> Column:

@@ -336,7 +336,7 @@ def _two_header_files(ev: DataFrame) -> DataFrame:
   CASE WHEN event_id % 2 = 1 THEN 'Normal' END AS zone, CASE WHEN event_id % 2 = 0 THEN cents END AS mem_kb,
   CASE WHEN event_id % 2 = 1 THEN event_id END AS b, CASE WHEN event_id % 2 = 1 THEN cents + 1 END AS c_first FROM e""")
 def multi_header_csv(spark, sf) -> DataFrame:
-    rows = read_multi_header_csv(_two_header_files(captures(spark, sf)))
+    rows = read_multi_header_csv(_two_header_files(captures(spark, sf))).rows
     def cell(k):
         return F.try_element_at("cells", F.lit(k))
     return rows.select(
@@ -618,7 +618,7 @@ def import_lines(spark, sf) -> DataFrame:
   UNION ALL SELECT *, 'b', CAST(event_id AS VARCHAR), NULL, 'Normal' FROM e WHERE event_id % 2 = 1
   UNION ALL SELECT *, 'cpctd%', CAST(cents + 1 AS VARCHAR), NULL, 'Normal' FROM e WHERE event_id % 2 = 1)""")
 def section_points(spark, sf) -> DataFrame:
-    rows = read_multi_header_csv(_two_header_files(captures(spark, sf)))
+    rows = read_multi_header_csv(_two_header_files(captures(spark, sf))).rows
     def tag(k):
         return F.try_element_at("tags", F.lit(k)).alias(k)
     return map_to_points(rows, "numa", host="host").select("metric", "epoch", "host", "col", "raw", tag("node"), tag("zone"))

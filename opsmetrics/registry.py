@@ -15,10 +15,10 @@ from .sources.files import ParseResult
 
 @dataclass(frozen=True)
 class Monitor:
-    """``parse`` is None for captures that are kept but never turned into metrics."""
+    """``parse`` is None for captures that are kept but never turned into metrics; ``places`` if it needs the order of lines."""
 
     parse: Callable[[DataFrame], dict[str, ParseResult]] | None
-    whole: bool = False
+    places: bool = False
     record_sep: str | None = None
 
 
@@ -27,7 +27,7 @@ def _one(fn):
 
 
 MONITORS: dict[str, Monitor] = {
-    "iostat": Monitor(_one(iostat.parse_iostat), whole=True),
+    "iostat": Monitor(_one(iostat.parse_iostat), places=True),
     "vmstat": Monitor(_one(monitors.parse_vmstat)),
     "dbtest": Monitor(None),
     "dbvars": Monitor(monitors.parse_dbvars),

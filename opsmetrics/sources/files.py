@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import host_from_path, metric_header, unix_lines
+from ..operators.ordered import running
 from ..session import materialize
 
 CARRIED = ("host", "file_path", "pos")
@@ -26,13 +27,15 @@ def carried(df: DataFrame) -> list[str]:
 
 
 def read_monitor(
-    spark: SparkSession, monitor: str, dirs: list[str], whole: bool = False, record_sep: str | None = None,
+    spark: SparkSession, monitor: str, dirs: list[str], whole: bool = False, record_sep: str | None = None, places: bool = False,
 ) -> DataFrame:
     """Captures of one monitor below ``dirs``: (value, file_path, host).
 
     ``value`` is a line, or a record when ``record_sep`` is given, or the file
     when ``whole``. All hosts are read in one plan. Line and record reads split
-    large files; ``whole`` is for formats that only make sense as a unit.
+    large files; ``whole`` is for formats that only make sense as a unit. With
+    ``places``, ``split`` is where the split of the file begins and ``at`` orders
+    the lines of a split, for parsers that carry something from line to line.
     """
     reader = spark.read.option("pathGlobFilter", f"*_{monitor}_*[0-9].txt").option("recursiveFileLookup", "true")
     if whole:
@@ -40,22 +43,92 @@ def read_monitor(
     elif record_sep:
         reader = reader.option("lineSep", record_sep)
     path = F.col("_metadata.file_path")
-    return reader.text(list(dirs)).select("value", path.alias("file_path"), host_from_path(path).alias("host"))
+    more = [F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")] if places else []
+    return reader.text(list(dirs)).select("value", path.alias("file_path"), host_from_path(path).alias("host"), *more)
+
+
+SLICE_LINES = 4096  # lines of a text held in one row that count as a split
+
+
+def placed_lines(df: DataFrame) -> DataFrame:
+    """Lines with their place: as read with ``places``, or cut from texts of whole files. Line ends are cleaned."""
+    if "split" in df.columns and "at" in df.columns:
+        return df.withColumn("value", unix_lines("value"))
+    keep = carried(df)
+    path = F.col("file_path") if "file_path" in df.columns else F.lit(None).cast("string")
+    named = df.select(*(c for c in keep if c != "file_path"), F.coalesce(path, F.md5("value")).alias("file_path"), F.split(unix_lines("value"), "\n").alias("__l"))
+    lines = named.select(*(c for c in named.columns if c != "__l"), F.posexplode("__l").alias("at", "value"))
+    return lines.withColumn("split", F.floor(F.col("at") / SLICE_LINES)).withColumn("at", F.col("at").cast("bigint"))
+
+
+def carried_forward(lines: DataFrame, marks: dict[str, Column], before_current: bool = False, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """``lines`` with the last value of each mark up to the line, also from earlier splits of its file.
+
+    A split hands on one small row; lines are sorted within their split only.
+    """
+    return running(lines, list(keys), F.col("split"), ["at"], {n: ("last", c) for n, c in marks.items()}, before_current)
 
 
 def list_captures(spark: SparkSession, monitor: str, dirs: list[str], with_content_key: bool = True) -> DataFrame:
-    """Capture files of a monitor with size, time, host and content hash."""
+    """Capture files of a monitor with size, time, host and, if asked for, a key of their content."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*_{monitor}_*[0-9].txt").option("recursiveFileLookup", "true").load(list(dirs))
     )
-    cols = [
-        F.lit(monitor).alias("monitor"), host_from_path("path").alias("host"), F.col("path").alias("file_path"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
-    ]
-    if with_content_key:
-        cols.append(F.md5("content").alias("md5"))
-    return files.select(*cols)
+    listed = files.select(
+        F.lit(monitor).alias("monitor"), host_from_path("path").alias("host"), plain_path("path").alias("file_path"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    if not with_content_key:
+        return listed
+    keys = content_keys(read_monitor(spark, monitor, dirs, record_sep="\n", places=True))
+    return listed.join(keys, "file_path", "left").withColumnRenamed("content_key", "md5")
+
+
+def plain_path(path: Column | str) -> Column:
+    """One spelling of a local file's address."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _split_sums(lines: DataFrame) -> DataFrame:
+    """Per split of a file, numbers that depend on its lines and their places in it, whatever the order they are added in.
+
+    With h a line's hash and i its number in the split, the sum of h and the sum of h * i; i is counted from the smallest
+    number only after summing: the sum of h * (i - base) is the sum of h * i less base times the sum of h.
+    """
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its task
+    hashes = [F.xxhash64(F.lit(k), "value").bitwiseAND(F.lit((1 << 31) - 1)) for k in range(2)]
+    wide = lambda c: c.cast("decimal(38,0)")
+    return lines.groupBy(plain_path("file_path").alias("file_path"), "split").agg(
+        F.count("*").alias("n"), F.min(place).alias("base"), *(F.sum(wide(h)).alias(f"h{k}") for k, h in enumerate(hashes)),
+        *(F.sum(wide(h) * place).alias(f"p{k}") for k, h in enumerate(hashes)))
+
+
+def content_keys(lines: DataFrame) -> DataFrame:
+    """(file_path, content_key) of files read as lines with their places; equal files of equal size have equal keys.
+
+    No file is held as a whole: tasks sum up the splits they read, one row per split is shuffled, and the keys of the
+    splits are combined in any order. Files of equal size are cut into the same splits.
+    """
+    placed = [F.col(f"p{k}") - F.col("base") * F.col(f"h{k}") for k in range(2)]
+    of_split = [F.xxhash64(F.lit(k), "split", "n", "h0", "h1", *placed) for k in range(2)]
+    return _split_sums(lines).groupBy("file_path").agg(
+        F.concat_ws("-", F.sum("n").cast("string"), *(F.hex(F.bit_xor(c)) for c in of_split)).alias("content_key"))
+
+
+def unequal_content(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (file_path, first) of ``pairs`` whose files differ in any line: candidates with equal keys are compared line by line."""
+    base = _split_sums(lines).select("file_path", "split", "base", "n")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = lines.select(plain_path("file_path").alias("file_path"), "split", place.alias("__at"), "value").join(
+        base, ["file_path", "split"]).select("file_path", "split", (F.col("__at") - F.col("base")).alias("i"), "value")
+    asked = pairs.select(plain_path("file_path").alias("file_path"), plain_path("first").alias("first")).where("file_path <> first")
+    a = numbered.join(asked, "file_path")
+    b = numbered.withColumnRenamed("file_path", "first")
+    key = ["first", "split", "i", "value"]
+    missing = a.join(b, key, "left_anti").select("file_path", "first")
+    lengths = base.groupBy("file_path").agg(F.sum("n").alias("n"))
+    longer = asked.join(lengths, "file_path").join(lengths.toDF("first", "m"), "first").where("n <> m").select("file_path", "first")
+    return missing.union(longer).distinct()
 
 
 def monitor_hosts(df: DataFrame) -> DataFrame:
@@ -118,27 +191,26 @@ def check_columns(df: DataFrame, by: list[str], n: Column, on_bad: str = "quaran
     return ParseResult(out.rows.drop("__n", "__usual"), out.rejects)
 
 
-def read_multi_header_csv(df: DataFrame) -> DataFrame:
+def read_multi_header_csv(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
     """Concatenated CSVs whose header changes on the way, one row per data line.
 
-    ``value`` holds a whole file. A line naming the ``timestamp`` column starts a
-    block; each block carries its own header, so no state crosses lines. Result:
-    (provenance, block, line, timestamp, cells map<string,string>).
+    ``df`` holds lines with their places, or whole files. A line naming the ``timestamp`` column is the header of the
+    lines up to the next one, also beyond the split it stands in. Rows: (provenance, block, at, cells map<string,string>),
+    missing cells null. Lines before the first header and lines with more cells than their header are rejects.
     """
-    is_header = r"(?i)(?:timestamp,|,timestamp)"
-    blocks = F.split(unix_lines("value"), r"(?m)^(?=[^\n]*(?i:timestamp,|,timestamp))")
-    lines = F.split("__text", "\n")
-    header = F.transform(F.split(lines[0], ","), metric_header)
     keep = carried(df)
-    cells = F.transform(F.split("__line", ","), lambda x: F.trim(x))
-    padded = F.slice(F.concat(cells, F.transform("__header", lambda _: F.lit(None).cast("string"))), F.lit(1), F.size("__header"))
-    return (
-        df.select(*keep, F.posexplode(blocks).alias("block", "__text"))
-        .filter(lines[0].rlike(is_header))
-        .select(*keep, "block", header.alias("__header"), F.posexplode(lines).alias("line", "__line"))
-        .filter((F.col("line") > 0) & (F.length(F.trim("__line")) > 0))
-        .select(*keep, "block", "line", F.map_from_arrays("__header", padded).alias("cells"))
-    )
+    lines = placed_lines(df)
+    is_header = F.col("value").rlike("(?i)(?:timestamp,|,timestamp)")
+    seen = running(lines, ["file_path"], F.col("split"), ["at"], {
+        "block": ("sum", is_header.cast("bigint")), "__header": ("last", F.when(is_header, F.col("value")))})
+    body = seen.filter(~is_header & F.col("value").rlike(r"\S"))
+    headed = split_rows(body, F.col("__header").isNotNull(), "no header before the line", on_bad)
+    cells = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    cut = headed.rows.withColumn("__names", F.transform(F.split("__header", ","), metric_header)).withColumn("__cells", cells)
+    fit = split_rows(cut, F.size("__cells") <= F.size("__names"), "more cells than the header has", on_bad)
+    padded = F.slice(F.concat("__cells", F.transform("__names", lambda _: F.lit(None).cast("string"))), F.lit(1), F.size("__names"))
+    rows = fit.rows.select(*keep, "block", "at", F.map_from_arrays("__names", padded).alias("cells"))
+    return ParseResult(rows, headed.rejects.unionByName(fit.rejects))
 
 
 def without_overlap(df: DataFrame) -> DataFrame:

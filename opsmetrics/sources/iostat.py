@@ -1,100 +1,107 @@
 """Disk-statistics reports.
 
-A report is one file: a banner, then samples of a time line, a CPU paragraph and
-a device paragraph. The text is cut at its time lines, so every piece holds one
-whole sample and devices find their time and CPU figures without any window.
+A report is a banner, then samples of a time line, a CPU paragraph and a device paragraph. Every line is told by itself;
+what a device line needs from the lines above it (date style, time, CPU figures, column names) is carried forward, also
+over the places where a file is split. Lines that belong to none of these are rejects and take the time away from the
+lines below them, so that figures never get the time of an earlier sample.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import number, unix_lines, words
+from ..functions.text import number, words
 from ..functions.time import at_clock, clock_seconds, parse_iso, parse_long, parse_us, parse_us_date
-from .files import ParseResult, carried, split_rows
+from ..operators.ordered import running
+from .files import ParseResult, carried, carried_forward, placed_lines, split_rows
 
 # Device-name prefixes that are reported.
 DEVICE_PREFIXES = ("sd", "fi", "nv", "xv", "em")
-
-TIME_LINE = r"(?m)^(?=\d+/\d|[^\n:]*:[^\n:]*:[^\n:]*$)"
-CLOCK_LINE = r"(?m)^(?=Time: )"
+LOST = "?"  # the time of lines below one that is not understood
 
 
 def banner_style(banner: Column) -> Column:
-    """Date style of a report, from the fields of its banner."""
-    n = F.size(words(banner))
-    date = F.regexp_extract(banner, r"^\S+\s+\S+\s+\S+\s+(.*?)(?:\s+_x86_.*)?$", 1)
-    def count(mark):
-        return F.length(date) - F.length(F.translate(date, mark, ""))
+    """Date style of a report, from the number of words of its banner and the marks in its date."""
+    w = words(banner)
+    n, date = F.size(w), F.get(w, 3)
+    parts = lambda mark: F.size(F.split(date, mark))
     return (
-        F.when((n == 7) & (count("/") == 2), "us")
-        .when((n == 7) & (count("-") == 2), "iso")
+        F.when((n == 7) & (parts("/") == 3), "us")
+        .when((n == 7) & (parts("-") == 3), "iso")
         .when(n == 10, "long")
         .when(n == 4, "clock")
     )
 
 
-def _reports(df: DataFrame) -> DataFrame:
-    """One row per report; a file may hold several, each with its own banner."""
-    keep = carried(df)
-    runs = F.split(unix_lines("value"), r"(?m)^(?=Linux )")
-    return (
-        df.select(*keep, F.posexplode(runs).alias("run", "value")).filter(F.col("value").startswith("Linux"))
-        .withColumn("banner", F.substring_index("value", "\n", 1))
-        .withColumn("style", banner_style(F.col("banner")))
-    )
-
-
-def _device_rows(samples: DataFrame, keep: list[str], prefixes: tuple[str, ...], on_bad: str) -> ParseResult:
-    """Samples (``timestamp``, ``__text``) to one row per device with a map of all measures."""
-    cpu = r"avg-cpu:\s+(%user[^\n]*idle)\s*\n\s+(\d[^\n]*)"
-    lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"^(?:{'|'.join(prefixes)})"))
-    devices = samples.select(
-        *keep, "timestamp",
-        words(F.regexp_extract("__text", r"\n(Device[^\n]*util)", 1)).alias("__head"),
-        words(F.regexp_extract("__text", cpu, 1)).alias("__cn"), words(F.regexp_extract("__text", cpu, 2)).alias("__cv"),
-        F.explode(lines).alias("value"),
-    ).withColumn("__f", words("value"))
-    ok = (
-        F.col("timestamp").isNotNull() & (F.size("__f") == F.size("__head")) & (F.size("__cn") == F.size("__cv"))
-    )
+def _kinds(line: Column) -> dict[str, Column]:
+    """What a line is, each test on the line alone."""
+    w = words(line)
+    numeric = lambda c: F.coalesce(c, F.lit("")).try_cast("double").isNotNull()
+    clock = F.exists(w, lambda x: F.size(F.split(x, ":")) >= 3)
+    kinds = {
+        "blank": F.length(F.btrim(line, F.lit(" \t"))) == 0,
+        "banner": line.startswith("Linux "),
+        "names": line.startswith("avg-cpu:"),
+        "head": line.startswith("Device"),
+    }
+    known = kinds["blank"] | kinds["banner"] | kinds["names"] | kinds["head"]
+    kinds["time"] = ~known & clock
+    kinds["cpu"] = ~known & ~clock & F.forall(w, numeric)
+    kinds["device"] = ~known & ~clock & ~numeric(F.get(w, 0)) & numeric(F.get(w, 1))
+    kinds["other"] = ~(known | kinds["time"] | kinds["cpu"] | kinds["device"])
+    return kinds
+
+
+def _carried(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Lines with their report, banner, time line, CPU names and figures and column names."""
+    line = F.col("value")
+    lines, kinds = placed_lines(df), _kinds(line)
+    marks = {
+        "__banner": F.when(kinds["banner"], line),
+        "__time": F.when(kinds["time"], line).when(kinds["banner"] | kinds["other"], F.lit(LOST)),
+        "__names": F.when(kinds["names"], line), "__cpu": F.when(kinds["cpu"], line), "__columns": F.when(kinds["head"], line)}
+    return carried_forward(lines, marks).withColumn("__style", banner_style(F.col("__banner"))), kinds
+
+
+def _device_rows(lines: DataFrame, kinds: dict[str, Column], keep: list[str], prefixes: tuple[str, ...], on_bad: str) -> ParseResult:
+    """Lines with a ``timestamp`` to one row per device with a map of all measures, and all lines that are not understood."""
+    lines = lines.select(*keep, "value", "timestamp", "__style", "__names", "__cpu", "__columns")
+    strange = split_rows(lines.filter(kinds["other"] | kinds["device"] | kinds["banner"]), ~kinds["other"], "not a line of a report", on_bad)
+    banners = split_rows(strange.rows, ~kinds["banner"] | F.col("__style").isNotNull(), "unknown banner", on_bad)
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("value").startswith(p)
+    devices = banners.rows.filter(kinds["device"] & wanted).select(
+        *keep, "value", "timestamp", words("value").alias("__f"), words("__columns").alias("__head"),
+        words(F.substring_index("__names", ":", -1)).alias("__cn"), words("__cpu").alias("__cv"))
+    ok = F.col("timestamp").isNotNull() & (F.size("__f") == F.size("__head")) & (F.size("__cn") == F.size("__cv"))
     res = split_rows(devices, ok, "not a device row", on_bad)
     names = F.concat(F.slice("__head", F.lit(2), F.size("__head") - 1), F.col("__cn"))
     values = F.concat(F.slice("__f", F.lit(2), F.size("__f") - 1), F.col("__cv"))
     rows = res.rows.select(
         *keep, "timestamp", F.col("__f")[0].alias("device"),
-        F.map_from_arrays(names, F.transform(values, number)).alias("measures"),
-    )
-    return ParseResult(rows, res.rejects)
+        F.map_from_arrays(names, F.transform(values, number)).alias("measures"))
+    return ParseResult(rows, strange.rejects.unionByName(banners.rejects).unionByName(res.rejects))
 
 
 def parse_iostat(
     df: DataFrame, prefixes: tuple[str, ...] = DEVICE_PREFIXES, on_bad: str = "quarantine",
 ) -> ParseResult:
-    """Reports whose samples carry a full date; ``value`` is a whole file.
+    """Reports whose samples carry a full date; ``df`` holds lines with their places, or whole files.
 
     The banner tells the date style: US with optional AM/PM, ISO with offset, or
     the long form. Measures form a map, since columns differ between versions.
     """
-    keep = carried(df)
-    line = F.col("__line")
+    lines, kinds = _carried(df)
+    time = F.col("__time")
     stamp = (
-        F.when(F.col("style") == "us", parse_us(line))
-        .when(F.col("style") == "iso", parse_iso(line))
-        .when(F.col("style") == "long", parse_long(line))
-    )
-    dated = _reports(df).filter(F.col("style").isNull() | (F.col("style") != "clock"))
-    known = split_rows(dated, F.col("style").isNotNull(), "unknown banner", on_bad)
-    samples = (
-        known.rows.select(*keep, "style", F.posexplode(F.split("value", TIME_LINE)).alias("__n", "__text"))
-        .filter(F.col("__n") > 0)
-        .select(*keep, "style", "__text", F.substring_index("__text", "\n", 1).alias("__line"))
-        .withColumn("timestamp", stamp)
+        F.when(F.col("__style") == "us", parse_us(time))
+        .when(F.col("__style") == "iso", parse_iso(time))
+        .when(F.col("__style") == "long", parse_long(time))
     )
-    out = _device_rows(samples, keep, prefixes, on_bad)
-    return ParseResult(out.rows, known.rejects.unionByName(out.rejects))
+    dated = lines.filter(F.col("__style").isNull() | (F.col("__style") != "clock"))
+    return _device_rows(dated.withColumn("timestamp", stamp), kinds, carried(df), prefixes, on_bad)
 
 
 def parse_iostat_clock(
@@ -105,25 +112,16 @@ def parse_iostat_clock(
     A sample whose clock went from PM to AM begins a new day. Days are counted
     along one report; times come out on the minute.
     """
-    keep = carried(df)
-    samples = (
-        _reports(df).filter(F.col("style") == "clock")
-        .withColumn("__file", F.monotonically_increasing_id())
-        .select(*keep, "__file", F.col("banner"), F.posexplode(F.split("value", CLOCK_LINE)).alias("__n", "__text"))
-        .filter(F.col("__n") > 0)
-        .withColumn("__clock", F.regexp_extract("__text", r"^Time: (.*)", 1))
-        .withColumn("__pm", F.lower("__clock").endswith("pm"))
-    )
-    report = Window.partitionBy("__file").orderBy("__n")
-    turned = F.when(F.lag("__pm").over(report) & ~F.col("__pm"), 1).otherwise(0)
-    stamped = samples.withColumn("__turned", turned).withColumn(
-        "timestamp",
-        F.date_trunc("minute", at_clock(
-            parse_us_date(F.regexp_extract("banner", r"(\S+)\s*$", 1)),
-            F.sum("__turned").over(report), clock_seconds("__clock"),
-        )).cast("timestamp_ntz"),
-    )
-    return _device_rows(stamped, keep, prefixes, on_bad)
+    lines, kinds = _carried(df)
+    after_noon = F.lower(F.element_at(words("value"), -1)) == "pm"
+    # which half of the day it was before a time line, and how often midnight passed since the banner
+    earlier = carried_forward(lines, {"__was_pm": F.when(kinds["time"], after_noon).when(kinds["banner"], F.lit(False))}, before_current=True)
+    midnight = kinds["time"] & ~after_noon & F.coalesce("__was_pm", F.lit(False))
+    days = running(earlier, ["file_path"], F.col("split"), ["at"], {"__days": ("sum", midnight.cast("bigint"))})
+    based = carried_forward(days, {"__base": F.when(kinds["banner"], F.col("__days"))}).filter(F.col("__style") == "clock")
+    stamp = F.date_trunc("minute", at_clock(
+        parse_us_date("__banner"), F.col("__days") - F.col("__base"), clock_seconds("__time"))).cast("timestamp_ntz")
+    return _device_rows(based.withColumn("timestamp", stamp), kinds, carried(df), prefixes, on_bad)
 
 
 def disk_with_slow_inserts(disk: DataFrame, slow: DataFrame, by: list[str] = ("host",)) -> DataFrame:

@@ -136,10 +136,14 @@ def test_ingest_load_undo_and_empty(spark, tmp_path):
     assert counts["vmstat", "hosta"] == 13 and counts["vmstat", "host_b"] == 13  # the copied capture counts once
     assert counts["fdcount", "hosta"] == 2 and counts["numabuddyrefs", "hosta"] == 13
     seq = points.filter("metric = 'vmstat'").first()["load_seq"]
+    points = materialize(points)
     store.undo_load(spark, log, seq)
     store.undo_load(spark, log, seq)
+    assert store.read_points(spark, path, log).filter("metric = 'vmstat'").select("load_seq").distinct().count() == 1  # the other host's load stays
+    for row in points.filter("metric = 'vmstat'").select("load_seq").distinct().collect():
+        store.undo_load(spark, log, row["load_seq"])
     assert store.read_points(spark, path, log).filter("metric = 'vmstat'").isEmpty()
-    assert store.next_load_id(store.read_log(spark, log)).first()["load_id"] == "L3"
+    assert store.next_load_id(store.read_log(spark, log)).first()["load_id"] == "L4"  # one number for each monitor and host
     store.empty_store(spark, path, log)
     assert store.next_load_id(store.read_log(spark, log)).first()["load_id"] == "L0"
     assert store.read_points(spark, path, log).isEmpty()
@@ -176,3 +180,52 @@ def test_no_query_pins_a_machine_local_path(spark):
     for f in pathlib.Path(ingest.__file__).parent.rglob("*.py"):
         text = f.read_text()
         assert "localCheckpoint" not in text and '"/tmp' not in text, f
+
+
+def test_two_loaders_never_share_or_undo_a_number(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, log = scratch_path(spark, "store"), scratch_path(spark, "log")
+    with ThreadPoolExecutor(4) as pool:
+        taken = [n for own in pool.map(lambda _: store.reserve(spark, log, 5), range(4)) for n in own]
+    assert sorted(taken) == list(range(20))
+    df = parse_vmstat(spark.createDataFrame([(" 1 9 500 20 8 900 0 0 5 6 100 200 3 1 96 0 0 2020-09-13T05:26:40", h) for h in ("a", "b", None)], "value string, host string")).rows
+    points = to_points(df, "vmstat", host="host")
+    mine, theirs = (dict(zip(("a", "b", None), store.reserve(spark, log, 3))) for _ in range(2))
+    assert not set(mine.values()) & set(theirs.values()) and min(mine.values()) == 20
+    store.load_points(points, path, log, mine)
+    store.load_points(points, path, log, theirs)
+    for n in mine.values():
+        store.undo_load(spark, log, n, "vmstat")
+    left = store.read_points(spark, path, log)
+    assert {(r["host"], r["load_seq"], r["load_id"]) for r in left.select("host", "load_seq", "load_id").distinct().collect()} == {
+        (h, n, f"L{n}") for h, n in theirs.items()}
+    with pytest.raises(ValueError, match="used already"):
+        store.load_points(points, path, log, theirs["a"])
+
+
+def test_copy_reads_pushed_ranges(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "id AS ts_min", "id % 7 AS v")
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    rows.write.parquet(src)
+    rows.filter("id < 450 OR id BETWEEN 600 AND 799").write.parquet(dst)
+    bounds = materialize(relayout.partition_bounds(catalog_rows(spark, [200, 400, 600, 800, 1000])).drop("table"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    got = relayout.copy_new_rows(spark.read.parquet(src), spark.read.parquet(dst), bounds, ["id", "ts_min"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "ts_min" in line]
+    assert len(scans) >= 2
+    for scan in scans:  # the two partitions that lag, each as a range, in both scans
+        pushed = scan[scan.index("PushedFilters"):]
+        assert all(f"(ts_min,{n})" in pushed for n in (400, 600, 800, 1000)), pushed
+    assert sorted(r["id"] for r in got.collect()) == [*range(450, 600), *range(800, 1000)]
+
+
+def test_export_keeps_rows_outside_all_ranges(spark):
+    bounds = materialize(relayout.partition_bounds(catalog_rows(spark, [90, 200])).drop("table").filter("hi IS NOT NULL"))
+    df = spark.createDataFrame([(1, 5), (2, 150), (3, 200), (4, -1), (5, None)], "id bigint, ts_min bigint")
+    path = scratch_path(spark, "export")
+    relayout.export_by_partition(df, bounds, "ts_min", ["id"], path)
+    assert {r["id"]: r["part"] for r in relayout.exported(spark, path).collect()} == {1: "PART0", 2: "PART1"}
+    assert sorted((r["id"], r["ts_min"]) for r in relayout.outside_ranges(spark, path).collect()) == [(3, 200), (4, -1), (5, None)]

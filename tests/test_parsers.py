@@ -256,8 +256,10 @@ def test_catalog_texts(spark):
 
 
 def test_multi_header_csv(text):
-    rows = read_multi_header_csv(text("timestamp,node,a\n2021-01-01T00:00:00,n1,5\n2021-01-01T00:01:00,n1\ntimestamp,zone,b,c%\n2021-01-01T00:02:00,DMA,1,2\n")).collect()
-    assert [r["cells"] for r in rows] == [
+    res = read_multi_header_csv(text("lost,1\ntimestamp,node,a\n2021-01-01T00:00:00,n1,5\n2021-01-01T00:01:00,n1\ntimestamp,zone,b,c%\n2021-01-01T00:02:00,DMA,1,2\n2021-01-01T00:02:00,DMA,1,2,3\n"))
+    assert {r["reason"]: r["value"] for r in res.rejects.collect()} == {
+        "no header before the line": "lost,1", "more cells than the header has": "2021-01-01T00:02:00,DMA,1,2,3"}
+    assert [r["cells"] for r in res.rows.orderBy("at").collect()] == [
         {"timestamp": "2021-01-01T00:00:00", "node": "n1", "a": "5"}, {"timestamp": "2021-01-01T00:01:00", "node": "n1", "a": None},
         {"timestamp": "2021-01-01T00:02:00", "zone": "DMA", "b": "1", "cpct": "2"}]
 
