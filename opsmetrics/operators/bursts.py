@@ -1,10 +1,10 @@
 """Burst numbering and gap suppression: greedy, sequential rules run slice by slice.
 
-Both rules walk a key's rows in order with a small state. A slice is first
-reduced to "state in -> state out", the slices of a key are chained over those
-small records, and then every slice is worked on its own with its known state.
-A window clusters and sorts each slice; the walk itself streams over Arrow
-batches, so a task holds one batch at a time and never one key's history.
+Both rules jump from row to row: from a group's first row to the next group's, from a pick to the next pick. Where a jump
+leads is known for every row at once; which rows are reached from a slice's first jump is found by doubling the jumps
+(one step, two, four, ..) in arrays, without walking the rows. A slice is reduced to "state in -> state out", the slices
+of a key are chained over those small records, and every slice gets its known state. A window clusters and sorts each
+slice; the arrays are those of an Arrow batch, so a task never holds one key's history.
 """
 
 from __future__ import annotations
@@ -19,11 +19,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from .ordered import KEY, SLICE, key_of, time_slice, with_slice
 
 Batches = Iterator[pd.DataFrame]
 
 
+def doubled(jump: np.ndarray) -> list[np.ndarray]:
+    """Where 1, 2, 4, .. jumps lead; ``jump`` leads forwards, or to its length, which is nowhere."""
+    steps = [np.append(jump, len(jump))]
+    while (steps[-1] < len(jump)).any():
+        steps.append(steps[-1][steps[-1]])
+    return steps
+
+
+def reached(steps: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Flags of all rows that jumps from ``first`` reach, these included."""
+    seen = np.zeros(len(steps[0]), dtype=bool)
+    seen[first] = True
+    for step in steps:
+        seen[step[np.flatnonzero(seen)]] = True
+    return seen[:-1]
+
+
+def last_reached(steps: list[np.ndarray]) -> np.ndarray:
+    """The last row that jumps from each row reach, itself if it jumps nowhere."""
+    n = len(steps[0]) - 1
+    at = np.arange(n)
+    for step in reversed(steps):
+        onward = step[at]
+        at = np.where(onward < n, onward, at)
+    return at
+
+
+class Pieces:
+    """The slices within a batch: ``lo``/``hi`` of each, and the piece ``of`` each row; the first may go on from the batch before."""
+
+    def __init__(self, new: np.ndarray):
+        starts = np.flatnonzero(new)
+        self.goes_on = len(new) > 0 and not new[0]
+        self.lo = np.append(0, starts) if self.goes_on else starts
+        self.hi = np.append(self.lo[1:], len(new))
+        self.of = np.repeat(np.arange(len(self.lo)), self.hi - self.lo)
+
+
 def _fields(df: DataFrame, names: list[str], **more: T.DataType) -> T.StructType:
     return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in more.items()])
 
@@ -75,38 +114,45 @@ def burst_numbers(
         .filter(~F.col("__ahead")).drop("__ahead")
     )
 
-    def exits(batches: Batches) -> Batches:
-        """Per slice and entry (rows the open group still takes): the same at the slice's end."""
-        walks, rows = [], 0
+    entries, columns = range(max_group), [c for c in sized.columns if c not in ("__new", "__size")]
+    numbers = [f"__n{e}" for e in entries]
+
+    def walk(batches: Batches) -> Batches:
+        """Each row's number for every entry (rows the open group still takes), as minus its place while it is in that group; at a slice's end the state for every entry."""
+        held = None  # per entry: rows still taken, rows in the group, whether it is the group that was open; rows so far
         for pdf in batches:
-            ends = []
-            for new, end, n in zip(pdf["__new"].tolist(), pdf["__end"].tolist(), pdf["__size"].tolist()):
-                if new:
-                    walks, rows = [[e, 0, [e]] for e in range(max_group)], 0
-                rows += 1
-                for walk in walks:
-                    if walk[0] == 0:
-                        walk[0], walk[1] = n, 0
-                    walk[0] -= 1
-                    walk[1] += 1
-                if len(walks) > 1:
-                    # Walks that agree once agree for good.
-                    merged: dict[tuple[int, int], list] = {}
-                    for walk in walks:
-                        twin = merged.setdefault((walk[0], walk[1]), walk)
-                        if twin is not walk:
-                            twin[2].extend(walk[2])
-                    walks = list(merged.values())
-                if end:
-                    left, taken, whole = [0] * max_group, [0] * max_group, [False] * max_group
-                    for still, has, entries in walks:
-                        for e in entries:
-                            left[e], taken[e], whole[e] = still, has, e >= rows
-                    ends.append((left, taken, whole))
-            if not ends:  # the batch lies within one slice
+            n = len(pdf)
+            if n == 0:
                 continue
-            last = pdf.loc[pdf["__end"], [*key, SLICE]]
-            yield last.assign(left=[x[0] for x in ends], taken=[x[1] for x in ends], whole=[x[2] for x in ends])
+            size, row = pdf["__size"].to_numpy(dtype=np.int64), np.arange(n)
+            p = Pieces(pdf["__new"].to_numpy(dtype=bool))
+            lo, hi, count = p.lo, p.hi, p.hi - p.lo
+            steps = doubled(np.where(row + size < hi[p.of], row + size, n))
+            final, place = last_reached(steps), row - lo[p.of]
+            done = np.zeros(len(lo), dtype=np.int64)  # rows of the slice before this batch
+            if p.goes_on:
+                done[0] = held[3]
+            out, states = {}, []
+            for e in entries:
+                left, taken, same = np.full(len(lo), e), np.zeros(len(lo), dtype=np.int64), np.ones(len(lo), dtype=bool)
+                if p.goes_on:
+                    left[0], taken[0], same[0] = held[0][e], held[1][e], held[2][e]
+                first = lo + left
+                inside = first < hi
+                start = np.where(reached(steps, first[inside]), row, -1)
+                np.maximum.accumulate(start, out=start)
+                ahead = np.where(same[p.of], -(done[p.of] + place + 1), taken[p.of] + place + 1)
+                out[numbers[e]] = np.where(start >= lo[p.of], row - start + 1, ahead)
+                at = final[np.minimum(first, n - 1)]
+                states.append((
+                    np.where(inside, at + size[at] - hi, first - hi),
+                    np.where(inside, hi - at, np.where(same, done + count, taken + count)), same & ~inside))
+            held = ([s[0][-1] for s in states], [s[1][-1] for s in states], [s[2][-1] for s in states], done[-1] + count[-1])
+            end = pdf["__end"].to_numpy(dtype=bool)
+            for k, name in enumerate(("left", "taken", "whole")):
+                per_piece = np.stack([s[k] for s in states], axis=1).tolist()
+                out[name] = [per_piece[x] if e else None for x, e in zip(p.of.tolist(), end.tolist())]
+            yield pdf[columns].assign(**out)
 
     def chain(batches: Batches) -> Batches:
         left = taken = 0
@@ -120,31 +166,16 @@ def burst_numbers(
                 left = int(lefts[left])
             yield pdf[[*key, SLICE]].assign(__left=[s[0] for s in states], __taken=[s[1] for s in states])
 
-    def number(batches: Batches) -> Batches:
-        left = taken = 0
-        for pdf in batches:
-            numbers = []
-            for new, n, had_left, had_taken in zip(
-                pdf["__new"].tolist(), pdf["__size"].tolist(), pdf["__left"].tolist(), pdf["__taken"].tolist()
-            ):
-                if new:
-                    left, taken = had_left, had_taken
-                if left == 0:
-                    left, taken = n, 0
-                left -= 1
-                taken += 1
-                numbers.append(taken)
-            yield pdf[base_columns].assign(**{out: np.asarray(numbers, dtype=np.int64)})
-
-    base_columns = [c for c in base.columns if c != KEY]
+    base_columns = [c for c in base.columns if c not in (KEY, SLICE)]
     longs, long = T.ArrayType(T.LongType()), T.LongType()
-    reduced = sized.select(*_at_end(keys), SLICE, "__new", "__end", "__size").mapInPandas(
-        exits, _fields(sized, [*key, SLICE], left=longs, taken=longs, whole=T.ArrayType(T.BooleanType())))
-    states = _by_slice(reduced, keys).mapInPandas(
-        chain, _fields(sized, [*key, SLICE], __left=long, __taken=long))
-    fed = sized.join(states, [*key, SLICE], "left").fillna(0, ["__left", "__taken"])
-    ready = fed.select(*key, *base_columns, "__new", "__size", "__left", "__taken").sortWithinPartitions(*key, SLICE, *order).drop(KEY)
-    return ready.mapInPandas(number, _fields(base, base_columns, **{out: long})).drop(SLICE)
+    # The rows are shuffled, sorted and walked once, and stored; choosing among their numbers needs the slices' states only.
+    walked = materialize(sized.mapInPandas(walk, _fields(
+        sized, columns, **dict.fromkeys(numbers, long), left=longs, taken=longs, whole=T.ArrayType(T.BooleanType()))), "walked")
+    reduced = walked.filter("__end").select(*key, SLICE, "left", "taken", "whole")
+    states = _by_slice(reduced, keys).mapInPandas(chain, _fields(walked, [*key, SLICE], __left=long, __taken=long))
+    chosen = F.coalesce(*[F.when(F.col("__left") == e, F.col(c)) for e, c in enumerate(numbers)])
+    numbered = walked.join(states, [*key, SLICE], "left").withColumn(out, chosen)
+    return numbered.select(*base_columns, F.when(F.col(out) < 0, F.col("__taken") - F.col(out)).otherwise(F.col(out)).alias(out))
 
 
 def spaced_picks(
@@ -168,27 +199,25 @@ def spaced_picks(
         .withColumn("__end", F.lead(F.lit(1)).over(w).isNull())
     )
 
-    def outcomes(seconds: list[int]) -> tuple[list[int], list[int]]:
-        t = np.asarray(seconds, dtype=np.int64)
+    def outcomes(t: np.ndarray) -> tuple[list[int], list[int]]:
+        """The seconds of a slice in which its first pick may lie, and its last pick if it does."""
         following = np.searchsorted(t, t + min_gap, side="right")
-        last = t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if following[i] < len(t):
-                last[i] = last[following[i]]
+        last = t[last_reached(doubled(following))]
         keep = int(np.searchsorted(t, t[0] - t[0] % slice_seconds + min_gap, side="left")) + 1
         return t[:keep].tolist(), last[:keep].tolist()
 
     def heads(batches: Batches) -> Batches:
-        seconds: list[int] = []
+        open_: list[np.ndarray] = []  # the different seconds of a slice that goes on, fewer than the slice is wide
         for pdf in batches:
-            found = []
-            for new, end, t in zip(pdf["__new"].tolist(), pdf["__end"].tolist(), pdf["__t"].tolist()):
-                if new:
-                    seconds = []
-                if not seconds or t != seconds[-1]:
-                    seconds.append(t)
-                if end:
-                    found.append(outcomes(seconds))
+            t, end = pdf["__t"].to_numpy(dtype=np.int64), pdf["__end"].to_numpy(dtype=bool)
+            p, found = Pieces(pdf["__new"].to_numpy(dtype=bool)), []
+            for k, (x, y) in enumerate(zip(p.lo.tolist(), p.hi.tolist())):
+                own = np.unique(t[x:y])
+                if k == 0 and p.goes_on:
+                    own = np.unique(np.concatenate([*open_, own]))
+                open_ = [own]
+                if end[y - 1]:
+                    found.append(outcomes(own))
             if not found:
                 continue
             yield pdf.loc[pdf["__end"], [*key, SLICE]].assign(first=[x[0] for x in found], last=[x[1] for x in found])
@@ -207,17 +236,28 @@ def spaced_picks(
             yield pdf[[*key, SLICE]].assign(__held=pd.array(entries, dtype="Int64"))
 
     def pick(batches: Batches) -> Batches:
-        free_from = None
+        free_after = None  # of the slice that goes on: no pick up to this second
         for pdf in batches:
-            picked = []
-            held = pdf["__held"].astype("Int64").tolist()
-            for new, t, before in zip(pdf["__new"].tolist(), pdf["__t"].tolist(), held):
-                if new:
-                    free_from = None if before is pd.NA else before + min_gap
-                take = free_from is None or t > free_from
-                if take:
-                    free_from = t + min_gap
-                picked.append(take)
+            n = len(pdf)
+            if n == 0:
+                continue
+            t = pdf["__t"].to_numpy(dtype=np.int64)
+            p = Pieces(pdf["__new"].to_numpy(dtype=bool))
+            before = pdf["__held"].astype("Int64").iloc[p.lo]
+            none = t.min() - min_gap - 1
+            free = before.fillna(none).to_numpy(dtype=np.int64) + min_gap
+            if p.goes_on:
+                free[0] = none + min_gap if free_after is None else free_after
+            # rows of a piece, then of the next one, on one ascending scale
+            width = int(t.max() - t.min()) + min_gap + 2
+            scale = t - t.min() + p.of * width
+            following = np.minimum(np.searchsorted(scale, scale + min_gap, side="right"), n)
+            following = np.where(following < p.hi[p.of], following, n)
+            wanted = np.clip(free - t.min(), -1, width - 1) + np.arange(len(p.lo)) * width
+            first = np.maximum(np.searchsorted(scale, wanted, side="right"), p.lo)
+            picked = reached(doubled(following), first[first < p.hi])
+            last = np.flatnonzero(picked[p.lo[-1] :])
+            free_after = int(t[p.lo[-1] + last[-1]]) + min_gap if len(last) else int(free[-1])
             yield pdf[base_columns].assign(**{out: picked})
 
     base_columns = [c for c in base.columns if c != KEY]

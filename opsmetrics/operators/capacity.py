@@ -106,6 +106,12 @@ def project_space(files: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def space_report(projected: DataFrame) -> DataFrame:
+    """The projection in the order of a report: each group's tables by name, then the group, and the total at the end."""
+    last = lambda c: F.col(c).asc_nulls_last()
+    return projected.orderBy(last("group"), last("table"))
+
+
 def space_check(files: DataFrame, free_mb: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Is there room to rebuild each table?
 

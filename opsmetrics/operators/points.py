@@ -109,14 +109,23 @@ def _line(prefix: list[Column]) -> Column:
     )
 
 
+def without_place(points: DataFrame) -> DataFrame:
+    """Points that no line can hold: without metric, time, column or value. They are rejects of the line formats."""
+    return points.filter(~_has_place())
+
+
+def _has_place() -> Column:
+    return F.col("metric").isNotNull() & F.col("epoch").isNotNull() & F.col("col").isNotNull() & F.col("raw").isNotNull()
+
+
 def to_put_lines(points: DataFrame) -> DataFrame:
-    """``put metric epoch value col=.. tags host=.. Z=..``"""
-    return points.select(_line([F.lit("put")]).alias("value"))
+    """``put metric epoch value col=.. tags host=.. Z=..``; a missing host or load is left out, see also ``without_place``."""
+    return points.filter(_has_place()).select(_line([F.lit("put")]).alias("value"))
 
 
 def to_import_lines(points: DataFrame) -> DataFrame:
     """As put lines without the leading word, for bulk import."""
-    return points.select(_line([]).alias("value"))
+    return points.filter(_has_place()).select(_line([]).alias("value"))
 
 
 def to_wide(points: DataFrame, columns: list[str], keys: list[str] = ("metric", "epoch", "host")) -> DataFrame:

@@ -245,6 +245,24 @@ def metadata_tables(tables: DataFrame, partitioned: DataFrame, ignore: DataFrame
     )
 
 
+def export_metadata_tables(spark: SparkSession, tables: DataFrame, source: str, path: str) -> list[str]:
+    """Copy each of ``tables`` (see ``metadata_tables``) from below ``source`` to below ``path``; returns their names.
+
+    The list is a catalog's table names. Each copy replaces an earlier one, so the export may be run again.
+    """
+    names = sorted(r["table"] for r in tables.select("table").distinct().collect())
+    for name in names:
+        spark.read.parquet(f"{source}/{name}").write.mode("overwrite").parquet(f"{path}/{name}")
+    return names
+
+
+def last_match(df: DataFrame, keys: list[str], order: list[str], matches: Column) -> DataFrame:
+    """The last row of each key that matches, by order; keys without one have none. Combines on the map side."""
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")
+    return df.filter(matches).groupBy(*keys).agg(last).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
 def export_by_partition(df: DataFrame, bounds: DataFrame, key: str, pk: list[str], path: str, on: list[str] = ()) -> None:
     """Write each partition as its own folder, sorted by primary key; rows in no range are kept apart, see ``outside_ranges``.
 

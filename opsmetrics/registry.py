@@ -22,23 +22,28 @@ class Monitor:
     record_sep: str | None = None
 
 
-def _one(fn):
-    return lambda df: {"": fn(df)}
+def _one(fn, **options):
+    return lambda df: {"": fn(df, **options)}
+
+
+def _keyed(fn):
+    """Columns as the captures name them."""
+    return lambda df: fn(df, keyed=True)
 
 
 MONITORS: dict[str, Monitor] = {
     "iostat": Monitor(_one(iostat.parse_iostat), places=True),
     "vmstat": Monitor(_one(monitors.parse_vmstat)),
     "dbtest": Monitor(None),
-    "dbvars": Monitor(monitors.parse_dbvars),
+    "dbvars": Monitor(_keyed(monitors.parse_dbvars), places=True),
     "fdcount": Monitor(_one(monitors.parse_fdcount)),
-    "memsize": Monitor(monitors.parse_memsize),
+    "memsize": Monitor(_keyed(monitors.parse_memsize)),
     "conxcount": Monitor(_one(monitors.parse_conxcount)),
     "numabuddyrefs": Monitor(monitors.parse_numabuddyrefs, record_sep="datetime: "),
     "numastat": Monitor(None),
     "slowlog": Monitor(_one(monitors.parse_slowlog)),
-    "gfpools": Monitor(monitors.parse_gfpools, record_sep="#section "),
-    "procio": Monitor(_one(monitors.parse_procio)),
+    "gfpools": Monitor(_keyed(monitors.parse_gfpools), record_sep="#section "),
+    "procio": Monitor(_one(monitors.parse_procio, keyed=True)),
     "statics": Monitor(None),
 }
 

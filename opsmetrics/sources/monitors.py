@@ -3,6 +3,12 @@
 Input has ``value`` (a line, a record or a file, as stated) and optionally
 ``host``, ``file_path`` and ``pos``, which pass through. ``timestamp`` is a wall
 clock without zone.
+
+Formats that name their columns themselves (status counters, process figures,
+pool tables) can be read ``keyed``: a row then holds ``cells``, a map from the
+names the capture gives to the cells' texts, so that captures with more or
+other columns load as they are. Without it the rows have the fixed columns of
+the known versions.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import after_equals, get, number, pairs, unix_lines, whole, words
 from ..functions.time import is_iso, parse_iso
-from .files import ParseResult, carried, split_rows, without_overlap
+from .files import ParseResult, carried, carried_forward, placed_lines, split_rows, without_overlap
 
 # Position (from 1) of each kept field in a stamped virtual-memory line.
 VMSTAT_FIELDS = {
@@ -79,6 +85,26 @@ def _fits(cell: Column, convert=whole) -> Column:
     return (F.length(F.trim(cell)) == 0) | convert(F.trim(cell)).isNotNull()
 
 
+def _all_fit(cells: Column) -> Column:
+    return F.forall(cells, lambda x: _fits(x, number))
+
+
+#: Columns of named formats that are words, not figures.
+WORDS = ("listener", "pool")
+
+
+def _named_cells(names: Column, cells: Column) -> Column:
+    return F.map_from_arrays(F.transform(names, lambda x: F.trim(x)), F.transform(cells, lambda x: F.trim(x)))
+
+
+def _named_fit(names: Column, cells: Column) -> Column:
+    """As many cells as names, a time stamp in front, and figures in all columns but the words."""
+    known = F.array(*[F.lit(w) for w in WORDS])
+    rest = F.zip_with(F.slice(names, F.lit(2), F.size(names)), F.slice(cells, F.lit(2), F.size(cells)),
+                      lambda n, c: F.array_contains(known, F.trim(n)) | _fits(c, number))
+    return (F.size(names) == F.size(cells)) & (F.size(names) > 1) & is_iso(F.get(cells, 0)) & F.forall(rest, lambda x: F.coalesce(x, F.lit(False)))
+
+
 def parse_vmstat(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
     """17 numbers and a time stamp; header lines start with ``p`` or ``r``."""
     f = words("value")
@@ -110,7 +136,7 @@ def _not_running(value: Column) -> Column:
     return value.rlike("UNABLE_TO_READ|_RUNNING")
 
 
-def parse_memsize(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseResult]:
+def parse_memsize(df: DataFrame, on_bad: str = "quarantine", keyed: bool = False) -> dict[str, ParseResult]:
     """Process memory: ``v1`` (one row per sample) and ``v2`` (one row per process).
 
     The version is told line by line, so captures of both may be mixed. Lines of
@@ -129,27 +155,27 @@ def parse_memsize(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseR
         *carried(df), parse_iso(part(7)).alias("timestamp"),
         *[whole(part(i)).alias(n) for i, n in enumerate(names, start=1)],
     )
-    return {"v1": ParseResult(v1_rows, v1.rejects), "v2": _per_process(lines.filter(is_v2), df, MEMSIZE_V2_KEYS, on_bad)}
+    return {"v1": ParseResult(v1_rows, v1.rejects), "v2": _per_process(lines.filter(is_v2), df, MEMSIZE_V2_KEYS, on_bad, keyed)}
 
 
-def _per_process(lines: DataFrame, df: DataFrame, keys: tuple[str, ...], on_bad: str) -> ParseResult:
+def _per_process(lines: DataFrame, df: DataFrame, keys: tuple[str, ...], on_bad: str, keyed: bool = False) -> ParseResult:
     """``ISO process k=v k=v ..``"""
     split = lines.withColumn("__f", words("value"))
     values = F.slice("__f", F.lit(3), F.greatest(F.lit(0), F.size("__f") - 2))
-    ok = is_iso(F.col("__f")[0]) & (F.size("__f") == len(keys) + 2) & F.forall(values, lambda x: _fits(F.substring_index(x, "=", -1)))
+    if keyed:
+        ok = is_iso(F.col("__f")[0]) & (F.size("__f") > 2) & F.forall(values, lambda x: F.contains(x, F.lit("=")) & _fits(F.substring_index(x, "=", -1), number))
+    else:
+        ok = is_iso(F.col("__f")[0]) & (F.size("__f") == len(keys) + 2) & F.forall(values, lambda x: _fits(F.substring_index(x, "=", -1)))
     res = split_rows(split, ok, "wrong number of fields", on_bad)
-    m = pairs(F.array_join(F.slice("__f", F.lit(3), F.size("__f")), " "), " ")
-    rows = res.rows.withColumn("__m", m).select(
-        *carried(df), parse_iso(F.col("__f")[0]).alias("timestamp"), F.col("__f")[1].alias("node"),
-        *[whole(get(F.col("__m"), k)).alias(k) for k in keys],
-    )
-    return ParseResult(rows, res.rejects)
+    rows = res.rows.withColumn("__m", pairs(F.array_join(values, " "), " "))
+    figures = [F.col("__m").alias("cells")] if keyed else [whole(get(F.col("__m"), k)).alias(k) for k in keys]
+    return ParseResult(rows.select(*carried(df), parse_iso(F.col("__f")[0]).alias("timestamp"), F.col("__f")[1].alias("node"), *figures), res.rejects)
 
 
-def parse_procio(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
+def parse_procio(df: DataFrame, on_bad: str = "quarantine", keyed: bool = False) -> ParseResult:
     """Process I/O totals, one row per process."""
     lines = _lines(df).filter(~_not_running(F.col("value")))
-    return _per_process(lines, df, PROCIO_KEYS, on_bad)
+    return _per_process(lines, df, PROCIO_KEYS, on_bad, keyed)
 
 
 def parse_conxcount(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
@@ -171,28 +197,45 @@ def parse_conxcount(df: DataFrame, on_bad: str = "quarantine") -> ParseResult:
     return ParseResult(rows, res.rejects)
 
 
-def parse_dbvars(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseResult]:
-    """Database status: ``v1`` (``K=V,..<tab>ISO``) and ``v2`` (CSV with a header), told line by line."""
-    lines = _lines(df).filter(~F.col("value").rlike("timed out|call failed"))
-    is_v1 = F.split("value", ",", 2)[0].rlike(r"^\w+=\d+$")
-    def part(i):
-        return F.regexp_extract("value", r"^([^\t]+)\s+(\S+)$", i)
-    v1 = split_rows(lines.filter(is_v1), is_iso(part(2)), "no time stamp", on_bad)
-    v1_rows = v1.rows.withColumn("__m", pairs(part(1))).select(
-        *carried(df), parse_iso(part(2)).alias("timestamp"),
-        *[whole(get(F.col("__m"), k)).alias(k) for k in DBVARS_V1],
-    )
-    cells = F.split("value", ",")
-    body = lines.filter(~is_v1).withColumn("__c", cells).filter(F.trim(F.col("__c")[0]) != "timestamp")
-    v2_ok = (F.size("__c") == len(DBVARS_V2) + 1) & is_iso(F.col("__c")[0])
-    for i, n in enumerate(DBVARS_V2, start=1):
-        v2_ok = v2_ok & _fits(F.get("__c", i), number if n in DBVARS_PERCENT else whole)
-    v2 = split_rows(body, v2_ok, "wrong number of columns", on_bad)
-    v2_rows = v2.rows.select(
-        *carried(df), parse_iso(F.col("__c")[0]).alias("timestamp"),
-        *[(number if n in DBVARS_PERCENT else whole)(F.trim(F.col("__c")[i])).alias(n)
-          for i, n in enumerate(DBVARS_V2, start=1)],
-    )
+def parse_dbvars(df: DataFrame, on_bad: str = "quarantine", keyed: bool = False) -> dict[str, ParseResult]:
+    """Database status: ``v1`` (``K=V,..<tab>ISO``) and ``v2`` (CSV with a header), told line by line.
+
+    ``keyed`` reads lines with their places: a header line of the capture names the columns of the lines up to the next
+    one; before the first one, and without places, the known columns hold.
+    """
+    named = keyed and "split" in df.columns
+    lines = (placed_lines(df).filter(F.col("value").rlike(r"\S")) if named else _lines(df)).filter(~F.col("value").rlike("timed out|call failed"))
+    cut = F.split("value", ",")
+    is_header = F.trim(cut[0]) == "timestamp"
+    known = F.lit(",".join(("timestamp", *DBVARS_V2)))
+    if named:
+        lines = carried_forward(lines, {"__header": F.when(is_header, F.col("value"))})
+    is_v1 = cut[0].rlike(r"^\w+=\d+$")
+    stamp, listed = F.element_at(F.split("value", "\t"), -1), F.substring_index("value", "\t", 1)
+    figures = F.filter(F.split(listed, ","), lambda x: F.length(F.trim(x)) > 0)
+    v1_ok = (F.size(F.split("value", "\t")) == 2) & is_iso(stamp) & F.forall(
+        figures, lambda x: F.contains(x, F.lit("=")) & _fits(F.substring_index(x, "=", -1), number if keyed else whole))
+    v1 = split_rows(lines.filter(is_v1), v1_ok, "no time stamp or a bad count", on_bad)
+    v1_rows = v1.rows.withColumn("__m", pairs(listed)).select(
+        *carried(df), parse_iso(stamp).alias("timestamp"),
+        *([F.col("__m").alias("cells")] if keyed else [whole(get(F.col("__m"), k)).alias(k) for k in DBVARS_V1]))
+
+    body = lines.filter(~is_v1 & ~is_header).withColumn("__c", cut)
+    if keyed:
+        body = body.withColumn("__n", F.split(F.coalesce("__header", known) if named else known, ","))
+        v2 = split_rows(body, _named_fit(F.col("__n"), F.col("__c")), "wrong number of columns", on_bad)
+        cells = F.map_filter(_named_cells(F.col("__n"), F.col("__c")), lambda k, v: k != "timestamp")
+        v2_rows = v2.rows.select(*carried(df), parse_iso(F.col("__c")[0]).alias("timestamp"), cells.alias("cells"))
+    else:
+        share = F.array(*[F.lit(n in DBVARS_PERCENT) for n in DBVARS_V2])
+        fits = F.zip_with(F.slice("__c", F.lit(2), len(DBVARS_V2)), share, lambda c, p: F.when(p, _fits(c, number)).otherwise(_fits(c)))
+        v2_ok = (F.size("__c") == len(DBVARS_V2) + 1) & is_iso(F.col("__c")[0]) & F.forall(fits, lambda x: F.coalesce(x, F.lit(False)))
+        v2 = split_rows(body, v2_ok, "wrong number of columns", on_bad)
+        v2_rows = v2.rows.select(
+            *carried(df), parse_iso(F.col("__c")[0]).alias("timestamp"),
+            *[(number if n in DBVARS_PERCENT else whole)(F.trim(F.col("__c")[i])).alias(n)
+              for i, n in enumerate(DBVARS_V2, start=1)],
+        )
     return {"v1": ParseResult(v1_rows, v1.rejects), "v2": ParseResult(v2_rows, v2.rejects)}
 
 
@@ -233,34 +276,41 @@ def parse_slowlog(
     return ParseResult(have.unionByName(numbered), res.rejects)
 
 
-def parse_gfpools(df: DataFrame, on_bad: str = "quarantine") -> dict[str, ParseResult]:
+def parse_gfpools(df: DataFrame, on_bad: str = "quarantine", keyed: bool = False) -> dict[str, ParseResult]:
     """App-server pools, ``value`` a ``#section``-separated record or a whole file; one table per section.
 
-    ``error`` sections fall out.
+    A section brings its own header, which names the columns if ``keyed``; ``other`` then holds sections that are not
+    known. ``error`` sections fall out.
     """
     keep = carried(df)
     records = df.select(*keep, F.explode(F.split(unix_lines("value"), "#section ")).alias("value"))
-    name = F.regexp_extract("value", r"^\s*(\S+):", 1)
+    title = F.btrim(F.substring_index("value", "\n", 1), F.lit(" \t"))
+    titled = records.withColumn("__section", F.when(title.endswith(":"), F.substring_index(title, ":", 1)))
+    is_header = lambda line: F.exists(F.split(line, ","), lambda c: F.lower(F.trim(c)) == "timestamp")
+    held = titled.filter(F.col("__section").isNotNull() & (F.col("__section") != "error")).withColumn("__lines", F.split("value", "\n"))
     lines = (
-        records.withColumn("__section", name).filter(F.col("__section") != "error")
-        .select(*keep, "__section", F.explode(F.split("value", "\n")).alias("value"))
-        .filter(F.col("value").rlike(r"\S") & ~F.col("value").rlike(r"^\s*\S+:$"))
-        .filter(~F.col("value").rlike(r"(?i)timestamp,|,timestamp"))
+        held.withColumn("__n", F.split(F.get(F.filter("__lines", is_header), 0), ","))
+        .select(*keep, "__section", "__n", F.explode(F.slice("__lines", F.lit(2), F.size("__lines"))).alias("value"))
+        .filter(F.col("value").rlike(r"\S") & ~is_header(F.col("value")))
         .withColumn("__c", F.split("value", ","))
     )
     out = {}
-    for section, names in POOL_SECTIONS.items():
-        ok = (F.size("__c") == len(names) + 1) & is_iso(F.col("__c")[0])
-        for i, n in enumerate(names, start=1):
-            ok = ok if n in ("listener", "pool") else ok & _fits(F.get("__c", i))
-        res = split_rows(lines.filter(F.col("__section") == section), ok, "wrong number of columns", on_bad)
-        fields = [
-            (F.col("__c")[i] if n in ("listener", "pool") else whole(F.col("__c")[i])).alias(n)
-            for i, n in enumerate(names, start=1)
-        ]
-        out[section] = ParseResult(
-            res.rows.select(*keep, parse_iso(F.col("__c")[0]).alias("timestamp"), *fields), res.rejects
-        )
+    known = F.col("__section").isin(*POOL_SECTIONS)
+    for section, names in POOL_SECTIONS.items() if not keyed else [*POOL_SECTIONS.items(), ("other", ())]:
+        own = lines.filter(F.col("__section") == section if names else ~known)
+        if keyed:
+            res = split_rows(own, F.col("__n").isNotNull() & _named_fit(F.col("__n"), F.col("__c")), "wrong number of columns", on_bad)
+            figures = [F.map_filter(_named_cells(F.col("__n"), F.col("__c")), lambda k, v: k != "timestamp").alias("cells")]
+        else:
+            words_ = F.array(*[F.lit(n in WORDS) for n in names])
+            fits = F.zip_with(F.slice("__c", F.lit(2), len(names)), words_, lambda c, w: w | _fits(c))
+            ok = (F.size("__c") == len(names) + 1) & is_iso(F.col("__c")[0]) & F.forall(fits, lambda x: F.coalesce(x, F.lit(False)))
+            res = split_rows(own, ok, "wrong number of columns", on_bad)
+            figures = [
+                (F.col("__c")[i] if n in WORDS else whole(F.col("__c")[i])).alias(n)
+                for i, n in enumerate(names, start=1)
+            ]
+        out[section] = ParseResult(res.rows.select(*keep, parse_iso(F.col("__c")[0]).alias("timestamp"), *figures), res.rejects)
     return out
 
 
@@ -277,11 +327,16 @@ def parse_numabuddyrefs(df: DataFrame, on_bad: str = "quarantine", vmstat_keys:
         df.select(*keep, F.explode(F.split(unix_lines("value"), "datetime: ")).alias("value"))
         .filter(F.col("value").rlike(r"\S"))
     )
-    pattern = r"(?s)#section buddyinfo:\s(.*?)\s#section procvmstat:\s(.*?)\s#section numastat:\s(.*)$"
-    stamped = records.withColumn("timestamp", parse_iso("value"))
-    res = split_rows(stamped, F.col("timestamp").isNotNull() & F.col("value").rlike(pattern), "incomplete record", on_bad)
+    # The parts of a record, in order.
+    titles = ("buddyinfo:", "procvmstat:", "numastat:")
+    parts = F.split("value", "#section ")
+    stamped = records.withColumn("timestamp", parse_iso("value")).withColumn("__parts", parts)
+    complete = F.size("__parts") == len(titles) + 1
+    for i, title in enumerate(titles, start=1):
+        complete = complete & F.coalesce(F.get("__parts", i).startswith(title), F.lit(False))
+    res = split_rows(stamped, F.col("timestamp").isNotNull() & complete, "incomplete record", on_bad)
     def section(i):
-        return F.regexp_extract("value", pattern, i)
+        return F.substring(F.get("__parts", i), len(titles[i - 1]) + 1, F.length(F.get("__parts", i)))
     def lines_of(i):
         return F.filter(F.split(section(i), "\n"), lambda x: x.rlike(r"\S"))
 
@@ -293,7 +348,9 @@ def parse_numabuddyrefs(df: DataFrame, on_bad: str = "quarantine", vmstat_keys:
         *[whole(F.col("__f")[i + 4]).alias(f"order{i}") for i in range(11)],
     )
 
-    entries = F.transform(lines_of(2), lambda x: F.struct(words(x)[0].alias("k"), whole(words(x)[1]).alias("v")))
+    counter = lambda x: (F.size(words(x)) == 2) & whole(F.get(words(x), 1)).isNotNull()
+    bad_counters = split_rows(res.rows.select(*keep, F.explode(lines_of(2)).alias("value")), counter(F.col("value")), "not a counter", on_bad)
+    entries = F.transform(F.filter(lines_of(2), counter), lambda x: F.struct(words(x)[0].alias("k"), whole(words(x)[1]).alias("v")))
     counters = res.rows.select(*keep, "timestamp", F.map_from_entries(entries).alias("counters"))
     if vmstat_keys:
         counters = counters.select(*keep, "timestamp", *[get(F.col("counters"), k).alias(k) for k in vmstat_keys])
@@ -322,9 +379,13 @@ def parse_numabuddyrefs(df: DataFrame, on_bad: str = "quarantine", vmstat_keys:
             F.transform("__m", lambda e: number(F.try_element_at(e["v"], F.col("__i") + 1))),
         ).alias("measures"),
     )
-    none = res.rejects.limit(0)
+    # a row of the matrix has a label and a figure for each node and the total
+    cells = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s+Node "))
+    matrix_rows = res.rows.withColumn("__nodes", F.size(nodes)).select(*keep, "__nodes", F.explode(cells).alias("value"))
+    values = F.slice(words("value"), F.lit(2), F.size(words("value")))
+    bad_matrix = split_rows(matrix_rows, (F.size(values) >= F.col("__nodes")) & _all_fit(values), "not a row of the matrix", on_bad)
     return {
         "buddyinfo": ParseResult(buddy_rows, res.rejects.unionByName(bad_buddy.rejects, allowMissingColumns=True)),
-        "procvmstat": ParseResult(counters, none),
-        "numastat": ParseResult(numa, none),
+        "procvmstat": ParseResult(counters, bad_counters.rejects),
+        "numastat": ParseResult(numa, bad_matrix.rejects),
     }

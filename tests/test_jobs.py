@@ -229,3 +229,39 @@ def test_export_keeps_rows_outside_all_ranges(spark):
     relayout.export_by_partition(df, bounds, "ts_min", ["id"], path)
     assert {r["id"]: r["part"] for r in relayout.exported(spark, path).collect()} == {1: "PART0", 2: "PART1"}
     assert sorted((r["id"], r["ts_min"]) for r in relayout.outside_ranges(spark, path).collect()) == [(3, 200), (4, -1), (5, None)]
+
+
+def test_captures_with_other_columns_load_as_they_are(spark, tmp_path):
+    d = tmp_path / "captures"
+    d.mkdir()
+    at = "2020-09-13T05:26:40"
+    (d / "1_dbvars_hosta.x_100.txt").write_text(
+        f"timestamp,Queries,New_counter\n{at},5,6\n{at},7,8\ntimestamp,Only\n{at},9\n{at},1,2\n"
+        f"Queries=1,Fresh=2\t{at}\nQueries=x,Fresh=2\t{at}\n{at},get DB stats timed out\n")
+    (d / "1_procio_hosta.x_100.txt").write_text(f"{at} gf rchar=1 wchar=2 brand_new=3\n{at} gf rchar=one\n")
+    (d / "1_gfpools_hosta.x_100.txt").write_text(
+        f"#section thread-pool:\ntimestamp,listener,conq_open,extra\n{at},http,1,2\n\n#section newer:\ntimestamp,pool,depth\n{at},p1,4\n{at},p1\n\n#section error:\n{at} timed out\n")
+    (d / "1_memsize_hosta.x_100.txt").write_text(f"{at} gf peak_m=1 rss_m=2 swap_m=3 threads=4 more_m=5\n")
+    path, log = scratch_path(spark, "store"), scratch_path(spark, "log")
+    report = ingest.load_all(spark, [str(d)], path, log, ["dbvars", "procio", "gfpools", "memsize"], zone="UTC").collect()
+    assert [(r["status"], r["rejects"]) for r in report] == [("loaded", 4)]
+    got = {(r["metric"], r["col"], r["value"]) for r in store.read_points(spark, path, log).collect()}
+    assert got == {
+        ("dbvars", "Queries", 5.0), ("dbvars", "New_counter", 6.0), ("dbvars", "Queries", 7.0), ("dbvars", "New_counter", 8.0), ("dbvars", "Only", 9.0),
+        ("dbvars", "Queries", 1.0), ("dbvars", "Fresh", 2.0), ("procio", "rchar", 1.0), ("procio", "wchar", 2.0), ("procio", "brand_new", 3.0),
+        ("gfpools", "conq_open", 1.0), ("gfpools", "extra", 2.0), ("gfpools", "depth", 4.0),
+        *(("memsize", c, float(k)) for k, c in enumerate(("peak_m", "rss_m", "swap_m", "threads", "more_m"), start=1))}
+    tags = {r["col"]: r["tags"] for r in store.read_points(spark, path, log).collect()}
+    assert tags["depth"] == {"pool": "p1"} and tags["extra"] == {"listener": "http"} and tags["brand_new"] == {"node": "gf"}
+    bad = {r["value"] for r in spark.read.parquet(f"{path}-rejects").collect()}
+    assert bad == {f"{at},1,2", f"Queries=x,Fresh=2\t{at}", f"{at} gf rchar=one", f"{at},p1"}
+
+
+def test_points_without_a_place_are_no_lines(spark):
+    from opsmetrics.operators.points import without_place
+
+    rows = [("m", 5, "c", "1", "h"), ("m", None, "c", "1", "h"), ("m", 6, "c", "2", None), ("m", 7, None, "2", "h")]
+    points = spark.createDataFrame(rows, "metric string, epoch bigint, col string, raw string, host string").selectExpr(
+        "*", "cast(raw as double) AS value", "cast(map() as map<string,string>) AS tags", "'L1' AS load_id")
+    assert sorted(r["value"] for r in to_put_lines(points).collect()) == ["put m 5 1 col=c host=h Z=L1", "put m 6 2 col=c Z=L1"]
+    assert without_place(points).count() == 2

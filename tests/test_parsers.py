@@ -282,3 +282,14 @@ def test_repeats_of_one_capture_stay_and_overlaps_go(spark):
     got = without_overlap(spark.createDataFrame(rows, "host string, file_path string, x int")).collect()
     assert sorted((r["host"] or "", r["x"]) for r in got) == [("", 5), ("h", 5), ("h", 5), ("h", 7), ("h", 9)]
     assert without_overlap(spark.createDataFrame(rows, "host string, file_path string, x int").drop("file_path")).count() == 4
+
+
+def test_memory_node_rejects(text):
+    record = (f"datetime: {TS}\n#section buddyinfo:\nNode 0, zone DMA 1 2 3 4 5 6 7 8 9 10 11\n\n#section procvmstat:\nnuma_hit 1\nnuma_miss many\nalone\n\n"
+              "#section numastat:\n   Node 0  Node 1  Total\n  ------ ------ ------\nMemTotal 5 6 11\nMemFree 5\nMemUsed 1 x 3\n\n")
+    out = monitors.parse_numabuddyrefs(text(record))
+    assert {r["value"] for r in out["procvmstat"].rejects.collect()} == {"numa_miss many", "alone"}
+    assert only(out["procvmstat"].rows)["counters"] == {"numa_hit": 1}
+    assert {r["value"] for r in out["numastat"].rejects.collect()} == {"MemFree 5", "MemUsed 1 x 3"}
+    assert {r["node"]: r["measures"]["MemTotal_mb"] for r in out["numastat"].rows.collect()} == {"0": 5.0, "1": 6.0}
+    assert monitors.parse_numabuddyrefs(text(record.replace("procvmstat", "other")))["buddyinfo"].rejects.count() == 1
