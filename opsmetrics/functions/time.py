@@ -72,15 +72,19 @@ def _hour24(hour: Column, marker: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _fields(text: Column | str) -> Column:
     """The words of a text."""
     return F.split(F.btrim(_col(text), F.lit(" \t\r\n")), r"[ \t]+")
 
 
-def _whole_parts(word: Column, mark: str) -> list[Column]:
-    """Three whole numbers between marks; all null if there are not three pieces."""
-    pieces = F.split(word, mark)
-    return [F.when(F.size(pieces) == 3, F.get(pieces, i)).try_cast("int") for i in range(3)]
+def _three(word: Column, mark: str) -> Column:
+    """The whole numbers between two marks; null if there are not three pieces."""
+    return let(F.split(word, mark), lambda p: F.when(F.size(p) == 3, F.transform(p, lambda x: x.try_cast("int"))))
 
 
 def _first_of_three(words: Column, mark: str) -> Column:
@@ -90,25 +94,25 @@ def _first_of_three(words: Column, mark: str) -> Column:
 
 def _marker(word: Column) -> Column:
     """AM or PM, any other word counts as none."""
-    lower = F.lower(word)
-    return F.when(lower.isin("am", "pm"), lower)
+    return let(F.lower(word), lambda m: F.when(m.isin("am", "pm"), m))
 
 
 def parse_us(text: Column | str) -> Column:
     """``MM/DD/YY[YY] hh:mm:ss [AM|PM]``; two-digit years below 50 are 20xx."""
-    w = _fields(text)
-    month, day, year = _whole_parts(F.get(w, 0), "/")
-    hour, minute, second = _whole_parts(F.get(w, 1), ":")
-    return F.try_make_timestamp_ntz(_full_year(year), month, day, _hour24(hour, _marker(F.get(w, 2))), minute, second)
+    def of(w: Column) -> Column:
+        return let(F.concat(_three(F.get(w, 0), "/"), _three(F.get(w, 1), ":")), lambda n: F.try_make_timestamp_ntz(
+            _full_year(n[2]), n[0], n[1], _hour24(n[3], _marker(F.get(w, 2))), n[4], n[5]))
+    return let(_fields(text), of)
 
 
 def parse_long(text: Column | str) -> Column:
     """``Tuesday 06 April 2021 12:17:01 IST``; the zone name is dropped."""
-    w = _fields(text)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get(w, 2)).cast("int")
-    hour, minute, second = _whole_parts(F.get(w, 4), ":")
-    return F.try_make_timestamp_ntz(
-        _full_year(F.get(w, 3).try_cast("int")), F.when(month > 0, month), F.get(w, 1).try_cast("int"), hour, minute, second)
+    months = F.array(*[F.lit(m) for m in MONTHS])
+
+    def of(w: Column) -> Column:
+        return let(F.array_position(months, F.get(w, 2)).cast("int"), lambda month: let(_three(F.get(w, 4), ":"), lambda n: F.try_make_timestamp_ntz(
+            _full_year(F.get(w, 3).try_cast("int")), F.when(month > 0, month), F.get(w, 1).try_cast("int"), n[0], n[1], n[2])))
+    return let(_fields(text), of)
 
 
 def parse_us_date(text: Column | str) -> Column:
@@ -118,10 +122,10 @@ def parse_us_date(text: Column | str) -> Column:
 
 def clock_seconds(text: Column | str) -> Column:
     """Seconds into the day of the first word like ``hh:mm:ss``, the last word being AM or PM."""
-    w = _fields(text)
-    hour, minute, second = _whole_parts(_first_of_three(w, ":"), ":")
-    marker = _marker(F.element_at(w, -1))
-    return F.when(marker.isNotNull(), _hour24(hour, marker) * 3600 + minute * 60 + second)
+    def of(w: Column) -> Column:
+        return let(_three(_first_of_three(w, ":"), ":"), lambda n: let(_marker(F.element_at(w, -1)), lambda m: F.when(
+            m.isNotNull(), _hour24(n[0], m) * 3600 + n[1] * 60 + n[2])))
+    return let(_fields(text), of)
 
 
 def at_clock(midnight: Column, day_offset: Column, seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import host_from_path, metric_header, unix_lines
 from ..operators.ordered import running
@@ -47,26 +48,34 @@ def read_monitor(
     return reader.text(list(dirs)).select("value", path.alias("file_path"), host_from_path(path).alias("host"), *more)
 
 
-SLICE_LINES = 4096  # lines of a text held in one row that count as a split
-
-
 def placed_lines(df: DataFrame) -> DataFrame:
-    """Lines with their place: as read with ``places``, or cut from texts of whole files. Line ends are cleaned."""
+    """Lines with their place: as read with ``places``, or cut from texts of whole files. Line ends are cleaned.
+
+    Texts without a path are told apart by their content. Lines of a text have no ``split``: it came as one row.
+    """
     if "split" in df.columns and "at" in df.columns:
         return df.withColumn("value", unix_lines("value"))
-    keep = carried(df)
+    keep = [c for c in carried(df) if c != "file_path"]
     path = F.col("file_path") if "file_path" in df.columns else F.lit(None).cast("string")
-    named = df.select(*(c for c in keep if c != "file_path"), F.coalesce(path, F.md5("value")).alias("file_path"), F.split(unix_lines("value"), "\n").alias("__l"))
-    lines = named.select(*(c for c in named.columns if c != "__l"), F.posexplode("__l").alias("at", "value"))
-    return lines.withColumn("split", F.floor(F.col("at") / SLICE_LINES)).withColumn("at", F.col("at").cast("bigint"))
+    named = df.select(*keep, F.coalesce(path, F.md5("value")).alias("file_path"), F.split(unix_lines("value"), "\n").alias("__l"))
+    return named.select(*keep, "file_path", F.posexplode("__l").alias("at", "value")).withColumn("at", F.col("at").cast("bigint"))
 
 
-def carried_forward(lines: DataFrame, marks: dict[str, Column], before_current: bool = False, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
-    """``lines`` with the last value of each mark up to the line, also from earlier splits of its file.
+def along_file(lines: DataFrame, specs: dict[str, tuple[str, Column]], before_current: bool = False) -> DataFrame:
+    """Running ``sum`` or ``last`` (nulls skipped) over the lines of each file.
 
-    A split hands on one small row; lines are sorted within their split only.
+    Where files are read in splits, lines are sorted within their split only and a split hands on one small row.
     """
-    return running(lines, list(keys), F.col("split"), ["at"], {n: ("last", c) for n, c in marks.items()}, before_current)
+    if "split" in lines.columns:
+        return running(lines, ["file_path"], F.col("split"), ["at"], specs, before_current)
+    upto = Window.partitionBy("file_path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1 if before_current else 0)
+    found = {n: F.sum(c) if kind == "sum" else F.last(c, ignorenulls=True) for n, (kind, c) in specs.items()}
+    return lines.select("*", *(c.over(upto).alias(n) for n, c in found.items()))
+
+
+def carried_forward(lines: DataFrame, marks: dict[str, Column], before_current: bool = False) -> DataFrame:
+    """``lines`` with the last value of each mark up to the line, also from earlier splits of its file."""
+    return along_file(lines, {n: ("last", c) for n, c in marks.items()}, before_current)
 
 
 def list_captures(spark: SparkSession, monitor: str, dirs: list[str], with_content_key: bool = True) -> DataFrame:
@@ -201,8 +210,7 @@ def read_multi_header_csv(df: DataFrame, on_bad: str = "quarantine") -> ParseRes
     keep = carried(df)
     lines = placed_lines(df)
     is_header = F.col("value").rlike("(?i)(?:timestamp,|,timestamp)")
-    seen = running(lines, ["file_path"], F.col("split"), ["at"], {
-        "block": ("sum", is_header.cast("bigint")), "__header": ("last", F.when(is_header, F.col("value")))})
+    seen = along_file(lines, {"block": ("sum", is_header.cast("bigint")), "__header": ("last", F.when(is_header, F.col("value")))})
     body = seen.filter(~is_header & F.col("value").rlike(r"\S"))
     headed = split_rows(body, F.col("__header").isNotNull(), "no header before the line", on_bad)
     cells = F.transform(F.split("value", ","), lambda x: F.trim(x))

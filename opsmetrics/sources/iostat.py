@@ -12,67 +12,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import number, words
-from ..functions.time import at_clock, clock_seconds, parse_iso, parse_long, parse_us, parse_us_date
-from ..operators.ordered import running
-from .files import ParseResult, carried, carried_forward, placed_lines, split_rows
+from ..functions.time import at_clock, clock_seconds, let, parse_iso, parse_long, parse_us, parse_us_date
+from .files import ParseResult, along_file, carried, carried_forward, placed_lines, split_rows
 
 # Device-name prefixes that are reported.
 DEVICE_PREFIXES = ("sd", "fi", "nv", "xv", "em")
-LOST = "?"  # the time of lines below one that is not understood
+UNKNOWN = "unknown"
 
 
 def banner_style(banner: Column) -> Column:
     """Date style of a report, from the number of words of its banner and the marks in its date."""
-    w = words(banner)
-    n, date = F.size(w), F.get(w, 3)
-    parts = lambda mark: F.size(F.split(date, mark))
+    def of(w: Column) -> Column:
+        parts = lambda mark: F.size(F.split(F.get(w, 3), mark))
+        return (
+            F.when((F.size(w) == 7) & (parts("/") == 3), "us")
+            .when((F.size(w) == 7) & (parts("-") == 3), "iso")
+            .when(F.size(w) == 10, "long")
+            .when(F.size(w) == 4, "clock")
+        )
+    return let(words(banner), of)
+
+
+def _kind() -> Column:
+    """What a line is, from its words ``__w`` alone."""
+    w = F.col("__w")
+    numeric = lambda c: F.coalesce(c, F.lit("")).try_cast("double").isNotNull()
     return (
-        F.when((n == 7) & (parts("/") == 3), "us")
-        .when((n == 7) & (parts("-") == 3), "iso")
-        .when(n == 10, "long")
-        .when(n == 4, "clock")
+        F.when(F.get(w, 0) == "", "blank")
+        .when(F.col("value").startswith("Linux "), "banner")
+        .when(F.get(w, 0) == "avg-cpu:", "names")
+        .when(F.get(w, 0).startswith("Device"), "head")
+        .when(F.exists(w, lambda x: F.size(F.split(x, ":")) >= 3), "time")
+        .when(numeric(F.get(w, 0)), F.when(F.forall(w, numeric), "cpu").otherwise("other"))
+        .when(numeric(F.get(w, 1)), "device")
+        .otherwise("other")
     )
 
 
-def _kinds(line: Column) -> dict[str, Column]:
-    """What a line is, each test on the line alone."""
-    w = words(line)
-    numeric = lambda c: F.coalesce(c, F.lit("")).try_cast("double").isNotNull()
-    clock = F.exists(w, lambda x: F.size(F.split(x, ":")) >= 3)
-    kinds = {
-        "blank": F.length(F.btrim(line, F.lit(" \t"))) == 0,
-        "banner": line.startswith("Linux "),
-        "names": line.startswith("avg-cpu:"),
-        "head": line.startswith("Device"),
-    }
-    known = kinds["blank"] | kinds["banner"] | kinds["names"] | kinds["head"]
-    kinds["time"] = ~known & clock
-    kinds["cpu"] = ~known & ~clock & F.forall(w, numeric)
-    kinds["device"] = ~known & ~clock & ~numeric(F.get(w, 0)) & numeric(F.get(w, 1))
-    kinds["other"] = ~(known | kinds["time"] | kinds["cpu"] | kinds["device"])
-    return kinds
-
-
-def _carried(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
-    """Lines with their report, banner, time line, CPU names and figures and column names."""
-    line = F.col("value")
-    lines, kinds = placed_lines(df), _kinds(line)
-    marks = {
-        "__banner": F.when(kinds["banner"], line),
-        "__time": F.when(kinds["time"], line).when(kinds["banner"] | kinds["other"], F.lit(LOST)),
-        "__names": F.when(kinds["names"], line), "__cpu": F.when(kinds["cpu"], line), "__columns": F.when(kinds["head"], line)}
-    return carried_forward(lines, marks).withColumn("__style", banner_style(F.col("__banner"))), kinds
+def _is(kind: str) -> Column:
+    return F.col("__kind") == kind
 
 
-def _device_rows(lines: DataFrame, kinds: dict[str, Column], keep: list[str], prefixes: tuple[str, ...], on_bad: str) -> ParseResult:
-    """Lines with a ``timestamp`` to one row per device with a map of all measures, and all lines that are not understood."""
-    lines = lines.select(*keep, "value", "timestamp", "__style", "__names", "__cpu", "__columns")
-    strange = split_rows(lines.filter(kinds["other"] | kinds["device"] | kinds["banner"]), ~kinds["other"], "not a line of a report", on_bad)
-    banners = split_rows(strange.rows, ~kinds["banner"] | F.col("__style").isNotNull(), "unknown banner", on_bad)
+def _carried(df: DataFrame, prefixes: tuple[str, ...], clock: bool = False) -> DataFrame:
+    """Lines with their kind, and from the lines above: style, time (or banner and clock), CPU names and figures, column names.
+
+    Blank lines and other devices are left out before anything is sorted.
+    """
     wanted = F.lit(False)
     for p in prefixes:
         wanted = wanted | F.col("value").startswith(p)
-    devices = banners.rows.filter(kinds["device"] & wanted).select(
+    told = placed_lines(df).withColumn("__w", words("value")).withColumn("__kind", _kind()).drop("__w")
+    lines = told.filter(~_is("blank") & (~_is("device") | wanted))
+    line = F.col("value")
+    # times are read where they stand, once, and carried as what they mean
+    us, long = parse_us(line), parse_long(line)
+    read = F.coalesce(
+        F.when(us.isNotNull(), F.struct(F.lit("us").alias("style"), us.alias("at"))),
+        F.when(long.isNotNull(), F.struct(F.lit("long").alias("style"), long.alias("at"))),
+        F.struct(F.lit("iso").alias("style"), parse_iso(line).alias("at")))
+    lost = F.struct(F.lit(None).cast("string").alias("style"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    no_time = F.col("__kind").isin("banner", "other")
+    marks = {
+        "__style": F.when(_is("banner"), F.coalesce(banner_style(line), F.lit(UNKNOWN))),
+        "__names": F.when(_is("names"), line), "__cpu": F.when(_is("cpu"), line), "__columns": F.when(_is("head"), line)}
+    if clock:
+        marks |= {
+            "__banner": F.when(_is("banner"), line),
+            "__clock": F.when(_is("time"), F.coalesce(clock_seconds(line), F.lit(-1))).when(no_time, F.lit(-1))}
+    else:
+        marks["__time"] = F.when(_is("time"), read).when(no_time, lost)
+    return carried_forward(lines, marks)
+
+
+def _device_rows(lines: DataFrame, keep: list[str], on_bad: str) -> ParseResult:
+    """Lines with a ``timestamp`` to one row per device with a map of all measures, and all lines that are not understood."""
+    lines = lines.filter(F.col("__kind").isin("other", "device", "banner")).select(
+        *keep, "value", "timestamp", "__kind", "__style", "__names", "__cpu", "__columns")
+    strange = split_rows(lines, ~_is("other"), "not a line of a report", on_bad)
+    banners = split_rows(strange.rows, ~_is("banner") | (F.col("__style") != UNKNOWN), "unknown banner", on_bad)
+    devices = banners.rows.filter(_is("device")).select(
         *keep, "value", "timestamp", words("value").alias("__f"), words("__columns").alias("__head"),
         words(F.substring_index("__names", ":", -1)).alias("__cn"), words("__cpu").alias("__cv"))
     ok = F.col("timestamp").isNotNull() & (F.size("__f") == F.size("__head")) & (F.size("__cn") == F.size("__cv"))
@@ -93,15 +111,10 @@ def parse_iostat(
     The banner tells the date style: US with optional AM/PM, ISO with offset, or
     the long form. Measures form a map, since columns differ between versions.
     """
-    lines, kinds = _carried(df)
-    time = F.col("__time")
-    stamp = (
-        F.when(F.col("__style") == "us", parse_us(time))
-        .when(F.col("__style") == "iso", parse_iso(time))
-        .when(F.col("__style") == "long", parse_long(time))
-    )
+    lines = _carried(df, prefixes)
+    stamp = F.when(F.col("__time.style") == F.col("__style"), F.col("__time.at"))
     dated = lines.filter(F.col("__style").isNull() | (F.col("__style") != "clock"))
-    return _device_rows(dated.withColumn("timestamp", stamp), kinds, carried(df), prefixes, on_bad)
+    return _device_rows(dated.withColumn("timestamp", stamp), carried(df), on_bad)
 
 
 def parse_iostat_clock(
@@ -112,16 +125,16 @@ def parse_iostat_clock(
     A sample whose clock went from PM to AM begins a new day. Days are counted
     along one report; times come out on the minute.
     """
-    lines, kinds = _carried(df)
+    lines = _carried(df, prefixes, clock=True)
     after_noon = F.lower(F.element_at(words("value"), -1)) == "pm"
     # which half of the day it was before a time line, and how often midnight passed since the banner
-    earlier = carried_forward(lines, {"__was_pm": F.when(kinds["time"], after_noon).when(kinds["banner"], F.lit(False))}, before_current=True)
-    midnight = kinds["time"] & ~after_noon & F.coalesce("__was_pm", F.lit(False))
-    days = running(earlier, ["file_path"], F.col("split"), ["at"], {"__days": ("sum", midnight.cast("bigint"))})
-    based = carried_forward(days, {"__base": F.when(kinds["banner"], F.col("__days"))}).filter(F.col("__style") == "clock")
+    earlier = carried_forward(lines, {"__was_pm": F.when(_is("time"), after_noon).when(_is("banner"), F.lit(False))}, before_current=True)
+    midnight = _is("time") & ~after_noon & F.coalesce("__was_pm", F.lit(False))
+    days = along_file(earlier, {"__days": ("sum", midnight.cast("bigint"))})
+    based = carried_forward(days, {"__base": F.when(_is("banner"), F.col("__days"))}).filter(F.col("__style") == "clock")
     stamp = F.date_trunc("minute", at_clock(
-        parse_us_date("__banner"), F.col("__days") - F.col("__base"), clock_seconds("__time"))).cast("timestamp_ntz")
-    return _device_rows(based.withColumn("timestamp", stamp), kinds, carried(df), prefixes, on_bad)
+        parse_us_date("__banner"), F.col("__days") - F.col("__base"), F.when(F.col("__clock") >= 0, F.col("__clock")))).cast("timestamp_ntz")
+    return _device_rows(based.withColumn("timestamp", stamp), carried(df), on_bad)
 
 
 def disk_with_slow_inserts(disk: DataFrame, slow: DataFrame, by: list[str] = ("host",)) -> DataFrame:
