@@ -41,7 +41,7 @@ from .registry import query
 
 MARK = "▁"
 FREQUENT = 200_000
-LOCAL = 200_000  # distinct words a task counts before it passes them on
+LOCAL = 400_000  # distinct words a task counts before it passes on those it met again
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -203,12 +203,13 @@ def lattice(words: DataFrame, keys: list[str], model: Model, merges: bool = Fals
 
 
 def _frequent(docs: DataFrame, path: str, most: int) -> DataFrame:
-    """The most frequent words of all texts."""
+    """The most frequent words of all texts. Which words are taken for frequent changes no result, so a task passes on those only that its table met again."""
     def run(batches):
         model, held = load(path), Counter()
 
         def out():
-            rows = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            again = [(w, n) for w, n in held.items() if n > 1]
+            rows = pa.RecordBatch.from_arrays([pa.array([w for w, _ in again], pa.string()), pa.array([n for _, n in again], pa.int64())], names=["word", "n"])
             held.clear()
             return rows
 
@@ -284,7 +285,8 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, merges: bool =
 
     dealt = given.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(
         split, "doc_id bigint, key bigint, packed binary, rare array<string>, text_crc32 bigint").repartition("key")
-    rare = dealt.where("size(rare) > 0").select("key", F.posexplode("rare").alias("k", "word"))
+    # rows equal in id and text have one key: their words are encoded once, within the partitioning by key
+    rare = dealt.where("size(rare) > 0").select("key", F.posexplode("rare").alias("k", "word")).groupBy("key", "k").agg(F.max("word").alias("word"))
     # merging is done behind the join, where the rows are already dealt
     solved = lattice(rare, ["key", "k"], model, merges).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("k", "edges" if merges else "ids"))).alias("solved"))

@@ -82,3 +82,12 @@ def test_merges_equal_the_unpatched_library(spark, docs, folder):
     rows = {r.doc_id: r for r in pieces.op1_sentencepiece(spark, folder(documents=docs(texts))).collect()}
     for k, ids in want.items():
         assert rows[k].n_tokens == len(ids) and rows[k].ids_crc32 == zlib.crc32(",".join(map(str, ids)).encode()), k
+
+
+def test_equal_rows_are_encoded_once(spark, docs):
+    """Many rows equal in id and text hold rare words: each gets its ids, and the work does not grow with their square."""
+    text = " ".join(f"q{k}zx{k * 7919 % 1000}w" for k in range(100))
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rows = [(7, text)] * 300 + [(8, text), (None, text), (None, text)]
+    got = pieces.encode(docs(rows), PATH, 0, merges=True).collect()
+    assert len(got) == len(rows) and all(r.ids == library.encode(text) for r in got)
