@@ -123,6 +123,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-@query("op4_embedding_near_dedup")
+SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, e FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT reach.x, links.b FROM reach JOIN links ON links.a = reach.y),
+named AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM named LEFT JOIN counted USING (vec_id)
+"""
+
+
+@query("op4_embedding_near_dedup", SQL)
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
