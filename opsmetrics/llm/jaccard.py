@@ -15,6 +15,11 @@ everything: their empty segments and all one-deletion neighbourhoods. ``allocate
 (signatures of ordinary sets against those of the sets outside the limits), or, where segments would be too short,
 half as many segments, all with one-deletion neighbourhoods.
 
+**Hopeless sets.** Most sets of a large corpus have no partner. With o = ceil(p % of n) a similar pair shares at least o of a set's n
+elements, so at least t of its first n - o + t elements by hash are also among the first ones of the partner. ``_hopeful``
+counts, for every set, how many of these leading elements another set leads with too; sets with too few are not indexed.
+The test drops no similar pair, and its work is a fixed share of the elements.
+
 **Candidates.** Within a signature's group every set is paired with the smallest one (its pivot) only, so a group of n
 copies makes n - 1 pairs. Each is verified on the whole sets. A similar pair x, y of which at least one is not
 similar to their common pivot p still has to be found: with ``Rx`` the elements in which x and p differ,
@@ -53,6 +58,10 @@ from .registry import query
 BROADCAST_ROWS = 2_000_000
 #: Sets already indexed by a task are remembered up to this many.
 SEEN = 500_000
+#: One in so many elements of a set is asked for beyond the prefix that all similar sets share one element of.
+LEADING = 10
+#: Elements or index keys that a task holds at a time.
+TOGETHER = 1 << 18
 #: Words of 64 bits in the bit map of a difference set.
 MAP_BITS = 2
 MAP_WORDS = 1 << MAP_BITS
@@ -189,40 +198,107 @@ def with_node(docs: DataFrame, width: int, out: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())]))
 
 
+def shared_leaders(n: int, percent: int) -> int:
+    """How many leading elements two similar sets share, if the smaller one has n elements."""
+    return min(n // LEADING + 1, -(-n * percent // 100))
+
+
+def leaders(s: np.ndarray, percent: int) -> np.ndarray:
+    """The first elements of a sorted set that are compared before it is indexed."""
+    return s[: len(s) - (-(-len(s) * percent // 100)) + shared_leaders(len(s), percent)]
+
+
+def _new_sets(batches, width: int):
+    """(node, sorted set) of each set, once per task."""
+    seen: set[int] = set()
+    for _, sets in _sets(batches, width):
+        for s in sets:
+            if len(s) == 0 or (node := set_key(s)) in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
+            yield node, s
+
+
+def _combined(nodes: np.ndarray, elements: np.ndarray) -> pa.RecordBatch:
+    """Leading elements of some sets: those that only one holds as they are, the others once, with a credit for each holder."""
+    order = np.argsort(elements, kind="stable")
+    e, node = elements[order], nodes[order]
+    first = np.flatnonzero(np.append(True, e[1:] != e[:-1])) if len(e) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(e)))
+    held, times = np.unique(node[np.repeat(count > 1, count)], return_counts=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([e[first].view(np.int64), held])), pa.array(np.concatenate([node[first], held])),
+         pa.array(np.concatenate([np.where(count > 1, 0, -1), times]).astype(np.int64))], names=["e", "node", "credit"])
+
+
+def _hopeful(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node) of the sets that share enough leading elements with others to have a similar one.
+
+    A row's credit is -1 for an element not met again so far, 0 for one whose holders have their credits, and positive for
+    those credits, which go under the node's own key. A hot element thus sends one row per ``TOGETHER`` elements.
+    """
+    def run(batches):
+        nodes, found, size = [], [], 0
+        for node, s in _new_sets(batches, width):
+            found.append(leaders(s, percent))
+            nodes.append(np.full(len(found[-1]), node, np.int64))
+            size += len(found[-1])
+            if size >= TOGETHER:
+                yield _combined(np.concatenate(nodes), np.concatenate(found))
+                nodes, found, size = [], [], 0
+        if found:
+            yield _combined(np.concatenate(nodes), np.concatenate(found))
+
+    keys = docs.mapInArrow(run, "e bigint, node bigint, credit bigint").withColumn("given", F.col("credit") > 0)
+    met = W.partitionBy("e", "given").orderBy("node")
+    other = lambda c: F.coalesce(c.over(met) != F.col("node"), F.lit(False))
+    shared = other(F.lag("node")) | other(F.lead("node"))
+    # an element met within one task's elements has a credited row; others that hold it meet that row
+    held = keys.withColumn("shared", shared).withColumn(
+        "credit", F.when(F.col("given"), F.col("credit")).when(F.col("shared") & (F.col("credit") < 0), 1).otherwise(0))
+    least = F.ceil(F.col("n") * percent / 100).cast("bigint")
+    need = F.least(F.floor(least / LEADING) + 1, F.ceil(least * percent / 100))
+    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"))
+    return held.where("credit > 0").groupBy("node").agg(F.sum("credit").alias("held")).join(sizes, "node").where(F.col("held") >= need).select("node")
+
+
 def _indexed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sig, node) of every set, once per set and task."""
     def run(batches):
-        seen: set[int] = set()
-        for _, sets in _sets(batches, width):
-            nodes, keys = [], []
-            for s in sets:
-                if len(s) == 0 or (node := set_key(s)) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                keys.append(signatures(s, percent))
-                nodes.append(np.full(len(keys[-1]), node, np.int64))
-            if keys:
+        nodes, keys, size = [], [], 0
+        for node, s in _new_sets(batches, width):
+            keys.append(signatures(s, percent))
+            nodes.append(np.full(len(keys[-1]), node, np.int64))
+            size += len(keys[-1])
+            if size >= TOGETHER:
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                nodes, keys, size = [], [], 0
+        if keys:
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
     return docs.mapInArrow(run, "sig bigint, node bigint")
 
 
-def _wanted_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, elements) of the wanted nodes, each from one document."""
+def _documents_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents that hold the wanted nodes: all rows of one id per node."""
     one = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("key"))
     one = stored(one.select("key").distinct(), "jaccard")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
-    held = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(one, "key", "left_semi").select("doc_id", "text")
+    return docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(one, "key", "left_semi").select("doc_id", "text")
+
 
+def _wanted_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, elements) of the wanted nodes, each from one document."""
     def run(batches):
         for _, sets in _sets(batches, width):
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "elements"])
 
+    held = _documents_of(docs, rows, wanted)
     return held.mapInArrow(run, "node bigint, elements array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -343,9 +419,10 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     """One row per row of ``docs (doc_id, text)``: doc_id, n_shingles, component_id, node, a key shared by equal sets, and root, the node that names the group."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     rows = stored(_numbered(docs, width), "jaccard")
+    hopeful = stored(_hopeful(docs, rows, width, percent), "jaccard")
     group = W.partitionBy("sig").orderBy("node").rowsBetween(W.unboundedPreceding, W.currentRow)
     pairs = stored(
-        _indexed(docs, width, percent).withColumn("p", F.first("node").over(group)).where("node > p")
+        _indexed(_documents_of(docs, rows, hopeful), width, percent).withColumn("p", F.first("node").over(group)).where("node > p")
         .select("p", F.col("node").alias("x")).distinct(), "jaccard")
     wanted = stored(pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct(), "jaccard")
     sets = stored(_wanted_sets(docs, rows, wanted, width), "jaccard")

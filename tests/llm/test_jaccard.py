@@ -123,3 +123,41 @@ def test_each_pair_shares_a_part():
                 for a, b in ((n, other), (other, n)):
                     d = 4 * h(a) + 1  # the least distance that is not near; the partner's is smaller by ``most`` or less
                     assert d > limit(a) and d - most > limit(b)
+
+
+def test_similar_sets_share_enough_leading_elements():
+    rng = np.random.default_rng(8)
+    for percent in (50, 80, 90):
+        for n in (1, 2, 5, 9, 10, 11, 19, 40, 99, 300):
+            for _ in range(20):
+                a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+                gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+                new = int(rng.integers(0, n * (100 - percent) // percent + 1))
+                b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 64, new, dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if not common or 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+                met = len(np.intersect1d(jaccard.leaders(a, percent), jaccard.leaders(b, percent)))
+                for s in (a, b):
+                    assert met >= jaccard.shared_leaders(-(-len(s) * percent // 100), percent), (percent, n)
+
+
+@pytest.mark.parametrize("together", [1, 50, 1 << 18])
+def test_hopeful_sets_are_counted_alike_however_many_are_held(spark, docs, monkeypatch, together):
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    texts = corpus(random.Random(5), 120, 40)
+    frame = docs(texts).repartition(3)
+    sets = {}
+    for t in texts.values():
+        for s in [jaccard.set_of(jaccard.Words(jaccard.pa.array([t], jaccard.pa.large_string()), jaccard.NOT_SPACE).hash, 3)]:
+            if len(s):
+                sets[jaccard.set_key(s)] = s
+    times = {}
+    for s in sets.values():
+        for e in jaccard.leaders(s, 90).tolist():
+            times[e] = times.get(e, 0) + 1
+    want = {k for k, s in sets.items() if sum(times[e] > 1 for e in jaccard.leaders(s, 90).tolist()) >= jaccard.shared_leaders(-(-len(s) * 90 // 100), 90)}
+    got = {r.node for r in jaccard._hopeful(frame, jaccard._numbered(frame, 3), 3, 90).collect()}
+    assert got >= want and not {k for k in got - want if all(times[e] == 1 for e in sets[k].tolist())}
+    if together > 1000:
+        assert len(got) < len(sets)
