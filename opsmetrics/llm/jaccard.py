@@ -29,7 +29,9 @@ only where both positions still allow the overlap and so do bit maps of both set
 an element outside the overlap); the whole sets decide. Sets near p (d of at most four times h, the most in which a set
 and a partner differ) meet with all of their differences, sets far from it with a prefix. If one of a pair is not near,
 both count as far: the limit for far is four times the h of the smallest partner, less the set's own h. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
-pairs that are not connected yet are kept, so a large group of near copies yields no square of links.
+pairs that are not connected yet are kept, so a large group of near copies yields no square of links: at each shared
+element one set is drawn and the others are compared with it, for ``TURNS`` turns with other draws; what is similar to many
+is connected then, and the pairs left, which are compared in full, are around the smallest pivot that both sets have.
 
 Equal sets are one node from the start (its key is a 64-bit hash of the set's size and two sums of element hashes), so
 exact copies cost one row per task. Elements are 64-bit hashes of word runs; two different runs share one with a
@@ -62,6 +64,8 @@ SEEN = 500_000
 LEADING = 10
 #: Elements or index keys that a task holds at a time.
 TOGETHER = 1 << 18
+#: Times that sets around a pivot are compared with one of them before all pairs left are.
+TURNS = 3
 #: Words of 64 bits in the bit map of a difference set.
 MAP_BITS = 2
 MAP_WORDS = 1 << MAP_BITS
@@ -392,27 +396,60 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     # at most one of the pair is similar to the pivot, so the overlap has a lower bound that depends on one side only
     bound = F.when(F.col("linked"), F.ceil((F.col("d") + F.col("least") - F.col("h")) / 2)).otherwise(F.col("d") - F.col("h"))
     maps = [f"m{k}" for k in range(MAP_WORDS)]
-    cols = ["p", "x", "n_x", "root", "linked", "d", "part", *maps]
+    cols = ["x", "n_x", "linked", "d", *maps]
     prefix = (
-        near.select(*cols, "h", "least", "diff").unionByName(far.select(*cols, "h", "least", "diff"))
+        near.select("p", "part", *cols, "h", "least", "diff").unionByName(far.select("p", "part", *cols, "h", "least", "diff"))
         .withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1)
-        .select(*cols, F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
+        .select("p", "part", *cols, F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
     prefix = stored(prefix, "jaccard")
-    met_at = prefix.groupBy("p", "part", "e").agg(F.count("*").alias("f"), F.min("linked").alias("all_linked")).where("f > 1 AND NOT all_linked")
-    prefix = stored(prefix.join(met_at, ["p", "part", "e"], "left_semi"), "jaccard")
-    side = lambda n: prefix.select("p", "part", "e", *(F.col(c).alias(f"{c}_{n}") for c in (*cols, "pos") if c not in ("p", "part")))
+    at = ["p", "part", "e"]
     need = F.greatest(F.lit(1), F.ceil((F.col("d_a") + F.col("d_b") - h(F.col("n_x_a"), F.col("n_x_b"))) / 2))
     only = lambda a, b: sum((F.bit_count(F.col(f"{m}_{a}").bitwiseAND(F.bitwise_not(f"{m}_{b}"))) for m in maps), F.lit(0))
-    met = side("a").join(side("b"), ["p", "part", "e"]).where(
-        F.expr("x_a < x_b AND NOT (linked_a AND linked_b) AND root_a <> root_b")
+    may_link = (
+        F.expr("x_a <> x_b AND NOT (linked_a AND linked_b) AND root_a <> root_b")
         & (F.col("pos_a") + need <= F.col("d_a")) & (F.col("pos_b") + need <= F.col("d_b"))
         & (only("a", "b") + need <= F.col("d_a")) & (only("b", "a") + need <= F.col("d_b")))
-    met = stored(met.select(F.col("x_a").alias("p"), F.col("x_b").alias("x")).distinct(), "jaccard")
+
+    def apart(named: DataFrame) -> DataFrame:
+        """The prefixes with present roots, at elements where more than one root meets."""
+        now = prefix.join(named, "x")
+        open_ = now.groupBy(at).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("linked").alias("linked")).where("lo < hi AND NOT linked")
+        return now.join(open_.select(at), at, "left_semi")
+
+    def side(frame: DataFrame, n: str, *more: str) -> DataFrame:
+        return frame.select(*at, *(F.col(c).alias(f"{c}_{n}") for c in (*cols, "pos", "root", *more)))
+
+    def linked(met: DataFrame) -> DataFrame:
+        pairs = met.select(F.least("x_a", "x_b").alias("p"), F.greatest("x_a", "x_b").alias("x")).distinct()
+        return stored(_verified(_both_sets(stored(pairs, "jaccard"), sets), percent), "jaccard")
+
+    # sets that meet at an element are compared with one of them first, another at each element and turn: what is similar
+    # to many is linked by a number of pairs in proportion to the prefixes
+    named = stored(rows.select("x", "root").distinct(), "jaccard")
+    found = None
+    for turn in range(TURNS):
+        now = stored(apart(named), "jaccard")
+        one = now.groupBy(at).agg(F.min(F.struct(F.xxhash64("x", "e", F.lit(turn)).alias("draw"), *cols, "pos", "root")).alias("q")).select(*at, "q.*")
+        new = linked(side(now, "a").join(side(one, "b"), at).where(may_link))
+        if new.isEmpty():
+            break
+        found = new if found is None else found.union(new)
+        roots_of = lambda c: named.select(F.col("x").alias(c), F.col("root").alias(f"root_{c}"))
+        merged = components(new.join(roots_of("a"), "a").join(roots_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("into"))
+        named = stored(named.join(merged, "root", "left").select("x", F.coalesce("into", "root").alias("root")), "jaccard")
+    # all pairs that are left, each around the smallest pivot that both have
+    pivots = stars.groupBy("x").agg(F.collect_set("p").alias("pivots"))
+    now = apart(named).join(pivots, "x").withColumn("lower", F.filter("pivots", lambda q: q < F.col("p")))
+    now = stored(now.drop("pivots"), "jaccard")
+    new = linked(side(now, "a", "lower").join(side(now, "b", "lower"), at).where(may_link & F.expr("x_a < x_b AND NOT arrays_overlap(lower_a, lower_b)")))
+    found = new if found is None else found.union(new)
+    rows = rows.drop("root").join(named, "x")
     # pairs whose difference sets may be disjoint: the sum of the differences alone is small enough
     close = rows.where("NOT linked AND d <= h").select("p", *(F.col(c).alias(f"{c}_a") for c in ("x", "n_x", "root", "d")))
     closer = rows.where("d + least <= h").select("p", *(F.col(c).alias(f"{c}_b") for c in ("x", "n_x", "root", "d")))
     touch = close.join(closer, "p").where(F.expr("root_a <> root_b") & (F.col("d_a") + F.col("d_b") <= h(F.col("n_x_a"), F.col("n_x_b"))))
-    return _verified(_both_sets(met, sets), percent).union(touch.select("x_a", "x_b").toDF("a", "b"))
+    return found.union(touch.select("x_a", "x_b").toDF("a", "b"))
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
