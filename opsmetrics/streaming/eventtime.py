@@ -1,10 +1,14 @@
 """Keyed streams whose rows are worked on in the order of event time, whatever the order in which they arrive.
 
-A key's rows wait in its state until the watermark has passed them; then they leave it in time order and move the key's
+A key's rows wait in the state until the watermark has passed them; then they leave it in time order and move the key's
 fold on. So several files may land in any order within ``lateness``: the result is that of the batch operators. Rows
 behind the watermark are dropped by Spark, which counts them (``run_counted`` reports the number).
 
-State is bounded: waiting rows span ``lateness``, the fold is a few numbers, and a key's state is given up as soon as it
+Keys share ``GROUPS`` state rows, by their hash: a micro-batch calls Python once for a group, not once for a key, so the
+fixed cost of a call does not grow with the number of keys. Rows and folds within a group are kept apart by key. A stream
+that goes on from a checkpoint needs the number of groups it began with.
+
+State is bounded: waiting rows span ``lateness``, the fold is a few numbers, and a key's fold is given up as soon as it
 can no longer change a later row, or after ``ttl`` seconds of silence, which the folds treat as a new beginning.
 
 Rows at or after ``END`` only move the clock: one of them, landing last, releases all that still waits. Rows without a
@@ -14,19 +18,21 @@ time have no place in the order and are left out.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 END = "9000-01-01 00:00:00"
-MS = "__ms"
+MS, KEY, GROUP, NULLS = "__ms", "__key", "__group", "__nulls"
+GROUPS = 512
 
-Fold = Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
+Fold = Callable[[Iterable[tuple], tuple], tuple[list[tuple], tuple]]
 
 
 def clocked(df: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -35,62 +41,112 @@ def clocked(df: DataFrame, ts: str, lateness: str) -> DataFrame:
     return df.withWatermark(ts, lateness).filter(F.col(ts) < F.lit(END).cast("timestamp"))
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
+def _packed(rows: pa.Table) -> bytes:
     out = io.BytesIO()
-    batch = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(out, batch.schema) as writer:
-        writer.write_table(batch)
+    with pa.ipc.new_stream(out, rows.schema) as writer:
+        writer.write_table(rows)
     return out.getvalue()
 
 
-def _unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(pa.py_buffer(data)).read_pandas()
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+
+
+def _key_text(fields: list[T.StructField]) -> Column:
+    """One text for the values of the key columns; null is a value like others."""
+    return F.to_json(F.array(*[F.hex(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name).cast("string") for f in fields]))
+
+
+def _sorted(rows: pd.DataFrame, order: list[str], bits: dict[str, int]) -> tuple[pd.DataFrame, list[int]]:
+    """(``rows`` key by key, each in the order of time and ``order``, nulls last; where each key begins, and the end)."""
+    by = []
+    for c in reversed(order):
+        values = rows[c]
+        if values.dtype == object:
+            rank = pd.factorize(values, sort=True)[0]
+            by.append(np.where(rank < 0, len(rank), rank))
+        else:
+            by.append(values.to_numpy())
+        if c in bits:
+            by.append(rows[NULLS].to_numpy() & bits[c])
+    codes = pd.factorize(rows[KEY])[0]
+    at = np.lexsort([*by, rows[MS].to_numpy(), codes])
+    return rows.iloc[at], [0, *(np.flatnonzero(np.diff(codes[at])) + 1).tolist(), len(at)]
+
+
+def _values(rows: pd.DataFrame, column: str, bits: dict[str, int]) -> list:
+    values = rows[column].tolist()
+    if column in bits:
+        for i in np.flatnonzero(rows[NULLS].to_numpy() & bits[column]).tolist():
+            values[i] = None
+    return values
 
 
 def in_event_order(
-    df: DataFrame, keys: list[str], ts: str, order: list[str], out: dict[str, T.DataType], state: dict[str, T.DataType],
+    df: DataFrame, keys: list[str], ts: str, order: list[str], reads: list[str], out: dict[str, T.DataType], state: list[str],
     fold: Fold, start: tuple, expiry: Callable[[tuple, int], int | None], lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Run ``fold(rows in order, state)`` over each key's rows as the watermark passes them.
+    """Run ``fold(rows in order, state)`` over each key's rows as the watermark passes them; rows are tuples of ``reads``.
 
-    ``order`` breaks ties of ``ts``. ``expiry(state, time of the last row)`` is the time in milliseconds from which the
-    state has no influence any more, None if it always has.
+    A fold returns a tuple of ``out`` for each row, and the state it leaves, whose parts ``state`` names. ``order`` breaks
+    ties of ``ts``. ``expiry(state, time of the last row)`` is the time in milliseconds from which the state has no
+    influence any more, None if it always has.
     """
     fields, names = df.schema.fields, df.columns
-    placed = clocked(df, ts, lateness).withColumn(MS, F.unix_millis(F.col(ts)))
-
-    def step(key, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        waiting, last, *own = held.get if held.exists else (b"", -1, *start)
-        own, mark = tuple(own), held.getCurrentWatermarkMs()
+    # whole numbers stay whole beside nulls: a null travels as 0 and a bit
+    bits = {f.name: 1 << i for i, f in enumerate(f for f in fields if isinstance(f.dataType, T.IntegralType))}
+    nulls = F.lit(0).cast("bigint")
+    for name, bit in bits.items():
+        nulls = nulls + F.when(F.col(name).isNull(), F.lit(bit)).otherwise(F.lit(0))
+    plain = [F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name) if f.name in bits else F.col(f.name) for f in fields]
+    placed = clocked(df, ts, lateness).withColumn(KEY, _key_text([df.schema[k] for k in keys]))
+    placed = placed.select(*plain, nulls.alias(NULLS), KEY, F.unix_millis(F.col(ts)).alias(MS), F.pmod(F.xxhash64(KEY), F.lit(GROUPS)).alias(GROUP))
+
+    def step(_, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        waiting, kept = held.get if held.exists else (b"", b"")
+        folds = {key: (last, tuple(own)) for key, last, *own in zip(*_unpacked(kept).to_pydict().values())} if kept else {}
+        mark, rest = held.getCurrentWatermarkMs(), None
         frames = [c for c in chunks if len(c)]
         if waiting:
-            frames.append(_unpacked(waiting))
-        rest = None
+            frames.append(_unpacked(waiting).to_pandas())
         if frames:
-            rows = pd.concat(frames, ignore_index=True).sort_values([MS, *order], kind="stable")
+            rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
             passed = rows[MS] <= mark
             ready, rest = rows[passed], rows[~passed]
             if len(ready):
-                result, own = fold(ready.drop(columns=MS), own)
-                last = int(ready[MS].iloc[-1])
-                yield result
+                ready, begins = _sorted(ready, order, bits)
+                wanted, times = list(zip(*(_values(ready, c, bits) for c in reads))), ready[MS].tolist()
+                results = []
+                for lo, hi in zip(begins, begins[1:]):
+                    key = ready[KEY].iat[lo]
+                    found, own = fold(wanted[lo:hi], folds[key][1] if key in folds else start)
+                    results.extend(found)
+                    folds[key] = times[hi - 1], own
+                columns = {n: pd.Series(v, index=ready.index, dtype="float64" if isinstance(t, T.DoubleType) else None)
+                           for (n, t), v in zip(out.items(), zip(*results))}
+                yield ready[[*names, NULLS]].assign(**columns)
+        ends = {key: expiry(own, last) for key, (last, own) in folds.items()}
+        folds = {key: f for key, f in folds.items() if ends[key] is None or ends[key] > mark}
+        wakes = [ends[key] for key in folds if ends[key] is not None]
         if rest is not None and len(rest):
-            held.update((_packed(rest), last, *own))
-            held.setTimeoutTimestamp(int(rest[MS].iloc[0]))
-            return
-        done = expiry(own, last) if last >= 0 else 0
-        if done is not None and done <= mark:
+            wakes.append(int(rest[MS].min()))
+            waiting = _packed(pa.Table.from_pandas(rest, preserve_index=False))
+        else:
+            waiting = b""
+        if not waiting and not folds:
             if held.exists:
                 held.remove()
             return
-        held.update((b"", last, *own))
-        if done is not None:
-            held.setTimeoutTimestamp(done)
+        parts = zip(*((key, last, *own) for key, (last, own) in folds.items()))
+        held.update((waiting, _packed(pa.table(dict(zip((KEY, MS, *state), map(list, parts))))) if folds else b""))
+        if wakes:
+            held.setTimeoutTimestamp(min(wakes))
 
-    result_schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in out.items())])
-    state_schema = T.StructType([T.StructField("waiting", T.BinaryType()), T.StructField("last", T.LongType()), *(T.StructField(n, t) for n, t in state.items())])
-    return placed.select(*names, MS).groupBy(*keys).applyInPandasWithState(
-        step, result_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    result_schema = T.StructType([*fields, T.StructField(NULLS, T.LongType()), *(T.StructField(n, t) for n, t in out.items())])
+    state_schema = T.StructType([T.StructField("waiting", T.BinaryType()), T.StructField("folds", T.BinaryType())])
+    folded = placed.groupBy(GROUP).applyInPandasWithState(step, result_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    back = [F.when(F.col(NULLS).bitwiseAND(F.lit(bits[n])) == 0, F.col(n)).alias(n) if n in bits else F.col(n) for n in names]
+    return folded.select(*back, *out)
 
 
 def _after(last: int, ttl: int | None) -> int | None:
@@ -105,20 +161,19 @@ def burst_numbers(
 
     ``epoch`` are the seconds of ``ts``.
     """
-    def fold(rows: pd.DataFrame, state: tuple):
+    def fold(rows: Iterable[tuple], state: tuple):
         anchor, size = state
         numbers = []
-        for t in rows[epoch].tolist():
+        for t, in rows:
             if size and size < max_group and abs(t - anchor) <= max_gap:
                 size += 1
             else:
                 anchor, size = t, 1
-            numbers.append(size)
-        return rows.assign(**{out: numbers}), (anchor, size)
+            numbers.append((size,))
+        return numbers, (anchor, size)
 
-    long = T.LongType()
     return in_event_order(
-        df, keys, ts, ties, {out: long}, {"anchor": long, "size": long}, fold, (0, 0),
+        df, keys, ts, ties, [epoch], {out: T.LongType()}, ["anchor", "size"], fold, (0, 0),
         lambda state, last: (state[0] + max_gap + 1) * 1000, lateness)
 
 
@@ -131,24 +186,22 @@ def failure_fires(
     The state is the failure count and the time of the last action. Without failures it goes once an action no longer
     holds the next one back; with ``ttl``, a key silent for longer begins anew.
     """
-    def fold(rows: pd.DataFrame, state: tuple):
+    def fold(rows: Iterable[tuple], state: tuple):
         count, acted_at, before = state
-        counts, fired, acted = [], [], []
-        for t, bad in zip(rows[epoch].tolist(), rows[failed].tolist()):
+        found = []
+        for t, bad in rows:
             if ttl is not None and before >= 0 and t - before > ttl:
                 count, acted_at = 0, -1
             before = t
             count = count + 1 if bad else 0
-            counts.append(count)
             fire = count == n
             act = fire and (acted_at < 0 or t > acted_at + suppress_secs)
+            found.append((count, fire, act))
             if act:
                 acted_at = t
             if fire:
                 count = 0
-            fired.append(fire)
-            acted.append(act)
-        return rows.assign(losecount=counts, fired=fired, acted=acted), (count, acted_at, before)
+        return found, (count, acted_at, before)
 
     def expiry(state: tuple, last: int) -> int | None:
         count, acted_at, _ = state
@@ -160,7 +213,7 @@ def failure_fires(
 
     long, flag = T.LongType(), T.BooleanType()
     return in_event_order(
-        df, keys, ts, ties, {"losecount": long, "fired": flag, "acted": flag}, {"count": long, "acted_at": long, "before": long},
+        df, keys, ts, ties, [epoch, failed], {"losecount": long, "fired": flag, "acted": flag}, ["count", "acted_at", "before"],
         fold, (0, -1, -1), expiry, lateness)
 
 
@@ -168,18 +221,18 @@ def rates(
     df: DataFrame, keys: list[str], ts: str, epoch: str, ties: list[str], counter: str, ttl: int | None = None, lateness: str = "10 minutes",
 ) -> DataFrame:
     """Counter to rate per second since the key's previous sample; none for a first sample, nor after more than ``ttl`` seconds."""
-    def fold(rows: pd.DataFrame, state: tuple):
+    def fold(rows: Iterable[tuple], state: tuple):
         last_t, last_c, seen = state
         found = []
-        for t, c in zip(rows[epoch].tolist(), rows[counter].tolist()):
+        for t, c in rows:
             gap = t - last_t
-            found.append((c - last_c) / gap if seen and gap > 0 and (ttl is None or gap <= ttl) else None)
+            known = seen and c is not None and last_c is not None
+            found.append(((c - last_c) / gap if known and gap > 0 and (ttl is None or gap <= ttl) else None,))
             last_t, last_c, seen = t, c, True
-        return rows.assign(rate=pd.Series(found, index=rows.index, dtype="float64")), (last_t, last_c, seen)
+        return found, (last_t, last_c, seen)
 
-    long = T.LongType()
     return in_event_order(
-        df, keys, ts, ties, {"rate": T.DoubleType()}, {"t": long, "c": long, "seen": T.BooleanType()}, fold, (0, 0, False),
+        df, keys, ts, ties, [epoch, counter], {"rate": T.DoubleType()}, ["t", "c", "seen"], fold, (0, 0, False),
         lambda state, last: None if ttl is None else last + (ttl + 1) * 1000, lateness)
 
 
@@ -202,18 +255,17 @@ def saturation(
 
     The state is the last two rates and their minute, until both have counted as 0.
     """
-    def fold(rows: pd.DataFrame, state: tuple):
+    def fold(rows: Iterable[tuple], state: tuple):
         minute, prev1, prev2 = state
         flags = []
-        for m, rate in zip(rows["ts_min"].tolist(), rows["rate"].tolist()):
+        for m, rate in rows:
             missed = (m - minute) // every - 1 if minute >= 0 else 2
             if missed:
                 prev1, prev2 = 0, prev1 if missed == 1 else 0
-            flags.append(prev2 >= prev1 and prev2 >= rate)
+            flags.append((prev2 >= prev1 and prev2 >= rate,))
             minute, prev1, prev2 = m, rate, prev1
-        return rows.assign(saturated=flags), (minute, prev1, prev2)
+        return flags, (minute, prev1, prev2)
 
-    long = T.LongType()
     return in_event_order(
-        samples, keys, ts, [], {"saturated": T.BooleanType()}, {"minute": long, "prev1": long, "prev2": long}, fold, (-1, 0, 0),
+        samples, keys, ts, [], ["ts_min", "rate"], {"saturated": T.BooleanType()}, ["minute", "prev1", "prev2"], fold, (-1, 0, 0),
         lambda state, last: (state[0] + 3 * every) * 60_000, lateness)
