@@ -33,21 +33,23 @@ PIECES, DISORDER = 4, 600
 def landed(rows: DataFrame, clock: str, name: str) -> tuple[DataFrame, str]:
     """(``rows`` as a stream, how late a row may be) after landing in ``PIECES`` steps of arrival, up to ``DISORDER`` seconds off their times.
 
-    ``clock`` are seconds; the stream has them as the timestamp ``at``. A file that only moves the clock lands last.
+    ``clock`` are seconds; the stream has them as the timestamp ``at``. A file that only moves the clock lands last. A
+    micro-batch takes as many files as a step lands, so that their number does not grow with the input.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("at", F.timestamp_seconds(clock))
     arrival = F.col(clock) + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER))
     span = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
     path = scratch_path(spark, name)
+    width, files = 1, [0, 1]
     if span["lo"] is not None:
         width = (span["hi"] - span["lo"]) // PIECES + 1
         for k in range(PIECES):
             rows.filter(F.floor((arrival - span["lo"]) / width) == k).write.mode("append").parquet(path)
-    else:
-        width = 1
+            files.append(len(spark.read.schema(rows.schema).parquet(path).inputFiles()))
     jobs.close(spark, path, rows.schema, "at")
-    return jobs.read_landed(spark, path, rows.schema, max_files=1), f"{2 * width + DISORDER} seconds"
+    most = max(b - a for a, b in zip(files, files[1:]))
+    return jobs.read_landed(spark, path, rows.schema, max_files=most), f"{2 * width + DISORDER} seconds"
 
 
 @query("stream_buffer_numbers", recursive(E) + ", r AS (SELECT host AS k, fast AS t, event_id FROM e)" + BURSTS.format(order="t, event_id")

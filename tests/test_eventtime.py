@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from opsmetrics.plans import streams
 from opsmetrics.session import scratch_path
 from opsmetrics.streaming import eventtime, jobs
 
@@ -46,6 +47,16 @@ def test_in_order_pieces_with_short_lateness(spark, tmp_path):
     assert (got.late, got.state_rows) == (0, 0)
 
 
+def test_calls_grow_neither_with_files_nor_with_keys(spark):
+    """Files of one step make one micro-batch, and keys share state rows."""
+    rows = spark.range(3000).selectExpr("'k' || id % 1500 AS k", "1000 + 700 * (id DIV 1500) + id % 5 AS t", "if(id = 7, null, id + 9007199254740993) AS event_id", "id AS c")
+    stream, lateness = streams.landed(rows.repartition(5), "t", "many")
+    got = jobs.run_counted(eventtime.rates(stream, ["k"], "at", "t", ["event_id"], "c", lateness=lateness), "r", timeout=300)
+    found = {(r["k"], r["c"]): (r["event_id"], r["rate"]) for r in got.rows.collect()}
+    assert found == {(f"k{i % 1500}", i): (None if i == 7 else i + 9007199254740993, 1500 / 700 if i >= 1500 else None) for i in range(3000)}
+    assert got.batches <= streams.PIECES + 2 and 0 < got.state_rows <= eventtime.GROUPS and got.late == 0
+
+
 def test_failures_and_silence(spark, tmp_path):
     rnd = random.Random(5)
     rows, t = [], 0
