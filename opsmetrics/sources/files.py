@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import host_from_path, metric_header, unix_lines
+from ..functions.time import let
 from ..operators.ordered import running
 from ..session import materialize
 
@@ -48,17 +50,30 @@ def read_monitor(
     return reader.text(list(dirs)).select("value", path.alias("file_path"), host_from_path(path).alias("host"), *more)
 
 
-def placed_lines(df: DataFrame) -> DataFrame:
+def placed_lines(df: DataFrame, told: Callable[[Column], Column] | None = None) -> DataFrame:
     """Lines with their place: as read with ``places``, or cut from texts of whole files. Line ends are cleaned.
 
-    Texts without a path are told apart by their content. Lines of a text have no ``split``: it came as one row.
+    Texts without a path are told apart by their content. Lines of a text have no ``split``: it came as one row; texts are
+    brought together by path before they are cut, so that their lines need no shuffle. ``told`` makes a line the struct of
+    its columns, each computed once, or null where it is left out.
     """
     if "split" in df.columns and "at" in df.columns:
-        return df.withColumn("value", unix_lines("value"))
+        if told is None:
+            return df.withColumn("value", unix_lines("value"))
+        seen = F.filter(F.array(told(unix_lines("value"))), lambda x: x.isNotNull())
+        return df.select(*[c for c in df.columns if c != "value"], F.inline(seen))
     keep = [c for c in carried(df) if c != "file_path"]
     path = F.col("file_path") if "file_path" in df.columns else F.lit(None).cast("string")
-    named = df.select(*keep, F.coalesce(path, F.md5("value")).alias("file_path"), F.split(unix_lines("value"), "\n").alias("__l"))
-    return named.select(*keep, "file_path", F.posexplode("__l").alias("at", "value")).withColumn("at", F.col("at").cast("bigint"))
+    named = df.select(*keep, F.coalesce(path, F.md5("value")).alias("file_path"), "value")
+    # as many pieces as other shuffles begin with: the texts are small beside the lines cut from them
+    named = named.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_path")
+    lines = F.split(unix_lines("value"), "\n")
+    if told is None:
+        return named.select(*keep, "file_path", F.posexplode(lines).alias("at", "value")).withColumn("at", F.col("at").cast("bigint"))
+    placed = F.transform(lines, lambda line, i: let(told(line), lambda x: F.when(
+        x.isNotNull(), F.struct(i.cast("bigint").alias("at"), x.alias("x")))))
+    seen = named.select(*keep, "file_path", F.inline(F.filter(placed, lambda x: x.isNotNull())))
+    return seen.select(*keep, "file_path", "at", "x.*")
 
 
 def along_file(lines: DataFrame, specs: dict[str, tuple[str, Column]], before_current: bool = False) -> DataFrame:

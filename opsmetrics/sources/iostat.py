@@ -8,6 +8,8 @@ lines below them, so that figures never get the time of an earlier sample.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +35,40 @@ def banner_style(banner: Column) -> Column:
     return let(words(banner), of)
 
 
-def _kind() -> Column:
-    """What a line is, from its words ``__w`` alone."""
-    w = F.col("__w")
-    numeric = lambda c: F.coalesce(c, F.lit("")).try_cast("double").isNotNull()
+def _numeric(word: Column) -> Column:
+    """A word that converts to a number; words that begin with a letter are only tried if they spell a special value, as failing is slow."""
+    w = F.coalesce(word, F.lit(""))
+    return w.rlike(r"^(?:[^A-Za-z]|(?i:nan|inf|infinity)[\x00-\x20]*$)") & w.try_cast("double").isNotNull()
+
+
+def _kind(line: Column, w: Column) -> Column:
+    """What a line is, from itself and its words."""
     return (
         F.when(F.get(w, 0) == "", "blank")
-        .when(F.col("value").startswith("Linux "), "banner")
+        .when(line.startswith("Linux "), "banner")
         .when(F.get(w, 0) == "avg-cpu:", "names")
         .when(F.get(w, 0).startswith("Device"), "head")
-        .when(F.exists(w, lambda x: F.size(F.split(x, ":")) >= 3), "time")
-        .when(numeric(F.get(w, 0)), F.when(F.forall(w, numeric), "cpu").otherwise("other"))
-        .when(numeric(F.get(w, 1)), "device")
+        .when(line.rlike(r":\S*:"), "time")
+        .when(_numeric(F.get(w, 0)), F.when(F.forall(w, _numeric), "cpu").otherwise("other"))
+        .when(_numeric(F.get(w, 1)), "device")
         .otherwise("other")
     )
 
 
+def _told(prefixes: tuple[str, ...]) -> Callable[[Column], Column]:
+    """A line to its kind and, where they are read later, its words; null for blank lines and other devices."""
+    def wanted(line: Column, kind: Column) -> Column:
+        own = F.lit(False)
+        for p in prefixes:
+            own = own | line.startswith(p)
+        return (kind != "blank") & ((kind != "device") | own)
+
+    def of(line: Column) -> Column:
+        return let(words(line), lambda w: let(_kind(line, w), lambda kind: F.when(wanted(line, kind), F.struct(
+            line.alias("value"), kind.alias("__kind"), F.when(kind.isin("cpu", "head", "device"), w).alias("__w")))))
+    return of
+
+
 def _is(kind: str) -> Column:
     return F.col("__kind") == kind
 
@@ -56,13 +76,9 @@ def _is(kind: str) -> Column:
 def _carried(df: DataFrame, prefixes: tuple[str, ...], clock: bool = False) -> DataFrame:
     """Lines with their kind, and from the lines above: style, time (or banner and clock), CPU names and figures, column names.
 
-    Blank lines and other devices are left out before anything is sorted.
+    Blank lines and other devices are left out before anything is sorted. A line is cut into words once.
     """
-    wanted = F.lit(False)
-    for p in prefixes:
-        wanted = wanted | F.col("value").startswith(p)
-    told = placed_lines(df).withColumn("__w", words("value")).withColumn("__kind", _kind()).drop("__w")
-    lines = told.filter(~_is("blank") & (~_is("device") | wanted))
+    lines = placed_lines(df, _told(prefixes))
     line = F.col("value")
     # times are read where they stand, once, and carried as what they mean
     us, long = parse_us(line), parse_long(line)
@@ -74,7 +90,8 @@ def _carried(df: DataFrame, prefixes: tuple[str, ...], clock: bool = False) -> D
     no_time = F.col("__kind").isin("banner", "other")
     marks = {
         "__style": F.when(_is("banner"), F.coalesce(banner_style(line), F.lit(UNKNOWN))),
-        "__names": F.when(_is("names"), line), "__cpu": F.when(_is("cpu"), line), "__columns": F.when(_is("head"), line)}
+        "__names": F.when(_is("names"), words(F.substring_index(line, ":", -1))), "__cpu": F.when(_is("cpu"), F.col("__w")),
+        "__columns": F.when(_is("head"), F.col("__w"))}
     if clock:
         marks |= {
             "__banner": F.when(_is("banner"), line),
@@ -87,12 +104,12 @@ def _carried(df: DataFrame, prefixes: tuple[str, ...], clock: bool = False) -> D
 def _device_rows(lines: DataFrame, keep: list[str], on_bad: str) -> ParseResult:
     """Lines with a ``timestamp`` to one row per device with a map of all measures, and all lines that are not understood."""
     lines = lines.filter(F.col("__kind").isin("other", "device", "banner")).select(
-        *keep, "value", "timestamp", "__kind", "__style", "__names", "__cpu", "__columns")
+        *keep, "value", "timestamp", "__kind", "__style", "__names", "__cpu", "__columns", "__w")
     strange = split_rows(lines, ~_is("other"), "not a line of a report", on_bad)
     banners = split_rows(strange.rows, ~_is("banner") | (F.col("__style") != UNKNOWN), "unknown banner", on_bad)
     devices = banners.rows.filter(_is("device")).select(
-        *keep, "value", "timestamp", words("value").alias("__f"), words("__columns").alias("__head"),
-        words(F.substring_index("__names", ":", -1)).alias("__cn"), words("__cpu").alias("__cv"))
+        *keep, "value", "timestamp", F.col("__w").alias("__f"), F.col("__columns").alias("__head"),
+        F.col("__names").alias("__cn"), F.col("__cpu").alias("__cv"))
     ok = F.col("timestamp").isNotNull() & (F.size("__f") == F.size("__head")) & (F.size("__cn") == F.size("__cv"))
     res = split_rows(devices, ok, "not a device row", on_bad)
     names = F.concat(F.slice("__head", F.lit(2), F.size("__head") - 1), F.col("__cn"))
