@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from opsmetrics.plans import streams
 from opsmetrics.sources import appserver, catalog, dbstatus, iostat, monitors, slowlog
 from opsmetrics.sources.files import check_columns, column_counts, read_multi_header_csv, split_rows
 
@@ -293,3 +294,50 @@ def test_memory_node_rejects(text):
     assert {r["value"] for r in out["numastat"].rejects.collect()} == {"MemFree 5", "MemUsed 1 x 3"}
     assert {r["node"]: r["measures"]["MemTotal_mb"] for r in out["numastat"].rows.collect()} == {"0": 5.0, "1": 6.0}
     assert monitors.parse_numabuddyrefs(text(record.replace("procvmstat", "other")))["buddyinfo"].rejects.count() == 1
+
+
+REPORT = """{banner}
+
+{stamp}
+avg-cpu:  %user   %idle
+           1.50   98.50
+
+Device:  r/s  %util
+sda      2.00  3.00
+dm-0     9.00  9.00
+nvme0n1  nan  0.50
+"""
+
+
+@pytest.mark.parametrize("parse, banner, stamp", [
+    (iostat.parse_iostat, "Linux 3.10 (h) \t01/15/2024 \t_x86_64_\t(8 CPU)", "01/15/2024 01:02:03 PM"),
+    (iostat.parse_iostat_clock, "Linux 3.10 (h) 01/15/24", "Time: 01:02:03 PM")])
+def test_report_texts_are_shuffled_before_they_are_cut(spark, parse, banner, stamp):
+    """The lines of a text need no shuffle, and numeric words that begin with a letter still count as numbers."""
+    text = REPORT.format(banner=banner, stamp=stamp)
+    rows, rejects = parse(spark.createDataFrame([("h", text), ("g", None)], "host string, value string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and plan.index("Generate") < plan.index("Exchange") and plan.count("Exchange") == 1
+    got = {r["device"]: r["measures"] for r in rows.collect()}
+    assert got["sda"] == {"r/s": 2.0, "%util": 3.0, "%user": 1.5, "%idle": 98.5} and set(got) == {"sda", "nvme0n1"}
+    assert str(got["nvme0n1"]["r/s"]) == "nan"
+    assert rejects.count() == 0
+
+
+def test_metric_names_are_computed_once(spark):
+    dump = "server.network.http-listener-1.thread-pool.maxthreads-count = 7\nserver.network.x = 1\nserver.resources.controller_mysql_pool.numconnused-current = -3\n"
+    metrics = appserver.appserver_metrics(spark.createDataFrame([(1, dump), (2, None)], "i int, value string"))
+    assert metrics._jdf.queryExecution().optimizedPlan().toString().count("numconnused-current") == 1
+    lines = appserver.to_custom_metric_lines(metrics.union(spark.sql("SELECT 3, 'n', CAST(null AS bigint)")))
+    assert sorted(r["value"] for r in lines.collect()) == [
+        "name=Custom Metrics|MySQL Connection Pool|Used,aggregator=OBSERVATION,value=0",
+        "name=Custom Metrics|Thread Pool|http-listener-1|Max,aggregator=OBSERVATION,value=7", "name=Custom Metrics|n,aggregator=OBSERVATION,value=null"]
+
+
+def test_metric_stream_shares_out_a_table_in_one_piece(spark, tmp_path):
+    import duckdb
+
+    duckdb.sql(f"""COPY (SELECT range AS event_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (range) SECOND AS ts, range % 3 AS user_id, 'view' AS event_type,
+        1.5::DOUBLE AS value, '{{}}' AS props FROM range(40)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    rows = streams.stream_custom_metrics(spark, str(tmp_path))
+    assert rows.count() == 40 * 18 and len(rows.inputFiles()) > 1
