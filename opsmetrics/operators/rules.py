@@ -44,7 +44,7 @@ def glob_regex(pattern: str) -> str:
     return "^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
 
 
-def first_match(rules: list[tuple[str, Column]], default: str) -> Column:
+def first_match(rules: list[tuple[str, Column]], default: str | None) -> Column:
     """The label of the first condition that holds."""
     out = None
     for label, condition in rules:
