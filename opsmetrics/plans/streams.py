@@ -130,9 +130,10 @@ def stream_distinct_lines(spark, sf) -> DataFrame:
 
 @query("stream_custom_metrics", CUSTOM + "SELECT event_id, 'name=Custom Metrics|' || name || ',aggregator=OBSERVATION,value=' || value AS value FROM m")
 def stream_custom_metrics(spark, sf) -> DataFrame:
-    named = appserver.appserver_metrics(_dumps(_stream(spark, sf)).select("event_id", "value"))
-    line = F.format_string("name=Custom Metrics|%s,aggregator=OBSERVATION,value=%d", "name", "value").alias("value")
-    return jobs.run_available(named.select("event_id", line), "custom")
+    # a table may be a single piece of a file, and the work on a row is large
+    rows = _stream(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+    named = appserver.appserver_metrics(_dumps(rows).select("event_id", "value"))
+    return jobs.run_available(named.select("event_id", appserver.custom_metric_line()), "custom")
 
 
 @query("stream_catch_up_copy", "SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders")
