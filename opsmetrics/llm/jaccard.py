@@ -27,8 +27,8 @@ similar to their common pivot p still has to be found: with ``Rx`` the elements
 small difference sets are joined by prefix: elements ordered by frequency around the pivot, rare ones first, pairs
 only where both positions still allow the overlap and so do bit maps of both sets (a bit that only one has stands for
 an element outside the overlap); the whole sets decide. Sets near p (d of at most four times h, the most in which a set
-and a partner differ) meet with all of their differences, sets far from it with a prefix. If one of a pair is not near,
-both count as far: the limit for far is four times the h of the smallest partner, less the set's own h. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
+and a partner differ) meet with all of their differences, sets far from it with a prefix of their own elements, which is
+the same around each pivot and held once. If one of a pair is not near, both count as far: the limit for far is four times the h of the smallest partner, less the set's own h. Pairs that may share no element (both very close to p) are joined on the pivot by size of difference. Only
 pairs that are not connected yet are kept, so a large group of near copies yields no square of links: at each shared
 element one set is drawn and the others are compared with it, for ``TURNS`` turns with other draws; what is similar to many
 is connected then, and the pairs left, which are compared in full, are around the smallest pivot that both sets have.
@@ -332,7 +332,7 @@ def _small(batches, rows: int = 256):
 
 def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
     """(p, x, n_p, n_x, linked, d, diff, far, m0 ..): the number of elements in which x and p differ, these if they are few,
-    as many of them as a prefix takes if they are many (those of p last), and a bit map of their hashes."""
+    whether they are so many that a partner of x may not be near p, and a bit map of their hashes."""
     def run(batches):
         for batch in _small(batches):
             rows = {k: [] for k in ("n_p", "n_x", "linked", "d", "diff", "far", *(f"m{k}" for k in range(MAP_WORDS)))}
@@ -347,18 +347,17 @@ def _against_pivot(pairs: DataFrame, percent: int) -> DataFrame:
                 rows["diff"].append((d if len(d) <= 4 * h else d[:0]).view(np.int64))
                 least = -(-len(x) * percent // 100)
                 limit = 4 * difference(least, least * 100 // percent, percent) - h
-                own = np.isin(d, p, assume_unique=True)
-                rows["far"].append((np.concatenate([d[~own], d[own]])[: h + 1] if len(d) > limit else d[:0]).view(np.int64))
+                rows["far"].append(len(d) > limit)
                 bits = mix(d ^ _SALT) >> np.uint64(64 - 6 - MAP_BITS)
                 held = np.zeros(MAP_WORDS, np.uint64)
                 np.bitwise_or.at(held, (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
                 for k, m in enumerate(held.view(np.int64).tolist()):
                     rows[f"m{k}"].append(m)
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.int64()] * MAP_WORDS)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), *[pa.int64()] * MAP_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["p", "x", *rows])
 
-    return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, d bigint, diff array<bigint>, far array<bigint>, " + ", ".join(f"m{k} bigint" for k in range(MAP_WORDS)))
+    return pairs.mapInArrow(run, "p bigint, x bigint, n_p bigint, n_x bigint, linked boolean, d bigint, diff array<bigint>, far boolean, " + ", ".join(f"m{k} bigint" for k in range(MAP_WORDS)))
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -385,21 +384,26 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         .join(roots.select(F.col("node").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
         .withColumn("h", h(F.col("n_x"), F.floor(F.col("n_x") * 100 / percent)))
         .withColumn("least", h(F.ceil(F.col("n_x") * percent / 100), F.col("n_p")) + 1))
-    # sets close to the pivot: elements by frequency around it, rare ones first; far ones: by hash, those of the pivot last
+    # sets close to the pivot: elements by frequency around it, rare ones first; far ones: their own elements by hash, once for
+    # all of their pivots
     near = rows.where("d <= 4 * h")
     element = near.select("p", "x", F.explode("diff").alias("e"))
     often = element.groupBy("p", "e").agg(F.count("*").alias("f"))
     ordered = (
         element.join(often, ["p", "e"]).groupBy("p", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda s: s["e"]).alias("diff")))
     near = near.drop("diff").join(ordered, ["p", "x"]).withColumn("part", F.lit(0))
-    far = rows.where("size(far) > 0").drop("diff").withColumnRenamed("far", "diff").withColumn("part", F.lit(1))
+    maps = [f"m{k}" for k in range(MAP_WORDS)]
+    least = F.ceil(F.col("n_x") * percent / 100)
+    far = (
+        rows.where("far").select("x", "n_x").distinct().join(sets.select(F.col("node").alias("x"), F.col("elements").alias("diff")), "x")
+        .select(F.lit(0).cast("bigint").alias("p"), F.lit(1).alias("part"), "x", "n_x", F.lit(False).alias("linked"), F.col("n_x").alias("d"),
+                *(F.lit(0).cast("bigint").alias(m) for m in maps), (F.col("n_x") - least + 1).alias("prefix"), "diff"))
     # at most one of the pair is similar to the pivot, so the overlap has a lower bound that depends on one side only
     bound = F.when(F.col("linked"), F.ceil((F.col("d") + F.col("least") - F.col("h")) / 2)).otherwise(F.col("d") - F.col("h"))
-    maps = [f"m{k}" for k in range(MAP_WORDS)]
     cols = ["x", "n_x", "linked", "d", *maps]
     prefix = (
-        near.select("p", "part", *cols, "h", "least", "diff").unionByName(far.select("p", "part", *cols, "h", "least", "diff"))
-        .withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1)
+        near.withColumn("prefix", F.col("d") - F.greatest(F.lit(1), bound) + 1).select("p", "part", *cols, "prefix", "diff")
+        .unionByName(far.select("p", "part", *cols, "prefix", "diff"))
         .select("p", "part", *cols, F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.lit(0), F.col("prefix")).cast("int"))).alias("pos", "e")))
     prefix = stored(prefix, "jaccard")
     at = ["p", "part", "e"]
@@ -438,11 +442,12 @@ def _around_pivots(stars: DataFrame, roots: DataFrame, sets: DataFrame, percent:
         merged = components(new.join(roots_of("a"), "a").join(roots_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
         merged = merged.select(F.col("node").alias("root"), F.col("root").alias("into"))
         named = stored(named.join(merged, "root", "left").select("x", F.coalesce("into", "root").alias("root")), "jaccard")
-    # all pairs that are left, each around the smallest pivot that both have
+    # all pairs that are left and share a pivot; near ones each around the smallest that both have
     pivots = stars.groupBy("x").agg(F.collect_set("p").alias("pivots"))
-    now = apart(named).join(pivots, "x").withColumn("lower", F.filter("pivots", lambda q: q < F.col("p")))
-    now = stored(now.drop("pivots"), "jaccard")
-    new = linked(side(now, "a", "lower").join(side(now, "b", "lower"), at).where(may_link & F.expr("x_a < x_b AND NOT arrays_overlap(lower_a, lower_b)")))
+    now = apart(named).join(pivots, "x").withColumn("pivots", F.filter("pivots", lambda q: (F.col("part") == 1) | (q < F.col("p"))))
+    now = stored(now, "jaccard")
+    met = side(now, "a", "pivots").join(side(now, "b", "pivots"), at)
+    new = linked(met.where(may_link & F.expr("x_a < x_b AND arrays_overlap(pivots_a, pivots_b) = (part = 1)")))
     found = new if found is None else found.union(new)
     rows = rows.drop("root").join(named, "x")
     # pairs whose difference sets may be disjoint: the sum of the differences alone is small enough

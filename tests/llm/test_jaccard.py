@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from opsmetrics.llm import jaccard
+from opsmetrics.llm import common, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -161,3 +161,32 @@ def test_hopeful_sets_are_counted_alike_however_many_are_held(spark, docs, monke
     assert got >= want and not {k for k in got - want if all(times[e] == 1 for e in sets[k].tolist())}
     if together > 1000:
         assert len(got) < len(sets)
+
+
+def test_far_sets_are_held_once_for_all_pivots(spark, monkeypatch):
+    """Two similar sets far from each of five pivots: their prefixes do not grow with the number of pivots."""
+    pool = np.random.default_rng(9).integers(0, 1 << 64, 2000, dtype=np.uint64)
+    given = {k: pool[300 * k : 300 * k + 100] for k in range(1, 6)} | {11: pool[:100], 12: pool[4:104]}
+    sets = spark.createDataFrame([(k, np.sort(v).view(np.int64).tolist()) for k, v in given.items()], "node bigint, elements array<bigint>")
+    pairs = spark.createDataFrame([(p, x) for p in range(1, 6) for x in (11, 12)], "p bigint, x bigint")
+    held = []
+    plain = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: held.append(plain(df, label)) or held[-1])
+    found = jaccard._around_pivots(jaccard._against_pivot(jaccard._both_sets(pairs, sets), 80), spark.createDataFrame([], "node bigint, root bigint"), sets, 80)
+    assert {tuple(r) for r in found.collect()} == {(11, 12)}
+    prefix = next(df for df in held if "pos" in df.columns)
+    assert prefix.where("x = 11").count() == 100 - 80 + 1
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {disk.getAllFiles().apply(k).getName() for k in range(disk.getAllFiles().size())}
+    before, setting = names(), spark.conf.get(common.CLEANUP)
+    got = common.stored(spark.range(1000).repartition(7, "id"), "test")
+    until = time.time() + 20
+    while {n for n in names() - before if n.startswith("shuffle_")} and time.time() < until:
+        time.sleep(0.2)
+    assert not {n for n in names() - before if n.startswith("shuffle_")}
+    assert got.count() == 1000 and spark.conf.get(common.CLEANUP) == setting
