@@ -12,10 +12,11 @@ that starts earlier; a second fold walks back. ``encode`` can be asked for eithe
 the file's own.
 
 The ``FREQUENT`` most frequent words of all texts are encoded once and sent to the tasks as a table of bounded size.
-Other words are encoded in place, by the same lattice, per document: documents are dealt by a hash of id and text once,
-and words, edges and results stay within that partitioning. No word or document is left out, and both ways give the
-same ids. The best-path fold copies a word's positions per step, so the time of a single word without spaces grows with the
-square of its length; merging takes n log n.
+Other words are encoded where they are met, from the same pieces and by the same folds, whose edges are then looked up in
+the piece table: a document is neither shuffled nor are its edges rows. A task keeps up to ``KEPT`` words that it met, of
+up to ``SHORT`` characters. No word or document is left out, and both ways give the same ids. In place, the best-path fold
+takes time and memory in proportion to a word's length, merging n log n and n; only the best-path fold of frequent words,
+which copies their positions per step, grows with the square of the length.
 
 Scores are those of the file. Merges give the library's ids (the tests compare with it, unpatched). A maximum of their
 sum is what the library computes from a unigram model with the same pieces, but in double precision: beside a run of spaces or an unknown character, which score -1e9, the library's
@@ -27,26 +28,33 @@ from __future__ import annotations
 
 import binascii
 import heapq
+import re
 import struct
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import SLICE_BYTES, raw, slices, stored, table
 from .registry import query
 
 MARK = "▁"
 FREQUENT = 200_000
 LOCAL = 400_000  # distinct words a task counts before it passes on those it met again
+KEPT, SHORT = 20_000, 64  # words beside the frequent ones whose ids a task keeps, and their length at most
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 
+_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
 def _varint(b: bytes, i: int) -> tuple[int, int]:
     n = shift = 0
     while True:
@@ -70,6 +78,17 @@ def _fields(b: bytes):
         yield tag >> 3, value
 
 
+class _Parts(dict):
+    """Score, its sign changed, and ids of each piece; a character that is none has the ids of its bytes."""
+
+    def __init__(self, model: Model):
+        super().__init__((p, (-s, [k])) for p, k, s in model.table)
+        self.model = model
+
+    def __missing__(self, part: str) -> tuple[float, list[int]]:
+        return -self.model.unknown, [self.model.bytes + x for x in part.encode()]
+
+
 class Model:
     """Pieces, scores and kinds of a model file."""
 
@@ -100,31 +119,31 @@ class Model:
         self.bytes = next(k for k, (_, _, kind) in enumerate(self.pieces) if kind == BYTE)
         if any(MARK in p.lstrip(MARK) for p, _, _ in self.table):
             raise ValueError("a piece holds a space mark after another character")
+        self.parts = _Parts(self)
+        self.spelled = pa.array([bytes([k - self.bytes]) if kind == BYTE else p.encode() for k, (p, _, kind) in enumerate(self.pieces)], pa.large_binary())
 
     def words(self, text: str | None) -> list[str]:
         if not text:
             return []
-        text = ((" " if self.prefix else "") + text).replace(" ", MARK)
-        # rejoin: every mark belongs to the word behind it, runs of marks stay together
-        words, marks = [], 0
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                marks += 1
-            if part:
-                words.append(MARK * marks + part)
-                marks = 0
-        if marks:
-            words.append(MARK * marks)
-        return words
+        # every mark belongs to the word behind it, runs of marks stay together
+        return _WORD.findall(((" " if self.prefix else "") + text).replace(" ", MARK))
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for k in ids:
-            piece, _, kind = self.pieces[k]
-            out += bytes([k - self.bytes]) if kind == BYTE else piece.encode()
-        text = out.decode(errors="replace").replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
+        return next(self.texts(pa.array([ids], pa.list_(pa.int32()))))[0].as_py()
+
+    def texts(self, rows: pa.Array) -> Iterator[pa.Array]:
+        """The texts of lists of ids, null for null, a slice of about ``SLICE_BYTES`` ids (or one long list) at a time."""
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+        ids, ends, at = rows.flatten(), np.concatenate([[0], np.cumsum(sizes)]), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+            data, offs = raw(self.spelled.take(ids.slice(ends[at], ends[to] - ends[at])))
+            cuts = offs[ends[at : to + 1] - ends[at]].tolist()
+            texts = [data[a:b].tobytes().decode(errors="replace").replace(MARK, " ") for a, b in zip(cuts, cuts[1:])]
+            if self.prefix:
+                texts = [t.removeprefix(" ") for t in texts]
+            yield pa.array(texts, pa.string(), mask=rows.slice(at, to - at).is_null().to_numpy(False))
+            at = to
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Model:
@@ -153,35 +172,77 @@ def _best(edges: Column) -> Column:
     return F.aggregate(F.sequence(F.size(best) - 1, F.lit(1), F.lit(-1)), start, back, lambda held: held["ids"])
 
 
-def merged(edges) -> list[int]:
-    """Ids of a word by merge order over its edges (end, start, score, ids): the best adjacent pair first, the leftmost of equals."""
-    held = {(start, end): (score, ids) for end, start, score, ids in edges}
-    n = max(end for _, end in held)
+def merged(word: str, held: Mapping[str, tuple[float, list[int]]]) -> list[int]:
+    """Ids of a word by merge order: the best adjacent pair first, the leftmost of equals; ``held`` has the score with its sign changed and the ids of each part."""
+    n, edge = len(word), held.get
     after, before = list(range(1, n + 1)), list(range(-1, n))  # the symbol at a place ends there; the symbol that ends at a place starts there
-    pairs = [(-held[s, s + 2][0], s, s + 1, s + 2) for s in range(n - 1) if (s, s + 2) in held]
+    pairs = [(found[0], s, s + 1, s + 2) for s in range(n - 1) if (found := edge(word[s : s + 2]))]
     heapq.heapify(pairs)
     while pairs:
         _, s, middle, e = heapq.heappop(pairs)
         if after[s] != middle or after[middle] != e:
             continue
         after[s], after[middle], before[e] = e, -1, s
-        if s > 0 and (before[s], e) in held:
-            heapq.heappush(pairs, (-held[before[s], e][0], before[s], s, e))
-        if e < n and (s, after[e]) in held:
-            heapq.heappush(pairs, (-held[s, after[e]][0], s, e, after[e]))
+        if s > 0 and (found := edge(word[before[s] : e])):
+            heapq.heappush(pairs, (found[0], before[s], s, e))
+        if e < n and (found := edge(word[s : after[e]])):
+            heapq.heappush(pairs, (found[0], s, e, after[e]))
     out, at = [], 0
     while at < n:
-        out += held[at, after[at]][1]
+        out += held[word[at : after[at]]][1]
         at = after[at]
     return out
 
 
-def _merged_column(column: pa.Array) -> pa.Array:
-    """``merged`` of each row of a column of edge lists."""
-    offs = column.offsets.to_numpy() - column.offsets[0].as_py()
-    flat = column.flatten()
-    rows = list(zip(*(flat.field(k).to_pylist() for k in range(4))))
-    return pa.array([merged(rows[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.list_(pa.int32()))
+def best_path(word: str, held: Mapping[str, tuple[float, list[int]]], longest: int) -> list[int]:
+    """What ``_best`` gives for the edges of a word, from the table that ``merged`` reads."""
+    scores, starts, edge = [0.0], [0], held.get
+    for end in range(1, len(word) + 1):
+        best = None
+        for start in range(max(0, end - longest), end):
+            found = edge(word[start:end]) or (held[word[start:end]] if end - start == 1 else None)
+            if found and (best is None or scores[start] - found[0] > best[0]):
+                best = scores[start] - found[0], start
+        scores.append(best[0])
+        starts.append(best[1])
+    parts, at = [], len(word)
+    while at:
+        parts.append(held[word[starts[at] : at]][1])
+        at = starts[at]
+    return [k for ids in reversed(parts) for k in ids]
+
+
+def _merged_column(words: pa.Array, edges: pa.Array) -> pa.Array:
+    """``merged`` of each word and its list of edges (end, start, score, ids)."""
+    offs = edges.offsets.to_numpy() - edges.offsets[0].as_py()
+    flat = edges.flatten()
+    ids = flat.field(3)
+    at, own = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().tolist()
+    columns = [flat.field(k).to_numpy().tolist() for k in range(3)]
+    rows = []
+    for word, a, b in zip(words.to_pylist(), offs[:-1].tolist(), offs[1:].tolist()):
+        parts = zip(*(c[a:b] for c in columns), at[a:b], at[a + 1 : b + 1])
+        rows.append(merged(word, {word[start:end]: (-score, own[i:j]) for end, start, score, i, j in parts}))
+    return pa.array(rows, pa.list_(pa.int32()))
+
+
+class _Known(dict):
+    """Packed ids of the frequent words; those of others are computed when asked for, and some of them kept."""
+
+    def __init__(self, frequent: Iterable[tuple[str, bytes]], model: Model, merges: bool, kind: str):
+        super().__init__(frequent)
+        self.kind, self.met = kind, {}
+        self.fold = (lambda w: merged(w, model.parts)) if merges else (lambda w: best_path(w, model.parts, model.longest))
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.met.get(word)
+        if ids is None:
+            ids = np.array(self.fold(word), self.kind).tobytes()
+            if len(word) <= SHORT:
+                if len(self.met) >= KEPT:
+                    self.met.clear()
+                self.met[word] = ids
+        return ids
 
 
 def lattice(words: DataFrame, keys: list[str], model: Model, merges: bool = False) -> DataFrame:
@@ -224,84 +285,63 @@ def _frequent(docs: DataFrame, path: str, most: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
-def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, merges: bool = False) -> DataFrame:
-    """(doc_id, ids, text_crc32) of each row of ``docs (doc_id, text)``: by the best path, or by merge order."""
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, merges: bool = False, decoded: str | None = None) -> DataFrame:
+    """(doc_id, ids, text_crc32) of each row of ``docs (doc_id, text)``: by the best path, or by merge order.
+
+    With ``decoded`` the same worker decodes the ids again, into a column of that name: a second one beside it would take
+    as much of the executor's memory once more.
+    """
     spark, model = docs.sparkSession, load(path)
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def fold(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _merged_column(batch.column(1))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _merged_column(batch.column(0), batch.column(1))], names=["word", "ids"])
 
     words = stored(_frequent(given, path, frequent).select("word"), "pieces")
-    # dealt by word before the lattice, so that edges need no shuffle
-    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    # dealt by word before the lattice, so that edges need no shuffle; into few files
+    words = words.repartition(2 * spark.sparkContext.defaultParallelism, "word")
     solved = lattice(words, ["word"], model, merges)
     if merges:
         solved = solved.mapInArrow(fold, "word string, ids array<int>")
     known = stored(solved, "pieces").toArrow()  # at most ``frequent`` words
-    kind = "<u2" if len(model.pieces) < (1 << 16) - 1 else "<u4"
-    mark = np.iinfo(kind).max  # stands before the place of a word that is not frequent, in two halves of 16 bits
+    kind = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
     names = known["word"].to_pylist()
     flat = known["ids"].combine_chunks() if known.num_rows else []
     sent = spark.sparkContext.broadcast((names, [v.values.to_numpy().astype(kind).tobytes() for v in flat]))
 
-    def split(batches):
-        own, order = load(path), dict(zip(*sent.value))
+    def run(batches):
+        own = load(path)
+        held = _Known(zip(*sent.value), own, merges, kind)
         for part, texts in slices(batches):
-            packed, rare, crcs = [], [], []
-            for text in texts.to_pylist():
-                more: dict[str, int] = {}
-                row = []
-                for w in own.words(text):
-                    ids = order.get(w)
-                    if ids is None:
-                        k = more.setdefault(w, len(more))
-                        ids = np.array([mark, k >> 16, k & 0xFFFF], kind).tobytes()
-                    row.append(ids)
-                packed.append(b"".join(row))
-                rare.append(list(more))
-                crcs.append(binascii.crc32(text.encode()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(packed, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(crcs, pa.int64())],
-                names=["doc_id", "key", "packed", "rare", "text_crc32"])
-
-    def join(batches):
-        for batch in batches:
-            rows = []
-            for packed, rare in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids = np.frombuffer(packed, kind)
-                if rare:
-                    solved = [np.array(merged([tuple(e.values()) for e in r["edges"]]) if merges else r["ids"], kind) for r in rare]
-                    parts, at = [], 0
-                    for m in np.flatnonzero(ids == mark).tolist():
-                        if m < at:  # half of a place
-                            continue
-                        parts += [ids[at:m], solved[(int(ids[m + 1]) << 16) + int(ids[m + 2])]]
-                        at = m + 3
-                    ids = np.concatenate([*parts, ids[at:]])
-                rows.append(ids.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), batch.column(3)], names=["doc_id", "ids", "text_crc32"])
-
-    dealt = given.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(
-        split, "doc_id bigint, key bigint, packed binary, rare array<string>, text_crc32 bigint").repartition("key")
-    # rows equal in id and text have one key: their words are encoded once, within the partitioning by key
-    rare = dealt.where("size(rare) > 0").select("key", F.posexplode("rare").alias("k", "word")).groupBy("key", "k").agg(F.max("word").alias("word"))
-    # merging is done behind the join, where the rows are already dealt
-    solved = lattice(rare, ["key", "k"], model, merges).groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("k", "edges" if merges else "ids"))).alias("solved"))
-    return dealt.join(solved, "key", "left").select("doc_id", "packed", "solved", "text_crc32").mapInArrow(join, "doc_id bigint, ids array<int>, text_crc32 bigint")
+            rows = texts.to_pylist()
+            packed = [b"".join(map(held.__getitem__, own.words(text))) for text in rows]
+            offs = np.cumsum([0, *map(len, packed)]) // np.dtype(kind).itemsize
+            ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(packed), kind).astype(np.int32)))
+            crcs = pa.array([binascii.crc32(text.encode()) for text in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, crcs], names=["doc_id", "ids", "text_crc32"])
 
+    schema, back = "doc_id bigint, ids array<int>, text_crc32 bigint", decoder(path, decoded)
+    return given.mapInArrow(lambda batches: back(run(batches)), f"{schema}, {decoded} string") if decoded else given.mapInArrow(run, schema)
 
-def decode(rows: DataFrame, path: str, out: str = "text") -> DataFrame:
-    """``rows`` with the text of their ``ids``."""
+
+def decoder(path: str, out: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the text of the column ``ids`` to batches."""
     def run(batches):
         model = load(path)
         for batch in batches:
-            texts = [None if i is None else model.decode(i) for i in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            at = 0
+            for texts in model.texts(batch.column(batch.schema.get_field_index("ids"))):
+                part = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, out])
+                at += len(texts)
 
-    return rows.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in rows.dtypes), f"{out} string"]))
+    return run
+
+
+def decode(rows: DataFrame, path: str, out: str = "text") -> DataFrame:
+    """``rows`` with the text of their ``ids``."""
+    return rows.mapInArrow(decoder(path, out), ", ".join([*(f"{n} {t}" for n, t in rows.dtypes), f"{out} string"]))
 
 
 @query("op1_sentencepiece")
@@ -313,7 +353,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
-    back = decode(encode(docs, path, merges=load(path).merges), path, "decoded")
+    back = encode(docs, path, merges=load(path).merges, decoded="decoded")
     return back.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_crc32"),
         (F.crc32("decoded") == F.col("text_crc32")).alias("round_trip"))

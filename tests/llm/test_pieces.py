@@ -91,3 +91,29 @@ def test_equal_rows_are_encoded_once(spark, docs):
     rows = [(7, text)] * 300 + [(8, text), (None, text), (None, text)]
     got = pieces.encode(docs(rows), PATH, 0, merges=True).collect()
     assert len(got) == len(rows) and all(r.ids == library.encode(text) for r in got)
+
+
+def test_no_document_is_shuffled(spark, docs):
+    """Rare words are encoded where they are met: only words are dealt, and the plan over documents has neither exchange, join nor sort."""
+    plan = pieces.encoded_documents(docs({1: "xqzzy thorreou", 2: None}), PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("hashpartitioning", "Join", "Sort", "Aggregate"))
+
+
+def test_long_words_and_many(spark, docs):
+    """Rare words by both folds: a long one in time and memory in proportion to its length, and more than a task keeps."""
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefghijkABCD0123+/") for _ in range(100_000))
+    many = " ".join(f"q{k}zx{rng.randrange(10 ** 6)}w" for k in range(pieces.KEPT + 500))
+    texts, own = {1: long, 2: many, 3: long[:3000]}, pieces.load(PATH)
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    got = {r.doc_id: r for r in pieces.encode(docs(texts), PATH, 0, merges=True, decoded="back").collect()}
+    assert all(got[k].ids == library.encode(t) and got[k].back == t for k, t in texts.items())
+    got = {r.doc_id: r.ids for r in pieces.encode(docs(texts), PATH, 0).collect()}
+    assert got[3] == plain(own, texts[3]) and all(own.decode(got[k]) == t for k, t in texts.items())
+
+
+def test_decode_many(spark):
+    rows = spark.createDataFrame([(1, [300, 400]), (2, None), (3, []), (4, [3 + 0xE2, 3 + 0x96, 3 + 0x81, 3 + 0xFF])], "doc_id bigint, ids array<int>")
+    own = pieces.load(PATH)
+    want = {1: "".join(own.pieces[k][0] for k in (300, 400)).replace(pieces.MARK, " ").removeprefix(" "), 2: None, 3: "", 4: "\ufffd"}
+    assert own.bytes == 3 and {r.doc_id: r.text for r in pieces.decode(rows, PATH).collect()} == want
