@@ -13,10 +13,11 @@ the file's own.
 
 The ``FREQUENT`` most frequent words of all texts are encoded once and sent to the tasks as a table of bounded size.
 Other words are encoded where they are met, from the same pieces and by the same folds, whose edges are then looked up in
-the piece table: a document is neither shuffled nor are its edges rows. A task keeps up to ``KEPT`` words that it met, of
-up to ``SHORT`` characters. No word or document is left out, and both ways give the same ids. In place, the best-path fold
-takes time and memory in proportion to a word's length, merging n log n and n; only the best-path fold of frequent words,
-which copies their positions per step, grows with the square of the length.
+the piece table: a document is neither shuffled nor are its edges rows. The different words of a slice of texts are merged
+together, as rows of a matrix of up to ``AT_ONCE`` words of up to ``SHORT`` characters; longer ones, and those with
+characters that are no pieces, alone. No word or document is left out, and all ways give the same ids. Alone, a word of
+n characters takes n log n steps to merge and n for the best path, and memory in proportion; only the best-path fold of
+frequent words, which copies their positions per step, grows with the square of the length.
 
 Scores are those of the file. Merges give the library's ids (the tests compare with it, unpatched). A maximum of their
 sum is what the library computes from a unigram model with the same pieces, but in double precision: beside a run of spaces or an unknown character, which score -1e9, the library's
@@ -46,7 +47,8 @@ from .registry import query
 MARK = "▁"
 FREQUENT = 200_000
 LOCAL = 400_000  # distinct words a task counts before it passes on those it met again
-KEPT, SHORT = 20_000, 64  # words beside the frequent ones whose ids a task keeps, and their length at most
+SHORT, AT_ONCE = 64, 16_384  # characters of a word that is merged together with others, and words merged together
+NEVER = np.iinfo(np.int32).max
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -226,23 +228,119 @@ def _merged_column(words: pa.Array, edges: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int32()))
 
 
+class Merger:
+    """``merged`` of many words at once: words are the rows of a matrix of symbols, and a step merges each row's best pair."""
+
+    def __init__(self, model: Model):
+        ids = {p: k for p, k, _ in model.table}
+        self.model, self.none, self.width = model, len(model.pieces), len(model.pieces).bit_length()
+        self.of = np.full(0x110000, -1, np.int32)
+        for p, k in ids.items():
+            if len(p) == 1:
+                self.of[ord(p)] = k
+        ranks = np.unique([-s for _, _, s in model.table], return_inverse=True)[1]
+        self.rank = np.full(self.none + 1, NEVER, np.int32)  # the last one, for no pair, is found as -1 too
+        self.rank[[k for _, k, _ in model.table]] = ranks
+        # pairs of symbols that are a piece together, in a hash table
+        pairs = {ids[p[:k]] << self.width | ids[p[k:]]: whole for p, whole in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        codes, wholes = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
+        self.bits = max(1, len(pairs)).bit_length() + 2
+        self.codes, self.wholes = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slots, left = self._slots(codes), np.arange(len(codes))
+        while len(left):
+            free = left[self.codes[slots[left]] < 0]
+            self.codes[slots[free]], self.wholes[slots[free]] = codes[free], wholes[free]
+            left = left[self.codes[slots[left]] != codes[left]]
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two symbols make together, -1 for none."""
+        codes = left.astype(np.int64) << self.width | right
+        slots = self._slots(codes)
+        found = self.codes[slots]
+        out = np.where(found == codes, self.wholes[slots], np.int32(-1))
+        left = np.flatnonzero((found != codes) & (found >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+            found = self.codes[slots[left]]
+            same = found == codes[left]
+            out[left[same]] = self.wholes[slots[left[same]]]
+            left = left[~same & (found >= 0)]
+        return out
+
+    def merged(self, words: list[str], kind: str) -> list[bytes]:
+        """Packed ids of each word."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        lo = 0
+        for most in (6, 9, 12, 18, SHORT):
+            group = np.flatnonzero((size > lo) & (size <= most))
+            for k in range(0, len(group), AT_ONCE):
+                self._rows(words, group[k : k + AT_ONCE], size, kind, out)
+            lo = most
+        for k in np.flatnonzero(size > lo).tolist():
+            out[k] = self.alone(words[k], kind)
+        return out
+
+    def alone(self, word: str, kind: str) -> bytes:
+        return np.array(merged(word, self.model.parts), kind).tobytes()
+
+    def _rows(self, words: list[str], places: np.ndarray, size: np.ndarray, kind: str, out: list[bytes]) -> None:
+        size = size[places]
+        points = np.frombuffer("".join([words[k] for k in places.tolist()]).encode("utf-32-le"), np.uint32)
+        row = np.full((len(places), int(size.max())), self.none, np.int32)
+        row[np.arange(row.shape[1]) < size[:, None]] = self.of[points]
+        known = (row >= 0).all(1)
+        for k in places[~known].tolist():  # a character without a piece may be part of one
+            out[k] = self.alone(words[k], kind)
+        row, places, size = row[known], places[known], size[known]
+        whole = self.pairs(row[:, :-1].ravel(), row[:, 1:].ravel()).reshape(len(row), row.shape[1] - 1)
+        while len(row):
+            n, wide = row.shape
+            if wide > 1:
+                at = self.rank[whole].argmin(1)
+                new = whole[np.arange(n), at]
+                ends = new < 0
+            else:
+                ends = np.ones(n, bool)
+            # a row that has no pair left is done
+            rest = size[ends]
+            packed, bounds = row[ends][np.arange(wide) < rest[:, None]].astype(kind).tobytes(), np.concatenate([[0], np.cumsum(rest)]) * np.dtype(kind).itemsize
+            bounds = bounds.tolist()
+            for k, a, b in zip(places[ends].tolist(), bounds, bounds[1:]):
+                out[k] = packed[a:b]
+            if ends.all():
+                return
+            row, whole, places, size, at, new = (x[~ends] for x in (row, whole, places, size, at, new))
+            each, columns = np.arange(len(row)), np.arange(wide - 1)
+            row = np.where(columns > at[:, None], row[:, 1:], row[:, :-1])
+            row[each, at] = new
+            whole = np.where(columns[:-1] > at[:, None], whole[:, 1:], whole[:, :-1])
+            for side in (-1, 0):
+                has = np.flatnonzero((at + side >= 0) & (at + side < wide - 2))
+                x = at[has] + side
+                whole[has, x] = self.pairs(row[has, x], row[has, x + 1])
+            size = size - 1
+
+
 class _Known(dict):
-    """Packed ids of the frequent words; those of others are computed when asked for, and some of them kept."""
+    """Packed ids of the frequent words, and of all others of the slice at hand."""
 
     def __init__(self, frequent: Iterable[tuple[str, bytes]], model: Model, merges: bool, kind: str):
         super().__init__(frequent)
-        self.kind, self.met = kind, {}
-        self.fold = (lambda w: merged(w, model.parts)) if merges else (lambda w: best_path(w, model.parts, model.longest))
+        self.met: dict[str, bytes] = {}
+        merger = Merger(model) if merges else None
+        self.fold = lambda words: merger.merged(words, kind) if merges else [np.array(best_path(w, model.parts, model.longest), kind).tobytes() for w in words]
+
+    def meet(self, texts: list[list[str]]) -> None:
+        words = [w for w in set().union(*texts) if w not in self]
+        self.met = dict(zip(words, self.fold(words)))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.met.get(word)
-        if ids is None:
-            ids = np.array(self.fold(word), self.kind).tobytes()
-            if len(word) <= SHORT:
-                if len(self.met) >= KEPT:
-                    self.met.clear()
-                self.met[word] = ids
-        return ids
+        return self.met[word]
 
 
 def lattice(words: DataFrame, keys: list[str], model: Model, merges: bool = False) -> DataFrame:
@@ -315,7 +413,9 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, merges: bool =
         held = _Known(zip(*sent.value), own, merges, kind)
         for part, texts in slices(batches):
             rows = texts.to_pylist()
-            packed = [b"".join(map(held.__getitem__, own.words(text))) for text in rows]
+            words = [own.words(text) for text in rows]
+            held.meet(words)
+            packed = [b"".join(map(held.__getitem__, row)) for row in words]
             offs = np.cumsum([0, *map(len, packed)]) // np.dtype(kind).itemsize
             ids = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.frombuffer(b"".join(packed), kind).astype(np.int32)))
             crcs = pa.array([binascii.crc32(text.encode()) for text in rows], pa.int64())

@@ -100,10 +100,10 @@ def test_no_document_is_shuffled(spark, docs):
 
 
 def test_long_words_and_many(spark, docs):
-    """Rare words by both folds: a long one in time and memory in proportion to its length, and more than a task keeps."""
+    """Rare words by both folds: a long one in time and memory in proportion to its length, and more than are merged together."""
     rng = random.Random(11)
     long = "".join(rng.choice("abcdefghijkABCD0123+/") for _ in range(100_000))
-    many = " ".join(f"q{k}zx{rng.randrange(10 ** 6)}w" for k in range(pieces.KEPT + 500))
+    many = " ".join(f"q{k}zx{rng.randrange(10 ** 6)}w" for k in range(pieces.AT_ONCE + 500))
     texts, own = {1: long, 2: many, 3: long[:3000]}, pieces.load(PATH)
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     got = {r.doc_id: r for r in pieces.encode(docs(texts), PATH, 0, merges=True, decoded="back").collect()}
@@ -117,3 +117,18 @@ def test_decode_many(spark):
     own = pieces.load(PATH)
     want = {1: "".join(own.pieces[k][0] for k in (300, 400)).replace(pieces.MARK, " ").removeprefix(" "), 2: None, 3: "", 4: "\ufffd"}
     assert own.bytes == 3 and {r.doc_id: r.text for r in pieces.decode(rows, PATH).collect()} == want
+
+
+def test_words_merged_together(spark):
+    """Words of all lengths, with equal scores side by side, without pieces, and one whose first letter is no piece but part of one."""
+    rng, own = random.Random(5), pieces.Model(PATH)
+    letters = [p for p, _, _ in own.table if len(p) == 1]
+    words = ["".join(rng.choice(letters[:60]) for _ in range(rng.randint(1, 90))) for _ in range(3000)]
+    words += [p for p, _, _ in own.table[::5]] + ["aaaaaaa", "日🙂本", "a", "é", pieces.MARK, pieces.MARK * 9, "the" * 21 + "x"]
+    part = next(p for p, _, _ in own.table if p.isalpha() and len(p) == 4)
+    for changed in (False, True):
+        if changed:  # as if the first letter of a piece were none
+            own.table = [x for x in own.table if x[0] != part[0]]
+            own.parts = pieces._Parts(own)
+        got = pieces.Merger(own).merged([*words, part], "<u4")
+        assert [list(memoryview(x).cast("I")) for x in got] == [pieces.merged(w, own.parts) for w in [*words, part]]
