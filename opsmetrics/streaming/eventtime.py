@@ -6,7 +6,11 @@ behind the watermark are dropped by Spark, which counts them (``run_counted`` re
 
 Keys share ``GROUPS`` state rows, by their hash: a micro-batch calls Python once for a group, not once for a key, so the
 fixed cost of a call does not grow with the number of keys. Rows and folds within a group are kept apart by key. A stream
-that goes on from a checkpoint needs the number of groups it began with.
+that goes on from a checkpoint needs the number of groups it began with, and this form of its state.
+
+A few keys may own all rows. So waiting rows are compressed and lie in the order of time, in blocks: a call sorts what has
+come in runs of ``RUN`` rows, merges these with what waits, and folds and returns what the watermark has passed block by
+block. It thus holds ``RUN`` rows, and a few blocks, as rows; of the others, compressed bytes.
 
 State is bounded: waiting rows span ``lateness``, the fold is a few numbers, and a key's fold is given up as soon as it
 can no longer change a later row, or after ``ttl`` seconds of silence, which the folds treat as a new beginning.
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 END = "9000-01-01 00:00:00"
 MS, KEY, GROUP, NULLS = "__ms", "__key", "__group", "__nulls"
 GROUPS = 512
+RUN, BLOCK = 1 << 20, 1 << 14  # rows that are sorted at once, and rows of a block
 
 Fold = Callable[[Iterable[tuple], tuple], tuple[list[tuple], tuple]]
 
@@ -52,6 +58,92 @@ def _unpacked(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
+def _row_schema(fields: list[T.StructField]) -> pa.Schema:
+    """Arrow types of rows that come as pandas frames, where times have no zone."""
+    times = (T.TimestampType, T.TimestampNTZType)
+    return pa.schema([(f.name, pa.timestamp("ns") if isinstance(f.dataType, times) else to_arrow_type(f.dataType)) for f in fields])
+
+
+class _Run:
+    """Compressed rows in the order of time, written and read block by block."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.out, self.first = schema, io.BytesIO(), None
+        self.writer = None
+
+    def add(self, rows: pa.Table) -> None:
+        if self.writer is None:
+            self.writer = pa.ipc.new_stream(self.out, self.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            self.first = rows[MS][0].as_py()
+        self.writer.write_table(rows, max_chunksize=BLOCK)
+
+    def data(self) -> bytes:
+        if self.writer is None:
+            return b""
+        self.writer.close()
+        return self.out.getvalue()
+
+
+def _blocks(run: bytes) -> Iterator[pa.Table]:
+    for batch in pa.ipc.open_stream(pa.py_buffer(run)):
+        yield pa.Table.from_batches([batch])
+
+
+def _in_time(rows: pa.Table) -> pa.Table:
+    return rows.take(pa.array(np.argsort(rows[MS].to_numpy(), kind="stable")))
+
+
+def _runs(chunks: Iterable[pd.DataFrame], schema: pa.Schema) -> Iterator[Iterator[pa.Table]]:
+    """The rows as runs in the order of time, of about ``RUN`` rows; all but the last are compressed."""
+    held, n = [], 0
+    for chunk in chunks:
+        if len(chunk):
+            held.append(pa.Table.from_pandas(chunk[schema.names], schema=schema, preserve_index=False))
+            n += len(chunk)
+        if n >= RUN:
+            full = _Run(schema)
+            full.add(_in_time(pa.concat_tables(held)))
+            held, n = [], 0
+            yield _blocks(full.data())
+    if held:
+        last = _in_time(pa.concat_tables(held))
+        yield (last.slice(k, BLOCK) for k in range(0, n, BLOCK))
+
+
+def _merged(runs: list[Iterator[pa.Table]]) -> Iterator[pa.Table]:
+    """The rows of all runs in blocks of ascending times; the rows of one time are in one block, in no order within it."""
+    held: list[pa.Table | None] = [next(run, None) for run in runs]
+    going = [rows is not None for rows in held]
+    while any(going):
+        for i, run in enumerate(runs):
+            if going[i] and not len(held[i]):
+                rows = next(run, None)
+                held[i], going[i] = (rows, True) if rows is not None else (held[i], False)
+        ends = [held[i][MS][-1].as_py() if on else None for i, on in enumerate(going)]
+        if not any(going):
+            break
+        cut, parts = min(e for e in ends if e is not None), []
+        for i, rows in enumerate(held):
+            if rows is not None and len(rows):
+                at = int(np.searchsorted(rows[MS].to_numpy(), cut))
+                if at:
+                    parts.append(rows.slice(0, at))
+                    held[i] = rows.slice(at)
+        if parts:
+            yield pa.concat_tables(parts)
+            continue
+        for i, run in enumerate(runs):  # a time may go on in the next block
+            if ends[i] == cut:
+                rows = next(run, None)
+                if rows is None:
+                    going[i] = False
+                else:
+                    held[i] = pa.concat_tables([held[i], rows])
+    rest = [rows for rows in held if rows is not None and len(rows)]
+    if rest:
+        yield pa.concat_tables(rest)
+
+
 def _key_text(fields: list[T.StructField]) -> Column:
     """One text for the values of the key columns; null is a value like others."""
     return F.to_json(F.array(*[F.hex(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name).cast("string") for f in fields]))
@@ -101,38 +193,35 @@ def in_event_order(
     plain = [F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name) if f.name in bits else F.col(f.name) for f in fields]
     placed = clocked(df, ts, lateness).withColumn(KEY, _key_text([df.schema[k] for k in keys]))
     placed = placed.select(*plain, nulls.alias(NULLS), KEY, F.unix_millis(F.col(ts)).alias(MS), F.pmod(F.xxhash64(KEY), F.lit(GROUPS)).alias(GROUP))
+    schema = _row_schema([f for f in placed.schema if f.name != GROUP])
 
     def step(_, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         waiting, kept = held.get if held.exists else (b"", b"")
         folds = {key: (last, tuple(own)) for key, last, *own in zip(*_unpacked(kept).to_pydict().values())} if kept else {}
-        mark, rest = held.getCurrentWatermarkMs(), None
-        frames = [c for c in chunks if len(c)]
-        if waiting:
-            frames.append(_unpacked(waiting).to_pandas())
-        if frames:
-            rows = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-            passed = rows[MS] <= mark
-            ready, rest = rows[passed], rows[~passed]
-            if len(ready):
-                ready, begins = _sorted(ready, order, bits)
-                wanted, times = list(zip(*(_values(ready, c, bits) for c in reads))), ready[MS].tolist()
-                results = []
-                for lo, hi in zip(begins, begins[1:]):
-                    key = ready[KEY].iat[lo]
-                    found, own = fold(wanted[lo:hi], folds[key][1] if key in folds else start)
-                    results.extend(found)
-                    folds[key] = times[hi - 1], own
-                columns = {n: pd.Series(v, index=ready.index, dtype="float64" if isinstance(t, T.DoubleType) else None)
-                           for (n, t), v in zip(out.items(), zip(*results))}
-                yield ready[[*names, NULLS]].assign(**columns)
+        mark, rest = held.getCurrentWatermarkMs(), _Run(schema)
+        for block in _merged([*([_blocks(waiting)] if waiting else []), *_runs(chunks, schema)]):
+            passed = block[MS].to_numpy() <= mark
+            if not passed.all():
+                rest.add(_in_time(block.filter(pa.array(~passed))))
+            if not passed.any():
+                continue
+            ready, begins = _sorted(block.filter(pa.array(passed)).to_pandas(), order, bits)
+            wanted, times = list(zip(*(_values(ready, c, bits) for c in reads))), ready[MS].tolist()
+            results = []
+            for lo, hi in zip(begins, begins[1:]):
+                key = ready[KEY].iat[lo]
+                found, own = fold(wanted[lo:hi], folds[key][1] if key in folds else start)
+                results.extend(found)
+                folds[key] = times[hi - 1], own
+            columns = {n: pd.Series(v, index=ready.index, dtype="float64" if isinstance(t, T.DoubleType) else None)
+                       for (n, t), v in zip(out.items(), zip(*results))}
+            yield ready[[*names, NULLS]].assign(**columns)
         ends = {key: expiry(own, last) for key, (last, own) in folds.items()}
         folds = {key: f for key, f in folds.items() if ends[key] is None or ends[key] > mark}
         wakes = [ends[key] for key in folds if ends[key] is not None]
-        if rest is not None and len(rest):
-            wakes.append(int(rest[MS].min()))
-            waiting = _packed(pa.Table.from_pandas(rest, preserve_index=False))
-        else:
-            waiting = b""
+        waiting = rest.data()
+        if waiting:
+            wakes.append(rest.first)
         if not waiting and not folds:
             if held.exists:
                 held.remove()

@@ -2,8 +2,11 @@
 
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsmetrics.plans import streams
 from opsmetrics.session import scratch_path
@@ -57,6 +60,45 @@ def test_calls_grow_neither_with_files_nor_with_keys(spark):
     assert got.batches <= streams.PIECES + 2 and 0 < got.state_rows <= eventtime.GROUPS and got.late == 0
 
 
+def test_a_key_with_many_rows_is_folded_in_blocks(spark):
+    """One key owns all rows: a call of the fold gets a few blocks of them, not all that the watermark passed at once."""
+    n = 150_000
+    rows = spark.range(n).selectExpr("'k' AS k", "if(id = 5, null, (id * 7919) % 150000) AS event_id", "5000 + (id * 7919) % 150000 DIV 10 AS t", "id % 3 = 0 AS odd", "cast(null AS string) AS note")
+
+    def fold(rows, state):
+        rows = list(rows)
+        return [(state[0] + k, len(rows)) for k in range(len(rows))], (state[0] + len(rows),)
+
+    stream, lateness = streams.landed(rows, "t", "hot")
+    folded = eventtime.in_event_order(
+        stream, ["k"], "at", ["event_id"], ["t"], {"place": T.LongType(), "size": T.LongType()}, ["n"], fold, (0,), lambda state, last: None, lateness)
+    got = jobs.run_counted(folded, "f", timeout=300)
+    lost = 5 * 7919 % n
+    last = lost // 10 * 10 + 9  # a null id is the last one of its time
+    place = lambda r: last if r["event_id"] is None else r["event_id"] - (lost < r["event_id"] <= last)
+    found = got.rows.collect()
+    assert len(found) == n and all(r["place"] == place(r) and r["odd"] is not None and r["note"] is None for r in found)
+    assert max(r["size"] for r in found) <= 2 * eventtime.BLOCK and got.late == 0
+
+
+def test_runs_are_merged_by_time(monkeypatch):
+    """Blocks ascend, and one time lies in one block, however many rows it has."""
+    monkeypatch.setattr(eventtime, "RUN", 500)
+    monkeypatch.setattr(eventtime, "BLOCK", 60)
+    rnd, schema = random.Random(9), pa.schema([("x", pa.int64()), (eventtime.MS, pa.int64())])
+    for span in (1, 7, 40, 100_000):
+        rows = [(i, rnd.randrange(span)) for i in range(3000)]
+        chunks = [pd.DataFrame(rows[k : k + 130], columns=schema.names) for k in range(0, 2000, 130)]
+        waiting = eventtime._Run(schema)
+        waiting.add(eventtime._in_time(pa.table(dict(zip(schema.names, zip(*rows[2080:]))), schema=schema)))
+        blocks = list(eventtime._merged([eventtime._blocks(waiting.data()), *eventtime._runs(chunks, schema)]))
+        assert sorted(x for b in blocks for x in b["x"].to_pylist()) == sorted(x for x, _ in rows)
+        times = [b[eventtime.MS].to_numpy() for b in blocks]
+        assert all(a.max() < b.min() for a, b in zip(times, times[1:]))
+        assert span < 100_000 or max(map(len, times)) <= 60 * 6
+    assert list(eventtime._merged([])) == []
+
+
 def test_failures_and_silence(spark, tmp_path):
     rnd = random.Random(5)
     rows, t = [], 0
