@@ -28,24 +28,32 @@ def _stream(spark, sf) -> DataFrame:
 
 
 PIECES, DISORDER = 4, 600
+STEP_ROWS = 2_000_000
 
 
-def landed(rows: DataFrame, clock: str, name: str) -> tuple[DataFrame, str]:
+def landed(rows: DataFrame, clock: str, name: str, step_rows: int | None = None) -> tuple[DataFrame, str]:
     """(``rows`` as a stream, how late a row may be) after landing in ``PIECES`` steps of arrival, up to ``DISORDER`` seconds off their times.
 
     ``clock`` are seconds; the stream has them as the timestamp ``at``. A file that only moves the clock lands last. A
-    micro-batch takes as many files as a step lands, so that their number does not grow with the input.
+    micro-batch takes as many files as a step lands, so that their number does not grow with the input; with
+    ``step_rows``, larger inputs land in more steps, of that many rows on average, so that their size does not.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("at", F.timestamp_seconds(clock))
     arrival = F.col(clock) + F.pmod(F.xxhash64("event_id"), F.lit(DISORDER))
-    span = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
+    span = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi"), F.count("*").alias("n")).first()
     path = scratch_path(spark, name)
     width, files = 1, [0, 1]
     if span["lo"] is not None:
-        width = (span["hi"] - span["lo"]) // PIECES + 1
-        for k in range(PIECES):
-            rows.filter(F.floor((arrival - span["lo"]) / width) == k).write.mode("append").parquet(path)
+        pieces = max(PIECES, -(-span["n"] // step_rows)) if step_rows else PIECES
+        width = (span["hi"] - span["lo"]) // pieces + 1
+        step, source = F.floor((arrival - span["lo"]) / width), rows
+        if pieces > PIECES:  # one pass over the input, not one for each step
+            held = scratch_path(spark, f"{name}-steps")
+            rows.withColumn("__step", step).write.partitionBy("__step").parquet(held)
+            source, step = spark.read.parquet(held), F.col("__step")
+        for k in range(pieces):
+            source.filter(step == k).select(rows.columns).write.mode("append").parquet(path)
             files.append(len(spark.read.schema(rows.schema).parquet(path).inputFiles()))
     jobs.close(spark, path, rows.schema, "at")
     most = max(b - a for a, b in zip(files, files[1:]))
@@ -72,8 +80,9 @@ FIRES = "WITH RECURSIVE" + E[4:] + """, p AS (SELECT user_id % 10 AS host_id, ep
 
 @query("stream_failure_fires", FIRES + "SELECT event_id, CAST(losecount AS BIGINT) AS losecount, losecount = 5 AS fired, acted FROM s")
 def stream_failure_fires(spark, sf) -> DataFrame:
+    # Spark hands a key's state to Python once for every 10,000 new rows, and ten keys own all rows
     s, lateness = landed(events(spark, sf).select(
-        (F.col("user_id") % 10).alias("host_id"), "epoch", "event_id", (F.col("event_type") != "purchase").alias("failed")), "epoch", "landed-pings")
+        (F.col("user_id") % 10).alias("host_id"), "epoch", "event_id", (F.col("event_type") != "purchase").alias("failed")), "epoch", "landed-pings", STEP_ROWS)
     return jobs.run_available(
         eventtime.failure_fires(s, ["host_id"], "at", "epoch", ["event_id"], "failed", lateness=lateness), "fires"
     ).select("event_id", "losecount", "fired", "acted")

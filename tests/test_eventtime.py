@@ -81,6 +81,19 @@ def test_a_key_with_many_rows_is_folded_in_blocks(spark):
     assert max(r["size"] for r in found) <= 2 * eventtime.BLOCK and got.late == 0
 
 
+def test_larger_inputs_land_in_more_steps(spark):
+    """The same rows, in steps of about the rows asked for, within a lateness that shrinks with the steps."""
+    rows = spark.range(2000).selectExpr("id % 3 AS k", "1000 + id * 10 AS t", "if(id = 7, null, id) AS event_id", "id % 4 <> 0 AS bad")
+    found = []
+    for step_rows in (None, 1000, 200):
+        stream, lateness = streams.landed(rows, "t", "steps", step_rows)
+        got = jobs.run_counted(eventtime.failure_fires(stream, ["k"], "at", "t", ["event_id"], "bad", lateness=lateness), "f", timeout=300)
+        found.append((sorted(map(str, got.rows.drop("at").collect())), got.batches, int(lateness.split()[0])))
+        assert got.late == 0 and got.state_rows <= 3
+    assert found[0] == found[1] and found[0][0] == found[2][0] and len(found[0][0]) == 2000
+    assert found[2][1] > found[0][1] and found[2][2] < found[0][2]
+
+
 def test_runs_are_merged_by_time(monkeypatch):
     """Blocks ascend, and one time lies in one block, however many rows it has."""
     monkeypatch.setattr(eventtime, "RUN", 500)
