@@ -28,7 +28,7 @@ def _stream(spark, sf) -> DataFrame:
 
 
 PIECES, DISORDER = 4, 600
-STEP_ROWS = 2_000_000
+STEP_ROWS = 1_000_000
 
 
 def landed(rows: DataFrame, clock: str, name: str, step_rows: int | None = None) -> tuple[DataFrame, str]:
